@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitepanel.functions import calendar
-from sitepanel.functions.nulls import na_max, na_min, na_sum, row_min
+from sitepanel.functions.nulls import row_min
 
 
 def month_pieces(readings: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -200,11 +200,70 @@ def water_year_total(
     return table
 
 
-def daily_extremes(readings: DataFrame, keys: Sequence[str], variable: str) -> DataFrame:
-    """Per-day total, minimum and maximum straight from the readings."""
-    value = F.col(variable)
-    return readings.groupBy(*keys, "year", "month", "day").agg(
-        na_sum(value).alias(f"{variable}_sum"),
-        na_min(value).alias(f"{variable}_min"),
-        na_max(value).alias(f"{variable}_max"),
+def annual_climate(
+    pieces: DataFrame,
+    keys: Sequence[str],
+    rain: str,
+    cold: str,
+    shift: bool = True,
+    scale: float = 1.0,
+    min_year: int | None = None,
+    max_year: int | None = None,
+) -> DataFrame:
+    """Water-year total and coldest winter night per key and year, from one aggregate.
+
+    The two features count a month towards different years.  Each piece is sent
+    to the one or two years it belongs to, so the pieces are neither computed
+    nor shuffled twice as they would be by joining the two separate features.
+    Years without a water-year total are left out, as are years outside the
+    exclusive cut-offs.
+    """
+    year, month = F.col("year"), F.col("month")
+    wet, winter = calendar.water_year(year, month), calendar.winter_year(year, month, shift)
+    sent = pieces.withColumns({"_wet": wet, "_winter": winter}).withColumn(
+        "_label", F.explode(F.array_distinct(F.array("_wet", "_winter")))
     )
+    in_wet = F.col("_label") == F.col("_wet")
+    in_winter = F.col("_label") == F.col("_winter")
+    total = _rolled(F.sum, rain, "sum", in_wet)
+    stats = [
+        F.count(F.when(in_wet, F.lit(1))).alias("_pieces"),
+        (total / F.lit(scale) if scale != 1.0 else total).alias(f"water_year_{rain}"),
+        F.count(F.when(in_winter & (month == 11), F.lit(1))).alias("_first"),
+    ]
+    stats += [
+        _rolled(F.min, cold, "min", in_winter & (month == m)).alias(name)
+        for m, name in calendar.WINTER_MONTHS.items()
+    ]
+    table = sent.groupBy(*keys, F.col("_label").alias("year")).agg(*stats).where(F.col("_pieces") > 0)
+    names = list(calendar.WINTER_MONTHS.values())
+    coldest = F.when(F.col("_first") > 0, row_min([F.col(n) for n in names]))
+    if min_year is not None:
+        table = table.where(F.col("year") > min_year)
+    if max_year is not None:
+        table = table.where(F.col("year") < max_year)
+    return table.select(*keys, "year", f"water_year_{rain}", coldest.alias("coldest"))
+
+
+def season_and_maxima(
+    pieces: DataFrame, keys: Sequence[str], rain: str, warm: str
+) -> DataFrame:
+    """Four season totals and twelve monthly maxima per key and calendar year, from one aggregate.
+
+    Both features share their key, so they share the shuffle.  Only years with
+    all four totals are kept; a year without January has no maxima.
+    """
+    month, late = F.col("month"), F.col("late")
+    label = calendar.season(month, late)
+    stats = []
+    for name in calendar.SEASONS:
+        inside = label == name
+        whole = F.count(F.when(inside, F.lit(1))) == 4
+        stats.append(F.when(whole, _rolled(F.sum, rain, "sum", inside)).alias(f"{name}_{rain}"))
+    january = F.count(F.when(month == 1, F.lit(1))) > 0
+    stats += [
+        F.when(january, _rolled(F.max, warm, "max", month == m)).alias(f"{name}_max")
+        for m, name in enumerate(calendar.MONTH_NAMES, start=1)
+    ]
+    totals = [f"{name}_{rain}" for name in calendar.SEASONS]
+    return pieces.groupBy(*keys, "year").agg(*stats).dropna(how="any", subset=totals)
