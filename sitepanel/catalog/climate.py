@@ -46,13 +46,13 @@ def monthly_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {READINGS}
 SELECT site, year, month, max(tmax) AS tmax, min(tmin) AS tmin,
-       round(CASE WHEN count(pr) = count(*) THEN sum(pr) / count(*) / 10 END, 6) AS mean_pr,
-       round(avg(srad), 9) AS mean_srad, round(avg(swe), 9) AS mean_swe, round(avg(soil), 6) AS mean_soil
+       round(CASE WHEN count(pr) = count(*) THEN sum(pr) / count(*) / 10 END, 9) AS mean_pr,
+       round(avg(srad), 9) AS mean_srad, round(avg(swe), 9) AS mean_swe, round(avg(soil), 9) AS mean_soil
 FROM readings GROUP BY site, year, month""")
 def monthly_summary(spark: SparkSession, folder: str) -> DataFrame:
     pieces = _pieces(spark, folder, "tmax", "tmin", "pr", "srad", "swe", "soil")
     table = climate.monthly_summary(pieces, ["site"], scales={"pr": 10.0})
-    return rounded(rounded(table, "mean_pr", "mean_soil"), "mean_srad", "mean_swe", digits=9)
+    return rounded(table, "mean_pr", "mean_srad", "mean_swe", "mean_soil", digits=9)
 
 
 # Season pieces written out by hand, so that the oracle shares nothing with the label functions.

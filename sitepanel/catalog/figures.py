@@ -1,0 +1,154 @@
+"""Diagnostic and trend tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitepanel.catalog.models import FRAME, frame
+from sitepanel.catalog.registry import GAPPY_PANEL, SITE_PANEL, gappy_panel, query, rounded, site_panel
+from sitepanel.functions.normal import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_TAIL
+from sitepanel.operators import linear, plotdata, reshape
+
+RESIDUALS = f"""{FRAME},
+line AS (SELECT regr_slope(response, stems_lag1) AS slope, regr_intercept(response, stems_lag1) AS intercept FROM frame),
+scored AS (SELECT site, year, intercept + slope * stems_lag1 AS fitted,
+                  response - (intercept + slope * stems_lag1) AS residual FROM frame, line)"""
+
+
+def residuals(spark: SparkSession, folder: str) -> DataFrame:
+    """Residuals of a linear model of growth on density."""
+    rows = frame(spark, folder)
+    b = linear.fit_linear(rows, ["response"], ["stems_lag1"]).estimates("response")
+    fitted = F.lit(b["(Intercept)"]) + F.lit(b["stems_lag1"]) * F.col("stems_lag1")
+    scored = rows.select("site", "year", fitted.alias("fitted"), (F.col("response") - fitted).alias("residual"))
+    return scored.where(F.col("residual").isNotNull())
+
+
+_BREAKS = f"""WITH {RESIDUALS},
+ends AS (SELECT count(*) AS n, min(residual) AS lo, max(residual) AS hi FROM scored),
+raw AS (SELECT *, (hi - lo) / ceil(log2(n) + 1) AS cell FROM ends),
+base AS (SELECT *, pow(10.0, floor(log10(cell))) AS b FROM raw),
+two AS (SELECT *, 2 * b - cell < 1.5 * (cell - b) AS is2 FROM base),
+five AS (SELECT *, is2 AND 5 * b - cell < 2.75 * (cell - 2 * b) AS is5 FROM two),
+ten AS (SELECT *, is5 AND 10 * b - cell < 1.5 * (cell - 5 * b) AS is10 FROM five),
+widths AS (SELECT *, b * CASE WHEN is10 THEN 10 WHEN is5 THEN 5 WHEN is2 THEN 2 ELSE 1 END AS w FROM ten),
+edges AS (SELECT *, floor(lo / w + 1e-7) * w AS first, CAST(ceil(hi / w - 1e-7) - floor(lo / w + 1e-7) AS INTEGER) AS bins
+          FROM widths)"""
+
+
+@query(f"""{_BREAKS},
+bins AS (SELECT k AS bin, first + k * w AS low, first + (k + 1) * w AS high, n, w FROM edges, range(0, 200) t(k) WHERE k < bins)
+SELECT CAST(bin AS INTEGER) AS bin, round(low, 6) AS low, round(high, 6) AS high, count(residual) AS count,
+       round(count(residual) / (any_value(n) * any_value(w)), 6) AS density
+FROM bins LEFT JOIN scored ON residual > low + 1e-7 * w AND residual <= high + 1e-7 * w
+     OR (bin = 0 AND residual <= low + 1e-7 * w)
+GROUP BY bin, low, high""")
+def resid_hist(spark: SparkSession, folder: str) -> DataFrame:
+    """Residual histogram on round break points."""
+    return rounded(plotdata.histogram(residuals(spark, folder), "residual"), "low", "high", "density")
+
+
+@query(f"""WITH {RESIDUALS} SELECT site, year, round(fitted, 6) AS fitted, round(residual, 6) AS residual FROM scored""")
+def resid_vs_fitted(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(residuals(spark, folder), "fitted", "residual")
+
+
+@query(f"""WITH {RESIDUALS}
+SELECT CAST(floor(fitted / 0.25) AS BIGINT) AS cell_x, CAST(floor(residual / 0.25) AS BIGINT) AS cell_y, count(*) AS count
+FROM scored GROUP BY 1, 2""")
+def resid_vs_fitted_binned(spark: SparkSession, folder: str) -> DataFrame:
+    """The same scatter as counts on a grid, for frames too long to draw."""
+    return plotdata.binned_points(residuals(spark, folder), "fitted", "residual", 0.25, 0.25)
+
+
+def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    text = repr(coefficients[0])
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r})"
+    return text
+
+
+def _probit_sql(p: str) -> str:
+    q, r = f"({p} - 0.5)", f"pow({p} - 0.5, 2)"
+    low, high = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    return f"""CASE WHEN {p} < {PROBIT_TAIL} THEN {_polynomial(PROBIT_C, low)} / {_polynomial(PROBIT_D, low)}
+  WHEN {p} > {1 - PROBIT_TAIL} THEN -{_polynomial(PROBIT_C, high)} / {_polynomial(PROBIT_D, high)}
+  ELSE {_polynomial(PROBIT_A, r)} * {q} / {_polynomial(PROBIT_B, r)} END"""
+
+
+@query(f"""WITH {RESIDUALS}, ranked AS (SELECT residual, row_number() OVER (ORDER BY residual) AS k FROM scored),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM scored)
+SELECT k AS position, round({_probit_sql('((k - 0.5) / n)')}, 6) AS theoretical, round(residual, 6) AS sample
+FROM ranked, total""")
+def resid_qq(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantile plot with a point per residual, ranked without one global sort."""
+    return rounded(plotdata.qq_points(residuals(spark, folder), "residual"), "theoretical", "sample")
+
+
+@query(f"""WITH {GAPPY_PANEL}, ranked AS (SELECT insects, row_number() OVER (ORDER BY insects) AS r FROM gappy_panel),
+total AS (SELECT count(*) AS n FROM gappy_panel)
+SELECT k AS position, round({_probit_sql('((k - 0.5) / 200)')}, 6) AS theoretical, insects AS sample
+FROM range(1, 201) t(k), total JOIN ranked ON r = CAST(ceil((2 * k - 1) * n / 400) AS BIGINT)""")
+def counts_qq(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantile plot at 200 positions of a column where a few values hold most rows."""
+    panel = gappy_panel(spark, folder).select("insects")
+    return rounded(plotdata.qq_points(panel, "insects", 200), "theoretical")
+
+
+@query(f"""WITH {RESIDUALS}, quartiles AS (SELECT quantile_cont(residual, 0.25) AS q25, quantile_cont(residual, 0.75) AS q75 FROM scored)
+SELECT round(q25, 6) AS q25, round(q75, 6) AS q75, round((q75 - q25) / 1.3489795003921634, 6) AS slope,
+       round((q25 + q75) / 2, 6) AS intercept FROM quartiles""")
+def resid_qq_line(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(plotdata.qq_line(residuals(spark, folder), "residual"), "q25", "q75", "slope", "intercept")
+
+
+@query(f"""WITH {RESIDUALS},
+stats AS (SELECT count(*) AS n, min(residual) AS lo, max(residual) AS hi,
+                 0.9 * least(stddev_samp(residual), (quantile_cont(residual, 0.75) - quantile_cont(residual, 0.25)) / 1.34)
+                     * pow(count(*), -0.2) AS bw FROM scored),
+grid AS (SELECT n, bw, lo - 3 * bw AS first, (hi - lo + 6 * bw) / 511 AS step FROM stats),
+placed AS (SELECT floor((residual - first) / step) AS cell, (residual - first) / step - floor((residual - first) / step) AS share
+           FROM scored, grid),
+masses AS (SELECT cell, sum(1 - share) AS mass FROM placed GROUP BY cell
+           UNION ALL SELECT cell + 1, sum(share) FROM placed GROUP BY cell)
+SELECT CAST(k AS INTEGER) AS point, round(first + k * step, 6) AS x,
+       round(sum(mass * exp(-0.5 * pow((k - cell) * step / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density
+FROM masses, grid, range(0, 512) t(k) GROUP BY k, first, step, n, bw""")
+def resid_kde(spark: SparkSession, folder: str) -> DataFrame:
+    """Kernel density of the residuals on 512 points."""
+    return rounded(plotdata.density(residuals(spark, folder), "residual"), "x", "density")
+
+
+_TREND = """count(*) AS n, round(regr_slope({y}, {x}), 9) AS slope, round(regr_intercept({y}, {x}), 9) AS intercept,
+  round(regr_r2({y}, {x}), 9) AS r_squared, min({x}) AS x_min, max({x}) AS x_max,
+  round(CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy({y}, {x}) - pow(regr_sxy({y}, {x}), 2)
+    / nullif(regr_sxx({y}, {x}), 0), 0) / ((count(*) - 2) * nullif(regr_sxx({y}, {x}), 0))) END, 9) AS slope_error"""
+
+
+@query(f"""WITH {SITE_PANEL} SELECT {_TREND.format(x='grass', y='stems')} FROM site_panel""")
+def trend_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Least-squares line of one measure on another."""
+    return rounded(
+        plotdata.trend_line(site_panel(spark, folder), "grass", "stems"),
+        "slope", "intercept", "r_squared", "slope_error",
+        digits=9,
+    )
+
+
+@query(f"""WITH {SITE_PANEL} SELECT site, {_TREND.format(x='CAST(year AS DOUBLE)', y='stems')} FROM site_panel GROUP BY site""")
+def trend_by_site(spark: SparkSession, folder: str) -> DataFrame:
+    """One trend line per site."""
+    table = plotdata.trend_line(site_panel(spark, folder), "year", "stems", ["site"])
+    return rounded(table, "slope", "intercept", "r_squared", "slope_error", digits=9)
+
+
+@query(f"""WITH {GAPPY_PANEL}
+SELECT site, year, 'ln_stems' AS variable, round(ln(stems + 1), 6) AS value FROM gappy_panel
+UNION ALL SELECT site, year, 'ln_insects', round(ln(insects + 1), 6) FROM gappy_panel""")
+def trend_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Two log series per site in long form."""
+    logged = gappy_panel(spark, folder).select(
+        "site", "year", F.log1p("stems").alias("ln_stems"), F.log1p("insects").alias("ln_insects")
+    )
+    return rounded(reshape.melt(logged, ["site", "year"], ["ln_stems", "ln_insects"]), "value")

@@ -212,9 +212,6 @@ def growth_panel(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(frame, *_log_columns(frame))
 
 
-_RAIN_RULE = "stems > 0"
-
-
 @query(f"""WITH {READINGS}, {SEASONS}, {SURVEYS}, maxima AS (
   SELECT site, year, {_MAXIMA_SQL} FROM readings GROUP BY site, year
   HAVING count(CASE WHEN month = 1 THEN 1 END) > 0),
@@ -271,7 +268,7 @@ kept AS (SELECT * FROM joined WHERE site IN (SELECT site FROM collapsed GROUP BY
 lagged AS (SELECT *, {_growth_columns(2)} FROM kept WINDOW w AS (PARTITION BY site ORDER BY year)),
 released AS (SELECT o_custkey AS site, CAST(min(year(o_orderdate)) AS INTEGER) AS release_year FROM orders GROUP BY 1),
 monthly AS (SELECT site, year, month, max(tmax) AS tmax, min(tmin) AS tmin,
-            round(CASE WHEN count(pr) = count(*) THEN sum(pr) / count(*) / 10 END, 6) AS mean_pr,
+            round(CASE WHEN count(pr) = count(*) THEN sum(pr) / count(*) / 10 END, 9) AS mean_pr,
             round(avg(srad), 9) AS mean_srad
             FROM readings GROUP BY site, year, month)
 SELECT l.*, s.s_name AS site_name, s.s_nationkey AS county, r.release_year, m.month, m.tmax, m.tmin, m.mean_pr,
@@ -291,4 +288,4 @@ def interaction_frame(spark: SparkSession, folder: str) -> DataFrame:
         MEASURES,
         PanelRules(lag_mode="observed", rain_scale=10.0, excluded_sites=_INTERACTION_EXCLUDED),
     )
-    return rounded(rounded(frame, *_log_columns(frame), "mean_pr"), "mean_srad", digits=9)
+    return rounded(rounded(frame, *_log_columns(frame)), "mean_pr", "mean_srad", digits=9)

@@ -113,7 +113,7 @@ class MixedFit:
         classes = self.moments.classes()
         gram = pooled_grams(classes, np.array([self.theta]))[0][np.ix_(index, index)]
         self.swept = sweep(gram, len(index) - 1)
-        self.n = float(classes.total[0, 0])
+        self.n = float(round(classes.total[0, 0]))
         self.sites = float(round(classes.weights.sum()))
         self.rank = len(self.swept.kept)
         self.var_resid = float(self.swept.rss[0, 0]) / (self.n - self.rank if self.reml else self.n)
@@ -184,7 +184,7 @@ class MixedFit:
         spread = self._total[0, 1:-1] @ self._centred[1:]
         var_fixed = (fixed - spread**2 / self.n) / (self.n - 1)
         whole = var_fixed + self.var_site + self.var_resid
-        return var_fixed / whole, (var_fixed + self.var_site) / whole
+        return float(var_fixed / whole), float((var_fixed + self.var_site) / whole)
 
     def r_squared(self) -> DataFrame:
         return self.spark.createDataFrame([(self.response, *self.r_squared_values())], R_SQUARED)

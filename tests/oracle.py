@@ -19,6 +19,11 @@ TABLES = (
 ).split()
 
 
+SAME_TYPE = {
+    "string": "VARCHAR", "int": "INTEGER", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for table in TABLES:
@@ -55,6 +60,12 @@ def compare(spark_df, relation) -> str | None:
     left_columns, right_columns = spark_df.columns, relation.columns
     if sorted(left_columns) != sorted(right_columns):
         return f"columns {sorted(left_columns)} != {sorted(right_columns)}"
+    kinds = {
+        c: (k, str(t)) for (c, k), t in zip(sorted(spark_df.dtypes), [t for _, t in sorted(zip(right_columns, relation.types))])
+    }
+    odd = {c: k for c, k in kinds.items() if SAME_TYPE.get(k[0], k[0].upper()) != k[1]}
+    if odd:
+        return f"types differ: {odd}"
     left = _rows(left_columns, [tuple(r) for r in spark_df.collect()])
     right = _rows(right_columns, relation.fetchall())
     if len(left) != len(right):
@@ -83,6 +94,8 @@ def main() -> int:
             frame = run(spark, folder)
             if name in oracles:
                 problem = compare(frame, con.sql(oracles[name]))
+                if problem is None and not frame.take(1):
+                    problem = "no rows"
             else:
                 problem = f"no oracle, {frame.count()} rows"
         except Exception as error:  # report every query, whatever it raises
