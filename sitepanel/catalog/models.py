@@ -245,7 +245,7 @@ SELECT theta, round(-0.5 * (n * ln(2 * pi() * v / n) + (SELECT sum(sites * ln(1
 FROM ww, dims WHERE step = 4 AND i = 4 AND j = 4""")
 def lmm_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Profile log-likelihood at given variance ratios."""
-    grid = mixed.likelihood_grid(_moments(spark, folder, TERMS), spark, "response", TERMS, _THETAS)
+    grid = mixed.likelihood_grid(_moments(spark, folder, TERMS), "response", TERMS, _THETAS)
     return rounded(grid, "log_lik", digits=4)
 
 

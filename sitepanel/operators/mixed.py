@@ -20,6 +20,7 @@ from sitepanel.functions.numerics import f_upper, sweep, t_two_sided
 from sitepanel.operators.joins import BROADCAST_ROWS, lookup_join
 from sitepanel.operators.linear import ANOVA, COEFFICIENTS, _number, raw_coefficients
 from sitepanel.operators.moments import (
+    PooledMoments,
     SiteMoments,
     SizeClasses,
     expand_terms,
@@ -98,19 +99,23 @@ def best_theta(
 
 @dataclass
 class MixedFit:
-    """A fitted random-intercept model on site moments."""
+    """A fitted random-intercept model.
+
+    ``site_table`` holds the per-site moments that row-level results need.
+    """
 
     spark: SparkSession
-    moments: SiteMoments
+    moments: PooledMoments
     response: str
     terms: list[str]
     reml: bool
     theta: float
     log_lik: float
+    site_table: SiteMoments | None = None
 
     def __post_init__(self):
         index = [0, *[self.moments.index(t) for t in self.terms], self.moments.index(self.response)]
-        classes = self.moments.classes()
+        classes = self.moments.classes
         gram = pooled_grams(classes, np.array([self.theta]))[0][np.ix_(index, index)]
         self.swept = sweep(gram, len(index) - 1)
         self.n = float(round(classes.total[0, 0]))
@@ -191,20 +196,27 @@ class MixedFit:
 
     # Row-level results ------------------------------------------------------
 
+    def _sites(self) -> SiteMoments:
+        if self.site_table is None:
+            raise ValueError("this fit has no site table: fit it with fit_mixed")
+        return self.site_table
+
     def shrinkage(self) -> Column:
         """theta / (1 + rows * theta) of a site."""
-        return F.lit(self.theta) / (F.lit(1.0) + self.moments.rows * F.lit(self.theta))
+        return F.lit(self.theta) / (F.lit(1.0) + self._sites().rows * F.lit(self.theta))
 
     def site_effect(self) -> Column:
         """Predicted intercept of a site, from its moments."""
-        total = self.moments.total_of(self.response) - F.lit(float(self._centred[0])) * self.moments.rows
+        sums = self._sites()
+        total = sums.total_of(self.response) - F.lit(float(self._centred[0])) * sums.rows
         for j, term in enumerate(self.terms, start=1):
-            total = total - F.lit(float(self._centred[j])) * self.moments.total_of(term)
+            total = total - F.lit(float(self._centred[j])) * sums.total_of(term)
         return self.shrinkage() * total
 
     def site_effects(self) -> DataFrame:
-        return self.moments.table.select(
-            self.moments.site, self.moments.rows.alias("rows"), self.site_effect().alias("site_effect")
+        sums = self._sites()
+        return sums.table.select(
+            sums.site, sums.rows.alias("rows"), self.site_effect().alias("site_effect")
         )
 
     def fixed_part(self) -> Column:
@@ -216,20 +228,26 @@ class MixedFit:
                 value = value + F.lit(estimates[term]) * F.col(f"`{term}`")
         return value
 
-    def with_fitted(self) -> SiteMoments:
-        """Site moments extended by the fitted values and the residuals of this model."""
-        shift = self.moments.shift
-        parts = {t: float(self._centred[j]) for j, t in enumerate(self.terms, start=1)}
-        effect = self.site_effect()
-        level = shift[self.response] + float(self._centred[0])
-        extended = self.moments.derive("fitted", parts, effect, level)
-        left = {self.response: 1.0, **{t: -b for t, b in parts.items()}}
-        return extended.derive("residual", left, -effect - F.lit(float(self._centred[0])), 0.0)
+    def with_fitted(self, fitted: str, residual: str) -> PooledMoments:
+        """The moments extended by this model's fitted values and residuals as columns."""
+        size = len(self.moments.names) + 1
+        fixed, left = np.zeros(size), np.zeros(size)
+        for j, term in enumerate(self.terms, start=1):
+            fixed[self.moments.index(term)] = self._centred[j]
+        # what the fixed part leaves of the response, which the site effect shrinks
+        left -= fixed
+        left[0] -= self._centred[0]
+        left[self.moments.index(self.response)] += 1.0
+        level = self.moments.shift[self.response] + float(self._centred[0])
+        extended = self.moments.derive(fitted, fixed, left, self.theta, level)
+        return extended.derive(
+            residual, np.append(left, 0.0), np.append(-left, 0.0), self.theta, 0.0
+        )
 
     def score(self, rows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
         """Add fitted values and residuals; rows that could not be used keep NULL."""
         scored = lookup_join(
-            rows, self.site_effects().drop("rows"), [self.moments.site], "left", bound
+            rows, self.site_effects().drop("rows"), [self._sites().site], "left", bound
         )
         fitted = F.when(
             F.col(f"`{self.response}`").isNotNull(), self.fixed_part() + F.col("site_effect")
@@ -241,14 +259,15 @@ class MixedFit:
     def influence(self, rows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
         """Leverage and Cook's distance per row, and whether leverage exceeds 2p/n."""
         names = ["_const", *self.terms]
-        lookup = self.moments.table.select(
-            self.moments.site,
+        sums = self._sites()
+        lookup = sums.table.select(
+            sums.site,
             self.site_effect().alias("site_effect"),
             self.shrinkage().alias("_k"),
-            self.moments.rows.alias("_sum0"),
-            *[self.moments.total_of(t).alias(f"_sum{j}") for j, t in enumerate(self.terms, start=1)],
+            sums.rows.alias("_sum0"),
+            *[sums.total_of(t).alias(f"_sum{j}") for j, t in enumerate(self.terms, start=1)],
         )
-        scored = lookup_join(rows, lookup, [self.moments.site], "left", bound)
+        scored = lookup_join(rows, lookup, [sums.site], "left", bound)
         shift = self.moments.shift
         w = [F.lit(1.0) - F.col("_k") * F.col("_sum0")]
         w += [
@@ -315,33 +334,46 @@ def aicc_of(log_lik: float, k: int, n: float) -> float:
     return -2.0 * log_lik + 2.0 * k + 2.0 * k * (k + 1) / (n - k - 1)
 
 
-def independent_terms(moments: SiteMoments, terms: Sequence[str]) -> list[str]:
+def independent_terms(moments: PooledMoments, terms: Sequence[str]) -> list[str]:
     """Terms that are not linear combinations of earlier ones."""
     index = [0, *[moments.index(t) for t in terms]]
-    kept = sweep(moments.classes().total[np.ix_(index, index)], len(index)).kept
+    kept = sweep(moments.classes.total[np.ix_(index, index)], len(index)).kept
     return [t for j, t in enumerate(terms, start=1) if j in kept]
 
 
-def fit_on_moments(
+def fit_pooled(
     spark: SparkSession,
-    moments: SiteMoments,
+    moments: PooledMoments,
     response: str,
     terms: Sequence[str],
     reml: bool = False,
     theta: float | None = None,
+    site_table: SiteMoments | None = None,
 ) -> MixedFit:
-    """Fit from existing site moments; a given ``theta`` is used as it is (zero: least squares).
+    """Fit from pooled moments; a given ``theta`` is used as it is (zero: least squares).
 
     Terms that depend on earlier ones are left out.
     """
     terms = independent_terms(moments, terms)
     index = [0, *[moments.index(t) for t in terms], moments.index(response)]
-    classes = moments.classes()
+    classes = moments.classes
     if theta is None:
         theta, log_lik = best_theta(classes, index, reml)
     else:
         log_lik = float(profile(classes, index, np.array([theta]), reml)[0][0])
-    return MixedFit(spark, moments, response, terms, reml, theta, log_lik)
+    return MixedFit(spark, moments, response, terms, reml, theta, log_lik, site_table)
+
+
+def fit_on_moments(
+    moments: SiteMoments,
+    response: str,
+    terms: Sequence[str],
+    reml: bool = False,
+    theta: float | None = None,
+) -> MixedFit:
+    """Fit from existing site moments."""
+    spark = moments.table.sparkSession
+    return fit_pooled(spark, moments.pooled, response, terms, reml, theta, moments)
 
 
 def fit_mixed(
@@ -357,29 +389,21 @@ def fit_mixed(
     terms = expand_terms(formula)
     frame = model_frame(df, [response], terms, keep=[site], na=na)
     moments = site_moments(frame, site, [*terms, response])
-    return fit_on_moments(df.sparkSession, moments, response, terms, reml, theta)
+    return fit_on_moments(moments, response, terms, reml, theta)
 
 
 def likelihood_grid(
-    moments: SiteMoments, spark: SparkSession, response: str, terms: Sequence[str],
-    thetas: Sequence[float], reml: bool = False,
+    moments: SiteMoments, response: str, terms: Sequence[str], thetas: Sequence[float], reml: bool = False
 ) -> DataFrame:
     """Profile log-likelihood at given variance ratios."""
-    index = [0, *[moments.index(t) for t in terms], moments.index(response)]
-    log_lik, _ = profile(moments.classes(), index, np.array(thetas, dtype=float), reml)
-    return spark.createDataFrame(
+    pooled = moments.pooled
+    index = [0, *[pooled.index(t) for t in terms], pooled.index(response)]
+    log_lik, _ = profile(pooled.classes, index, np.array(thetas, dtype=float), reml)
+    return moments.table.sparkSession.createDataFrame(
         [(float(t), float(v)) for t, v in zip(thetas, log_lik)], "theta double, log_lik double"
     )
 
 
-@dataclass
-class ChainStep:
-    """One step of a residual chain: which derived column is regressed on which terms."""
-
-    response: str
-    terms: Sequence[str]
-
-
 CHAIN = (
     "step int, response string, term string, estimate double, std_error double, "
     "r2_marginal double, r2_conditional double"
@@ -399,25 +423,22 @@ def residual_chain(
 
     Fit the full model, regress its fitted values on the density term, then
     regress what is left on each other term.  Every step is a random-intercept
-    fit on the same complete cases; each one derives its moments from the site
-    table, so the rows are read once however long the chain is.
+    fit on the same complete cases; each one derives its moments from the pooled
+    ones, so the rows are read once however long the chain is.
     """
     spark = df.sparkSession
     terms = expand_terms(formula)
     columns = list(dict.fromkeys([*terms, density, *others]))
     frame = model_frame(df, [response], columns, keep=[site])
-    moments = site_moments(frame, site, [*columns, response])
-    full = fit_on_moments(spark, moments, response, terms, reml)
-    fitted = _renamed(full.with_fitted(), "fitted", "full_fitted", "residual", "full_residual")
-    base = fit_on_moments(spark, fitted, "full_fitted", [density], reml)
-    left = _renamed(base.with_fitted(), "fitted", "density_fitted", "residual", "density_residual")
-    steps = [(1, full), (2, base)]
-    steps += [
-        (3 + i, fit_on_moments(spark, left, "density_residual", [term], reml))
-        for i, term in enumerate(others)
-    ]
+    moments = site_moments(frame, site, [*columns, response]).pooled
+    full = fit_pooled(spark, moments, response, terms, reml)
+    fitted = full.with_fitted("full_fitted", "full_residual")
+    base = fit_pooled(spark, fitted, "full_fitted", [density], reml)
+    left = base.with_fitted("density_fitted", "density_residual")
+    steps = [full, base]
+    steps += [fit_pooled(spark, left, "density_residual", [term], reml) for term in others]
     rows = []
-    for number, fit in steps:
+    for number, fit in enumerate(steps, start=1):
         beta, cov = fit.raw()
         marginal, conditional = fit.r_squared_values()
         for j, term in enumerate(["(Intercept)", *fit.terms]):
@@ -426,10 +447,3 @@ def residual_chain(
                  marginal, conditional)
             )
     return spark.createDataFrame(rows, CHAIN)
-
-
-def _renamed(moments: SiteMoments, *pairs: str) -> SiteMoments:
-    new = dict(zip(pairs[::2], pairs[1::2]))
-    names = [new.get(n, n) for n in moments.names]
-    shift = {new.get(n, n): s for n, s in moments.shift.items()}
-    return SiteMoments(moments.table, moments.site, names, shift)

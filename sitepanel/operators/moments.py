@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -116,16 +117,73 @@ def total_moments(frame: DataFrame, names: Sequence[str]) -> Moments:
 class SizeClasses:
     """Site moments pooled by row count.
 
-    ``sizes`` are row counts, ``weights`` numbers of sites, ``outer`` the pooled
-    outer products of site sums.  Every sum over sites of f(row count) times an
-    outer product, for the smooth f a random-intercept likelihood needs, equals
-    the same sum over classes.
+    ``sizes`` are row counts and ``weights`` numbers of sites; ``inner`` holds
+    the pooled cross products of rows, ``outer`` the pooled outer products of
+    site sums.  Every sum over sites of f(row count) times such a product, for
+    the smooth f a random-intercept likelihood needs, equals the same sum over
+    classes.
     """
 
     sizes: np.ndarray
     weights: np.ndarray
+    inner: np.ndarray
     outer: np.ndarray
-    total: np.ndarray
+
+    @property
+    def total(self) -> np.ndarray:
+        return self.inner.sum(axis=0)
+
+
+@dataclass
+class PooledMoments:
+    """Size classes with the names and shifts of their columns: all a fit needs."""
+
+    names: list[str]
+    shift: dict[str, float]
+    classes: SizeClasses
+
+    def index(self, name: str) -> int:
+        return self.names.index(name) + 1
+
+    def derive(
+        self, name: str, weights: np.ndarray, effect: np.ndarray, theta: float, shift: float
+    ) -> PooledMoments:
+        """Moments of a new row-level column, without reading the rows again.
+
+        The column is ``shift`` + weights . z + k effect . s, with z the row's
+        columns about their shifts (constant first), s the site's sums of z and
+        k = theta / (1 + site rows * theta).  Its products are linear and
+        quadratic forms of the pooled ones.
+        """
+        c = self.classes
+        k = theta / (1.0 + c.sizes * theta)
+        row_cross = c.inner @ weights + k[:, None] * (c.outer @ effect)
+        row_square = (
+            (c.inner @ weights) @ weights
+            + 2 * k * ((c.outer @ effect) @ weights)
+            + c.sizes * k**2 * ((c.outer @ effect) @ effect)
+        )
+        sums = weights[None, :] + (c.sizes * k)[:, None] * effect[None, :]
+        site_cross = np.einsum("cab,cb->ca", c.outer, sums)
+        site_square = np.einsum("ca,ca->c", site_cross, sums)
+        return PooledMoments(
+            [*self.names, name],
+            {**self.shift, name: shift},
+            SizeClasses(
+                c.sizes, c.weights, _bordered(c.inner, row_cross, row_square),
+                _bordered(c.outer, site_cross, site_square),
+            ),
+        )
+
+
+def _bordered(block: np.ndarray, cross: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Append one row and column to each matrix of a stack."""
+    m = block.shape[1]
+    out = np.empty((block.shape[0], m + 1, m + 1))
+    out[:, :m, :m] = block
+    out[:, :m, m] = out[:, m, :m] = cross
+    out[:, m, m] = corner
+    return out
 
 
 @dataclass
@@ -136,24 +194,21 @@ class SiteMoments:
     site: str
     names: list[str]
     shift: dict[str, float]
-    _classes: SizeClasses | None = field(default=None, repr=False)
 
     @property
     def size(self) -> int:
         return len(self.names) + 1
 
-    def index(self, name: str) -> int:
-        return self.names.index(name) + 1
-
     def total_of(self, name: str) -> Column:
         """Site sum of a column about its shift."""
-        return F.col(_pair(0, self.index(name)))
+        return F.col(_pair(0, self.names.index(name) + 1))
 
     @property
     def rows(self) -> Column:
         return F.col(_pair(0, 0))
 
-    def classes(self) -> SizeClasses:
+    @cached_property
+    def pooled(self) -> PooledMoments:
         """Pool sites by row count: at most about a thousand rows however many sites there are.
 
         Up to EXACT_SIZES a class is a row count.  Above, each octave [a, 2a) of
@@ -161,11 +216,6 @@ class SiteMoments:
         the row count are analytic there with their only pole at or below zero,
         so interpolation is exact to rounding, and weights add up to one.
         """
-        if self._classes is None:
-            self._classes = self._pool()
-        return self._classes
-
-    def _pool(self) -> SizeClasses:
         n = self.rows
         octave = F.floor(F.log2(n)).cast("int")
         low = F.pow(F.lit(2.0), octave)
@@ -177,25 +227,25 @@ class SiteMoments:
             )
         )
         spread = self.table.withColumns({"_octave": octave, "_angle": angle}).withColumn("_node", node)
+        exact = F.col("_node") < 0
         node_angle = (F.col("_node") + 0.5) * math.pi / NODES
         cosines = F.aggregate(
             F.sequence(F.lit(1), F.lit(NODES - 1)),
             F.lit(0.0),
             lambda acc, k: acc + F.cos(k * node_angle) * F.cos(k * F.col("_angle")),
         )
-        spread = spread.withColumn(
-            "_w", F.when(F.col("_node") < 0, F.lit(1.0)).otherwise((1.0 + 2.0 * cosines) / NODES)
-        ).withColumn(
-            "_size",
-            F.when(F.col("_node") < 0, n).otherwise(
-                F.pow(F.lit(2.0), F.col("_octave")) * (1.5 + 0.5 * F.cos(node_angle))
-            ),
+        node_size = F.pow(F.lit(2.0), F.col("_octave")) * (1.5 + 0.5 * F.cos(node_angle))
+        spread = spread.withColumns(
+            {
+                "_w": F.when(exact, F.lit(1.0)).otherwise((1.0 + 2.0 * cosines) / NODES),
+                "_size": F.when(exact, n).otherwise(node_size),
+                "_key": F.when(exact, n.cast("int")).otherwise(F.col("_octave")),
+            }
         )
         pairs = _pairs(self.size)
         w = F.col("_w")
-        key = F.when(F.col("_node") < 0, F.col("_size").cast("int")).otherwise(F.col("_octave"))
         rows = (
-            spread.groupBy("_node", key.alias("_key"))
+            spread.groupBy("_node", "_key")
             .agg(
                 F.max("_size").alias("_size"),
                 F.sum(w).alias("_sites"),
@@ -204,36 +254,13 @@ class SiteMoments:
             )
             .collect()
         )
-        return SizeClasses(
+        classes = SizeClasses(
             sizes=np.array([r["_size"] for r in rows]),
             weights=np.array([r["_sites"] for r in rows]),
+            inner=np.array([_matrix(r, self.size) for r in rows]),
             outer=np.array([_matrix(r, self.size, "b") for r in rows]),
-            total=sum(_matrix(r, self.size) for r in rows),
         )
-
-    def derive(
-        self, name: str, parts: dict[str, float], effect: Column, shift: float
-    ) -> SiteMoments:
-        """Moments of a new row-level column, without reading the rows again.
-
-        The column is ``shift`` + sum of part * (column - its shift) + a site
-        effect, so its products follow from the products already in the table.
-        """
-        new = self.size
-        table = self.table.withColumn("_effect", effect)
-        cross: dict[int, Column] = {}
-        for a in range(new):
-            value = F.col("_effect") * F.col(_pair(0, a))
-            for part, weight in parts.items():
-                value = value + F.lit(weight) * F.col(_pair(a, self.index(part)))
-            cross[a] = value
-        own = F.col("_effect") * cross[0]
-        for part, weight in parts.items():
-            own = own + F.lit(weight) * cross[self.index(part)]
-        added = {_pair(a, new): value for a, value in cross.items()}
-        added[_pair(new, new)] = own
-        table = table.withColumns(added).drop("_effect")
-        return SiteMoments(table, self.site, [*self.names, name], {**self.shift, name: shift})
+        return PooledMoments(self.names, self.shift, classes)
 
 
 def site_moments(frame: DataFrame, site: str, names: Sequence[str]) -> SiteMoments:

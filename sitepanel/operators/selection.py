@@ -64,11 +64,11 @@ def model_selection(
     table.  ``theta=0`` selects among linear models.
     """
     spark = moments.table.sparkSession
-    terms = independent_terms(moments, terms)
-    columns = [moments.index(t) for t in terms]
-    target = moments.index(response)
-    classes = moments.classes()
-    shift = moments.shift
+    pooled = moments.pooled
+    terms = independent_terms(pooled, terms)
+    columns = [pooled.index(t) for t in terms]
+    target = pooled.index(response)
+    classes, shift = pooled.classes, pooled.shift
     grams = pooled_grams(classes, THETA_GRID)
     n = float(classes.total[0, 0])
     fixed = theta

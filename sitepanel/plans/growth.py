@@ -24,6 +24,8 @@ def growth_panel(
 ) -> DataFrame:
     """One row per well-monitored site and year with lags, growth and site columns.
 
+    ``years`` are the years of the completed grid, by default those with any survey.
+
     ``readings`` are daily rows with a ``site``; ``surveys`` have ``site``,
     ``year`` and the measures, several rows per year allowed.  Daily rows and
     survey rows are each aggregated before anything is joined, so both joins
@@ -33,6 +35,8 @@ def growth_panel(
     features = climate.annual_climate(
         pieces, ["site"], rain, cold, rules.winter_shift, rules.rain_scale, rules.min_year, rules.max_year
     ).dropna(how="any")
+    if years is None and rules.lag_mode == "calendar":
+        years = reshape.observed_years(surveys)
     observed = reshape.collapse(surveys, ["site", "year"], measures, rules.collapse)
     joined = observed.join(features, ["site", "year"], "left").withColumn("surveyed", F.lit(1))
     return panel_features(joined, sites, measures, f"water_year_{rain}", years, rules, depth)
@@ -50,13 +54,12 @@ def panel_features(
     """Lags, growth, the survey-year rule and site columns for one row per site and year.
 
     Completion, lags and the survey-year count all work per site, so one
-    shuffle serves the three.  ``surveyed`` marks rows that stand for a survey.
+    shuffle serves the three.  ``surveyed`` marks rows that stand for a survey;
+    ``years`` are only needed for calendar lags.
     """
     logs = {m: f"ln_{m}" for m in measures}
     lags = {"logs": logs, "raw": {rain: "rain", "coldest": "coldest"}, "growth": list(logs.values())}
     if rules.lag_mode == "calendar":
-        # years without any survey stay out of the grid
-        years = reshape.observed_years(joined) if years is None else years
         frame = reshape.complete_years(joined, "site", "year", years)
     elif rules.lag_mode == "observed":
         frame = panel.keep_well_monitored(joined, "site", rules.min_years).dropna(how="any")
@@ -100,7 +103,7 @@ def growth_models(
         terms = moments.expand_terms(formula)
         complete = moments.model_frame(frame, [RESPONSE], terms, keep=["site"])
         table = moments.site_moments(complete, "site", [*terms, RESPONSE])
-        fit = mixed.fit_on_moments(spark, table, RESPONSE, terms, reml=True)
+        fit = mixed.fit_on_moments(table, RESPONSE, terms, reml=True)
         chosen = selection.model_selection(table, RESPONSE, terms, reml=True)
         results |= {
             f"{name}_coefficients": fit.coefficients(),

@@ -75,7 +75,7 @@ def interaction_models(
     terms = moments.expand_terms(formula)
     complete = moments.model_frame(frame, [RESPONSE], terms, keep=["site"])
     table = moments.site_moments(complete, "site", [*terms, RESPONSE])
-    fit = mixed.fit_on_moments(frame.sparkSession, table, RESPONSE, terms, reml)
+    fit = mixed.fit_on_moments(table, RESPONSE, terms, reml)
     chosen = selection.model_selection(table, RESPONSE, terms, reml)
     mains = [t for t in fit.terms if ":" not in t]
     ranges = complete.agg(*[f(F.col(t)) for t in mains for f in (F.min, F.max)]).first()

@@ -22,6 +22,7 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
@@ -61,13 +62,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Materialise a frame that several jobs read, so that it is computed once.
 
-    Reliable checkpoint files outlive lost executors.  Without a shared folder
-    the frame is persisted with its lineage, which Spark replays after a loss.
+    The frame is written to the shared folder and read back: its lineage ends
+    there, later jobs prune columns, and lost executors cost nothing.  (An RDD
+    checkpoint would run the last stage a second time.)  Without a shared
+    folder the frame is persisted with its lineage, which Spark replays.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
+    if shared_folder(spark) is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "frame")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
