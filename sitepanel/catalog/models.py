@@ -250,14 +250,14 @@ def lmm_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {FRAME}, {_REML}
-SELECT f.site, f.year, round({fixed_part(TERMS)} + u, 6) AS fitted,
-       round(response - ({fixed_part(TERMS)} + u), 6) AS residual
+SELECT f.site, f.year, round({fixed_part(TERMS)} + u, 5) AS fitted,
+       round(response - ({fixed_part(TERMS)} + u), 5) AS residual
 FROM frame f JOIN effects e ON f.site = e.site""")
 def lmm_scored(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted values with the site effect, and residuals, row by row."""
     rows = frame(spark, folder).where(F.col("response").isNotNull())
     fit = mixed.fit_mixed(rows, "response", TERMS, "site", reml=True)
-    return rounded(fit.score(rows).select("site", "year", "fitted", "residual"), "fitted", "residual")
+    return rounded(fit.score(rows).select("site", "year", "fitted", "residual"), "fitted", "residual", digits=5)
 
 
 @query(f"""WITH RECURSIVE {FRAME}, {_REML}
@@ -394,15 +394,15 @@ hats AS (
 
 
 @query(f"""WITH RECURSIVE {FRAME}, {_ML}, {_INFLUENCE}
-SELECT site, year, round(residual, 6) AS residual, round(h, 6) AS leverage,
-       round(residual ** 2 * h / (s2 * p * (1 - h) ** 2), 6) AS cook, h > 2.0 * p / n AS high_leverage
+SELECT site, year, round(residual, 5) AS residual, round(h, 5) AS leverage,
+       round(residual ** 2 * h / (s2 * p * (1 - h) ** 2), 5) AS cook, h > 2.0 * p / n AS high_leverage
 FROM hats, vars""")
 def influence(spark: SparkSession, folder: str) -> DataFrame:
     """Leverage and Cook's distance of every row."""
     rows = frame(spark, folder).where(F.col("response").isNotNull()).select("site", "year", "response", *TERMS)
     fit = mixed.fit_mixed(rows, "response", TERMS, "site")
     table = fit.influence(rows).drop("response", *TERMS)
-    return rounded(rounded(table, "residual", "leverage"), "cook")
+    return rounded(table, "residual", "leverage", "cook", digits=5)
 
 
 @query(f"""WITH RECURSIVE {FRAME}, {_ML}, {_INFLUENCE}

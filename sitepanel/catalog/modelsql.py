@@ -12,6 +12,8 @@ from collections.abc import Sequence
 STAGES = 5
 # Spacing of the second and third grid, in powers of ten.
 STEPS = (0.005, 0.0001)
+# Spacing of the points of the last, differencing step.
+STENCIL = 0.001
 
 
 def _cells(columns: Sequence[str]) -> str:
@@ -111,18 +113,27 @@ def mixed_ctes(
   UNION ALL SELECT subset, pow(10.0, log10(theta) + (k - 50) * {STEPS[stage]!r})
   FROM {P}b{stage}, range(0, 101) t(k) WHERE theta > 0)"""
             )
-        elif stage < STAGES - 1:
-            # top of the parabola through the best point and its neighbours
-            around = "(VALUES (-1), (0), (1)) t(k)" if stage == 2 else "(VALUES (0)) t(k)"
+        elif stage == 2:
+            # top of the parabola through the best point and its neighbours, then five points around it
             parts.append(
-                f"""{P}th{stage + 1} AS (
+                f"""{P}th3 AS (
   SELECT v.subset, CASE WHEN v.theta = 0 THEN 0 ELSE pow(10.0, log10(v.theta)
-    + {STEPS[1]!r} * coalesce((below - above) / (2 * (below - 2 * v.ll + above)), 0) + k * {STEPS[1]!r}) END AS theta
+    + {STEPS[1]!r} * coalesce((below - above) / (2 * (below - 2 * v.ll + above)), 0) + k * {STENCIL!r}) END AS theta
   FROM (SELECT *, lag(ll) OVER (PARTITION BY subset ORDER BY theta) AS below,
-               lead(ll) OVER (PARTITION BY subset ORDER BY theta) AS above FROM {P}l{stage}) v
-  JOIN {P}b{stage} b ON b.subset = v.subset AND b.theta = v.theta, {around}
+               lead(ll) OVER (PARTITION BY subset ORDER BY theta) AS above FROM {P}l2) v
+  JOIN {P}b2 b ON b.subset = v.subset AND b.theta = v.theta, (VALUES (-2), (-1), (0), (1), (2)) t(k)
   WHERE v.theta > 0 OR k = 0)"""
             )
+        elif stage == 3:
+            # one Newton step with fourth-order differences
+            parts.append(
+                f"""{P}th4 AS (
+  SELECT subset, CASE WHEN theta = 0 THEN 0 ELSE pow(10.0, log10(theta) - {STENCIL!r}
+    * (l2 - 8 * l1 + 8 * u1 - u2) / (-l2 + 16 * l1 - 30 * ll + 16 * u1 - u2)) END AS theta
+  FROM (SELECT *, lag(ll) OVER w AS l1, lag(ll, 2) OVER w AS l2, lead(ll) OVER w AS u1, lead(ll, 2) OVER w AS u2
+        FROM {P}l3 WINDOW w AS (PARTITION BY subset ORDER BY theta))
+  WHERE theta = 0 OR (l2 IS NOT NULL AND u2 IS NOT NULL))"""
+            )
     last = STAGES - 1
     parts += [
         f"{P}best AS (SELECT * FROM {P}b{last})",
