@@ -9,6 +9,7 @@ from sitepanel.catalog.models import FRAME, frame
 from sitepanel.catalog.registry import GAPPY_PANEL, SITE_PANEL, gappy_panel, query, rounded, site_panel
 from sitepanel.functions.normal import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_TAIL
 from sitepanel.operators import linear, plotdata, reshape
+from sitepanel.session import durable
 
 RESIDUALS = f"""{FRAME},
 line AS (SELECT regr_slope(response, stems_lag1) AS slope, regr_intercept(response, stems_lag1) AS intercept FROM frame),
@@ -22,7 +23,8 @@ def residuals(spark: SparkSession, folder: str) -> DataFrame:
     b = linear.fit_linear(rows, ["response"], ["stems_lag1"]).estimates("response")
     fitted = F.lit(b["(Intercept)"]) + F.lit(b["stems_lag1"]) * F.col("stems_lag1")
     scored = rows.select("site", "year", fitted.alias("fitted"), (F.col("response") - fitted).alias("residual"))
-    return scored.where(F.col("residual").isNotNull())
+    # the figures read their input several times
+    return durable(scored.where(F.col("residual").isNotNull()))
 
 
 _BREAKS = f"""WITH {RESIDUALS},
@@ -92,7 +94,7 @@ SELECT k AS position, round({_probit_sql('((k - 0.5) / 200)')}, 6) AS theoretica
 FROM range(1, 201) t(k), total JOIN ranked ON r = CAST(ceil((2 * k - 1) * n / 400) AS BIGINT)""")
 def counts_qq(spark: SparkSession, folder: str) -> DataFrame:
     """Quantile plot at 200 positions of a column where a few values hold most rows."""
-    panel = gappy_panel(spark, folder).select("insects")
+    panel = durable(gappy_panel(spark, folder).select("insects"))
     return rounded(plotdata.qq_points(panel, "insects", 200), "theoretical")
 
 

@@ -55,6 +55,16 @@ def _moments(spark: SparkSession, folder: str, terms: list[str]) -> SiteMoments:
     return site_moments(complete, "site", [*terms, "response"])
 
 
+def _fit_with_rows(
+    spark: SparkSession, folder: str, formula: list[str], reml: bool
+) -> tuple[mixed.MixedFit, DataFrame]:
+    """A fit and the complete rows behind it, which are computed once for both."""
+    terms = expand_terms(formula)
+    complete = model_frame(frame(spark, folder), ["response"], terms, keep=["site", "year"])
+    moments = site_moments(complete, "site", [*terms, "response"])
+    return mixed.fit_on_moments(moments, "response", terms, reml), complete
+
+
 _COEFFICIENT_COLUMNS = ["estimate", "std_error", "t_value", "p_value"]
 
 
@@ -90,13 +100,13 @@ def lm_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ANOVA_SQL = """SELECT 'response' AS response, CAST(s.step AS INTEGER) AS position, t.term, CAST(1 AS DOUBLE) AS df,
-  round(s.v * s.v / d.v, 6) AS sum_sq, round(s.v * s.v / d.v, 6) AS mean_sq,
+  round(s.v * s.v / d.v, 4) AS sum_sq, round(s.v * s.v / d.v, 4) AS mean_sq,
   round(s.v * s.v / d.v / (r.v / (n - p)), 4) AS f_value
 FROM swept s JOIN swept d ON d.step = s.step AND d.i = s.step AND d.j = s.step JOIN names t ON t.k = s.step,
      (SELECT v FROM swept WHERE step = {p} AND i = {p} AND j = {p}) r, dims
 WHERE s.step BETWEEN 1 AND {p} - 1 AND s.i = s.step AND s.j = {p}
 UNION ALL
-SELECT 'response', {p}, 'Residuals', n - p, round(v, 6), round(v / (n - p), 6), NULL
+SELECT 'response', {p}, 'Residuals', n - p, round(v, 4), round(v / (n - p), 4), NULL
 FROM swept, dims WHERE step = {p} AND i = {p} AND j = {p}"""
 
 
@@ -105,7 +115,7 @@ FROM swept, dims WHERE step = {p} AND i = {p} AND j = {p}"""
 def lm_anova(spark: SparkSession, folder: str) -> DataFrame:
     """Sequential sums of squares in term order."""
     fit = linear.fit_linear(frame(spark, folder), ["response"], TERMS)
-    return rounded(rounded(fit.anova().drop("p_value"), "sum_sq", "mean_sq"), "f_value", digits=4)
+    return rounded(fit.anova().drop("p_value"), "sum_sq", "mean_sq", "f_value", digits=4)
 
 
 @query(f"""WITH RECURSIVE {FRAME}, {linear_ctes('frame', TERMS, ['response'])},
@@ -255,8 +265,7 @@ SELECT f.site, f.year, round({fixed_part(TERMS)} + u, 5) AS fitted,
 FROM frame f JOIN effects e ON f.site = e.site""")
 def lmm_scored(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted values with the site effect, and residuals, row by row."""
-    rows = frame(spark, folder).where(F.col("response").isNotNull())
-    fit = mixed.fit_mixed(rows, "response", TERMS, "site", reml=True)
+    fit, rows = _fit_with_rows(spark, folder, TERMS, reml=True)
     return rounded(fit.score(rows).select("site", "year", "fitted", "residual"), "fitted", "residual", digits=5)
 
 
@@ -399,8 +408,7 @@ SELECT site, year, round(residual, 5) AS residual, round(h, 5) AS leverage,
 FROM hats, vars""")
 def influence(spark: SparkSession, folder: str) -> DataFrame:
     """Leverage and Cook's distance of every row."""
-    rows = frame(spark, folder).where(F.col("response").isNotNull()).select("site", "year", "response", *TERMS)
-    fit = mixed.fit_mixed(rows, "response", TERMS, "site")
+    fit, rows = _fit_with_rows(spark, folder, TERMS, reml=False)
     table = fit.influence(rows).drop("response", *TERMS)
     return rounded(table, "residual", "leverage", "cook", digits=5)
 
@@ -408,8 +416,7 @@ def influence(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {FRAME}, {_ML}, {_INFLUENCE}
 SELECT site, year, round(h, 6) AS leverage FROM hats, vars WHERE h > 2.0 * p / n""")
 def high_leverage(spark: SparkSession, folder: str) -> DataFrame:
-    rows = frame(spark, folder).where(F.col("response").isNotNull()).select("site", "year", "response", *TERMS)
-    fit = mixed.fit_mixed(rows, "response", TERMS, "site")
+    fit, rows = _fit_with_rows(spark, folder, TERMS, reml=False)
     flagged = fit.influence(rows).where("high_leverage")
     return rounded(flagged.select("site", "year", "leverage"), "leverage")
 
@@ -429,7 +436,6 @@ SELECT round(f.rain, 6) AS rain, round(fit, 6) AS fit, round(sqrt(shape * s2), 6
 FROM fits f JOIN lines l ON f.rain = l.rain, vars""")
 def effect_line(spark: SparkSession, folder: str) -> DataFrame:
     """Prediction along one term at the mean of the others; its interaction moves along."""
-    rows = frame(spark, folder)
-    fit = mixed.fit_mixed(rows, "response", _CROSSED, "site")
-    low, high = rows.where(F.col("response").isNotNull()).agg(F.min("rain"), F.max("rain")).first()
+    fit, rows = _fit_with_rows(spark, folder, _CROSSED, reml=False)
+    low, high = rows.agg(F.min("rain"), F.max("rain")).first()
     return rounded(rounded(fit.effect_line("rain", low, high), "fit", "std_error"), "rain")

@@ -176,12 +176,15 @@ _COLLAPSED = "collapsed AS (SELECT site, year, " + ", ".join(
 ) + " FROM surveys GROUP BY site, year)"
 
 
-def _growth_columns(lags: int) -> str:
+def _growth_columns(lags: int, digits: int | None) -> str:
+    def shown(text: str) -> str:
+        return text if digits is None else f"round({text}, {digits})"
+
     parts = []
     for m in MEASURES:
-        parts.append(f"round(ln({m} + 1), 6) AS ln_{m}")
-        parts += [f"round(lag(ln({m} + 1), {k}) OVER w, 6) AS ln_{m}_lag{k}" for k in range(1, lags + 1)]
-        parts.append(f"round(ln({m} + 1) - lag(ln({m} + 1)) OVER w, 6) AS growth_ln_{m}")
+        parts.append(f"{shown(f'ln({m} + 1)')} AS ln_{m}")
+        parts += [f"{shown(f'lag(ln({m} + 1), {k}) OVER w')} AS ln_{m}_lag{k}" for k in range(1, lags + 1)]
+        parts.append(f"{shown(f'ln({m} + 1) - lag(ln({m} + 1)) OVER w')} AS growth_ln_{m}")
     for column, name in (("water_year_pr", "rain"), ("coldest", "coldest")):
         parts += [f"lag({column}, {k}) OVER w AS {name}_lag{k}" for k in range(1, lags + 1)]
     return ", ".join(parts)
@@ -191,7 +194,9 @@ def _log_columns(frame: DataFrame) -> list[str]:
     return [c for c in frame.columns if c.startswith(("ln_", "growth_"))]
 
 
-@query(f"""WITH {READINGS}, {WATER}, {WINTERS}, {SURVEYS}, {_COLLAPSED},
+def growth_ctes(digits: int | None = None) -> str:
+    """SQL of the growth panel as ``growth_frame``."""
+    return f"""{READINGS}, {WATER}, {WINTERS}, {SURVEYS}, {_COLLAPSED},
 features AS (
   SELECT a.site, a.year, a.water_year_pr, w.coldest FROM water a JOIN winters w ON a.site = w.site AND a.year = w.year
   WHERE a.water_year_pr IS NOT NULL AND w.coldest IS NOT NULL),
@@ -200,33 +205,49 @@ joined AS (SELECT c.*, f.water_year_pr, f.coldest FROM collapsed c LEFT JOIN fea
 grid AS (SELECT s.site, y.year FROM (SELECT DISTINCT site FROM joined) s, (SELECT DISTINCT year FROM joined) y),
 completed AS (SELECT g.site, g.year, {", ".join(MEASURES)}, water_year_pr, coldest
               FROM grid g LEFT JOIN joined j ON g.site = j.site AND g.year = j.year),
-lagged AS (SELECT *, {_growth_columns(1)} FROM completed WINDOW w AS (PARTITION BY site ORDER BY year)),
-kept AS (SELECT site FROM collapsed GROUP BY site HAVING count(*) >= 5)
-SELECT l.*, s.s_name AS site_name, s.s_nationkey AS county
-FROM lagged l LEFT JOIN supplier s ON l.site = s.s_suppkey WHERE l.site IN (SELECT site FROM kept)""")
+lagged AS (SELECT *, {_growth_columns(1, digits)} FROM completed WINDOW w AS (PARTITION BY site ORDER BY year)),
+kept AS (SELECT site FROM collapsed GROUP BY site HAVING count(*) >= 5),
+growth_frame AS (SELECT l.*, s.s_name AS site_name, s.s_nationkey AS county
+  FROM lagged l LEFT JOIN supplier s ON l.site = s.s_suppkey WHERE l.site IN (SELECT site FROM kept))"""
+
+
+def growth_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return growth_plan(readings(spark, folder), surveys(spark, folder), sites(spark, folder), MEASURES)
+
+
+@query(f"WITH {growth_ctes(6)} SELECT * FROM growth_frame")
 def growth_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Daily weather and surveys to the lagged panel of well-monitored sites."""
-    frame = growth_plan(
-        readings(spark, folder), surveys(spark, folder), sites(spark, folder), MEASURES
-    )
+    frame = growth_rows(spark, folder)
     return rounded(frame, *_log_columns(frame))
 
 
-@query(f"""WITH {READINGS}, {SEASONS}, {SURVEYS}, maxima AS (
+def season_ctes(digits: int | None = None) -> str:
+    """SQL of the season and cover rows as ``season_frame``."""
+    total = "target_weed + other_weed + forbs + grass + bare_ground"
+    total = total if digits is None else f"round({total}, {digits})"
+    return f"""{READINGS}, {SEASONS}, {SURVEYS}, maxima AS (
   SELECT site, year, {_MAXIMA_SQL} FROM readings GROUP BY site, year
   HAVING count(CASE WHEN month = 1 THEN 1 END) > 0),
-spans AS (SELECT site, min(year) AS first_year, max(year) AS last_year FROM surveys GROUP BY site)
-SELECT v.*, round(target_weed + other_weed + forbs + grass + bare_ground, 6) AS total_cover,
-       s.winter_pr, s.spring_pr, s.summer_pr, s.autumn_pr, {", ".join(f"{n}_max" for n in _MONTHS.values())}
-FROM surveys v JOIN (SELECT * FROM seasons WHERE {_ALL_SEASONS}) s ON v.site = s.site AND v.year = s.year
-LEFT JOIN maxima m ON v.site = m.site AND v.year = m.year
-WHERE v.site IN (SELECT site FROM spans WHERE last_year - first_year >= 5)""")
-def season_cover_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Survey rows of long-running sites with cover total, season rain and monthly maxima."""
+spans AS (SELECT site, min(year) AS first_year, max(year) AS last_year FROM surveys GROUP BY site),
+season_frame AS (
+  SELECT v.*, {total} AS total_cover,
+         s.winter_pr, s.spring_pr, s.summer_pr, s.autumn_pr, {", ".join(f"{n}_max" for n in _MONTHS.values())}
+  FROM surveys v JOIN (SELECT * FROM seasons WHERE {_ALL_SEASONS}) s ON v.site = s.site AND v.year = s.year
+  LEFT JOIN maxima m ON v.site = m.site AND v.year = m.year
+  WHERE v.site IN (SELECT site FROM spans WHERE last_year - first_year >= 5))"""
+
+
+def season_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = surveys(spark, folder)
     listed = rows.groupBy("site").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    frame = season_plan(readings(spark, folder), rows, listed)
-    return rounded(frame, "total_cover")
+    return season_plan(readings(spark, folder), rows, listed)
+
+
+@query(f"WITH {season_ctes(6)} SELECT * FROM season_frame")
+def season_cover_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Survey rows of long-running sites with cover total, season rain and monthly maxima."""
+    return rounded(season_rows(spark, folder), "total_cover")
 
 
 @query(f"""WITH {READINGS}, {SEASONS}, {SURVEYS}, {_COLLAPSED},
@@ -259,28 +280,34 @@ def cover_growth_frame(spark: SparkSession, folder: str) -> DataFrame:
 _INTERACTION_EXCLUDED = ["3", "7"]
 
 
-@query(f"""WITH {READINGS}, {WATER}, {WINTERS}, {SURVEYS}, {_COLLAPSED},
+def interaction_ctes(digits: int | None = None) -> str:
+    """SQL of the monthly interaction rows as ``interaction_frame``."""
+    mean_pr = "CASE WHEN count(pr) = count(*) THEN sum(pr) / count(*) / 10 END"
+    mean_srad = "avg(srad)"
+    if digits is not None:
+        mean_pr, mean_srad = f"round({mean_pr}, 9)", f"round({mean_srad}, 9)"
+    return f"""{READINGS}, {WATER}, {WINTERS}, {SURVEYS}, {_COLLAPSED},
 joined AS (SELECT c.*, a.water_year_pr / 10 AS water_year_pr, w.coldest FROM collapsed c
            LEFT JOIN water a ON c.site = a.site AND c.year = a.year
            LEFT JOIN winters w ON c.site = w.site AND c.year = w.year),
 kept AS (SELECT * FROM joined WHERE site IN (SELECT site FROM collapsed GROUP BY site HAVING count(*) >= 5)
          AND water_year_pr IS NOT NULL AND coldest IS NOT NULL),
-lagged AS (SELECT *, {_growth_columns(2)} FROM kept WINDOW w AS (PARTITION BY site ORDER BY year)),
+lagged AS (SELECT *, {_growth_columns(2, digits)} FROM kept WINDOW w AS (PARTITION BY site ORDER BY year)),
 released AS (SELECT o_custkey AS site, CAST(min(year(o_orderdate)) AS INTEGER) AS release_year FROM orders GROUP BY 1),
-monthly AS (SELECT site, year, month, max(tmax) AS tmax, min(tmin) AS tmin,
-            round(CASE WHEN count(pr) = count(*) THEN sum(pr) / count(*) / 10 END, 9) AS mean_pr,
-            round(avg(srad), 9) AS mean_srad
-            FROM readings GROUP BY site, year, month)
-SELECT l.*, s.s_name AS site_name, s.s_nationkey AS county, r.release_year, m.month, m.tmax, m.tmin, m.mean_pr,
-       m.mean_srad, CAST(l.year - r.release_year AS DOUBLE) AS years_after_release
-FROM lagged l JOIN supplier s ON l.site = s.s_suppkey JOIN released r ON l.site = r.site
-JOIN monthly m ON l.site = m.site AND l.year = m.year
-WHERE l.site NOT IN (3, 7) AND m.mean_pr IS NOT NULL AND l.ln_stems_lag2 IS NOT NULL""")
-def interaction_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly rows of well-monitored sites with lags, metadata and years since release."""
+monthly AS (SELECT site, year, month, max(tmax) AS tmax, min(tmin) AS tmin, {mean_pr} AS mean_pr, {mean_srad} AS mean_srad
+            FROM readings GROUP BY site, year, month),
+interaction_frame AS (
+  SELECT l.*, s.s_name AS site_name, s.s_nationkey AS county, r.release_year, m.month, m.tmax, m.tmin, m.mean_pr,
+         m.mean_srad, CAST(l.year - r.release_year AS DOUBLE) AS years_after_release
+  FROM lagged l JOIN supplier s ON l.site = s.s_suppkey JOIN released r ON l.site = r.site
+  JOIN monthly m ON l.site = m.site AND l.year = m.year
+  WHERE l.site NOT IN (3, 7) AND m.mean_pr IS NOT NULL AND l.ln_stems_lag2 IS NOT NULL)"""
+
+
+def interaction_rows(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_parquet(spark, folder, "orders")
     releases = orders.select(F.col("o_custkey").alias("site"), F.year("o_orderdate").alias("release_year"))
-    frame = interaction_plan(
+    return interaction_plan(
         readings(spark, folder),
         surveys(spark, folder),
         sites(spark, folder),
@@ -288,4 +315,10 @@ def interaction_frame(spark: SparkSession, folder: str) -> DataFrame:
         MEASURES,
         PanelRules(lag_mode="observed", rain_scale=10.0, excluded_sites=_INTERACTION_EXCLUDED),
     )
+
+
+@query(f"WITH {interaction_ctes(6)} SELECT * FROM interaction_frame")
+def interaction_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly rows of well-monitored sites with lags, metadata and years since release."""
+    frame = interaction_rows(spark, folder)
     return rounded(rounded(frame, *_log_columns(frame)), "mean_pr", "mean_srad", digits=9)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitepanel.functions.scalars import coordinate_key
+from sitepanel.session import durable
 
 BROADCAST_ROWS = 100_000
 HOT_KEYS = 1_000
@@ -75,9 +76,15 @@ def coordinate_join(
     return matched.unionByName(unread, allowMissingColumns=True)
 
 
-def keep_members(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is in a derived key set."""
-    return rows.join(keys.select(*on), list(on), "left_semi")
+def keep_members(
+    rows: DataFrame, keys: DataFrame, on: Sequence[str], bound: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Rows whose key is in a derived key set.
+
+    The keys are materialised first: a set within ``bound`` is then broadcast and
+    the rows are not shuffled at all.
+    """
+    return lookup_join(rows, durable(keys.select(*on).distinct()), on, "left_semi", bound)
 
 
 def drop_members(rows: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

@@ -82,12 +82,18 @@ def year_grid(df: DataFrame, site: str, first: int, last: int, year: str = "year
 def monitoring_matrix(
     rows: DataFrame, site: str, year: str, seen: Column, first: int, last: int
 ) -> DataFrame:
-    """0/1 flag per row of a full join between the site by year grid and the surveys.
+    """0/1 flag for every survey and for every grid cell without one.
 
-    Surveys outside the year range stay; a grid cell without a survey gets 0.
+    The result is the full join of the site by year grid and the surveys:
+    surveys outside the year range stay, a grid cell without a survey gets 0.
+    The surveys are only projected, never shuffled; the empty cells follow from
+    the set of surveyed years per site, which is as short as the calendar.
     """
-    grid = year_grid(rows, site, first, last, year)
-    surveys = rows.select(site, year, seen.isNotNull().cast("int").alias("_seen"))
-    return grid.join(surveys, [site, year], "full").select(
-        site, year, F.coalesce(F.col("_seen"), F.lit(0)).alias("monitored")
+    surveys = rows.select(site, year, seen.isNotNull().cast("int").alias("monitored"))
+    grid = F.sequence(F.lit(first), F.lit(last))
+    empty = (
+        rows.groupBy(site)
+        .agg(F.collect_set(year).alias("_years"))
+        .select(site, F.explode(F.array_except(grid, F.col("_years"))).alias(year), F.lit(0).alias("monitored"))
     )
+    return surveys.unionByName(empty)

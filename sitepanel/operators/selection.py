@@ -29,6 +29,7 @@ cloudpickle.register_pickle_by_value(sitepanel)
 
 # 2^20 models; beyond it an all-subsets search is refused, not shortened.
 MOST_TERMS = 20
+SUBSETS_PER_TASK = 32
 
 _FITTED = (
     "subset long, rank int, theta double, log_lik double, aicc double, "
@@ -41,7 +42,7 @@ def allowed_subsets(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
     if len(terms) > MOST_TERMS:
         raise ValueError(f"all subsets of {len(terms)} terms: at most {MOST_TERMS} are searched")
     count = 1 << len(terms)
-    partitions = max(1, min(spark.sparkContext.defaultParallelism, count // 32))
+    partitions = max(1, min(spark.sparkContext.defaultParallelism, count // SUBSETS_PER_TASK))
     subsets = spark.range(0, count, 1, partitions).withColumnRenamed("id", "subset")
     for j, term in enumerate(terms):
         mains = [m for m in term.split(":") if m in terms]
@@ -51,7 +52,8 @@ def allowed_subsets(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
                 (F.col("subset").bitwiseAND(F.lit(1 << j)) == 0)
                 | (F.col("subset").bitwiseAND(F.lit(mask)) == mask)
             )
-    return subsets
+    # the rule thins some ranges of numbers far more than others
+    return subsets.repartition(partitions)
 
 
 def model_selection(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitepanel.operators import climate, mixed, moments, panel, reshape, selection
 from sitepanel.plans.rules import PanelRules
+from sitepanel.session import durable
 
 
 def growth_panel(
@@ -90,10 +91,13 @@ def growth_models(
 ) -> dict[str, DataFrame]:
     """The growth analysis: residual chain, then fit, selection and averaging per model.
 
-    Each model reads the frame once; everything else comes from its site moments.
+    The frame is computed once; each model reduces its own complete cases to site
+    moments and everything else comes from those.
     """
     catalogue = catalogue or {"vegetation": VEGETATION_TERMS, "full": FULL_TERMS}
-    spark = frame.sparkSession
+    used = {t for formula in catalogue.values() for t in moments.expand_terms(formula)}
+    columns = {c for t in used for c in t.split(":")} | {*DENSITY_TERMS, RESPONSE}
+    frame = durable(frame.select("site", *sorted(columns)))
     results = {
         "chain": mixed.residual_chain(
             frame, RESPONSE, DENSITY_TERMS, "site", DENSITY_TERMS[0], DENSITY_TERMS[1:], reml=True

@@ -73,6 +73,7 @@ def season_models(
     """
     seasons = [f"{s}_{rain}" for s in ("spring", "summer", "autumn", "winter")]
     maxima = [c for c in frame.columns if c.endswith("_max")]
+    frame = durable(frame.select("site", "total_cover", *responses, *seasons, *maxima))
     whole = mixed.fit_mixed(frame, "total_cover", seasons, "site", reml=False, na="fail")
     by_season = linear.fit_linear(frame, ["total_cover", *responses], seasons)
     by_month = linear.fit_linear(frame, responses, maxima)

@@ -21,6 +21,8 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # moment tables have up to a few hundred columns; keep them in generated code
+        .config("spark.sql.codegen.maxFields", "400")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
