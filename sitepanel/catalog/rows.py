@@ -41,6 +41,23 @@ def scan_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read_csv(spark, path, schemas.PLAIN_SITES)
 
 
+@query("""SELECT c_name AS site, TRY_CAST(c_mktsegment AS INTEGER) AS release_year,
+                 c_acctbal AS balance FROM customer""")
+def scan_csv_by_header(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns found by header text; one of them holds text where a number is declared."""
+    listed = tables.read_parquet(spark, folder, "customer").select(
+        F.col("c_nationkey").alias("unused"),
+        F.col("c_acctbal").alias("Acct.Bal"),
+        F.col("c_mktsegment").alias("ReleaseYear"),
+        F.col("c_name").alias("SITE_NAME"),
+    )
+    path = scratch_path(spark, "releases-csv")
+    tables.write_csv(listed, path)
+    return tables.read_csv_by_header(
+        spark, path, {**schemas.RELEASE_HEADERS, "Acct.Bal": ("balance", "double")}
+    )
+
+
 @query(f"""WITH {GAPPY_PANEL}
 SELECT site, stems, insects, year FROM gappy_panel WHERE year > 1996""")
 def panel_roundtrip(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,20 +33,18 @@ def with_lags(
     missing year should break the chain.
     """
     w = Window.partitionBy(site).orderBy(year)
-    added: dict[str, Column] = {}
-    for source, name in (logs or {}).items():
-        value = shifted_log(F.col(source))
-        added[name] = value
-        for k in range(1, depth + 1):
-            added[f"{name}_lag{k}"] = F.lag(value, k).over(w)
+    logs, raw, percent = dict(logs or {}), dict(raw or {}), dict(percent or {})
+    logged = panel.withColumns({name: shifted_log(F.col(c)) for c, name in logs.items()})
+    added: list[Column] = []
+    for name in logs.values():
+        added += [F.lag(name, k).over(w).alias(f"{name}_lag{k}") for k in range(1, depth + 1)]
         if name in growth:
-            added[f"growth_{name}"] = value - F.lag(value, 1).over(w)
-    for source, name in (raw or {}).items():
-        for k in range(1, depth + 1):
-            added[f"{name}_lag{k}"] = F.lag(source, k).over(w)
-    for source, name in (percent or {}).items():
-        added[name] = percent_change(F.col(source), F.lag(source, 1).over(w))
-    return panel.select("*", *[value.alias(name) for name, value in added.items()])
+            added.append((F.col(name) - F.lag(name, 1).over(w)).alias(f"growth_{name}"))
+    for source, name in raw.items():
+        added += [F.lag(source, k).over(w).alias(f"{name}_lag{k}") for k in range(1, depth + 1)]
+    for source, name in percent.items():
+        added.append(percent_change(F.col(source), F.lag(source, 1).over(w)).alias(name))
+    return logged.select("*", *added)
 
 
 def calendar_lags(

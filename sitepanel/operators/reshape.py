@@ -86,13 +86,15 @@ def monitoring_matrix(
 
     The result is the full join of the site by year grid and the surveys:
     surveys outside the year range stay, a grid cell without a survey gets 0.
-    The surveys are only projected, never shuffled; the empty cells follow from
-    the set of surveyed years per site, which is as short as the calendar.
+    The surveys are only projected; the empty cells follow from the distinct
+    survey years of each site, a list as short as the calendar.
     """
     surveys = rows.select(site, year, seen.isNotNull().cast("int").alias("monitored"))
     grid = F.sequence(F.lit(first), F.lit(last))
     empty = (
-        rows.groupBy(site)
+        rows.select(site, year)
+        .distinct()
+        .groupBy(site)
         .agg(F.collect_set(year).alias("_years"))
         .select(site, F.explode(F.array_except(grid, F.col("_years"))).alias(year), F.lit(0).alias("monitored"))
     )

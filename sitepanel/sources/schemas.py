@@ -40,3 +40,49 @@ DAILY_WEATHER = _schema(
 
 # Release events, several rows per site.
 RELEASES = _schema(site=_TEXT, release_year=_INT)
+
+# Files whose column order varies are bound by header: header text to (name, type).
+# Headers of the survey, weather and release files.
+SURVEY_HEADERS = {
+    "SITE_NAME": ("site", "string"),
+    "DATE": ("survey_date", "string"),
+    "YEAR": ("year", "int"),
+    "longitude": ("survey_lon", "double"),
+    "latitude": ("survey_lat", "double"),
+    "TargetWeed": ("target_weed", "double"),
+    "OtherWeed": ("other_weed", "double"),
+    "Forbs": ("forbs", "double"),
+    "Grass": ("grass", "double"),
+    "BareGround": ("bare_ground", "double"),
+    "Litter": ("litter", "double"),
+    "Moss": ("moss", "double"),
+    "NumStems": ("stems", "double"),
+    "HeightTall": ("height", "double"),
+    "Insects": ("insects", "double"),
+}
+WEATHER_HEADERS = {
+    "Longitude": ("lon", "double"),
+    "Latitude": ("lat", "double"),
+    "year": ("year", "int"),
+    "month": ("month", "int"),
+    "day": ("day", "int"),
+    "tmax": ("tmax", "double"),
+    "tmin": ("tmin", "double"),
+    "pr": ("pr", "double"),
+    "srad": ("srad", "double"),
+    "swe": ("swe", "double"),
+    "soil": ("soil", "double"),
+}
+RELEASE_HEADERS = {"SITE_NAME": ("site", "string"), "ReleaseYear": ("release_year", "int")}
+# Prefixes of the numbered replicate columns of a plot survey.
+REPLICATE_PREFIXES = {
+    "bare_ground": "B_GROUND",
+    "litter": "LITTER",
+    "moss": "MOSS",
+    "target_weed": "T_WEED",
+    "other_weed": "O_WEED",
+    "stems": "NU_STEM",
+    "forbs": "FORB",
+    "grass": "GRASS",
+    "insects": "INSECTS",
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitepanel.functions.nulls import nan_to_null
@@ -29,6 +30,19 @@ def read_csv(
     return nan_to_null(df.withColumnsRenamed(dict(renames or {})))
 
 
+def read_csv_by_header(
+    spark: SparkSession, path: str, headers: Mapping[str, tuple[str, str]]
+) -> DataFrame:
+    """CSV columns picked by header text, renamed and typed.
+
+    Other columns are ignored, whatever their order; text that does not fit the
+    type becomes NULL.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    picked = [F.col(f"`{header}`").try_cast(kind).alias(name) for header, (name, kind) in headers.items()]
+    return nan_to_null(raw.select(*picked))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

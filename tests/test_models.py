@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitepanel.operators import linear, mixed, selection
 from sitepanel.operators.moments import expand_terms, model_frame, site_moments
+from sitepanel.plans.interactions import WIDE_TERMS
 
 TERMS = ["x", "z", "x:z"]
 
@@ -226,6 +227,34 @@ def test_averages_of_all_models(df):
         assert row["conditional_average"] == pytest.approx(full / share)
 
 
+def test_allowed_subsets_match_brute_force(spark):
+    terms = expand_terms(WIDE_TERMS)
+    assert len(terms) == 13
+    want = set()
+    for subset in range(1 << len(terms)):
+        chosen = {t for j, t in enumerate(terms) if subset >> j & 1}
+        if all(set(t.split(":")) <= chosen for t in chosen if ":" in t):
+            want.add(subset)
+    assert {r[0] for r in selection.allowed_subsets(spark, terms).collect()} == want
+
+
+def test_wide_search_matches_direct_fits(spark, df):
+    """A search with two products against one fit per subset, both variance rules."""
+    terms = expand_terms(["x*z", "x*w"])
+    more = df.withColumn("w", F.sin(F.col("x") * 7))
+    moments = site_moments(model_frame(more, ["y"], terms, keep=["site"]), "site", [*terms, "y"])
+    for reml in (False, True):
+        table = selection.model_selection(moments, "y", terms, reml).collect()
+        # x, z, w free: 8; with x, each product needs its other factor: 13 in all
+        assert len(table) == 13
+        for row in table:
+            chosen = [t for j, t in enumerate(terms) if row["subset"] >> j & 1]
+            alone = mixed.fit_on_moments(moments, "y", chosen, reml)
+            assert (row["theta"], row["log_lik"]) == pytest.approx((alone.theta, alone.log_lik), rel=1e-9)
+            found = {t: b for t, b in zip(row["terms"], row["estimates"]) if b is not None}
+            assert found == pytest.approx(alone.estimates(), rel=1e-8)
+
+
 def test_too_many_terms_are_refused(spark):
     with pytest.raises(ValueError):
         selection.allowed_subsets(spark, [f"t{k}" for k in range(selection.MOST_TERMS + 1)])

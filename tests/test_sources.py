@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitepanel import session
+from sitepanel.functions.scalars import parse_day
 from sitepanel.sources import schemas, tables
 
 LINES = ["SITE NAME,Site Code,County,Lon.,Lat.,elev,rel yr", "A b,AB,Ada,-117.04,42.4,0,2004", "C,C1,,,,,"]
@@ -26,6 +27,16 @@ def test_renames_and_nan(spark, rows, tmp_path):
     assert rows(df) == [("A", None), ("B", 2.0)]
 
 
+def test_surveys_bind_by_header(spark, rows, tmp_path):
+    path = tmp_path / "surveys.csv"
+    names = list(schemas.SURVEY_HEADERS)[::-1]
+    values = {"SITE_NAME": "A", "DATE": "3/5/2014", "YEAR": "2014", "Grass": "n/a", "NumStems": "7"}
+    path.write_text("Extra.col," + ",".join(names) + "\nx," + ",".join(values.get(n, "") for n in names) + "\n")
+    df = tables.read_csv_by_header(spark, str(path), schemas.SURVEY_HEADERS)
+    day = parse_day(F.col("survey_date")).cast("string")
+    assert rows(df.select("site", "year", "grass", "stems", day)) == [("A", 2014, None, 7.0, "2014-03-05")]
+
+
 def test_panel_prunes_years(spark, tmp_path, capsys):
     df = spark.range(100).select(F.col("id").alias("site"), (2000 + F.col("id") % 5).cast("int").alias("year"))
     path = str(tmp_path / "panel")
