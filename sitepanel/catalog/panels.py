@@ -93,6 +93,14 @@ def complete_grid(spark: SparkSession, folder: str) -> DataFrame:
     return reshape.complete_years(frame, "site", "year", reshape.observed_years(frame))
 
 
+@query("""SELECT site, CAST(year AS INTEGER) AS year FROM (SELECT DISTINCT o_custkey AS site FROM orders),
+                 (SELECT unnest(generate_series(1996, 2003)) AS year)""")
+def site_year_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Every site with every year of a fixed range."""
+    orders = read_parquet(spark, folder, "orders").select(F.col("o_custkey").alias("site"))
+    return reshape.year_grid(orders, "site", 1996, 2003)
+
+
 def _lag_sql(table: str) -> str:
     return f"""SELECT site, year, round(ln(stems + 1), 6) AS ln_stems,
   round(lag(ln(stems + 1), 1) OVER w, 6) AS ln_stems_lag1, round(lag(ln(stems + 1), 2) OVER w, 6) AS ln_stems_lag2,
