@@ -65,7 +65,7 @@ def t_tail(t: str, df: str) -> str:
         f"list_sum(list_transform(range(0, 2001), lambda k: ({weight}) * pow(cos(k * {a} / 2000), {df} - 1)))"
         f" * {a} / 6000"
     )
-    return f"(1 - {integral} * 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()))"
+    return f"greatest(0.0, 1 - {integral} * 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()))"
 
 
 def mixed_ctes(
