@@ -4,7 +4,8 @@ Two neighbouring bytes that stand side by side inside no vocabulary token can
 never be merged, so the text is certain to be cut between them.  Words are cut
 there, the fragments are encoded on their own and the ids concatenated.  A
 fragment's ids depend on the fragment alone, which lets one memory per worker
-serve all texts; its size is bounded and has no effect on results.
+serve all texts.  It keeps the runs met lately, twice ``MEMORY`` at most, and has
+no effect on results.
 
 Defined results: a null text is encoded as the empty text; empty ids decode to
 the empty text; null ids decode to null; rows are kept as they are, repeated
@@ -29,7 +30,7 @@ from sitepanel.llm.registry import query
 from sitepanel.llm.store import documents
 
 WORD_END = "</w>"
-MEMORY = 500_000
+MEMORY = 80_000
 LONG_FRAGMENT = 48
 
 # Code points that the installed regex module counts as letters or
@@ -95,8 +96,8 @@ class WordBpe:
         for token, number in tokens.items():
             self.tokens[number] = token
         self.rare_capitals = regex.compile("[" + "".join(map(chr, self.small)) + "]")
-        self.memory: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def fragments(self, word: str) -> list[str]:
         """``word``, as byte letters, cut at every pair that no token holds."""
@@ -105,18 +106,11 @@ class WordBpe:
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
     def encode_word(self, word: str) -> bytes:
-        found = self.memory.get(word)
-        if found is None:
-            letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
-            *first, last = self.fragments(letters)
-            symbols = [s for f in first for s in self.merged(list(f))]
-            symbols += self.merged([*last[:-1], last[-1] + WORD_END])
-            found = np.array([self.ids[s] for s in symbols], dtype="<u4").tobytes()
-            if len(word) <= LONG_FRAGMENT:
-                if len(self.memory) >= MEMORY:
-                    self.memory.clear()
-                self.memory[word] = found
-        return found
+        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
+        *first, last = self.fragments(letters)
+        symbols = [s for f in first for s in self.merged(list(f))]
+        symbols += self.merged([*last[:-1], last[-1] + WORD_END])
+        return np.array([self.ids[s] for s in symbols], dtype="<u4").tobytes()
 
     def merged(self, symbols: list[str]) -> list[str]:
         """All merges by rank, the leftmost of equal rank first."""
@@ -169,18 +163,20 @@ class WordBpe:
                 # one letter is lowered at a time: a capital sigma has a single small form then
                 plain = plain.translate(self.small)
             plain = plain.lower()
-            get = self.chunks.get
+            get = self.recent.get
             # no word holds white space, so each run without it is encoded on its own
             runs = regex.split(r"\s+", plain) if SEPARATORS.search(plain) else plain.split()
             out += [get(r) or self.encode_run(r) for r in runs]
         return b"".join(out)
 
     def encode_run(self, run: str) -> bytes:
-        found = b"".join([self.encode_word(w) for w in self.word_pattern.findall(run)])
+        found = self.recent.get(run) or self.older.get(run)
+        if found is None:
+            found = b"".join([self.encode_word(w) for w in self.word_pattern.findall(run)])
         if len(run) <= LONG_FRAGMENT:
-            if len(self.chunks) >= MEMORY:
-                self.chunks.clear()
-            self.chunks[run] = found
+            if len(self.recent) >= MEMORY:
+                self.recent, self.older = {}, self.recent
+            self.recent[run] = found
         return found
 
     def decode(self, ids: bytes) -> str:
