@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from sitepanel.llm.registry import query
 from sitepanel.llm.store import documents
 
 WORD_END = "</w>"
-MEMORY = 80_000
+MEMORY = 250_000
 LONG_FRAGMENT = 48
 
 # Code points that the installed regex module counts as letters or
@@ -87,6 +89,8 @@ class WordBpe:
             words = words.replace(rf"[{kind}]", rf"[{kind}--[{newer}]]")
         words = words.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{NOT_LETTERS}{NOT_DIGITS}]]")
         self.word_pattern = regex.compile(words, regex.V1)
+        # the same for lower-cased ASCII runs, where only a-z are letters
+        self.ascii_pattern = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.small = {0x3A3: 0x3C3} | {c: c + d for a, b, d in NEW_CAPITALS for c in range(a, b + 1)}
         self.letters = byte_letters()
         inside = {t[k - 1 : k + 1] for t in (x.removesuffix(WORD_END) for x in self.ids) for k in range(1, len(t))}
@@ -172,7 +176,11 @@ class WordBpe:
     def encode_run(self, run: str) -> bytes:
         found = self.recent.get(run) or self.older.get(run)
         if found is None:
-            found = b"".join([self.encode_word(w) for w in self.word_pattern.findall(run)])
+            words = (self.ascii_pattern if run.isascii() else self.word_pattern).findall(run)
+            if words == [run]:
+                found = self.encode_word(run)
+            else:
+                found = b"".join([self.recent.get(w) or self.encode_run(w) for w in words])
         if len(run) <= LONG_FRAGMENT:
             if len(self.recent) >= MEMORY:
                 self.recent, self.older = {}, self.recent
@@ -219,10 +227,25 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def recoded(docs: DataFrame, vocabulary: str, slice_rows: int = 256) -> DataFrame:
+    """``doc_id ids decoded`` in one pass; a worker holds the results of ``slice_rows`` texts at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
+                ids = [coder.encode(t or "") for t in part.column("text").to_pylist()]
+                texts = pa.array([coder.decode(i) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), texts], names=["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+
+
 def coded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per row: doc_id, token count and the digests of ids and decoded text."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    return both.select(
+    return recoded(docs, vocabulary).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
