@@ -144,15 +144,18 @@ def plan_mix(
     sources = spark.createDataFrame(rows, SOURCE_SCHEMA)
     before = W.partitionBy("_name").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = buckets.select("_name", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
-    offsets = offsets.join(sources, offsets["_name"].eqNullSafe(sources["_name"])).drop("_name")
     ranks = sources.select("_name", F.col("rank").alias("_rank"))
+    offsets = offsets.join(ranks, offsets["_name"].eqNullSafe(ranks["_name"]))
+    offsets = offsets.select(F.col("_rank").alias("_of"), F.col("_bucket").alias("_key"), "_offset")
     inside = W.partitionBy("_rank", "_bucket").orderBy("_hash").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.drop("rank", "start", "spans", "source_size", "target")
     placed = placed.join(ranks, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     placed = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    offsets = offsets.withColumnsRenamed({"_bucket": "_key", "last": "_last", "block": "_block", "blocks": "_blocks", "words": "_words"})
-    offsets = offsets.withColumnsRenamed({"times": "_times", "shift": "_shift", "last_at": "_last_at"})
-    joined = placed.join(offsets, (F.col("_rank") == F.col("rank")) & (F.col("_bucket") == F.col("_key")))
+    joined = placed.join(offsets, (F.col("_rank") == F.col("_of")) & (F.col("_bucket") == F.col("_key")))
+    about = sources.drop("_name").withColumnsRenamed(
+        {"last": "_last", "block": "_block", "blocks": "_blocks", "words": "_words", "times": "_times", "shift": "_shift", "last_at": "_last_at"}
+    )
+    joined = joined.join(about, F.col("_rank") == F.col("rank"))
     joined = joined.withColumn("start", F.col("_offset") + F.col("_inside")).withColumn("spans", _spans())
     kept = [c for c in docs.columns if c not in ("rank", "start", "spans", "size", "source_size", "target")]
     return joined.select(*kept, "rank", "start", "size", "source_size", "target", "spans"), rows
