@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing the modules registers them."""
 
-from sitepanel.llm import bpe, contextmix, langid, lengths, mixing, neardup, toxicity, vafile  # noqa: F401
+from sitepanel.llm import bpe, contextmix, langid, lengths, mixing, neardup, simhash, toxicity, vafile  # noqa: F401
 from sitepanel.llm.registry import ORACLES, QUERIES  # noqa: F401
