@@ -9,10 +9,12 @@ texts, are at least 75 % alike.
 Buckets are not paired off.  First every member is compared with the bucket's
 hub, the member that meets most others over all bands; these links are
 verified and give components.  Only where members of one bucket are still in
-different components are pairs looked for again, sketch against sketch in
-blocks of bounded size, hub aside, and only pairs that join two components and
-look alike are verified.  So a group of many copies costs about a comparison a
-member, and no link between different components is lost.
+different components are pairs looked for again.  There the shingles that a
+member alone has bound what it can share with anyone, exactly, and most strays
+drop out; the others are compared sketch against sketch in blocks of bounded
+size, and only pairs that join two components and look alike are verified.  So
+a group of many copies costs about a comparison a member, and no link between
+different components is lost.
 
 Bands: with 32 bands of 4 registers a pair of similarity 0.75 shares no band
 with probability 5e-6; the estimate's floor lies 4 standard errors below 0.75.
@@ -141,39 +143,84 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def pairs_between(members: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs ``a b`` of one bucket and two components that look alike, by blocks of members."""
+def lone_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``id lone``: how many shingles of a class are in none of the other classes ``ids``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    texts = texts.join(ids, "id").dropDuplicates(["id"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for start, piece in in_pieces(list(x["text"])):
+                sets = shingle_sets(piece, words)
+                owner = np.repeat(x["id"].to_numpy()[start : start + len(piece)], [len(s) for s in sets])
+                yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64), "id": owner})
+
+    shingles = texts.mapInPandas(cut, "shingle long, id long")
+    lone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id")).filter("_n = 1")
+    return lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def mixed_buckets(named: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with the bucket's present size."""
+    kinds = named.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("component").alias("_low"), F.max("component").alias("_high")
+    )
+    return named.drop("size").join(kinds.filter("_low != _high").select("key", "size"), "key")
+
+
+def pairs_between(
+    members: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, docs: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Untried pairs ``a b`` of one bucket and two components that look alike, by blocks of members.
+
+    A class shares at most its shingles that are not its own alone; where too
+    few are left for ``percent`` % with anyone, it takes no further part.
+    """
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     # the hub has been compared with all: a bucket of two holds nothing new
-    rows = named.filter("size > 2").join(mixed.filter("_low != _high").select("key"), "key")
+    rows = durable(mixed_buckets(named.filter("size > 2")))
+    about = classes.select("id", "n_shingles", "sketch").join(rows.select("id").distinct(), "id")
+    lone = lone_shingles(about.select("id"), docs, words)
+    about = about.join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    about = durable(about.filter(F.expr(f"100 * (n_shingles - lone) >= {percent} * n_shingles")))
+    rows = mixed_buckets(rows.join(about.select("id"), "id"))
     rows = rows.withColumn("_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_other"))
-    rows = rows.join(classes.select("id", "n_shingles", "sketch"), "id")
+    rows = rows.join(about, "id")
     rows = rows.select(
-        "key", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "_block", "id", "component", "n_shingles", "sketch"
+        "key", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "_block", "id", "component", "n_shingles", "lone", "sketch"
     )
 
     def look(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        left, right = x[x["_block"] == i].sort_values("id"), x[x["_block"] == j].sort_values("id")
-        a, b = registers(left["sketch"]), registers(right["sketch"])
-        out = []
-        for k in range(len(left)):
-            one = left.iloc[k]
-            n, m = float(one["n_shingles"]), right["n_shingles"].to_numpy(float)
-            go = (right["component"].to_numpy() != one["component"]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+        x = x.sort_values("id")
+        left, right = (np.flatnonzero(x["_block"].to_numpy() == k) for k in (i, j))
+        r, ids, parts, n = registers(x["sketch"]), x["id"].to_numpy(), x["component"].to_numpy(), x["n_shingles"].to_numpy(float)
+        lone = x["lone"].to_numpy(float)
+        a, b = [], []
+        for at in range(0, len(left), 32):
+            p, q = left[at : at + 32, None], right[None, :]
+            most = np.minimum(n[p] - lone[p], n[q] - lone[q])  # in common
+            go = (parts[p] != parts[q]) & (most * 100 >= np.maximum(n[p] + lone[q], n[q] + lone[p]) * percent)
             if i == j:
-                go &= right["id"].to_numpy() > one["id"]
-            at = np.flatnonzero(go)
-            at = at[(b[at] == a[k]).mean(axis=1) >= floor(percent) - 0.05]
-            if len(at):
-                first = np.broadcast_to(a[k], (len(at), REGISTERS))
-                like = likeliest_jaccard(first, b[at], np.full(len(at), n), m[at]) >= floor(percent)
-                ids = right["id"].to_numpy()[at[like]]
-                out.append(pd.DataFrame({"a": np.minimum(ids, one["id"]), "b": np.maximum(ids, one["id"])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+                go &= ids[p] < ids[q]
+            if not go.any():
+                continue
+            ties = r[p[:, 0]][:, None, :] == r[right][None, :, :]
+            go &= ties.sum(axis=2) >= (floor(percent) - 0.05) * REGISTERS
+            # the first band that a pair shares is this one, or another bucket lists it
+            first, second = np.nonzero(go)
+            shared = ties[first, second, : BANDS * WIDTH].reshape(len(first), BANDS, WIDTH).all(axis=2)
+            mine = band_keys(r[p[:, 0]], BANDS, WIDTH)[first, np.argmax(shared, axis=1)] == key[0]
+            a.append(p[first[mine], 0])
+            b.append(right[second[mine]])
+        if not a or not sum(map(len, a)):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        a, b = np.concatenate(a), np.concatenate(b)
+        like = likeliest_jaccard(r[a], r[b], n[a], n[b]) >= floor(percent)
+        a, b = ids[a[like]], ids[b[like]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     found = rows.groupBy("key", "i", "j").applyInPandas(look, "a long, b long").distinct()
     return found.join(tried, ["a", "b"], "left_anti")
@@ -191,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     tried = durable(hub_pairs(members))
     links = durable(verified(durable(likely(tried, classes, percent)), docs, words, percent))
     labels = durable(components(links))
-    more = durable(pairs_between(members, classes, labels, tried, percent))
+    more = durable(pairs_between(members, classes, labels, tried, docs, words, percent))
     more = durable(verified(more, docs, words, percent))
     named = more.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
     named = named.join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
