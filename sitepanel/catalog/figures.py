@@ -10,6 +10,7 @@ from sitepanel.catalog.registry import GAPPY_PANEL, SITE_PANEL, gappy_panel, que
 from sitepanel.functions.normal import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_TAIL
 from sitepanel.operators import linear, plotdata, reshape
 from sitepanel.session import durable
+from sitepanel.sources.tables import read_parquet
 
 RESIDUALS = f"""{FRAME},
 line AS (SELECT regr_slope(response, stems_lag1) AS slope, regr_intercept(response, stems_lag1) AS intercept FROM frame),
@@ -51,6 +52,18 @@ def resid_hist(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(plotdata.histogram(residuals(spark, folder), "residual"), "low", "high", "density")
 
 
+@query("""WITH bins(bin, low, high) AS (VALUES (0, 0.0, 1.0), (1, 1.0, 10.0), (2, 10.0, 25.0), (3, 25.0, 60.0)),
+total AS (SELECT CAST(count(l_quantity) AS DOUBLE) AS n FROM lineitem)
+SELECT CAST(bin AS INTEGER) AS bin, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, count(l_quantity) AS count,
+       round(count(l_quantity) / (any_value(n) * any_value(high - low)), 9) AS density
+FROM bins CROSS JOIN total LEFT JOIN lineitem ON l_quantity <= high AND (l_quantity > low OR (bin = 0 AND l_quantity = 0))
+GROUP BY bin, low, high""")
+def hist_given_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Histogram on uneven breaks."""
+    rows = read_parquet(spark, folder, "lineitem").select("l_quantity")
+    return rounded(plotdata.histogram(rows, "l_quantity", [0, 1, 10, 25, 60]), "density", digits=9)
+
+
 @query(f"""WITH {RESIDUALS} SELECT site, year, round(fitted, 6) AS fitted, round(residual, 6) AS residual FROM scored""")
 def resid_vs_fitted(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(residuals(spark, folder), "fitted", "residual")
@@ -125,7 +138,10 @@ def resid_kde(spark: SparkSession, folder: str) -> DataFrame:
 _TREND = """count(*) AS n, round(regr_slope({y}, {x}), 9) AS slope, round(regr_intercept({y}, {x}), 9) AS intercept,
   round(regr_r2({y}, {x}), 9) AS r_squared, min({x}) AS x_min, max({x}) AS x_max,
   round(CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy({y}, {x}) - pow(regr_sxy({y}, {x}), 2)
-    / nullif(regr_sxx({y}, {x}), 0), 0) / ((count(*) - 2) * nullif(regr_sxx({y}, {x}), 0))) END, 9) AS slope_error"""
+    / nullif(regr_sxx({y}, {x}), 0), 0) / ((count(*) - 2) * nullif(regr_sxx({y}, {x}), 0))) END, 9) AS slope_error,
+  round(regr_avgx({y}, {x}), 9) AS x_mean, round(regr_sxx({y}, {x}), 9) AS sxx,
+  round(CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy({y}, {x}) - pow(regr_sxy({y}, {x}), 2)
+    / nullif(regr_sxx({y}, {x}), 0), 0) / (count(*) - 2)) END, 9) AS sigma"""
 
 
 @query(f"""WITH {SITE_PANEL} SELECT {_TREND.format(x='grass', y='stems')} FROM site_panel""")
@@ -133,7 +149,7 @@ def trend_line(spark: SparkSession, folder: str) -> DataFrame:
     """Least-squares line of one measure on another."""
     return rounded(
         plotdata.trend_line(site_panel(spark, folder), "grass", "stems"),
-        "slope", "intercept", "r_squared", "slope_error",
+        "slope", "intercept", "r_squared", "slope_error", "x_mean", "sxx", "sigma",
         digits=9,
     )
 
@@ -142,7 +158,7 @@ def trend_line(spark: SparkSession, folder: str) -> DataFrame:
 def trend_by_site(spark: SparkSession, folder: str) -> DataFrame:
     """One trend line per site."""
     table = plotdata.trend_line(site_panel(spark, folder), "year", "stems", ["site"])
-    return rounded(table, "slope", "intercept", "r_squared", "slope_error", digits=9)
+    return rounded(table, "slope", "intercept", "r_squared", "slope_error", "x_mean", "sxx", "sigma", digits=9)
 
 
 @query(f"""WITH {GAPPY_PANEL}

@@ -345,16 +345,24 @@ cells AS (SELECT c.w, t.k, t.term, e.b, e.se FROM chosen c CROSS JOIN names t
 means AS (SELECT k, term, count(b) AS models, sum(CASE WHEN b IS NOT NULL THEN w END) AS importance, sum(w * b) AS full_average
           FROM cells GROUP BY k, term)
 SELECT m.term, m.models, round(m.importance, 6) AS importance, round(full_average, 6) AS full_average,
-       round(sum(w * sqrt(coalesce(se, 0) ** 2 + (coalesce(b, 0) - full_average) ** 2)), 6) AS full_error,
+       round(sqrt(sum(w * (coalesce(se, 0) ** 2 + (coalesce(b, 0) - full_average) ** 2))), 6) AS full_error,
        round(full_average / importance, 6) AS conditional_average,
+       round(sqrt(sum(CASE WHEN b IS NOT NULL THEN w * (se ** 2 + (b - full_average / importance) ** 2) END) / importance), 6)
+         AS conditional_error,
+       round(sum(w * sqrt(coalesce(se, 0) ** 2 + (coalesce(b, 0) - full_average) ** 2)), 6) AS full_error_plain,
        round(sum(CASE WHEN b IS NOT NULL THEN w * sqrt(se ** 2 + (b - full_average / importance) ** 2) END) / importance, 6)
-         AS conditional_error
+         AS conditional_error_plain
 FROM means m JOIN cells c ON m.k = c.k WHERE models > 0 GROUP BY m.term, m.models, importance, full_average""")
 def model_average(spark: SparkSession, folder: str) -> DataFrame:
     """Coefficients averaged over the models within seven units of the best."""
-    table = selection.model_average(_selection(spark, folder), 7.0)
+    ranked = _selection(spark, folder)
+    plain = selection.model_average(ranked, 7.0, revised=False).select(
+        "term", F.col("full_error").alias("full_error_plain"), F.col("conditional_error").alias("conditional_error_plain")
+    )
+    table = selection.model_average(ranked, 7.0).join(plain, "term")
     return rounded(
-        table, "importance", "full_average", "full_error", "conditional_average", "conditional_error"
+        table, "importance", "full_average", "full_error", "conditional_average", "conditional_error",
+        "full_error_plain", "conditional_error_plain",
     )
 
 

@@ -93,6 +93,19 @@ def complete_grid(spark: SparkSession, folder: str) -> DataFrame:
     return reshape.complete_years(frame, "site", "year", reshape.observed_years(frame))
 
 
+@query("""WITH panel AS (SELECT o_custkey AS site, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(year(o_orderdate) AS INTEGER) END AS year,
+                      o_orderkey AS survey FROM orders),
+empty AS (SELECT site, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT site FROM panel), range(1997, 2000) t(y)
+          EXCEPT SELECT site, year FROM panel)
+SELECT site, year, survey FROM panel UNION ALL SELECT site, year, NULL FROM empty""")
+def complete_grid_outside(spark: SparkSession, folder: str) -> DataFrame:
+    """Completion to fewer years than the surveys have, with several surveys a year and some without a year."""
+    orders = read_parquet(spark, folder, "orders")
+    year = F.when(F.col("o_orderpriority") != "5-LOW", F.year("o_orderdate"))
+    frame = orders.select(F.col("o_custkey").alias("site"), year.alias("year"), F.col("o_orderkey").alias("survey"))
+    return reshape.complete_years(frame, "site", "year", [1997, 1998, 1999])
+
+
 @query("""SELECT site, CAST(year AS INTEGER) AS year FROM (SELECT DISTINCT o_custkey AS site FROM orders),
                  (SELECT unnest(generate_series(1996, 2003)) AS year)""")
 def site_year_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -259,8 +272,12 @@ def season_cover_frame(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {READINGS}, {SEASONS}, {SURVEYS}, {_COLLAPSED},
-joined AS (SELECT c.site, c.year, c.target_weed, c.grass, s.winter_pr, s.spring_pr, s.summer_pr, s.autumn_pr
-           FROM collapsed c JOIN (SELECT * FROM seasons WHERE {_ALL_SEASONS}) s ON c.site = s.site AND c.year = s.year),
+maxima AS (SELECT site, year, {_MAXIMA_SQL} FROM readings GROUP BY site, year
+           HAVING count(CASE WHEN month = 1 THEN 1 END) > 0),
+joined AS (SELECT c.*, s.winter_pr, s.spring_pr, s.summer_pr, s.autumn_pr, {", ".join(f"{n}_max" for n in _MONTHS.values())}
+           FROM collapsed c JOIN (SELECT * FROM seasons WHERE {_ALL_SEASONS}) s ON c.site = s.site AND c.year = s.year
+           LEFT JOIN maxima m ON c.site = m.site AND c.year = m.year
+           WHERE COLUMNS(c.*) IS NOT NULL),
 changed AS (SELECT *, (target_weed - lag(target_weed) OVER w) / (lag(target_weed) OVER w + 1) * 100 AS target_weed_change,
                    (grass - lag(grass) OVER w) / (lag(grass) OVER w + 1) * 100 AS grass_change
             FROM joined WINDOW w AS (PARTITION BY site ORDER BY year))
@@ -268,7 +285,7 @@ SELECT site, year, round(target_weed_change, 5) AS target_weed_change, round(gra
        round(CASE WHEN target_weed_change + 92 > 0 THEN ln(target_weed_change + 92) END, 5) AS ln_target_weed_change,
        round(CASE WHEN grass_change + 92 > 0 THEN ln(grass_change + 92) END, 5) AS ln_grass_change,
        round(ln(spring_pr + 92), 6) AS ln_spring_pr, round(ln(winter_pr + 92), 6) AS ln_winter_pr
-FROM changed WHERE target_weed_change IS NOT NULL AND grass_change IS NOT NULL""")
+FROM changed WHERE COLUMNS(*) IS NOT NULL""")
 def cover_growth_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Percent change of cover with the shifted logs its models use."""
     rows = reshape.collapse(surveys(spark, folder), ["site", "year"], MEASURES, "min")
@@ -298,18 +315,18 @@ def interaction_ctes(digits: int | None = None) -> str:
 joined AS (SELECT c.*, a.water_year_pr / 10 AS water_year_pr, w.coldest FROM collapsed c
            LEFT JOIN water a ON c.site = a.site AND c.year = a.year
            LEFT JOIN winters w ON c.site = w.site AND c.year = w.year),
-kept AS (SELECT * FROM joined WHERE site IN (SELECT site FROM collapsed GROUP BY site HAVING count(*) >= 5)
-         AND water_year_pr IS NOT NULL AND coldest IS NOT NULL),
+kept AS (SELECT * FROM joined WHERE site IN (SELECT site FROM collapsed GROUP BY site HAVING count(*) >= 5)),
 lagged AS (SELECT *, {_growth_columns(2, digits)} FROM kept WINDOW w AS (PARTITION BY site ORDER BY year)),
 released AS (SELECT o_custkey AS site, CAST(min(year(o_orderdate)) AS INTEGER) AS release_year FROM orders GROUP BY 1),
 monthly AS (SELECT site, year, month, max(tmax) AS tmax, min(tmin) AS tmin, {mean_pr} AS mean_pr, {mean_srad} AS mean_srad
             FROM readings GROUP BY site, year, month),
-interaction_frame AS (
+fanned AS (
   SELECT l.*, s.s_name AS site_name, s.s_nationkey AS county, r.release_year, m.month, m.tmax, m.tmin, m.mean_pr,
          m.mean_srad, CAST(l.year - r.release_year AS DOUBLE) AS years_after_release
   FROM lagged l JOIN supplier s ON l.site = s.s_suppkey JOIN released r ON l.site = r.site
   JOIN monthly m ON l.site = m.site AND l.year = m.year
-  WHERE l.site NOT IN (3, 7) AND m.mean_pr IS NOT NULL AND l.ln_stems_lag2 IS NOT NULL)"""
+  WHERE l.site NOT IN (3, 7)),
+interaction_frame AS (SELECT * FROM fanned WHERE COLUMNS(*) IS NOT NULL)"""
 
 
 def interaction_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -100,7 +100,10 @@ _REPLICATES = """replicates AS (
          max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS q1,
          max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS q2,
          max(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS q3,
-         max(CASE WHEN l_linenumber = 4 THEN l_quantity END) AS q4
+         max(CASE WHEN l_linenumber = 4 THEN l_quantity END) AS q4,
+         max(CASE WHEN l_linenumber = 5 THEN l_quantity END) AS q5,
+         max(CASE WHEN l_linenumber = 6 THEN l_quantity END) AS q6,
+         max(CASE WHEN l_linenumber = 7 THEN l_quantity END) AS q7
   FROM lineitem GROUP BY l_orderkey)"""
 
 
@@ -109,26 +112,23 @@ def _replicates(spark: SparkSession, folder: str) -> DataFrame:
     return (
         tables.read_parquet(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("survey"))
-        .agg(*[F.max(F.when(F.col("l_linenumber") == k, F.col("l_quantity"))).alias(f"q{k}") for k in range(1, 5)])
+        .agg(*[F.max(F.when(F.col("l_linenumber") == k, F.col("l_quantity"))).alias(f"q{k}") for k in range(1, 8)])
     )
 
 
 @query(f"""WITH {_REPLICATES}
-SELECT survey, q1 + q2 + q3 + q4 AS total,
-       CASE WHEN q1 IS NOT NULL AND q2 IS NOT NULL AND q3 IS NOT NULL AND q4 IS NOT NULL
-            THEN least(q1, q2, q3, q4) END AS smallest
+SELECT survey, q1 + q2 + q3 + q4 + q5 + q6 + q7 AS total,
+       CASE WHEN q1 + q2 + q3 + q4 + q5 + q6 + q7 IS NOT NULL THEN least(q1, q2, q3, q4, q5, q6, q7) END AS smallest
 FROM replicates""")
 def row_sum_min(spark: SparkSession, folder: str) -> DataFrame:
-    cells = [F.col(f"q{k}") for k in range(1, 5)]
+    cells = [F.col(f"q{k}") for k in range(1, 8)]
     return _replicates(spark, folder).select(
         "survey", nulls.row_sum(cells).alias("total"), nulls.row_min(cells).alias("smallest")
     )
 
 
 @query(f"""WITH {_REPLICATES}
-SELECT survey, round((coalesce(q1, 0) + coalesce(q2, 0) + coalesce(q3, 0) + coalesce(q4, 0))
-       / nullif((q1 IS NOT NULL)::INT + (q2 IS NOT NULL)::INT + (q3 IS NOT NULL)::INT + (q4 IS NOT NULL)::INT, 0),
-       6) AS cover
+SELECT survey, round(list_avg([q1, q2, q3, q4, q5, q6, q7]), 6) AS cover
 FROM replicates""")
 def replicate_means(spark: SparkSession, folder: str) -> DataFrame:
     """Mean of the known replicates, found by name prefix and numeric type."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from sitepanel.session import durable
 
 BROADCAST_ROWS = 100_000
 HOT_KEYS = 1_000
+SALTS = 64
+SPLIT_JOINS = ("left", "inner", "left_semi", "left_anti")
 
 
 def row_count_within(df: DataFrame, bound: int) -> bool:
@@ -29,22 +33,35 @@ def lookup_join(
     """Join a large, possibly skewed row set to a lookup table.
 
     A lookup of at most ``bound`` rows is broadcast.  A larger one is joined in
-    two exact parts: keys that hold more than 1/HOT_KEYS of the rows (there can
-    be fewer than HOT_KEYS of them) are broadcast with their lookup rows, all
-    other keys go through an ordinary shuffle join.
+    parts: keys that hold more than 1/HOT_KEYS of the rows (there can be fewer
+    than HOT_KEYS of them) are broadcast with their lookup rows, or, if those are
+    more than ``bound`` themselves, joined by salted keys; rows without a key,
+    which match nothing, are not shuffled; all other keys go through an ordinary
+    shuffle join.  The result is the same either way.
     """
     on = list(on)
+    if how not in SPLIT_JOINS:
+        raise ValueError(f"{how!r} joins aren't supported, only {', '.join(SPLIT_JOINS)}")
     if row_count_within(lookup, bound):
         return rows.join(F.broadcast(lookup), on, how)
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
+    keyed = reduce(and_, [F.col(c).isNotNull() for c in on])
+    with_key, without = rows.where(keyed), rows.where(~keyed)
+    counts = durable(with_key.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = counts.where(F.col("_n") * HOT_KEYS > total).select(*on)
     hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
-    hot_rows = rows.join(F.broadcast(hot), on, "left_semi")
-    cold_rows = rows.join(F.broadcast(hot), on, "left_anti")
-    return hot_rows.join(F.broadcast(hot_lookup), on, how).unionByName(
-        cold_rows.join(lookup, on, how)
-    )
+    hot_rows = with_key.join(F.broadcast(hot), on, "left_semi")
+    cold_rows = with_key.join(F.broadcast(hot), on, "left_anti")
+    if row_count_within(hot_lookup, bound):
+        joined = hot_rows.join(F.broadcast(hot_lookup), on, how)
+    else:
+        salted = hot_rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int"))
+        spread = hot_lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    joined = joined.unionByName(cold_rows.join(lookup, on, how))
+    if how in ("left", "left_anti"):
+        joined = joined.unionByName(without, allowMissingColumns=True)
+    return joined
 
 
 def with_coordinate_keys(df: DataFrame, lon: str, lat: str) -> DataFrame:

@@ -26,11 +26,14 @@ from sitepanel.operators.moments import (
     expand_terms,
     model_frame,
     site_moments,
+    term_column,
 )
 
 # Search range of theta, in powers of ten, besides zero itself.
 THETA_GRID = np.concatenate([[0.0], 10.0 ** np.linspace(-6.0, 6.0, 49)])
 ZOOM_ROUNDS = 16
+WIDEST = 1e14  # beyond it a double can't tell the site variance from the whole
+EXACT = 1e-13
 
 VARIANCES = "component string, variance double, std_dev double"
 FIT = (
@@ -76,14 +79,26 @@ def profile(
     return log_lik, slope
 
 
+def is_exact(classes: SizeClasses, index: Sequence[int]) -> bool:
+    """Whether the terms leave nothing of the response, as with a constant one; no likelihood exists then."""
+    gram = classes.total[np.ix_(index, index)]
+    return not sweep(gram, len(index) - 1).rss[0, 0] > EXACT * gram[-1, -1]
+
+
 def best_theta(
     classes: SizeClasses, index: Sequence[int], reml: bool, grams: np.ndarray | None = None
 ) -> tuple[float, float]:
     """Maximise the profile likelihood: a grid that includes zero, then the root of the slope."""
+    if is_exact(classes, index):
+        return 0.0, math.nan
     log_lik, slope = profile(classes, index, THETA_GRID, reml, grams)
     best = int(np.argmax(log_lik))
     low = THETA_GRID[best] if slope[best] > 0 else THETA_GRID[max(best - 1, 0)]
     high = THETA_GRID[best] if slope[best] <= 0 else THETA_GRID[min(best + 1, len(THETA_GRID) - 1)]
+    if low == high and low > 0:
+        # still rising at the end of the grid: widen until the slope turns
+        while high < WIDEST and profile(classes, index, np.array([high]), reml)[1][0] > 0:
+            low, high = high, high * 100.0
     if low == high:
         return float(low), float(log_lik[best])
     for _ in range(ZOOM_ROUNDS):
@@ -118,6 +133,7 @@ class MixedFit:
         classes = self.moments.classes
         gram = pooled_grams(classes, np.array([self.theta]))[0][np.ix_(index, index)]
         self.swept = sweep(gram, len(index) - 1)
+        self._sum_of_weights, self._sum_of_response = float(gram[0, 0]), float(gram[0, -1])
         self.n = float(round(classes.total[0, 0]))
         self.sites = float(round(classes.weights.sum()))
         self.rank = len(self.swept.kept)
@@ -154,17 +170,29 @@ class MixedFit:
             )
         return self.spark.createDataFrame(rows, COEFFICIENTS)
 
-    def anova(self) -> DataFrame:
-        """Sequential tests in term order, given the estimated variance ratio."""
+    def anova(self, adjust_sigma: bool = False, intercept: bool = False) -> DataFrame:
+        """Sequential tests in term order, given the estimated variance ratio.
+
+        ``adjust_sigma`` divides by the residual variance rescaled by n/(n-p), as
+        is usual for single maximum-likelihood fits; ``intercept`` adds its line.
+        All terms are tested with the degrees of freedom inside sites.
+        """
+        factor = self.n / (self.n - self.rank) if adjust_sigma and not self.reml else 1.0
+        residual = self.var_resid * factor
         rows = []
+        if intercept:
+            level = self._sum_of_response / self._sum_of_weights + self.moments.shift[self.response]
+            ss = float(self._sum_of_weights * level**2)
+            f = ss / residual if residual else math.nan
+            rows.append((self.response, 0, "(Intercept)", 1.0, ss, ss, _number(f), f_upper(f, 1.0, self.df_within)))
         for j, term in enumerate(self.terms, start=1):
             ss = float(self.swept.drop[j, 0])
             if not math.isfinite(ss):
                 continue
-            f = ss / self.var_resid if self.var_resid else math.nan
+            f = ss / residual if residual else math.nan
             rows.append((self.response, j, term, 1.0, ss, ss, _number(f), f_upper(f, 1.0, self.df_within)))
         rows.append(
-            (self.response, len(self.terms) + 1, "Residuals", self.df_within, None, self.var_resid, None, None)
+            (self.response, len(self.terms) + 1, "Residuals", self.df_within, None, residual, None, None)
         )
         return self.spark.createDataFrame(rows, ANOVA)
 
@@ -180,7 +208,7 @@ class MixedFit:
         aicc = aicc_of(self.log_lik, k, self.n)
         row = (
             self.response, "REML" if self.reml else "ML", self.n, self.sites, self.rank, self.theta,
-            self.var_site, self.var_resid, self.log_lik, _number(aicc),
+            self.var_site, self.var_resid, _number(self.log_lik), _number(aicc),
         )
         return self.spark.createDataFrame([row], FIT)
 
@@ -189,10 +217,12 @@ class MixedFit:
         spread = self._total[0, 1:-1] @ self._centred[1:]
         var_fixed = (fixed - spread**2 / self.n) / (self.n - 1)
         whole = var_fixed + self.var_site + self.var_resid
+        if not whole > 0:
+            return math.nan, math.nan
         return float(var_fixed / whole), float((var_fixed + self.var_site) / whole)
 
     def r_squared(self) -> DataFrame:
-        return self.spark.createDataFrame([(self.response, *self.r_squared_values())], R_SQUARED)
+        return self.spark.createDataFrame([(self.response, *map(_number, self.r_squared_values()))], R_SQUARED)
 
     # Row-level results ------------------------------------------------------
 
@@ -225,7 +255,7 @@ class MixedFit:
         value = F.lit(estimates["(Intercept)"])
         for term in self.terms:
             if term in estimates:
-                value = value + F.lit(estimates[term]) * F.col(f"`{term}`")
+                value = value + F.lit(estimates[term]) * term_column(term)
         return value
 
     def with_fitted(self, fitted: str, residual: str) -> PooledMoments:
@@ -271,7 +301,7 @@ class MixedFit:
         shift = self.moments.shift
         w = [F.lit(1.0) - F.col("_k") * F.col("_sum0")]
         w += [
-            F.col(f"`{t}`") - F.lit(shift[t]) - F.col("_k") * F.col(f"_sum{j}")
+            term_column(t) - F.lit(shift[t]) - F.col("_k") * F.col(f"_sum{j}")
             for j, t in enumerate(self.terms, start=1)
         ]
         inverse = np.nan_to_num(self.swept.inverse)
@@ -359,6 +389,8 @@ def fit_pooled(
     classes = moments.classes
     if theta is None:
         theta, log_lik = best_theta(classes, index, reml)
+    elif is_exact(classes, index):
+        log_lik = math.nan
     else:
         log_lik = float(profile(classes, index, np.array([theta]), reml)[0][0])
     return MixedFit(spark, moments, response, terms, reml, theta, log_lik, site_table)

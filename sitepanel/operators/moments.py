@@ -10,8 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import combinations_with_replacement
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -62,10 +63,12 @@ def model_frame(
     """
     wanted = list(dict.fromkeys([*responses, *terms]))
     frame = df.select(*keep, *[term_column(t).alias(t) for t in wanted])
-    complete = durable(frame.dropna(how="any", subset=[f"`{t}`" for t in wanted]))
-    if na == "fail" and frame.count() != complete.count():
-        raise ValueError("rows with missing model values")
-    return complete
+    if na == "fail":
+        known = reduce(and_, [F.col(f"`{t}`").isNotNull() for t in wanted])
+        every, whole = frame.agg(F.count(F.lit(1)), F.count(F.when(known, F.lit(1)))).first()
+        if every != whole:
+            raise ValueError("rows with missing model values")
+    return durable(frame.dropna(how="any", subset=[f"`{t}`" for t in wanted]))
 
 
 def _pair(i: int, j: int) -> str:

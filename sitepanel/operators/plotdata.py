@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
+from statistics import NormalDist, median
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,37 +14,39 @@ from sitepanel.functions.numerics import pretty_breaks
 from sitepanel.session import durable
 
 DENSITY_POINTS = 512
+RUN = 100_000  # positions of one value that are unfolded together
 
 
 def histogram(df: DataFrame, column: str, breaks: Sequence[float] | None = None) -> DataFrame:
     """Counts and densities of right-closed bins, empty bins included.
 
-    Without ``breaks`` about log2(n) + 1 bins on round numbers are used.
+    Without ``breaks`` about log2(n) + 1 bins on round numbers are used.  Given
+    breaks may be uneven and must span the values.
     """
     x = F.col(column)
+    n, low, high = df.agg(F.count(x), F.min(x), F.max(x)).first()
     if breaks is None:
-        n, low, high = df.agg(F.count(x), F.min(x), F.max(x)).first()
         if not n:
             raise ValueError(f"no values in {column!r}")
         breaks = pretty_breaks(low, high, math.ceil(math.log2(n) + 1))
-    else:
-        n = df.agg(F.count(x)).first()[0]
-    first, width, bins = breaks[0], breaks[1] - breaks[0], len(breaks) - 1
-    # a value within 1e-7 of a bin width above an edge counts as on the edge
-    position = F.ceil((x - F.lit(first)) / F.lit(width) - F.lit(1e-7)).cast("int") - 1
+    breaks = sorted(float(b) for b in breaks)
+    widths = [b - a for a, b in zip(breaks, breaks[1:])]
+    # a value within 1e-7 of the median bin width above an edge counts as on the edge
+    fuzz = 1e-7 * median(widths)
+    if n and (low < breaks[0] - fuzz or high > breaks[-1] + fuzz):
+        raise ValueError(f"the breaks don't span {column!r}: {low} to {high}")
+    inner = F.array(*[F.lit(b + fuzz) for b in breaks[1:-1]]).cast("array<double>")
     counts = (
         df.where(x.isNotNull())
-        .groupBy(F.greatest(F.lit(0), F.least(F.lit(bins - 1), position)).alias("bin"))
+        .groupBy(F.size(F.filter(inner, lambda b: b < x)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    edges = df.sparkSession.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (F.lit(first) + F.col("id") * F.lit(width)).alias("low"),
-        (F.lit(first) + (F.col("id") + 1) * F.lit(width)).alias("high"),
+    edges = df.sparkSession.createDataFrame(
+        [(k, breaks[k], breaks[k + 1], w) for k, w in enumerate(widths)], "bin int, low double, high double, _width double"
     )
     count = F.coalesce(F.col("n"), F.lit(0).cast("long"))
     return edges.join(counts, "bin", "left").select(
-        "bin", "low", "high", count.alias("count"), (count / F.lit(n * width)).alias("density")
+        "bin", "low", "high", count.alias("count"), F.try_divide(count.cast("double"), F.lit(float(n)) * F.col("_width")).alias("density")
     )
 
 
@@ -118,9 +120,13 @@ def qq_points(df: DataFrame, column: str, points: int | None = None) -> DataFram
         F.col("_first") <= F.col("_last")
     )
     p = (F.col("position") - F.lit(offset)) / F.lit(m + 1 - 2 * offset)
-    return spread.select(
-        F.explode(F.sequence("_first", "_last")).alias("position"), F.col(column).alias("sample")
-    ).select("position", probit(p).alias("theoretical"), "sample")
+    # a value that fills many rows is cut into runs, which are dealt out before they are unfolded
+    starts = F.sequence(F.col("_first"), F.col("_last"), F.lit(RUN))
+    runs = spread.select(F.explode(starts).alias("_start"), "_last", F.col(column).alias("sample")).repartition("_start")
+    stop = F.least(F.col("_last"), F.col("_start") + F.lit(RUN - 1))
+    return runs.select(F.explode(F.sequence(F.col("_start"), stop)).alias("position"), "sample").select(
+        "position", probit(p).alias("theoretical"), "sample"
+    )
 
 
 def qq_line(df: DataFrame, column: str) -> DataFrame:
@@ -140,12 +146,16 @@ def density(df: DataFrame, column: str, points: int = DENSITY_POINTS) -> DataFra
 
     Each value is split linearly between its two neighbouring grid points, which
     leaves at most ``points`` masses; the kernel sum runs over those.  The
-    bandwidth is 0.9 min(sd, IQR/1.34) n^(-1/5).
+    bandwidth is 0.9 min(sd, IQR/1.34) n^(-1/5); where both are zero, as in a
+    constant column, the value's size takes their place, or else one.
     """
     x = F.col(column)
     n, low, high, sd = df.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x)).first()
+    if not n:
+        raise ValueError(f"no values in {column!r}")
+    sd = sd or 0.0
     q25, q75 = exact_quantiles(cumulative_counts(df, column), column, n, [0.25, 0.75])
-    spread = min(sd, (q75 - q25) / 1.34) or sd
+    spread = min(sd, (q75 - q25) / 1.34) or sd or abs(low) or 1.0
     width = 0.9 * spread * n ** -0.2
     first, last = low - 3 * width, high + 3 * width
     step = (last - first) / (points - 1)
@@ -207,10 +217,16 @@ def trend_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
         F.regr_r2(cy, cx).alias("r_squared"),
         F.min(cx).alias("x_min"),
         F.max(cx).alias("x_max"),
+        F.avg(cx).alias("_mean"),
         F.regr_sxx(cy, cx).alias("_sxx"),
         F.regr_syy(cy, cx).alias("_syy"),
         F.regr_sxy(cy, cx).alias("_sxy"),
     )
     left = F.col("_syy") - F.try_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx"))
     error = F.sqrt(F.try_divide(F.greatest(left, F.lit(0.0)), (F.col("n") - 2) * F.col("_sxx")))
-    return stats.withColumn("slope_error", F.when(F.col("n") > 2, error)).drop("_sxx", "_syy", "_sxy")
+    sigma = F.sqrt(F.try_divide(F.greatest(left, F.lit(0.0)), F.col("n") - 2))
+    return (
+        stats.withColumn("slope_error", F.when(F.col("n") > 2, error))
+        .withColumns({"x_mean": F.col("_mean"), "sxx": F.col("_sxx"), "sigma": F.when(F.col("n") > 2, sigma)})
+        .drop("_sxx", "_syy", "_sxy", "_mean")
+    )

@@ -49,27 +49,31 @@ def complete_years(
 ) -> DataFrame:
     """Add a row of NULLs for each year of ``years`` that a site misses.
 
-    ``panel`` has one row per site and year.  Each row emits itself and the
-    missing years up to the site's next row, so the grid needs one shuffle by
-    site and neither a cross join nor a join back.
+    Every row of ``panel`` stays: years outside ``years``, several rows of one
+    year, rows without a year (they fill no place of the grid).  Each row emits
+    itself and the missing years up to the site's next row, so the grid needs
+    one shuffle by site and neither a cross join nor a join back.
     """
-    w = Window.partitionBy(site).orderBy(year)
-    grid = F.array(*[F.lit(int(y)) for y in years])
+    w = Window.partitionBy(site).orderBy(F.col(year).asc_nulls_last())
+    grid = F.array(*[F.lit(int(y)).cast(panel.schema[year].dataType) for y in years])
     measures = [c for c in panel.columns if c not in (site, year)]
-    spans = panel.withColumn("_from", F.when(F.lag(year).over(w).isNotNull(), F.col(year))).withColumn(
-        "_until", F.lead(year).over(w)
-    )
-    emitted = F.filter(
+    own, after = F.col(year), F.col("_after")
+    placed = panel.withColumns({"_first": F.row_number().over(w) == 1, "_after": F.lead(year).over(w)})
+    missing = F.filter(
         grid,
-        lambda y: (F.col("_from").isNull() | (y >= F.col("_from")))
-        & (F.col("_until").isNull() | (y < F.col("_until"))),
+        lambda y: (F.col("_first") | (y > own)) & (own.isNull() | (y != own)) & (after.isNull() | (y < after)),
+    )
+    none = F.array().cast(f"array<{panel.schema[year].dataType.simpleString()}>")
+    missing = F.when(own.isNotNull() | F.col("_first"), missing).otherwise(none)
+    emitted = F.concat(
+        F.array(F.struct(own.alias("year"), F.lit(True).alias("own"))),
+        F.transform(missing, lambda y: F.struct(y.alias("year"), F.lit(False).alias("own"))),
     )
-    rows = spans.select("*", F.explode(emitted).alias("_year"))
-    own = F.col("_year") == F.col(year)
+    rows = placed.select("*", F.explode(emitted).alias("_cell"))
     return rows.select(
         site,
-        F.col("_year").alias(year),
-        *[F.when(own, F.col(m)).alias(m) for m in measures],
+        F.col("_cell.year").alias(year),
+        *[F.when(F.col("_cell.own"), F.col(m)).alias(m) for m in measures],
     )
 
 

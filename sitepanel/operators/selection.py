@@ -27,8 +27,8 @@ from sitepanel.session import durable
 # The fitting helpers travel with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sitepanel)
 
-# 2^20 models; beyond it an all-subsets search is refused, not shortened.
-MOST_TERMS = 20
+# A subset is the bits of a long.
+MOST_TERMS = 62
 SUBSETS_PER_TASK = 32
 
 _FITTED = (
@@ -129,11 +129,13 @@ def best_models(selection: DataFrame, count: int) -> DataFrame:
     return selection.orderBy("aicc", "subset").limit(count)
 
 
-def model_average(selection: DataFrame, delta: float) -> DataFrame:
+def model_average(selection: DataFrame, delta: float, revised: bool = True) -> DataFrame:
     """Weighted coefficients over the models within ``delta`` of the best.
 
     The full average counts an absent term as zero; the conditional one
-    averages over the models that contain the term.
+    averages over the models that contain the term.  Errors are the root of the
+    weighted mean of se^2 + (b - mean)^2, or with ``revised=False`` the weighted
+    mean of the roots.
     """
     chosen = selection.where(F.col("delta") < delta)
     mass = chosen.agg(F.sum("weight")).first()[0]
@@ -155,7 +157,10 @@ def model_average(selection: DataFrame, delta: float) -> DataFrame:
 
     def error(b, se, centre):
         gap = b - F.col(centre)
-        return F.sqrt(se * se + gap * gap)
+        return se * se + gap * gap if revised else F.sqrt(se * se + gap * gap)
+
+    def settled(mean):
+        return F.sqrt(mean) if revised else mean
 
     return (
         spread.groupBy("term")
@@ -163,9 +168,9 @@ def model_average(selection: DataFrame, delta: float) -> DataFrame:
             F.max("models").alias("models"),
             F.max("importance").alias("importance"),
             F.max("full_average").alias("full_average"),
-            F.sum(F.col("w") * error(full_b, full_se, "full_average")).alias("full_error"),
+            settled(F.sum(F.col("w") * error(full_b, full_se, "full_average"))).alias("full_error"),
             F.max("conditional_average").alias("conditional_average"),
-            (
+            settled(
                 F.sum(F.when(present, F.col("w") * error(F.col("b"), F.col("se"), "conditional_average")))
                 / F.max("importance")
             ).alias("conditional_error"),

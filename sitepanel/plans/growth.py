@@ -62,8 +62,10 @@ def panel_features(
     lags = {"logs": logs, "raw": {rain: "rain", "coldest": "coldest"}, "growth": list(logs.values())}
     if rules.lag_mode == "calendar":
         frame = reshape.complete_years(joined, "site", "year", years)
-    elif rules.lag_mode == "observed":
-        frame = panel.keep_well_monitored(joined, "site", rules.min_years).dropna(how="any")
+    elif rules.lag_mode in ("observed", "complete"):
+        frame = panel.keep_well_monitored(joined, "site", rules.min_years)
+        if rules.lag_mode == "complete":
+            frame = frame.dropna(how="any")
     else:
         raise ValueError(f"unknown lag mode {rules.lag_mode!r}")
     frame = panel.with_lags(frame, "site", "year", depth=depth, **lags)

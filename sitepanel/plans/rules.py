@@ -16,7 +16,8 @@ class PanelRules:
     min_year, max_year: exclusive cut-offs for incomplete water years.
     collapse: statistic that reduces several surveys of a site and year.
     lag_mode: "calendar" completes missing years first, "observed" lags the
-        previous complete row.
+        previous survey year, whole or not, "complete" drops incomplete rows
+        before it lags.
     min_years: survey years a site needs.
     min_span: years between a site's first and last survey.
     """

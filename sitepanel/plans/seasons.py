@@ -50,12 +50,11 @@ def season_cover_frame(
 def with_cover_growth(frame: DataFrame, cover: Sequence[str], rain: str = "pr") -> DataFrame:
     """Percent change of each cover class per site, with shifted logs for the models.
 
-    ``frame`` has one row per site and year.  Rows without a previous row are dropped.
+    ``frame`` has one row per site and year.  The change is from the previous
+    row, whole or not; then rows with any missing value are dropped.
     """
     percent = {c: f"{c}_change" for c in cover}
-    changed = panel.with_lags(frame, "site", "year", percent=percent).dropna(
-        how="any", subset=list(percent.values())
-    )
+    changed = panel.with_lags(frame, "site", "year", percent=percent).dropna(how="any")
     logs = {f"ln_{c}": shifted_log(F.col(c), LOG_SHIFT) for c in percent.values()}
     logs |= {
         f"ln_{s}_{rain}": shifted_log(F.col(f"{s}_{rain}"), LOG_SHIFT)

@@ -12,7 +12,8 @@ from sitepanel.functions.nulls import nan_to_null
 
 
 def read_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A Parquet table; NaN becomes NULL, as on every load."""
+    return nan_to_null(spark.read.parquet(f"{folder}/{table}.parquet"))
 
 
 def read_csv(
@@ -53,4 +54,4 @@ def write_panel(df: DataFrame, path: str, year: str = "year") -> None:
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return nan_to_null(spark.read.parquet(path))

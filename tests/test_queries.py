@@ -22,9 +22,5 @@ def test_query_matches_its_sql(spark, duck, name):
     assert compare(queries()[name](spark, FOLDER), duck.sql(oracle_sql()[name])) is None
 
 
-def test_only_the_widest_search_has_no_sql(spark):
-    assert set(queries()) - set(oracle_sql()) == {"wide_interaction_selection"}
-
-
 def test_entry_has_rows(spark):
     assert entry(spark).count() > 0
