@@ -17,6 +17,7 @@ from sitepanel.catalog.registry import (
     site_panel,
 )
 from sitepanel.operators import climate, linear, mixed, panel, selection
+from sitepanel.operators.joins import lookup_join
 from sitepanel.operators.moments import SiteMoments, expand_terms, model_frame, site_moments
 from sitepanel.sources.tables import read_parquet
 
@@ -287,7 +288,7 @@ def lmm_plots(spark: SparkSession, folder: str) -> DataFrame:
     balance = read_parquet(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") / 20000).alias("vigour")
     )
-    plots = read_parquet(spark, folder, "lineitem").join(balance, ["l_suppkey"]).select(
+    plots = lookup_join(read_parquet(spark, folder, "lineitem"), balance, ["l_suppkey"], "inner").select(
         F.col("l_suppkey").alias("site"),
         (F.col("l_extendedprice") / 10000 + F.col("vigour")).alias("cover"),
         (F.col("l_quantity") / 10).alias("density"),

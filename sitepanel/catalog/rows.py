@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sitepanel.catalog.registry import GAPPY_PANEL, READINGS, gappy_panel, query, readings, rounded
 from sitepanel.functions import nulls, scalars
 from sitepanel.operators import joins, panel, reshape
-from sitepanel.session import scratch_path
+from sitepanel.operators.joins import lookup_join
+from sitepanel.session import durable, scratch_path
 from sitepanel.sources import schemas, tables
 
 
@@ -288,7 +289,7 @@ def years_after_release(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.read_parquet(spark, folder, "orders").select(
         F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("survey"), F.year("o_orderdate").alias("year")
     )
-    released = rows.join(panel.earliest_release(rows, "site", "year"), ["site"])
+    released = lookup_join(rows, durable(panel.earliest_release(rows, "site", "year")), ["site"], "inner")
     return panel.years_after(released, "year", "release_year").select("survey", "years_after_release")
 
 

@@ -137,7 +137,7 @@ class MixedFit:
         self.n = float(round(classes.total[0, 0]))
         self.sites = float(round(classes.weights.sum()))
         self.rank = len(self.swept.kept)
-        self.var_resid = float(self.swept.rss[0, 0]) / (self.n - self.rank if self.reml else self.n)
+        self.var_resid = max(0.0, float(self.swept.rss[0, 0])) / (self.n - self.rank if self.reml else self.n)
         self.var_site = self.theta * self.var_resid
         self._total = classes.total[np.ix_(index, index)]
         self._centred = np.nan_to_num(self.swept.beta[:, 0])

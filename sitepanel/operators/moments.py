@@ -1,8 +1,8 @@
 """Moment tables: the only thing a model fit needs from the rows.
 
 A frame of any length is reduced once to sums of cross products, in total or
-per site.  Sums are taken about the column means, so large offsets do not
-cancel.  Column 0 is the constant one; its products give counts and sums.
+per site, by one aggregate and without being written.  They are about the
+column means, so large offsets do not cancel.  Column 0 is the constant one; its products give counts and sums.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def model_frame(
     keep: Sequence[str] = (),
     na: str = "omit",
 ) -> DataFrame:
-    """Complete cases of the model columns, with one column per term, computed once.
+    """Complete cases of the model columns, with one column per term; not computed before it is read.
 
     ``na="fail"`` raises if a row had to be left out.
     """
@@ -68,7 +68,7 @@ def model_frame(
         every, whole = frame.agg(F.count(F.lit(1)), F.count(F.when(known, F.lit(1)))).first()
         if every != whole:
             raise ValueError("rows with missing model values")
-    return durable(frame.dropna(how="any", subset=[f"`{t}`" for t in wanted]))
+    return frame.dropna(how="any", subset=[f"`{t}`" for t in wanted])
 
 
 def _pair(i: int, j: int) -> str:
@@ -79,13 +79,14 @@ def _pairs(size: int) -> list[tuple[int, int]]:
     return list(combinations_with_replacement(range(size), 2))
 
 
-def column_means(frame: DataFrame, names: Sequence[str]) -> dict[str, float]:
-    row = frame.agg(*[F.avg(f"`{n}`").alias(f"m{i}") for i, n in enumerate(names)]).first()
-    return {n: (row[i] or 0.0) for i, n in enumerate(names)}
-
-
-def _centred(names: Sequence[str], shift: dict[str, float]) -> list[Column]:
-    return [F.lit(1.0), *[F.col(f"`{n}`") - F.lit(shift[n]) for n in names]]
+def _one_pass(names: Sequence[str]) -> list[Column]:
+    """Count, means and co-moments of all columns: their partial states merge without cancellation."""
+    columns = [F.col(f"`{n}`") for n in names]
+    means = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns, start=1)]
+    spreads = [
+        F.covar_pop(columns[i - 1], columns[j - 1]).alias(f"c_{i}_{j}") for i, j in _pairs(len(names) + 1) if i > 0
+    ]
+    return [F.count(F.lit(1)).alias("n"), *means, *spreads]
 
 
 def _matrix(row, size: int, prefix: str = "s") -> np.ndarray:
@@ -109,11 +110,15 @@ class Moments:
 
 
 def total_moments(frame: DataFrame, names: Sequence[str]) -> Moments:
+    """Moments about the column means, from one aggregate over the rows."""
     names = list(names)
-    shift = column_means(frame, names)
-    z = _centred(names, shift)
-    sums = [F.sum(z[i] * z[j]).alias(_pair(i, j)) for i, j in _pairs(len(z))]
-    return Moments(names, shift, _matrix(frame.agg(*sums).first(), len(z)))
+    row = frame.agg(*_one_pass(names)).first()
+    total = np.zeros((len(names) + 1,) * 2)
+    total[0, 0] = row["n"]
+    for i, j in _pairs(len(names) + 1):
+        if i > 0:
+            total[i, j] = total[j, i] = row["n"] * (row[f"c_{i}_{j}"] or 0.0)
+    return Moments(names, {n: row[f"m{i}"] or 0.0 for i, n in enumerate(names, start=1)}, total)
 
 
 @dataclass
@@ -269,11 +274,20 @@ class SiteMoments:
 def site_moments(frame: DataFrame, site: str, names: Sequence[str]) -> SiteMoments:
     """Moments per site, materialised: fits, scores and chains all read this table.
 
-    The sums combine inside the map tasks, so a site that holds a large part of
-    the rows costs one partial row per task.
+    The rows are read once, for counts, means and co-moments, which combine
+    inside the map tasks: a site that holds a large part of the rows costs one
+    partial row per task.  The products about the means of all rows follow from
+    those, site by site.
     """
     names = list(names)
-    shift = column_means(frame, names)
-    z = _centred(names, shift)
-    sums = [F.sum(z[i] * z[j]).alias(_pair(i, j)) for i, j in _pairs(len(z))]
-    return SiteMoments(durable(frame.groupBy(site).agg(*sums)), site, names, shift)
+    per_site = durable(frame.groupBy(site).agg(*_one_pass(names)))
+    n = F.col("n").cast("double")
+    weighted = [F.sum(n * F.col(f"m{i}")).alias(f"m{i}") for i in range(1, len(names) + 1)]
+    row = per_site.agg(F.sum(n).alias("n"), *weighted).first()
+    shift = {name: (row[f"m{i}"] or 0.0) / (row["n"] or 1.0) for i, name in enumerate(names, start=1)}
+    gaps = [F.lit(1.0), *[F.col(f"m{i}") - F.lit(shift[name]) for i, name in enumerate(names, start=1)]]
+    products = [
+        (n * gaps[i] * gaps[j] + (n * F.col(f"c_{i}_{j}") if i > 0 else F.lit(0.0))).alias(_pair(i, j))
+        for i, j in _pairs(len(names) + 1)
+    ]
+    return SiteMoments(per_site.select(site, *products), site, names, shift)

@@ -85,7 +85,7 @@ def model_selection(
         gram = pooled_grams(classes, np.array([ratio]))[0][np.ix_(index, index)]
         swept = sweep(gram, len(index) - 1)
         rank = len(swept.kept)
-        variance = swept.rss[0, 0] / (n - rank if reml else n)
+        variance = max(0.0, float(swept.rss[0, 0])) / (n - rank if reml else n)
         beta, cov = raw_coefficients(swept, [terms[j] for j in chosen], shift, 0, shift[response])
         estimates: list[float | None] = [None] * (len(terms) + 1)
         errors: list[float | None] = [None] * (len(terms) + 1)

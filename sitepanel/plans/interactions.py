@@ -73,7 +73,8 @@ def interaction_models(
 ) -> dict[str, DataFrame]:
     """Fit, variance components, selection, averaging and effect lines of one interaction model."""
     terms = moments.expand_terms(formula)
-    complete = moments.model_frame(frame, [RESPONSE], terms, keep=["site"])
+    # read for the moments and for the ranges of the effect lines
+    complete = durable(moments.model_frame(frame, [RESPONSE], terms, keep=["site"]))
     table = moments.site_moments(complete, "site", [*terms, RESPONSE])
     fit = mixed.fit_on_moments(table, RESPONSE, terms, reml)
     chosen = selection.model_selection(table, RESPONSE, terms, reml)

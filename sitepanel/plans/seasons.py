@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitepanel.functions.nulls import row_sum
 from sitepanel.functions.scalars import shifted_log
 from sitepanel.operators import climate, linear, mixed, panel
-from sitepanel.operators.joins import keep_members
+from sitepanel.operators.joins import keep_members, lookup_join
 from sitepanel.plans.rules import COVER, PanelRules
 from sitepanel.session import durable
 
@@ -44,7 +44,9 @@ def season_cover_frame(
         features = climate.seasonal_totals(pieces, ["site"], rain, rules.winter_season).join(
             climate.monthly_maxima(pieces, ["site"], warm), ["site", "year"], "left"
         )
-    return rows.join(features, ["site", "year"], "inner").dropna(how="any", subset=rows.columns)
+    # a site and year may hold a large part of the surveys: no plain join with an aggregate
+    joined = lookup_join(rows, durable(features), ["site", "year"], "inner")
+    return joined.dropna(how="any", subset=rows.columns)
 
 
 def with_cover_growth(frame: DataFrame, cover: Sequence[str], rain: str = "pr") -> DataFrame:

@@ -33,24 +33,25 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting gets a temporary folder; a
-    cluster session without it gets None, so nothing is written to one machine.
+    Where it is unset, only a session whose driver is its one executor gets a
+    temporary folder, kept here and not in the session; any other gets None,
+    so nothing is written to one machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not _is_local(spark):
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
         return None
-    folder = tempfile.mkdtemp(prefix="sitepanel-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="sitepanel-")
+    return _OWN_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
