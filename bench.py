@@ -22,7 +22,8 @@ HEADLINE = [
     "min_monitored_years", "first_release_row", "cast_min", "complete_grid_lag", "observed_lag",
     "row_sum_min", "replicate_means", "lm_fit", "lm_multi_response", "lmm_fit_reml", "lmm_plots",
     "lmm_scored", "model_selection", "model_average", "residual_chain", "influence",
-    "resid_hist", "resid_qq", "resid_kde", "trend_by_site",
+    "resid_hist", "resid_qq", "resid_kde", "trend_by_site", "season_cover_models",
+    "month_cover_models", "wide_interaction_selection", "complete_grid_outside", "hist_given_breaks",
 ]
 
 
