@@ -232,6 +232,30 @@ def lmm_anova(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(table, "sum_sq", digits=4), "f_value", digits=3)
 
 
+@query(f"""WITH RECURSIVE {FRAME}, {_ML}, {names_cte(LABELS)},
+est AS (SELECT t.term, c.b, c.se * sqrt(v.n / (v.n - v.p)) AS se, v.n - v.g - v.p + 1 AS df
+        FROM coef c JOIN names t ON c.k = t.k, vars v)
+SELECT 'response' AS response, term, round(b, 6) AS estimate, round(se, 6) AS std_error, CAST(df AS DOUBLE) AS df,
+       round(b / se, 5) AS t_value, round({t_tail('(b / se)', 'df')}, 6) AS p_value FROM est""")
+def lmm_coefficients_ml(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixed effects of a maximum-likelihood fit with the residual variance rescaled by n/(n-p)."""
+    return _shown_mixed(_fit(spark, folder, reml=False).coefficients(adjust_sigma=True))
+
+
+@query(f"""WITH RECURSIVE {FRAME}, {_ML}, {names_cte(LABELS)},
+lines AS (SELECT s.step, t.term, s.v * s.v / d.v AS ss, s2 * n / (n - p) AS s2, n - g - p + 1 AS df
+  FROM w4 s JOIN best b ON s.theta = b.theta
+  JOIN w4 d ON d.theta = s.theta AND d.step = s.step AND d.i = s.step AND d.j = s.step
+  JOIN names t ON t.k = s.step, vars WHERE s.step BETWEEN 0 AND 3 AND s.i = s.step AND s.j = 4)
+SELECT 'response' AS response, CAST(step AS INTEGER) AS position, term, CAST(1 AS DOUBLE) AS df, round(ss, 4) AS sum_sq,
+       round(ss / s2, 3) AS f_value, round({t_tail('sqrt(ss / s2)', 'df')}, 5) AS p_value FROM lines
+UNION ALL SELECT 'response', 4, 'Residuals', CAST(n - g - p + 1 AS DOUBLE), NULL, NULL, NULL FROM vars""")
+def lmm_anova_ml(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequential tests of a maximum-likelihood fit, with the intercept's line and the rescaled variance."""
+    table = _fit(spark, folder, reml=False).anova(adjust_sigma=True, intercept=True).drop("mean_sq")
+    return rounded(rounded(rounded(table, "sum_sq", digits=4), "f_value", digits=3), "p_value", digits=5)
+
+
 @query(f"""WITH RECURSIVE {FRAME}, {_REML},
 spread AS (SELECT var_samp({fixed_part(TERMS)}) AS f FROM frame)
 SELECT 'response' AS response, round(f / (f + theta * s2 + s2), 6) AS r2_marginal,
@@ -430,9 +454,37 @@ def high_leverage(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(flagged.select("site", "year", "leverage"), "leverage")
 
 
+@query(f"""WITH RECURSIVE {FRAME}, {linear_ctes('frame', TERMS, ['response'])},
+wide AS (SELECT site, year, [1.0, stems_lag1, insects, rain] AS x FROM frame),
+hats AS (SELECT w.site, w.year, sum(-f.v * x[i + 1] * x[j + 1]) AS h
+         FROM wide w, swept f WHERE f.step = 4 AND f.i < 4 AND f.j < 4 GROUP BY w.site, w.year)
+SELECT site, year, round(h, 6) AS leverage, h > 8.0 / n AS high_leverage FROM hats, dims""")
+def fixed_leverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Leverage without a site effect: some rows lie above 2p/n, most below."""
+    rows = frame(spark, folder)
+    fit = mixed.fit_mixed(rows, "response", TERMS, "site", theta=0.0)
+    complete = model_frame(rows, ["response"], TERMS, keep=["site", "year"])
+    return rounded(fit.influence(complete).select("site", "year", "leverage", "high_leverage"), "leverage")
+
+
 _CROSSED = ["stems_lag1", "insects*rain"]
 
 
+@query(f"""WITH RECURSIVE {FRAME},
+{mixed_ctes('frame', 'site', ['stems_lag1', 'insects', 'rain', '(insects * rain)'], 'response', reml=False)},
+every AS (SELECT l.site, l.year, l.growth + c.c_acctbal / 5000 AS response, stems_lag1, insects, rain
+          FROM lagged l JOIN customer c ON l.site = c.c_custkey),
+scored AS (SELECT f.site, f.year, response,
+             CASE WHEN response IS NOT NULL THEN {fixed_part(['stems_lag1', 'insects', 'rain', '(insects * rain)'])} + u END AS fitted
+           FROM every f LEFT JOIN effects e ON f.site = e.site)
+SELECT site, year, round(fitted, 5) AS fitted, round(response - fitted, 5) AS residual FROM scored""")
+def lmm_scored_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """An interaction model scored on the rows as they came: those without a response keep NULL."""
+    rows = frame(spark, folder)
+    fit = mixed.fit_mixed(rows, "response", _CROSSED, "site")
+    return rounded(fit.score(rows).select("site", "year", "fitted", "residual"), "fitted", "residual", digits=5)
+
+
 @query(f"""WITH RECURSIVE {FRAME},
 {mixed_ctes('frame', 'site', ['stems_lag1', 'insects', 'rain', '(insects * rain)'], 'response', reml=False)},
 centre AS (SELECT avg(stems_lag1) AS s, avg(insects) AS i, min(rain) AS lo, max(rain) AS hi FROM frame),

@@ -96,6 +96,19 @@ def date_parse_parts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""SELECT l_returnflag AS flag, max(CASE WHEN l_discount > 0 THEN l_quantity END) AS most,
+       count(CASE WHEN l_discount > 0 THEN l_quantity END) AS known FROM lineitem GROUP BY 1""")
+def scan_parquet_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """A Parquet table with NaN in it: they are missing values once read."""
+    gaps = F.when(F.col("l_discount") > 0, F.col("l_quantity")).otherwise(F.lit(float("nan")))
+    path = scratch_path(spark, "gaps")
+    tables.write_panel(
+        tables.read_parquet(spark, folder, "lineitem").select("l_returnflag", F.year("l_shipdate").alias("year"), gaps.alias("x")), path
+    )
+    back = tables.read_panel(spark, path)
+    return back.groupBy(F.col("l_returnflag").alias("flag")).agg(F.max("x").alias("most"), F.count("x").alias("known"))
+
+
 _REPLICATES = """replicates AS (
   SELECT l_orderkey AS survey,
          max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS q1,
