@@ -15,6 +15,7 @@ from sitepanel.catalog.panels import (
     season_rows,
 )
 from sitepanel.catalog.registry import query, rounded
+from sitepanel.functions.calendar import MONTH_NAMES
 from sitepanel.operators import linear, mixed, selection
 from sitepanel.operators.moments import expand_terms, model_frame, site_moments
 from sitepanel.plans import growth, interactions
@@ -124,7 +125,7 @@ def growth_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 _SEASON_TERMS = ["spring_pr", "summer_pr", "autumn_pr", "winter_pr"]
 _COVER = ["target_weed", "other_weed", "forbs", "grass", "bare_ground"]
-_MONTH_TERMS = [f"{m}_max" for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()]
+_MONTH_TERMS = [f"{m}_max" for m in MONTH_NAMES]
 
 
 @query(f"""WITH RECURSIVE {season_ctes()}, {linear_ctes('season_frame', _SEASON_TERMS, ['total_cover', *_COVER])},
@@ -170,6 +171,41 @@ def interaction_average(spark: SparkSession, folder: str) -> DataFrame:
     return _shown_averages(selection.model_average(table, interactions.AVERAGED_WITHIN))
 
 
+_INSECT = expand_terms(interactions.INSECT_TERMS)
+_PLANT = expand_terms(interactions.PLANT_TERMS)
+_COLD = expand_terms(interactions.COLD_TERMS)
+
+
+@query(f"{_selection_sql(interaction_ctes(), 'interaction_frame', interactions.RESPONSE, _INSECT, reml=False)} {_RANKING}")
+def insect_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Allowed subsets of insects, rain and their product."""
+    return _shown_ranking(
+        _ranked(interaction_rows(spark, folder), interactions.RESPONSE, interactions.INSECT_TERMS, reml=False)
+    )
+
+
+@query(f"{_selection_sql(interaction_ctes(), 'interaction_frame', interactions.RESPONSE, _PLANT, reml=False)} {_RANKING}")
+def plant_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Subsets of last year's insects, rain and cold."""
+    return _shown_ranking(
+        _ranked(interaction_rows(spark, folder), interactions.RESPONSE, interactions.PLANT_TERMS, reml=False)
+    )
+
+
+@query(f"""WITH RECURSIVE {interaction_ctes()},
+{_complete('interaction_frame', [interactions.RESPONSE, *[t for t in _COLD if ':' not in t]])},
+{mixed_ctes('model_rows', 'site', [_sql_term(t) for t in _COLD], interactions.RESPONSE, reml=True)},
+{names_cte(['(Intercept)', *_COLD])}
+SELECT '{interactions.RESPONSE}' AS response, term, round(b, 5) AS estimate, round(se, 5) AS std_error
+FROM coef JOIN names USING (k)""")
+def cold_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    """The two-product model with the coldest day, by restricted likelihood."""
+    fit = mixed.fit_mixed(
+        interaction_rows(spark, folder), interactions.RESPONSE, interactions.COLD_TERMS, "site", reml=True
+    )
+    return rounded(fit.coefficients().drop("df", "t_value", "p_value"), "estimate", "std_error", digits=5)
+
+
 @query()
 def wide_interaction_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Allowed subsets of thirteen terms: thousands of models, too many for the oracle's SQL."""

@@ -16,6 +16,7 @@ from sitepanel.catalog.registry import (
     rounded,
     site_panel,
 )
+from sitepanel.functions.calendar import MONTH_NAMES
 from sitepanel.operators import climate, linear, mixed, panel, selection
 from sitepanel.operators.joins import lookup_join
 from sitepanel.operators.moments import SiteMoments, expand_terms, model_frame, site_moments
@@ -144,7 +145,7 @@ def lm_interaction(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(fit.coefficients())
 
 
-_MAXIMA = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_MAXIMA = list(MONTH_NAMES)
 _MAXIMA_SQL = ", ".join(f"max(CASE WHEN month = {m} THEN tmax END) AS {n}_max" for m, n in enumerate(_MAXIMA, 1))
 _MAXIMA_COLUMNS = [f"{n}_max" for n in _MAXIMA]
 _MANY = ["stems", "grass", "coldest"]
