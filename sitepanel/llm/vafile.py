@@ -209,8 +209,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, scale: int = 25
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) as e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
