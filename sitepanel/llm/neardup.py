@@ -45,6 +45,7 @@ PERCENT = 75
 BANDS, WIDTH = 32, 4
 FLOOR = 0.60
 BLOCK = 256
+STRAY_ROUNDS = 3
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -112,11 +113,14 @@ def floor(percent: int) -> float:
     return FLOOR * percent / PERCENT
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a b`` whose full sets are alike, formed anew from the whole texts."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id text`` of the classes ``ids``: all texts are dealt out once, the needed ones written."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    texts = durable(texts.join(needed, "id").dropDuplicates(["id"]))
+    return durable(texts.join(ids, "id").dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``a b`` whose full sets are alike, formed anew from the whole ``texts`` (id, text)."""
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("s")), texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,10 +147,8 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def lone_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``id lone``: how many shingles of a class are in none of the other classes ``ids``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    texts = texts.join(ids, "id").dropDuplicates(["id"])
+def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """``id lone``: how many shingles of a text are in none of the other ``texts`` (id, text)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -169,21 +171,25 @@ def mixed_buckets(named: DataFrame) -> DataFrame:
 
 
 def pairs_between(
-    members: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, docs: DataFrame, words: int, percent: int
+    members: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, words: int, percent: int
 ) -> DataFrame:
     """Untried pairs ``a b`` of one bucket and two components that look alike, by blocks of members.
 
     A class shares at most its shingles that are not its own alone; where too
-    few are left for ``percent`` % with anyone, it takes no further part.
+    few are left for ``percent`` % with anyone, it takes no further part.  What
+    it had in common with others like it is then theirs alone, so this is done
+    ``STRAY_ROUNDS`` times.
     """
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # the hub has been compared with all: a bucket of two holds nothing new
     rows = durable(mixed_buckets(named.filter("size > 2")))
     about = classes.select("id", "n_shingles", "sketch").join(rows.select("id").distinct(), "id")
-    lone = lone_shingles(about.select("id"), docs, words)
-    about = about.join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-    about = durable(about.filter(F.expr(f"100 * (n_shingles - lone) >= {percent} * n_shingles")))
-    rows = mixed_buckets(rows.join(about.select("id"), "id"))
+    for _ in range(STRAY_ROUNDS):
+        lone = lone_shingles(texts.join(about.select("id"), "id"), words)
+        counted = about.drop("lone").join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        about = counted.filter(F.expr(f"100 * (n_shingles - lone) >= {percent} * n_shingles"))
+        rows = durable(mixed_buckets(rows.join(about.select("id"), "id")))
+        about = durable(about.join(rows.select("id").distinct(), "id"))
     rows = rows.withColumn("_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_other"))
@@ -236,10 +242,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = durable(mine.select("id", "n_shingles", "sketch").dropDuplicates(["id", "n_shingles", "sketch"]))
     members = durable(bucket_members(classes))
     tried = durable(hub_pairs(members))
-    links = durable(verified(durable(likely(tried, classes, percent)), docs, words, percent))
+    texts = texts_of(docs, members.select("id").distinct())
+    links = durable(verified(durable(likely(tried, classes, percent)), texts, words, percent))
     labels = durable(components(links))
-    more = durable(pairs_between(members, classes, labels, tried, docs, words, percent))
-    more = durable(verified(more, docs, words, percent))
+    more = durable(pairs_between(members, classes, labels, tried, texts, words, percent))
+    more = durable(verified(more, texts, words, percent))
     named = more.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
     named = named.join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     over = durable(components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
@@ -256,11 +263,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 SQL = r"""
 with recursive words as materialized (
   select doc_id, list_filter(string_split_regex(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') as w
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
   from documents),
 sets as materialized (
   select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k + 4], ' ')) end) as s
+    else list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) end) as s
   from words),
 shingles as materialized (select doc_id, unnest(s) as x from sets),
 common as materialized (
