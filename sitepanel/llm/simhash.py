@@ -139,21 +139,30 @@ def following(keys: DataFrame, partitions: int) -> DataFrame:
     return chained.select("doc_id", "tie", "half", F.col("_next.doc_id").alias("next_id"), F.col("_next.tie").alias("next_tie"))
 
 
+def number(doc_id: str) -> Column:
+    """A doc_id that isn't null; the tie tells a null from the number in its place."""
+    return F.coalesce(F.col(doc_id), F.lit(-(1 << 63)))
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next``."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("tie", F.xxhash64("text")).withColumn("n_chars", F.char_length("text").cast("long"))
-    thin = durable(docs.select("doc_id", "tie", F.expr("n_chars div 2").alias("half")).distinct())
+    # plain keys without nulls: one dealing out of the texts serves both joins
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("tie", F.xxhash64("text", F.col("doc_id").isNull()))
+    thin = docs.select("doc_id", "tie", F.expr("char_length(text) div 2").cast("long").alias("half")).distinct()
+    thin = durable(thin)
     spread = max(8, -(-thin.count() // EXCERPT_ROWS))
-    chain = durable(following(thin, spread))
-    key = [F.col("doc_id").alias("k_id"), F.col("tie").alias("k_tie")]
-    # the document itself, and what its predecessor takes from its beginning
-    wants = chain.select(F.col("next_id").alias("w_id"), F.col("next_tie").alias("w_tie"), F.col("doc_id").alias("for_id"), F.col("tie").alias("for_tie"), "half")
-    own = docs.dropDuplicates(["doc_id", "tie"])
-    heads = own.join(wants, own["doc_id"].eqNullSafe(wants["w_id"]) & (own["tie"] == wants["w_tie"]))
-    heads = heads.select("for_id", "for_tie", F.expr("substring(text, 1, cast(half as int))").alias("head"))
-    both = own.join(heads, own["doc_id"].eqNullSafe(heads["for_id"]) & (own["tie"] == heads["for_tie"]))
-    both = both.select(*key, "n_chars", "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), head)").alias("edited"))
+    chain = following(thin, spread)
+    chain = durable(chain.select("doc_id", number("doc_id").alias("k_id"), F.col("tie").alias("k_tie"), "half", number("next_id").alias("next_id"), "next_tie"))
+    own = docs.select(number("doc_id").alias("k_id"), F.col("tie").alias("k_tie"), "text")
+    # what the predecessor takes from the beginning of a document
+    wants = chain.select(F.col("next_id").alias("k_id"), F.col("next_tie").alias("k_tie"), F.col("k_id").alias("for_id"), F.col("k_tie").alias("for_tie"), "half")
+    heads = own.join(wants, ["k_id", "k_tie"])
+    heads = heads.select(F.col("for_id").alias("k_id"), F.col("for_tie").alias("k_tie"), F.expr("substring(text, 1, cast(half as int))").alias("head"))
+    heads = heads.groupBy("k_id", "k_tie").agg(F.first("head").alias("head"))
+    both = own.join(heads, ["k_id", "k_tie"])
+    length = F.char_length("text").cast("long")
+    both = both.select("k_id", "k_tie", length.alias("n_chars"), "text", F.expr("concat(substring(text, 1, cast(char_length(text) - char_length(text) div 2 as int)), head)").alias("edited"))
     digests = both.select("k_id", "k_tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
     two = digests.select(
         "k_id", "k_tie", "n_chars", "edited_sha256",
@@ -166,9 +175,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
             pick(0, "high").alias("high"), pick(0, "low").alias("low"), pick(1, "high").alias("e_high"), pick(1, "low").alias("e_low")
         )
     )
-    after = wide.select(F.col("k_id").alias("a_id"), F.col("k_tie").alias("a_tie"), F.col("high").alias("n_high"), F.col("low").alias("n_low"))
-    linked = wide.join(chain, wide["k_id"].eqNullSafe(chain["doc_id"]) & (wide["k_tie"] == chain["tie"]))
-    linked = linked.join(after, linked["next_id"].eqNullSafe(after["a_id"]) & (linked["next_tie"] == after["a_tie"]))
+    after = wide.select(F.col("k_id").alias("next_id"), F.col("k_tie").alias("next_tie"), F.col("high").alias("n_high"), F.col("low").alias("n_low"))
+    linked = wide.join(chain, ["k_id", "k_tie"]).join(after, ["next_id", "next_tie"])
     mine = (F.col("high"), F.col("low"))
     return linked.select(
         "doc_id",
