@@ -24,16 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written once as Parquet below the shared folder and read back.
 
     Lineage ends there, so a lost executor costs nothing that was written and
     several readers don't compute the frame again.  The folder may be emptied
-    when the results that were built on it are no longer read.
+    when the results that were built on it are no longer read.  ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
