@@ -1,7 +1,8 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a token that holds a run of at least ``LEAST`` key characters
-with a digit in it.  Its features are the length, the transitions between kinds
+A candidate is a run of key characters, of which a word may hold several: one of
+at least ``LEAST`` characters with a digit in it, or any that a credential's
+name is assigned to.  The name is looked for just before each run.  Its features are the length, the transitions between kinds
 of characters, the share of each kind and of different characters, how much of
 it is made of words of the corpus' dictionary, whether it looks like a path, an
 address or a number, and the words beside it.  The forest is trained on
@@ -39,6 +40,12 @@ SECRET_FROM = 0.5
 REDACTED = "[REDACTED]"
 BREAK = r"[\x20\x09-\x0D]"
 RUN = r"[A-Za-z0-9+/_=.\-]{12,}"
+# a run of key characters: an address, but not a password before a host, or else a run with its padding
+PIECE = (
+    r"(?<![:A-Za-z0-9+/_.%\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+    r"|[A-Za-z0-9+/_.\-]*[A-Za-z0-9+/_\-](?:={1,2}(?![A-Za-z0-9+/_.=\-]))?"
+)
+ASSIGNS = r"^[^,;&|?]*[=:][^,;&|?]*$"  # what may stand between a name and its value
 # fixed values: names that credentials are assigned to, and forms of providers' keys
 NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)"
 PROVIDERS = r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9a-zA-Z]{24}"
@@ -54,23 +61,56 @@ def candidates(docs: DataFrame) -> DataFrame:
     ``start`` is the value's first character, counted from 0; ``tie`` tells texts of one doc_id apart.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.filter(F.col("text").rlike(RUN)).dropDuplicates(["doc_id", "tie"])
-    rows = rows.withColumn("_words", F.split("text", BREAK))
+    named = lambda c: F.coalesce(c, F.lit("")).rlike(NAMES)
+    rows = rows.filter(F.col("text").rlike(RUN) | named(F.col("text"))).dropDuplicates(["doc_id", "tie"])
+    rows = rows.withColumn("_words", F.split("text", BREAK)).withColumn("_named", named(F.col("text")))
     shaped = lambda w: (F.length(w) >= LEAST) & w.rlike("[0-9]") & w.rlike(RUN)
-    places = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda k: shaped(F.get("_words", k)))
+
+    def credential(k: Column) -> Column:
+        """A credential's name is assigned something in the word, or the word begins with what it is assigned."""
+        word, last = F.get("_words", k), F.coalesce(F.get("_words", k - 1), F.lit(""))
+        near = F.concat_ws(" ", F.get("_words", k - 2), last)
+        return (word.rlike("[=:]") & (named(word) | (word.rlike(r"^[^A-Za-z0-9]*[=:]") & named(last)))) | (last.rlike("[=:]$") & named(near))
+
+    places = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda k: shaped(F.get("_words", k)) | (F.col("_named") & credential(k)))
     rows = rows.select("doc_id", "tie", "_words", F.explode(places).alias("place"))
     at = lambda k: F.coalesce(F.get("_words", F.col("place") + k), F.lit(""))
     before = F.aggregate(F.slice("_words", F.lit(1), F.col("place")), F.lit(0).cast("long"), lambda n, w: n + F.length(w) + 1)
     rows = rows.select(
         "doc_id", "tie", "place", before.alias("_before"), at(0).alias("word"), at(-1).alias("before"), at(-2).alias("before2"), at(1).alias("after")
     )
-    name = F.regexp_extract("word", r"^[^A-Za-z0-9]*([A-Za-z][A-Za-z_.\-]*[=:]+[\"']?)", 1)
-    bare = F.regexp_extract(F.expr("substring(word, length(_name) + 1)"), r"([A-Za-z0-9+/_=.\-@:]*[A-Za-z0-9+/_=\-])", 1)
-    rows = rows.withColumn("_name", name).withColumn("value", bare)
-    rows = rows.filter((F.length("value") >= LEAST) & F.col("value").rlike("[0-9]"))
+    # between the runs are the gaps, one more than there are runs
+    rows = rows.withColumn("_runs", F.regexp_extract_all("word", F.lit(PIECE), F.lit(0))).withColumn("_gaps", F.split("word", PIECE, -1))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<k:int,at:bigint>>)").alias("out"))
+    walked = F.aggregate(
+        F.sequence(F.lit(0), F.size("_runs") - 1),
+        first,
+        lambda a, k: F.struct(
+            (a["at"] + F.length(F.get("_gaps", k)) + F.length(F.get("_runs", k))).alias("at"),
+            F.concat(a["out"], F.array(F.struct(k.alias("k"), (a["at"] + F.length(F.get("_gaps", k))).alias("at")))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    rows = rows.filter(F.size("_runs") > 0).select("*", F.explode(walked).alias("_run"))
+    k = F.col("_run.k")
+    gap, last = F.get("_gaps", k), F.coalesce(F.get("_runs", k - 1), F.lit(""))
+    assigns = gap.rlike(ASSIGNS) & ((k == 0) | last.rlike("[A-Za-z]"))
+    rows = rows.withColumn("name", F.when(assigns, F.concat(last, gap)).otherwise("")).withColumn("value", F.get("_runs", k))
+    # the words around belong to the first run, or the first that has a name, and to the last one
+    lead = (k == 0) | ((k == 1) & assigns)
+    rows = rows.withColumns(
+        {
+            "before": F.when(lead, F.col("before")).otherwise(""),
+            "before2": F.when(lead, F.col("before2")).otherwise(""),
+            "after": F.when(k == F.size("_runs") - 1, F.col("after")).otherwise(""),
+        }
+    )
+    given = ((F.col("name") != "") | F.col("before").rlike("[=:]$")) & named(F.concat_ws(" ", "before2", "before", "name"))
+    # a word that is only a name is no value
+    given = given & ~F.coalesce(F.get("_gaps", k + 1).rlike(ASSIGNS), F.lit(False))
+    rows = rows.filter(((F.length("value") >= LEAST) & F.col("value").rlike("[0-9]")) | given)
     return rows.select(
-        "doc_id", "tie", "place", (F.col("_before") + F.expr("locate(value, word, length(_name) + 1)") - 1).alias("start"),
-        "value", "word", F.col("_name").alias("name"), "before", "before2", "after",
+        "doc_id", "tie", "place", (F.col("_before") + F.col("_run.at")).alias("start"), "value", "word", "name", "before", "before2", "after"
     )
 
 
@@ -83,11 +123,11 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
 
 def with_features(found: DataFrame, entries: DataFrame) -> DataFrame:
     """Candidates with the columns ``FEATURES``."""
-    key = ["doc_id", "tie", "place"]
+    key = ["doc_id", "tie", "start"]
     parts = found.select(*key, F.explode(F.expr(r"regexp_extract_all(lower(value), '[a-z]{3,}', 0)")).alias("entry"))
     covered = parts.join(F.broadcast(entries), "entry").groupBy(*key).agg(F.sum(F.length("entry")).alias("_covered"))
     covered = covered.select(*[F.col(k).alias(f"_{k}") for k in key], "_covered")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tie") == F.col("_tie")) & (F.col("place") == F.col("_place"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tie") == F.col("_tie")) & (F.col("start") == F.col("_start"))
     rows = found.join(covered, same, "left").drop(*[f"_{k}" for k in key])
     value, n = F.col("value"), F.length("value")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "l"), "[A-Z]", "U"), "[0-9]", "0"), "[^lU0]", "-")
@@ -98,7 +138,7 @@ def with_features(found: DataFrame, entries: DataFrame) -> DataFrame:
         {
             "n": n.cast("double"),
             "runs": runs.cast("double"),
-            "transitions": (runs - 1) / (n - 1),
+            "transitions": (runs - 1) / F.greatest(n - 1, F.lit(1)),
             "digits": count("0-9") / n,
             "capitals": count("A-Z") / n,
             "symbols": count(r"+/_=.@:\-") / n,
@@ -136,7 +176,7 @@ def sure_findings(featured: DataFrame) -> DataFrame:
 
 def fit_forest(labelled: DataFrame, most: int = FINDINGS, seed: int = 7):
     """A forest from featured findings with ``label``, at most ``most`` of them, half of either kind at most; None for one kind."""
-    order = F.xxhash64(F.lit(seed), "value", "doc_id", "place")
+    order = F.xxhash64(F.lit(seed), "value", "doc_id", "start")
     some = [labelled.filter(F.col("label") == k).orderBy(order).limit(most // 2).select("label", *FEATURES) for k in (0, 1)]
     sample = durable(some[0].unionByName(some[1]).withColumn("label", F.col("label").cast("double")))
     if sample.select("label").distinct().count() < 2:
@@ -163,16 +203,31 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = REDACTED) -> DataFrame:
-    """``docs`` with every secret's value replaced by ``mark``; ``n_chars``, if there, follows the text."""
+    """``docs`` with every secret's value replaced by ``mark``; ``n_chars``, if there, follows the text.
+
+    A value of ``LEAST`` characters and more is replaced wherever else the text holds it, too.
+    """
     wanted = findings.filter("secret").groupBy(F.col("doc_id").alias("_of"), F.col("tie").alias("_tie"))
-    wanted = wanted.agg(F.sort_array(F.collect_set(F.struct(-F.length("value"), "value"))).alias("_secrets"))  # longest first
+    wanted = wanted.agg(
+        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_places"),
+        F.sort_array(F.collect_set(F.when(F.length("value") >= LEAST, F.struct(-F.length("value"), "value")))).alias("_secrets"),  # longest first
+    )
     same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tie"))
-    rows = docs.join(wanted, same, "left")
-    clean = F.aggregate("_secrets", F.col("text").cast("string"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
-    rows = rows.withColumn("text", F.when(F.col("_secrets").isNotNull(), clean).otherwise(F.col("text")))
+    rows = docs.join(wanted, same, "left").withColumn("_whole", F.col("text").cast("string"))
+    # the text up to each place and the mark, then what is left
+    begun = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    cut = lambda first, n: F.substring(F.col("_whole"), (first + 1).cast("int"), n.cast("int"))
+    clean = F.aggregate(
+        "_places",
+        begun,
+        lambda a, s: F.struct((s["start"] + s["length"]).cast("long").alias("at"), F.concat(a["out"], cut(a["at"], s["start"] - a["at"]), F.lit(mark)).alias("out")),
+        lambda a: F.concat(a["out"], cut(a["at"], F.length("_whole"))),
+    )
+    clean = F.aggregate("_secrets", clean, lambda t, s: F.replace(t, s["value"], F.lit(mark)))
+    rows = rows.withColumn("text", F.when(F.col("_places").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col("_secrets").isNotNull(), length).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_places").isNotNull(), length).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

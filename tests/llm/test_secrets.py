@@ -77,3 +77,22 @@ def test_query_finds_the_planted_forms(spark):
     planted = {(i, m) for i, t in texts.items() for m in re.findall(r'AKIA[0-9A-Z]{16}|(?<=token = ")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}', t)}
     print(len(kept), len(planted), list(kept - planted)[:10])
     assert len(kept - planted) <= 0.1 * len(planted)
+
+
+def test_all_runs_of_a_word_are_candidates(spark):
+    texts = [
+        f'{{"api_key":"{HEX}","id":"{KEY}"}}', f'login("{KEY}")', f"x,{KEY}", f"https://a.example/cb?token={HEX}&user=me", f"日本{KEY}語",
+        "password=hunter now", '{"secret":"open-sesame"}', "postgres://me:s3cretpass99@db.example.com/x", "pwd : abc then", "token 12 more",
+    ]
+    found = candidates(frame(spark, list(enumerate(texts)))).collect()
+    by = {k: {r.value for r in found if r.doc_id == k} for k in range(len(texts))}
+    assert by[0] == {HEX, KEY} and by[1] == by[2] == by[4] == {KEY} and HEX in by[3]
+    assert by[5] == {"hunter"} and by[6] == {"open-sesame"} and "s3cretpass99" in by[7] and by[8] == {"abc"} and by[9] == set()
+    assert all(texts[r.doc_id][r.start :].startswith(r.value) for r in found)
+    assert {r.name for r in found if r.value == HEX} == {'api_key":"', "token="}
+
+
+def test_short_values_are_blanked_out_where_they_are(spark):
+    docs = frame(spark, [(1, f"pass the passkey: password=pass, x,{KEY};y,{KEY}")])
+    found = candidates(docs).withColumn("length", F.length("value")).withColumn("secret", F.lit(True))
+    assert redact(docs, found.filter("value != 'y'")).first().text == "pass the passkey: password=[REDACTED], x,[REDACTED];y,[REDACTED]"
