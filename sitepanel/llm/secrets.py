@@ -33,7 +33,8 @@ from sitepanel.llm.registry import query
 from sitepanel.llm.store import documents, durable
 
 LEAST = 12
-DICTIONARY = 20_000
+SHARE = 2e-6  # of the words of a language, from which on a word is in the dictionary
+SALTS = 16  # places that a part of candidates is dealt to, however common it is
 FINDINGS = 20_000  # most labelled findings to train on
 TREES, DEPTH = 24, 6
 SECRET_FROM = 0.5
@@ -114,18 +115,28 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
-    """``entry``: the commonest words of three letters and more."""
+def dictionary(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """``entry``: the words of three letters and more that are at least ``share`` of the words of a language.
+
+    Without a column ``lang`` all texts are of one language.
+    """
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     words = F.filter(F.split(F.lower(F.col("text").cast("string")), BREAK), lambda w: w.rlike(r"^\p{Ll}{3,}$"))
-    counts = docs.select(F.explode(words).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("c"))
-    return counts.orderBy(F.desc("c"), "entry").limit(most).select("entry")
+    counts = durable(docs.select(lang.alias("lang"), F.explode(words).alias("entry")).groupBy("lang", "entry").agg(F.count(F.lit(1)).alias("c")))
+    totals = counts.groupBy("lang").agg(F.sum("c").alias("n")).withColumnRenamed("lang", "_lang")  # a row per language
+    rows = counts.join(F.broadcast(totals), F.col("lang").eqNullSafe(F.col("_lang")))
+    return rows.filter(F.col("c") >= share * F.col("n")).select("entry").distinct()
 
 
 def with_features(found: DataFrame, entries: DataFrame) -> DataFrame:
     """Candidates with the columns ``FEATURES``."""
     key = ["doc_id", "tie", "start"]
     parts = found.select(*key, F.explode(F.expr(r"regexp_extract_all(lower(value), '[a-z]{3,}', 0)")).alias("entry"))
-    covered = parts.join(F.broadcast(entries), "entry").groupBy(*key).agg(F.sum(F.length("entry")).alias("_covered"))
+    # a part of many candidates goes to several places; of the dictionary only what candidates hold is sent along
+    known = parts.select("entry").distinct().join(entries, "entry", "left_semi")
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = parts.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+    covered = parts.join(known, ["entry", "_salt"]).groupBy(*key).agg(F.sum(F.length("entry")).alias("_covered"))
     covered = covered.select(*[F.col(k).alias(f"_{k}") for k in key], "_covered")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tie") == F.col("_tie")) & (F.col("start") == F.col("_start"))
     rows = found.join(covered, same, "left").drop(*[f"_{k}" for k in key])
@@ -186,7 +197,7 @@ def fit_forest(labelled: DataFrame, most: int = FINDINGS, seed: int = 7):
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``doc_id tie place start length value score secret``: all candidates of ``docs`` (doc_id, text).
+    """``doc_id tie place start length value score secret``: all candidates of ``docs`` (doc_id, text, and lang if there).
 
     ``labelled`` are audited findings: featured candidates with a ``label`` of 0 or 1.
     """
@@ -233,4 +244,4 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = REDACTED) -> DataFr
 
 @query("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "start", "length", "score", "secret")
+    return scan(documents(spark, sf_dir, "doc_id", "text", "lang")).select("doc_id", "start", "length", "score", "secret")

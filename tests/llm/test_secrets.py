@@ -96,3 +96,13 @@ def test_short_values_are_blanked_out_where_they_are(spark):
     docs = frame(spark, [(1, f"pass the passkey: password=pass, x,{KEY};y,{KEY}")])
     found = candidates(docs).withColumn("length", F.length("value")).withColumn("secret", F.lit(True))
     assert redact(docs, found.filter("value != 'y'")).first().text == "pass the passkey: password=[REDACTED], x,[REDACTED];y,[REDACTED]"
+
+
+def test_dictionary_goes_by_share_and_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c for a in letters for b in letters for c in letters] + [a + b + c + "x" for a in letters for b in letters for c in letters]
+    docs = frame(spark, [(k, " ".join(words[k::8])) for k in range(8)])
+    assert dictionary(docs).count() == len(words) > 20_000
+    rows = [(1, "word " * 900 + "seldom", "en")] + [(2, "wort selten", "de")]
+    two = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.entry for r in dictionary(two, 0.01).collect()} == {"word", "wort", "selten"}
