@@ -12,8 +12,8 @@ Equal vectors are one entry with their k + 1 smallest ids, queries with equal
 vectors are one query; a group of copies therefore costs as much as one vector.
 
 Defined results: a vector that is null, or holds a null or non-finite component
-or one whose scaled value is beyond 2**28 (no product would fit a long), takes
-no part, nor does a row without id; vectors of another length than the query's
+takes no part, nor does a row without id; a score that no long can hold is given
+as the nearest one, but ranked as it is; vectors of another length than the query's
 are no candidates; a repeated id is listed once per row that has it, but never
 for the query of the same id.
 """
@@ -34,7 +34,7 @@ from sitepanel.llm.store import durable
 CELLS = 256  # per dimension: a byte
 VECTORS, QUERIES = 4096, 256  # per block
 FIRST_READS = 3  # times k + 1
-LARGEST = 1 << 28
+LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 
 
 def usable(embedding: Column) -> Column:
@@ -43,21 +43,21 @@ def usable(embedding: Column) -> Column:
 
 
 def scaled(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """``id vector dims`` of the rows that take part; vectors as packed little-endian 32-bit integers."""
+    """``id vector dims`` of the rows that take part; vectors as packed whole numbers, little-endian 64-bit floats, which hold every one."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.filter(usable(F.col("e")) & F.col("id").isNotNull())
-    rows = rows.withColumn("e", F.transform("e", lambda x: F.floor(F.lit(float(scale)) * x)))
-    rows = rows.filter(F.forall("e", lambda x: F.abs(x) <= LARGEST))
 
     @F.pandas_udf("binary")
     def pack(vectors: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v, dtype="<i4").tobytes() for v in vectors], dtype=object)
+        whole = lambda v: np.floor(float(scale) * np.asarray(v, dtype="<f8")) + 0.0  # no negative zero
+        return pd.Series([whole(v).tobytes() for v in vectors], dtype=object)
 
-    return rows.select("id", pack(F.col("e").cast("array<int>")).alias("vector"), F.size("e").alias("dims"))
+    rows = rows.filter(F.forall("e", lambda x: F.abs(F.lit(float(scale)) * x) < float("inf")))
+    return rows.select("id", pack(F.col("e")).alias("vector"), F.size("e").alias("dims"))
 
 
 def unpacked(column: pd.Series, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<i4").reshape(len(column), dims)
+    return np.frombuffer(b"".join(column), dtype="<f8").reshape(len(column), dims)
 
 
 def entries(vectors: DataFrame, copies: int) -> DataFrame:
@@ -78,13 +78,13 @@ def grid(found: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
                 v = unpacked(rows["vector"], int(dims))
                 yield pd.DataFrame({"dims": int(dims), "at": np.arange(int(dims)), "low": v.min(axis=0), "high": v.max(axis=0)})
 
-    sides = found.select("vector", "dims").mapInPandas(extremes, "dims int, at int, low long, high long")
+    sides = found.select("vector", "dims").mapInPandas(extremes, "dims int, at int, low double, high double")
     out: dict[int, tuple[list, list]] = {}
     for r in sides.groupBy("dims", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("dims", "at").collect():
         low, width = out.setdefault(r.dims, ([], []))
         low.append(r.low)
         width.append((r.high - r.low) // CELLS + 1)
-    return {d: (np.array(a, dtype=np.int64), np.array(w, dtype=np.int64)) for d, (a, w) in out.items()}
+    return {d: (np.array(a, dtype=np.float64), np.array(w, dtype=np.float64)) for d, (a, w) in out.items()}
 
 
 def blocks(found: DataFrame, rows: int, count: int, grids: dict, cells: bool) -> DataFrame:
@@ -97,7 +97,7 @@ def blocks(found: DataFrame, rows: int, count: int, grids: dict, cells: bool) ->
         v = unpacked(part["vector"], dims)
         if cells:
             low, width = grids.get(dims, (0, 1))
-            v = ((v - low) // width).astype(np.uint8)
+            v = np.clip((v - low) // width, 0, CELLS - 1).astype(np.uint8)
         ids = part["entry"].to_numpy(dtype="<i8").tobytes()
         return pd.DataFrame({"block": [int(part["_block"].iloc[0])], "dims": [dims], "ids": [ids], "body": [v.tobytes()]})
 
@@ -116,7 +116,7 @@ def scan(pairs: DataFrame, grids: dict, keep: int, thresholds: bool) -> DataFram
         for batch in batches:
             for row in batch.itertuples(index=False):
                 dims = int(row.dims)
-                q = np.frombuffer(row.q_body, dtype="<i4").reshape(-1, dims).astype(np.float64) if dims else np.zeros((len(row.q_ids) // 8, 0))
+                q = np.frombuffer(row.q_body, dtype="<f8").reshape(-1, dims) if dims else np.zeros((len(row.q_ids) // 8, 0))
                 low, width = grids[dims] if dims else (np.zeros(0), np.zeros(0))
                 cells = np.frombuffer(row.body, dtype=np.uint8).reshape(len(row.ids) // 8, dims)
                 q_ids, ids = np.frombuffer(row.q_ids, dtype="<i8"), np.frombuffer(row.ids, dtype="<i8")
@@ -143,13 +143,33 @@ def exact(candidates: DataFrame, found: DataFrame) -> DataFrame:
     left = found.select(F.col("entry").alias("q"), F.col("vector").alias("_a"))
     right = found.select("entry", F.col("vector").alias("_b"))
 
-    @F.pandas_udf("long")
-    def product(a: pd.Series, b: pd.Series) -> pd.Series:
-        of = lambda x: np.frombuffer(x, dtype="<i4").astype(np.int64)
-        return pd.Series([int(of(x) @ of(y)) for x, y in zip(a, b)], dtype="int64")
+    @F.pandas_udf("score long, beyond string")
+    def product(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        of = lambda x: np.frombuffer(x, dtype="<f8")
+        return pd.DataFrame([within_long(dot(of(x), of(y))) for x, y in zip(a, b)], columns=["score", "beyond"])
 
     joined = candidates.select("q", "entry").join(left, "q").join(right, "entry")
-    return joined.select("q", "entry", product("_a", "_b").alias("score"))
+    return joined.select("q", "entry", product("_a", "_b").alias("_found")).select("q", "entry", "_found.score", "_found.beyond")
+
+
+def dot(a: np.ndarray, b: np.ndarray) -> int:
+    """The exact inner product of whole numbers."""
+    if not len(a):
+        return 0
+    most_a, most_b = float(np.abs(a).max()), float(np.abs(b).max())
+    if max(most_a, most_b) < 2.0**62 and most_a * most_b * len(a) < 2.0**62:
+        return int(a.astype(np.int64) @ b.astype(np.int64))
+    return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist()))
+
+
+def within_long(n: int) -> tuple[int, str]:
+    """The nearest long, and a string that ranks what lies beyond the longs."""
+    if LEAST_LONG <= n <= MOST_LONG:
+        return n, "m"
+    digits = f"{len(str(abs(n))):04d}{abs(n)}"
+    if n > 0:
+        return MOST_LONG, "p" + digits
+    return LEAST_LONG, "a" + digits.translate(str.maketrans("0123456789", "9876543210"))
 
 
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
@@ -195,15 +215,17 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, scale: int = 25
     order = F.row_number().over(W.partitionBy("q").orderBy(F.desc("bound"), "entry"))
     placed = candidates.withColumn("_place", order)
     first = durable(exact(placed.filter(F.col("_place") <= FIRST_READS * keep), known))
-    by_score = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))
-    certain = first.withColumn("_place", by_score).filter(F.col("_place") == keep).select("q", F.col("score").alias("_sure"))
+    by_score = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.desc("beyond")))
+    certain = first.withColumn("_place", by_score).filter(F.col("_place") == keep).select(
+        "q", F.when(F.col("beyond") >= "m", F.col("score").cast("double")).otherwise(float("-inf")).alias("_sure")
+    )
     rest = placed.filter(F.col("_place") > FIRST_READS * keep).join(certain, "q").filter("bound >= _sure")
     scores = first.unionByName(exact(rest, known)).join(known.select("entry", "ids"), "entry")
-    each = scores.select("q", "score", F.explode("ids").alias("vec_id"))
-    best = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    each = scores.select("q", "score", "beyond", F.explode("ids").alias("vec_id"))
+    best = W.partitionBy("q").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     few = each.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= keep)
     answer = asked.distinct().join(few, "q").filter("vec_id != query_id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return answer.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -58,3 +58,13 @@ def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     assert result(op3_topk(spark, folder)) == brute(rows, [r for r in rows if r[0] % 50 == 0])
+
+
+def test_large_components_take_part(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, (rng.normal(size=6) * 10.0 ** rng.integers(0, 9)).astype(np.float32).tolist()) for k in range(60)]
+    rows += [(100 + k, (rng.normal(size=6) * 10.0 ** rng.integers(6, 30)).astype(np.float32).tolist()) for k in range(60)]
+    rows += [(200, [-3e38] * 6), (201, [3e38] * 6), (202, [-0.0] * 6), (203, [0.0] * 6)]
+    docs = frame(spark, rows)
+    want = [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in brute(rows, rows)]
+    assert result(top_k(docs, docs)) == want
