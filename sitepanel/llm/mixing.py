@@ -255,23 +255,29 @@ def shard_texts(plan: DataFrame, rows: Sequence[tuple], shards: int, seed: int =
     return pieces.repartition("shard").sortWithinPartitions("shard", order)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row per document and pass, cut to the words taken.
+def mixed_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int = 11) -> DataFrame:
+    """``docs`` as the mix takes them: a row per document, pass and shard, cut to the words taken.
 
-    A document that the mix doesn't take is gone, one that it takes twice is
-    there twice.  ``n_chars``, if there, is the length of the new text.
+    Rows are together by shard and shuffled inside it.  A document that the mix
+    doesn't take is gone, one that it takes twice is there twice, and one that
+    several shards share is there for each.  ``n_chars``, if there, is the
+    length of the new text.
     """
-    plan, _ = plan_mix(docs)
-    rows = plan.select("*", F.explode(F.expr("sequence(0, 1)")).alias("_pass"))
-    rows = rows.withColumn("_spans", F.filter("spans", lambda s: s["pass"] == F.col("_pass")))
-    rows = rows.filter(F.size("_spans") > 0)
+    plan, sources = plan_mix(docs, seed=seed)
+    plan = durable(plan)
+    pieces = dealt(plan.select("rank", "start", "spans"), sources, shard_count(sources, shard_words), seed)
+    pieces = pieces.groupBy(F.col("rank").alias("_rank"), F.col("start").alias("_start"), F.col("pass").alias("_pass"), F.col("shard").alias("_shard"))
+    pieces = pieces.agg(F.collect_list(F.struct("first", "words")).alias("_spans"))
+    same = (F.col("rank") == F.col("_rank")) & (F.col("start") == F.col("_start"))
+    rows = plan.filter("size > 0").join(pieces, same)
     words = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
     rows = rows.withColumn(
         "text", F.when(words == F.col("size"), F.col("text")).otherwise(taken_text(F.col("text"), F.col("_spans")))
     )
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    order = F.xxhash64(F.lit(seed), "_rank", "_start", "_pass")
+    return rows.repartition("_shard").sortWithinPartitions("_shard", order).select(*docs.columns)
 
 
 @query("op1_mix")

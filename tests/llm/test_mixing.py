@@ -115,3 +115,14 @@ def test_query(spark):
         s[1] += r["size"]
     for taken, size, target, source_size in by.values():
         assert size == source_size and abs(taken - target) <= 1
+
+
+def test_pipeline_form_is_dealt_to_shards(spark):
+    docs = sample(spark)
+    _, rows = plan_mix(docs)
+    mixed = mixed_documents(docs, shard_words=4000).select("doc_id", "text", F.spark_partition_id().alias("at")).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r[4] for r in rows)
+    # long documents are shared by shards, and no part has them in the order of the plan
+    assert max(sum(r.doc_id == k for r in mixed) for k in range(0, 400, 50)) > 2
+    seen = [r.doc_id for r in mixed if r.at == mixed[0].at]
+    assert seen != sorted(seen)
