@@ -32,7 +32,6 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitepanel.llm.langid import held_out
@@ -207,10 +206,9 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("_hash", F.xxhash64("doc_id"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.row_number().over(W.partitionBy("toxic").orderBy("_hash", "doc_id"))
-    chosen = known.withColumn("_place", place).filter(
-        F.col("_place") <= F.when(F.col("toxic") == 1, TOXIC_SAMPLE).otherwise(ORDINARY_SAMPLE)
-    )
+    # every task keeps only its first rows of a class
+    some = [known.filter(F.col("toxic") == k).orderBy("_hash", "doc_id").limit(n) for k, n in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE))]
+    chosen = some[0].unionByName(some[1])
     # at most the two samples' rows
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic", "_hash")), "doc_id")
     rows = texts.filter("text is not null").limit(2 * (TOXIC_SAMPLE + ORDINARY_SAMPLE)).collect()

@@ -55,3 +55,23 @@ def test_odd_inputs(spark):
     one = fit_toxicity(["a", "b"], np.array([1, 1]))
     assert one.constant == 1.0
     assert score_toxicity(docs.filter(F.lit(False)), one).collect() == []
+
+
+def test_sample_is_no_window(spark, monkeypatch):
+    """The first rows of a class by hash, taken in every task and not in one sorted group."""
+    from sitepanel.llm import toxicity
+
+    docs = spark.createDataFrame([(k, f"word{k} again") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    seen, plans = [], []
+    monkeypatch.setattr(toxicity, "TOXIC_SAMPLE", 7)
+    monkeypatch.setattr(toxicity, "ORDINARY_SAMPLE", 9)
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda texts, toxic, totals: seen.append((texts, toxic.tolist(), totals)))
+    broadcast = F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or broadcast(df))
+    fit_toxicity_model(docs, labels)
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want = set([k for k in order if k % 4 == 0][:7] + [k for k in order if k % 4][:9])
+    texts, toxic, totals = seen[0]
+    assert {int(t.split()[0][4:]) for t in texts} == want and sum(toxic) == 7 and totals == (150, 50)
+    assert "Window" not in plans[0] and "GlobalLimit" in plans[0]
