@@ -37,7 +37,7 @@ from sitepanel.llm.wordhash import mix
 
 UNDETERMINED = "und"
 # A trie holds at most this many phrases and, between spills, word ids.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
 # Entries of one first word from which it gets a container of its own.
 BURST = 1 << 12
 BITS = 21  # of a word id; three fit a long
@@ -94,7 +94,7 @@ class BurstTrie:
         self.shared: Counter = Counter()
         self.own: dict[int, Counter] = {}
         self.burst = np.zeros(1, dtype=bool)
-        self.unburst = 2 * BURST
+        self.unburst = ENTRIES // 4  # entries of the shared container from which it is looked through
         self._hashes = np.zeros(1, dtype=np.uint64)
 
     def hashes(self) -> np.ndarray:
@@ -141,7 +141,7 @@ class BurstTrie:
         for word, key, count in zip(first[leaving].tolist(), (keys[leaving] & mask).tolist(), counts[leaving].tolist()):
             self.own[word][key] = count
         self.shared = Counter(dict(zip(keys[~leaving].tolist(), counts[~leaving].tolist())))
-        self.unburst = len(self.shared) + 8 * BURST
+        self.unburst = 2 * len(self.shared)
 
     def entries(self) -> int:
         return len(self.shared) + sum(map(len, self.own.values()))
@@ -160,7 +160,7 @@ class BurstTrie:
             self.own[word] = Counter()
         if everything or self.entries() > ENTRIES // 2:
             yield from self._run(names, self.shared, 0)
-            self.shared, self.unburst = Counter(), 2 * BURST
+            self.shared, self.unburst = Counter(), ENTRIES // 4
         if everything:
             self.__init__()
 
