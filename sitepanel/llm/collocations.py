@@ -36,7 +36,7 @@ from sitepanel.llm.store import documents, durable
 from sitepanel.llm.wordhash import mix
 
 UNDETERMINED = "und"
-# A trie holds at most this many phrases and, between spills, word ids.
+# A trie holds at most this many phrases and half as many words, but for those of the texts just entered.
 ENTRIES = 1 << 19
 # Entries of one first word from which it gets a container of its own.
 BURST = 1 << 12
@@ -130,7 +130,6 @@ class BurstTrie:
     def _burst(self) -> None:
         """First words with BURST entries and more leave the shared container."""
         keys = np.fromiter(self.shared, dtype=np.int64, count=len(self.shared))
-        counts = np.fromiter(self.shared.values(), dtype=np.int64, count=len(keys))
         first = keys >> 2 * BITS
         size = np.bincount(first, minlength=len(self.burst))
         leaving = size[first] >= BURST
@@ -138,20 +137,22 @@ class BurstTrie:
             self.own[word] = Counter()
             self.burst[word] = True
         mask = (1 << 2 * BITS) - 1
-        for word, key, count in zip(first[leaving].tolist(), (keys[leaving] & mask).tolist(), counts[leaving].tolist()):
-            self.own[word][key] = count
-        self.shared = Counter(dict(zip(keys[~leaving].tolist(), counts[~leaving].tolist())))
+        for word, key in zip(first[leaving].tolist(), keys[leaving].tolist()):
+            self.own[word][key & mask] = self.shared.pop(key)
         self.unburst = 2 * len(self.shared)
 
     def entries(self) -> int:
         return len(self.shared) + sum(map(len, self.own.values()))
 
     def full(self) -> bool:
-        return self.entries() > ENTRIES or len(self.words) > ENTRIES
+        return self.entries() > ENTRIES or self._wordy()
+
+    def _wordy(self) -> bool:
+        return len(self.words) > ENTRIES // 2
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         """Sorted runs of the largest subtrees until the trie is half empty; all of it if it has too many words."""
-        everything = len(self.words) > ENTRIES
+        everything = self._wordy()
         names = self._names()
         largest = sorted(self.own, key=lambda w: len(self.own[w]))
         while largest and (everything or self.entries() > ENTRIES // 2):
@@ -281,7 +282,9 @@ def phrase_runs(docs: DataFrame, widths: tuple[int, ...], filter_bits=None) -> D
 
 
 def merged_runs(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("lang", "first", "second", "third").agg(F.sum("count").alias("count"))
+    key = ["lang", "first", "second", "third"]
+    # the tries have combined what a task counts: a hash aggregate before the shuffle would find little
+    return runs.repartition(*key).groupBy(*key).agg(F.sum("count").alias("count"))
 
 
 def pair_filter(pairs: DataFrame) -> bytes:
