@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sitepanel.catalog.models import _chain_step, _linear_coefficients, _shown
-from sitepanel.catalog.modelsql import fixed_part, linear_ctes, mixed_ctes, names_cte
+from sitepanel.catalog.modelsql import fixed_part, linear_ctes, mixed_ctes, names_cte, tree_ctes
 from sitepanel.catalog.panels import (
     growth_ctes,
     growth_rows,
@@ -206,9 +206,30 @@ def cold_coefficients(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fit.coefficients().drop("df", "t_value", "p_value"), "estimate", "std_error", digits=5)
 
 
-@query()
+_WIDE = expand_terms(interactions.WIDE_TERMS)
+_WIDE_NEEDS = [sum(1 << _WIDE.index(f) for f in t.split(":")) if ":" in t else 0 for t in _WIDE]
+_WIDE_FITS = tree_ctes("model_rows", "site", [_sql_term(t) for t in _WIDE], interactions.RESPONSE, _WIDE_NEEDS)
+_WIDE_SQL = f"""WITH RECURSIVE {interaction_ctes()},
+{_complete("interaction_frame", [interactions.RESPONSE, *[t for t in _WIDE if ":" not in t]])}, {_WIDE_FITS},
+scored AS (SELECT *, -2 * ll + 2 * (p + 2) + 2.0 * (p + 2) * (p + 3) / (n - p - 3) AS aicc FROM vars),
+ranked AS (SELECT *, aicc - min(aicc) OVER () AS delta, exp(-(aicc - min(aicc) OVER ()) / 2) AS relative FROM scored)"""
+
+
+@query(f"""{_WIDE_SQL}, weighted AS (SELECT *, relative / sum(relative) OVER () AS weight FROM ranked) {_RANKING}""")
 def wide_interaction_selection(spark: SparkSession, folder: str) -> DataFrame:
-    """Allowed subsets of thirteen terms: thousands of models, too many for the oracle's SQL."""
+    """Allowed subsets of thirteen terms, of which four are products."""
     return _shown_ranking(
         _ranked(interaction_rows(spark, folder), interactions.RESPONSE, interactions.WIDE_TERMS, reml=False)
     )
+
+
+@query(f"""{_WIDE_SQL}, weighted AS (
+  SELECT *, relative / sum(relative) OVER () AS weight FROM ranked WHERE delta <= {interactions.AVERAGED_WITHIN}) {_RANKING}""")
+def wide_good_models(spark: SparkSession, folder: str) -> DataFrame:
+    """The subsets of thirteen terms close to the best, found without fitting the others."""
+    terms = expand_terms(interactions.WIDE_TERMS)
+    complete = model_frame(interaction_rows(spark, folder), [interactions.RESPONSE], terms, keep=["site"])
+    moments = site_moments(complete, "site", [*terms, interactions.RESPONSE])
+    return _shown_ranking(
+        selection.model_selection(moments, interactions.RESPONSE, terms, within=interactions.AVERAGED_WITHIN)
+    )

@@ -154,6 +154,84 @@ def mixed_ctes(
     return ",\n".join(parts)
 
 
+def _list_sweep(size: int, k: str) -> str:
+    """SQL that sweeps column ``k`` of ``a``, a matrix as a list of its rows one after the other."""
+    i, j, v = f"(x // {size})", f"(x % {size})", "a[x + 1]"
+    pivot = f"a[({k}) * {size} + ({k}) + 1]"
+    return f"""list_transform(range(0, {size * size}), lambda x: CASE WHEN {i} = ({k}) AND {j} = ({k}) THEN -1 / {pivot}
+      WHEN {i} = ({k}) OR {j} = ({k}) THEN {v} / {pivot}
+      ELSE {v} - a[{i} * {size} + ({k}) + 1] * a[({k}) * {size} + {j} + 1] / {pivot} END)"""
+
+
+def tree_ctes(frame: str, site: str, xs: Sequence[str], y: str, needs: Sequence[int]) -> str:
+    """Maximum-likelihood fits of all allowed subsets, for searches too wide for ``mixed_ctes``.
+
+    ``needs`` gives each term's factors as bits.  On the common grid of variance
+    ratios a subset is swept once from its parent; its own ratio is then refined
+    around the best grid point.  Ends with ``vars(subset, theta, ll, n, g, p)``.
+    """
+    size, p = len(xs) + 2, len(xs) + 1
+    needed = "[" + ", ".join(map(str, needs)) + "]"
+    ll = "-0.5 * (n * ln(2 * pi() * a[-1] / n) + (SELECT sum(sites * ln(1 + n * theta)) FROM sizes) + n)"
+
+    def cross(name: str, ratios: str) -> str:
+        return f"""{name} AS (SELECT theta, list(v ORDER BY i, j) AS a FROM (
+  SELECT theta, i, j, sum(s - theta / (1 + n * theta) * b) AS v
+  FROM pool, (SELECT DISTINCT theta FROM {ratios}) GROUP BY theta, i, j) GROUP BY theta)"""
+
+    parts = [
+        f"sm AS (SELECT site, i, j, v FROM (SELECT {site} AS site, "
+        f"unnest({_cells(['1.0', *xs, y])}, recursive := true) FROM {frame} GROUP BY {site}))",
+        "s0 AS (SELECT site, j AS k, v FROM sm WHERE i = 0)",
+        "sizes AS (SELECT v AS n, count(*) AS sites FROM s0 WHERE k = 0 GROUP BY v)",
+        "dims AS (SELECT sum(n * sites) AS n, sum(sites) AS g FROM sizes)",
+        """pool AS (SELECT c.v AS n, m.i, m.j, sum(a.v * b.v) AS b, sum(m.v) AS s
+  FROM sm m JOIN s0 a ON a.site = m.site AND a.k = m.i JOIN s0 b ON b.site = m.site AND b.k = m.j
+  JOIN s0 c ON c.site = m.site AND c.k = 0 GROUP BY c.v, m.i, m.j)""",
+        "grid AS (SELECT CAST(0 AS DOUBLE) AS theta UNION ALL SELECT pow(10.0, -6 + k * 0.25) FROM range(0, 49) t(k))",
+        cross("gram", "grid"),
+        f"""tree AS (
+  SELECT 0 AS subset, 1 AS step, theta, {_list_sweep(size, '0')} AS a FROM gram
+  UNION ALL
+  SELECT subset + take * (1 << (step - 1)), step + 1, theta, CASE WHEN take = 1 THEN {_list_sweep(size, 'step')} ELSE a END
+  FROM tree, (VALUES (0), (1)) t(take)
+  WHERE step < {p} AND (take = 0 OR subset & {needed}[step] = {needed}[step]))""",
+        f"""at0 AS (SELECT subset, arg_max(theta, ll) AS theta FROM (
+  SELECT subset, theta, {ll} AS ll FROM tree, dims WHERE step = {p}) GROUP BY subset)""",
+        """th1 AS (SELECT subset, theta FROM at0 WHERE theta = 0 UNION ALL
+  SELECT subset, pow(10.0, log10(theta) + (k - 12) * 0.025) FROM at0, range(0, 25) t(k) WHERE theta > 0)""",
+    ]
+    for stage in (1, 2, 3):
+        parts += [
+            cross(f"g{stage}", f"th{stage}"),
+            f"""w{stage} AS (
+  SELECT subset, 1 AS step, theta, {_list_sweep(size, '0')} AS a FROM th{stage} JOIN g{stage} USING (theta)
+  UNION ALL
+  SELECT subset, step + 1, theta, CASE WHEN (subset >> (step - 1)) & 1 = 1 THEN {_list_sweep(size, 'step')} ELSE a END
+  FROM w{stage} WHERE step < {p})""",
+            f"l{stage} AS (SELECT subset, theta, {ll} AS ll FROM w{stage}, dims WHERE step = {p})",
+        ]
+        if stage == 1:
+            # top of the parabola through the best point and its neighbours, then five points around it
+            parts.append(
+                """th2 AS (SELECT subset, CASE WHEN theta = 0 THEN 0 ELSE pow(10.0, log10(theta)
+    + 0.025 * coalesce((below - above) / (2 * (below - 2 * ll + above)), 0) + k * 0.01) END AS theta
+  FROM (SELECT *, lag(ll) OVER w AS below, lead(ll) OVER w AS above FROM l1 WINDOW w AS (PARTITION BY subset ORDER BY theta)
+        QUALIFY row_number() OVER (PARTITION BY subset ORDER BY ll DESC) = 1), (VALUES (-2), (-1), (0), (1), (2)) t(k)
+  WHERE theta > 0 OR k = 0)"""
+            )
+        if stage == 2:
+            parts.append(
+                """th3 AS (SELECT subset, CASE WHEN theta = 0 THEN 0 ELSE pow(10.0, log10(theta) - 0.01
+    * (l2 - 8 * l1 + 8 * u1 - u2) / (-l2 + 16 * l1 - 30 * ll + 16 * u1 - u2)) END AS theta
+  FROM (SELECT *, lag(ll) OVER w AS l1, lag(ll, 2) OVER w AS l2, lead(ll) OVER w AS u1, lead(ll, 2) OVER w AS u2
+        FROM l2 WINDOW w AS (PARTITION BY subset ORDER BY theta))
+  WHERE theta = 0 OR (l2 IS NOT NULL AND u2 IS NOT NULL))"""
+            )
+    parts.append("vars AS (SELECT subset, theta, ll, n, g, 1 + bit_count(subset) AS p FROM l3, dims)")
+    return ",\n".join(parts)
+
+
 def fixed_part(xs: Sequence[str], prefix: str = "") -> str:
     """Scalar SQL for the prediction without the site effect."""
     terms = [f"(SELECT b FROM {prefix}coef WHERE k = 0)"]

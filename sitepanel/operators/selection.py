@@ -4,24 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import sitepanel
-from sitepanel.functions.numerics import sweep
-from sitepanel.operators.linear import raw_coefficients
-from sitepanel.operators.mixed import (
-    THETA_GRID,
-    aicc_of,
-    best_theta,
-    independent_terms,
-    pooled_grams,
-    profile,
-)
+from sitepanel.operators.mixed import independent_terms
 from sitepanel.operators.moments import SiteMoments
+from sitepanel.operators.subsets import SubsetTree
 from sitepanel.session import durable
 
 # The fitting helpers travel with the task, so executors need no copy of this package.
@@ -29,79 +20,57 @@ cloudpickle.register_pickle_by_value(sitepanel)
 
 # A subset is the bits of a long.
 MOST_TERMS = 62
-SUBSETS_PER_TASK = 32
+BRANCHES_PER_CORE = 8
 
+_COLUMNS = ["subset", "rank", "theta", "log_lik", "aicc", "estimates", "std_errors"]
 _FITTED = (
     "subset long, rank int, theta double, log_lik double, aicc double, "
     "estimates array<double>, std_errors array<double>"
 )
 
 
-def allowed_subsets(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
-    """Bit sets of terms; an interaction is only allowed with all its main effects."""
-    if len(terms) > MOST_TERMS:
-        raise ValueError(f"all subsets of {len(terms)} terms: at most {MOST_TERMS} are searched")
-    count = 1 << len(terms)
-    partitions = max(1, min(spark.sparkContext.defaultParallelism, count // SUBSETS_PER_TASK))
-    subsets = spark.range(0, count, 1, partitions).withColumnRenamed("id", "subset")
-    for j, term in enumerate(terms):
-        mains = [m for m in term.split(":") if m in terms]
-        if len(mains) > 1:
-            mask = sum(1 << terms.index(m) for m in mains)
-            subsets = subsets.where(
-                (F.col("subset").bitwiseAND(F.lit(1 << j)) == 0)
-                | (F.col("subset").bitwiseAND(F.lit(mask)) == mask)
-            )
-    # the rule thins some ranges of numbers far more than others
-    return subsets.repartition(partitions)
-
-
 def model_selection(
-    moments: SiteMoments, response: str, terms: Sequence[str], reml: bool = False, theta: float | None = None
+    moments: SiteMoments,
+    response: str,
+    terms: Sequence[str],
+    reml: bool = False,
+    theta: float | None = None,
+    within: float | None = None,
 ) -> DataFrame:
-    """Fit every allowed subset of the terms and rank by AICc.
+    """Fit the allowed subsets of the terms and rank them by AICc.
 
-    The size classes of the full design hold every subset's moments, so no fit
-    reads the rows.  The fits are spread over the cluster as rows of a subset
-    table.  ``theta=0`` selects among linear models.
+    A product is only allowed with all its factors.  The size classes of the
+    full design hold every subset's moments, so no fit reads the rows.  Branches
+    of the tree of subsets are spread over the cluster as rows.  ``theta=0``
+    selects among linear models.
+
+    With ``within`` only the subsets at most that far from the best are found,
+    and branches that can't hold one are cut; weights are then shares among
+    those found.
     """
     spark = moments.table.sparkSession
     pooled = moments.pooled
     terms = independent_terms(pooled, terms)
-    columns = [pooled.index(t) for t in terms]
-    target = pooled.index(response)
-    classes, shift = pooled.classes, pooled.shift
-    grams = pooled_grams(classes, THETA_GRID)
-    n = float(classes.total[0, 0])
-    fixed = theta
-
-    def fit_subset(subset: int) -> tuple:
-        chosen = [j for j in range(len(terms)) if subset >> j & 1]
-        index = [0, *[columns[j] for j in chosen], target]
-        if fixed is None:
-            ratio, log_lik = best_theta(classes, index, reml, grams)
-        else:
-            ratio, log_lik = fixed, float(profile(classes, index, np.array([fixed]), reml)[0][0])
-        gram = pooled_grams(classes, np.array([ratio]))[0][np.ix_(index, index)]
-        swept = sweep(gram, len(index) - 1)
-        rank = len(swept.kept)
-        variance = max(0.0, float(swept.rss[0, 0])) / (n - rank if reml else n)
-        beta, cov = raw_coefficients(swept, [terms[j] for j in chosen], shift, 0, shift[response])
-        estimates: list[float | None] = [None] * (len(terms) + 1)
-        errors: list[float | None] = [None] * (len(terms) + 1)
-        for j, position in enumerate([0, *[c + 1 for c in chosen]]):
-            estimates[position] = float(beta[j])
-            errors[position] = float(np.sqrt(cov[j, j] * variance))
-        parameters = rank + (1 if fixed == 0 else 2)
-        return subset, rank, ratio, log_lik, aicc_of(log_lik, parameters, n), estimates, errors
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"all subsets of {len(terms)} terms: at most {MOST_TERMS} are searched")
+    tree = SubsetTree(pooled, response, terms, reml, theta, within)
+    if within is not None:
+        tree.descend()
+    cores = spark.sparkContext.defaultParallelism
+    branches = tree.branches(BRANCHES_PER_CORE * cores)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["subset", "rank", "theta", "log_lik", "aicc", "estimates", "std_errors"]
         for batch in batches:
-            yield pd.DataFrame([fit_subset(int(s)) for s in batch["subset"]], columns=names)
-
-    fitted = durable(allowed_subsets(spark, terms).mapInPandas(fit, _FITTED))
-    best = fitted.agg(F.min("aicc")).first()[0]
+            for subset, depth in zip(batch["subset"], batch["depth"]):
+                for lot in tree.search(int(subset), int(depth)):
+                    yield pd.DataFrame(lot, columns=_COLUMNS)
+
+    # neighbouring branches are alike in size, so they are dealt out
+    rows = spark.createDataFrame(branches, "subset long, depth int").repartition(min(len(branches), 4 * cores), "subset")
+    fitted = durable(rows.mapInPandas(fit, _FITTED))
+    best = fitted.agg(F.min(F.nanvl("aicc", F.lit(None)))).first()[0]
+    if within is not None:
+        fitted = fitted.where(F.col("aicc") <= F.lit(best) + F.lit(float(within)))
     relative = F.exp(-(F.col("aicc") - F.lit(best)) / 2)
     mass = fitted.agg(F.sum(relative)).first()[0]
     labels = F.array(*[F.lit(t) for t in ["(Intercept)", *terms]])

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitepanel.operators import linear, mixed, selection
-from sitepanel.operators.moments import expand_terms, model_frame, site_moments
+from sitepanel.operators.moments import PooledMoments, SizeClasses, expand_terms, model_frame, site_moments
+from sitepanel.operators.subsets import SubsetTree, step, unstep
 from sitepanel.plans.interactions import WIDE_TERMS
 
 TERMS = ["x", "z", "x:z"]
@@ -227,7 +229,35 @@ def test_averages_of_all_models(df):
         assert row["conditional_average"] == pytest.approx(full / share)
 
 
-def test_allowed_subsets_match_brute_force(spark):
+def pooled_sample(terms, rows=900, sites=45, effects=(), seed=4):
+    """Pooled moments of random terms, as the aggregates over rows would give them; products from their factors."""
+    draw = np.random.default_rng(seed)
+    x = {}
+    for t in terms:
+        x[t] = np.prod([x[f] for f in t.split(":")], axis=0) if ":" in t else draw.normal(size=rows) + 0.4 * draw.normal()
+    site = draw.integers(0, sites, rows)
+    y = draw.normal(size=rows) + draw.normal(size=sites)[site] * 0.7
+    for t, b in zip(terms, effects):
+        y = y + b * x[t]
+    columns = np.column_stack([np.ones(rows), *x.values(), y])
+    shift = columns.mean(axis=0)
+    columns[:, 1:] -= shift[1:]
+    counts = np.bincount(site, minlength=sites)
+    kept = [s for s in range(sites) if counts[s]]
+    blocks = [(counts[s], columns[site == s]) for s in kept]
+    classes = SizeClasses(
+        np.array([float(n) for n, _ in blocks]), np.ones(len(blocks)), np.array([z.T @ z for _, z in blocks]),
+        np.array([np.outer(z.sum(axis=0), z.sum(axis=0)) for _, z in blocks]),
+    )
+    return PooledMoments([*terms, "y"], dict(zip([*terms, "y"], shift[1:].tolist())), classes)
+
+
+def found(tree, branches=1):
+    rows = [row for branch in tree.branches(branches) for lot in tree.search(*branch) for row in lot]
+    return {row[0]: row for row in rows}
+
+
+def test_allowed_subsets_match_brute_force():
     terms = expand_terms(WIDE_TERMS)
     assert len(terms) == 13
     want = set()
@@ -235,7 +265,46 @@ def test_allowed_subsets_match_brute_force(spark):
         chosen = {t for j, t in enumerate(terms) if subset >> j & 1}
         if all(set(t.split(":")) <= chosen for t in chosen if ":" in t):
             want.add(subset)
-    assert {r[0] for r in selection.allowed_subsets(spark, terms).collect()} == want
+    tree = SubsetTree(pooled_sample(terms), "y", terms, reml=False)
+    assert {leaf.subset for b in tree.branches(40) for leaf in tree.leaves(tree.node(*b))} == want
+
+
+def test_sweeps_are_undone():
+    a = np.cov(np.random.default_rng(1).normal(size=(6, 50)))[None]
+    assert unstep(unstep(step(step(a, 1), 3), 1), 3) == pytest.approx(a)
+
+
+@pytest.mark.parametrize("theta", [None, 0.0])
+@pytest.mark.parametrize("reml", [False, True])
+@pytest.mark.parametrize("within", [0.5, 2.0, 9.0])
+def test_bounded_search_finds_what_the_whole_search_finds(reml, theta, within):
+    terms = ["a", "b", "c", "d", "e", "a:b", "c:d", "a:e"]
+    for seed in (1, 2, 3):
+        pooled = pooled_sample(terms, effects=(0.5, 0.1, 0.05, 0.3, 0.0, 0.08, 0.2), seed=seed)
+        every = found(SubsetTree(pooled, "y", terms, reml, theta))
+        best = min(row[4] for row in every.values())
+        tree = SubsetTree(pooled, "y", terms, reml, theta, within)
+        tree.descend()
+        some = found(tree, branches=6)
+        close = {s for s, row in every.items() if row[4] <= best + within}
+        assert close <= set(some)
+        for s in close:
+            assert some[s][1:5] == pytest.approx(every[s][1:5], rel=1e-7)
+        assert within > 2 or len(some) < len(every) / 2
+
+
+@pytest.mark.parametrize("reml", [False, True])
+def test_thirty_terms_end(reml):
+    """A billion subsets: the branches without a strong term are cut where they begin."""
+    mains = [f"x{j:02d}" for j in range(24)]
+    terms = [*mains, *[f"{a}:{b}" for a, b in zip(mains[:6], mains[6:12])]]
+    pooled = pooled_sample(terms, rows=3000, sites=60, effects=[0.6] * 22 + [0.0, 0.0] + [0.5, 0.5, 0.0, 0.0, 0.0, 0.4])
+    tree = SubsetTree(pooled, "y", terms, reml, within=2.0)
+    tree.descend()
+    rows = found(tree, branches=8)
+    best = min(rows.values(), key=lambda row: row[4])
+    strong = sum(1 << j for j in [*range(22), 24, 25, 29])
+    assert best[0] & strong == strong and 1 <= len(rows) <= 64
 
 
 def test_wide_search_matches_direct_fits(spark, df):
@@ -255,9 +324,13 @@ def test_wide_search_matches_direct_fits(spark, df):
             assert found == pytest.approx(alone.estimates(), rel=1e-8)
 
 
-def test_too_many_terms_are_refused(spark):
-    with pytest.raises(ValueError):
-        selection.allowed_subsets(spark, [f"t{k}" for k in range(selection.MOST_TERMS + 1)])
+def test_too_many_terms_are_refused(spark, df):
+    terms = [f"t{k}" for k in range(selection.MOST_TERMS + 1)]
+    wide = df.select("site", "y", *[F.sin(F.col("x") * (k + 1)).alias(t) for k, t in enumerate(terms)])
+    pooled = pooled_sample(terms)
+    moments = SimpleNamespace(table=wide, pooled=pooled)
+    with pytest.raises(ValueError, match="at most 62"):
+        selection.model_selection(moments, "y", terms)
 
 
 def test_chain_matches_dense_steps(df, data):

@@ -139,10 +139,6 @@ def test_nan_becomes_null_on_every_load(spark, tmp_path):
         assert back.agg(F.max("x"), F.count("x")).first() == (3.0, 1)
 
 
-def test_wide_searches_are_allowed(spark):
-    assert selection.allowed_subsets(spark, [f"t{k}" for k in range(22)]).limit(3).count() == 3
-
-
 def test_missing_rows_fail_on_request(spark):
     df = sample(spark)
     with pytest.raises(ValueError):
