@@ -1,25 +1,40 @@
 """Moment tables: the only thing a model fit needs from the rows.
 
 A frame of any length is reduced once to sums of cross products, in total or
-per site, by one aggregate and without being written.  They are about the
-column means, so large offsets do not cancel.  Column 0 is the constant one; its products give counts and sums.
+per site, without being written.  They are about the column means, so large
+offsets do not cancel.  Column 0 is the constant one; its products give counts and sums.
+
+A few columns are one aggregate of Spark's own functions.  Of many columns
+there are too many pairs for generated code; they are reduced batch by batch to
+a state of count, means and scatter, and states are merged pairwise.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import combinations_with_replacement
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import sitepanel
 from sitepanel.session import durable
 
+# The merging helpers travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sitepanel)
+
+# More columns than this are reduced by batches.
+AGGREGATED_COLUMNS = 8
+# States of this many tasks meet in one.
+MERGED_TASKS = 64
+
 # Sites with fewer rows than this form one class per row count.  Larger sites
 # are spread over the nodes of a Chebyshev rule on their octave of row counts.
 EXACT_SIZES = 64
@@ -109,9 +124,97 @@ class Moments:
         return self.total[0, 0]
 
 
+@dataclass
+class Scatter:
+    """Count, means and sums of products about the means of some rows."""
+
+    n: float
+    mean: np.ndarray
+    products: np.ndarray
+
+    @staticmethod
+    def of(rows: np.ndarray) -> Scatter:
+        mean = rows.mean(axis=0)
+        apart = rows - mean
+        return Scatter(float(len(rows)), mean, apart.T @ apart)
+
+    def merged(self, other: Scatter) -> Scatter:
+        n = self.n + other.n
+        gap = other.mean - self.mean
+        return Scatter(
+            n, self.mean + gap * (other.n / n), self.products + other.products + np.outer(gap, gap) * (self.n * other.n / n)
+        )
+
+
+class ScatterTree:
+    """States merged like binary digits, so that each meets one of about its own size."""
+
+    def __init__(self):
+        self.held: list[Scatter | None] = []
+
+    def add(self, state: Scatter) -> None:
+        for level, held in enumerate(self.held):
+            if held is None:
+                self.held[level] = state
+                return
+            state, self.held[level] = held.merged(state), None
+        self.held.append(state)
+
+    def whole(self) -> Scatter | None:
+        return reduce(lambda a, b: a.merged(b), [s for s in self.held if s is not None]) if any(self.held) else None
+
+
+_SCATTER = "part int, n double, mean binary, products binary"
+
+
+def _scatter_rows(trees: dict[int, ScatterTree]) -> pa.RecordBatch:
+    whole = [(part, tree.whole()) for part, tree in trees.items()]
+    rows = [(part, s.n, s.mean.tobytes(), s.products.tobytes()) for part, s in whole if s is not None]
+    columns = list(zip(*rows)) or [(), (), (), ()]
+    kinds = [pa.int32(), pa.float64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "n", "mean", "products"])
+
+
+def _scatter_from(n: float, mean: bytes, products: bytes) -> Scatter:
+    middle = np.frombuffer(mean)
+    return Scatter(n, middle, np.frombuffer(products).reshape(len(middle), len(middle)))
+
+
+def total_scatter(frame: DataFrame, names: Sequence[str]) -> Scatter:
+    """State of all rows of the named columns, none of which is NULL."""
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = ScatterTree()
+        for batch in batches:
+            if batch.num_rows:
+                tree.add(Scatter.of(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])))
+        yield _scatter_rows({TaskContext.get().partitionId() // MERGED_TASKS: tree})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[int, ScatterTree] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                trees.setdefault(row["part"], ScatterTree()).add(_scatter_from(row["n"], row["mean"], row["products"]))
+        yield _scatter_rows(trees)
+
+    columns = frame.select(*[F.col(f"`{n}`").cast("double") for n in names])
+    states = columns.mapInArrow(reduce_rows, _SCATTER).repartition("part").mapInArrow(merge, _SCATTER)
+    tree = ScatterTree()
+    for row in states.collect():  # one row for every MERGED_TASKS tasks
+        tree.add(_scatter_from(row["n"], bytes(row["mean"]), bytes(row["products"])))
+    size = len(columns.columns)
+    return tree.whole() or Scatter(0.0, np.zeros(size), np.zeros((size, size)))
+
+
 def total_moments(frame: DataFrame, names: Sequence[str]) -> Moments:
-    """Moments about the column means, from one aggregate over the rows."""
+    """Moments about the column means, from one pass over the rows."""
     names = list(names)
+    if len(names) > AGGREGATED_COLUMNS:
+        state = total_scatter(frame, names)
+        total = np.zeros((len(names) + 1,) * 2)
+        total[0, 0] = state.n
+        total[1:, 1:] = state.products
+        return Moments(names, dict(zip(names, state.mean.tolist())), total)
     row = frame.agg(*_one_pass(names)).first()
     total = np.zeros((len(names) + 1,) * 2)
     total[0, 0] = row["n"]
@@ -271,6 +374,190 @@ class SiteMoments:
         return PooledMoments(self.names, self.shift, classes)
 
 
+# Rows whose sites are told apart at once, and interpolation nodes of all classes.
+ROWS_AT_ONCE = 1 << 17
+_NODE_ANGLES = (np.arange(NODES) + 0.5) * math.pi / NODES
+
+
+def size_class_weights(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of sites with ``n`` rows: for each share the site's place, the key, the row count it stands for, the weight."""
+    small = np.flatnonzero(n < EXACT_SIZES)
+    large = np.flatnonzero(n >= EXACT_SIZES)
+    octave = np.floor(np.log2(n[large]))
+    angle = np.arccos(np.clip(2.0 * n[large] / 2.0**octave - 3.0, -1.0, 1.0))
+    order = np.arange(1, NODES)
+    waves = np.cos(angle[:, None] * order) @ np.cos(_NODE_ANGLES[:, None] * order).T
+    # keys: the row count itself, or an octave's node, numbered from EXACT_SIZES on
+    keys = EXACT_SIZES + octave[:, None] * NODES + np.arange(NODES)
+    sizes = 2.0 ** octave[:, None] * (1.5 + 0.5 * np.cos(_NODE_ANGLES))
+    places = np.concatenate([small, np.repeat(large, NODES)])
+    weights = np.concatenate([np.ones(len(small)), ((1.0 + 2.0 * waves) / NODES).ravel()])
+    return places, np.concatenate([n[small], keys.ravel()]).astype(np.int64), np.concatenate([n[small], sizes.ravel()]), weights
+
+
+def _site_states(names: Sequence[str]):
+    """A function of Arrow batches that gives each site's count, sums and products about the block's means."""
+    p = len(names)
+    upper = np.triu_indices(p)
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def reduced() -> pa.RecordBatch:
+            block = pa.Table.from_batches(held).combine_chunks()
+            codes = block.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            if isinstance(codes, pa.ChunkedArray):
+                codes = codes.combine_chunks()
+            number = codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(number, kind="stable")
+            starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+            rows = np.column_stack([c.to_numpy() for c in block.columns[1:]])[order]
+            middle = rows.mean(axis=0)
+            rows -= middle
+            n = np.diff(np.append(starts, len(rows))).astype(float)
+            sums = np.add.reduceat(rows, starts, axis=0)
+            products = np.concatenate([np.add.reduceat(rows[:, [i]] * rows[:, i:], starts, axis=0) for i in range(p)], axis=1)
+            gap = sums / n[:, None]
+            products -= (n[:, None] * gap[:, upper[0]]) * gap[:, upper[1]]
+            values = np.concatenate([n[:, None], middle + gap, products], axis=1)
+            # every kind of site came in as itself and leaves as itself
+            sites = codes.dictionary.take(pa.array(number[order][starts]))
+            return pa.RecordBatch.from_arrays([sites, _lists(values)], names=["site", "state"])
+
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= ROWS_AT_ONCE:
+                yield reduced()
+                held, size = [], 0
+        if held:
+            yield reduced()
+
+    return states
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
+
+
+def _matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+@dataclass
+class BatchedSiteMoments(SiteMoments):
+    """Site moments of many columns: ``table`` holds the sums as columns and all products in one list, ``products``."""
+
+    @cached_property
+    def pooled(self) -> PooledMoments:
+        p = len(self.names)
+        m = p + 1
+        upper = np.triu_indices(p)
+        blocks = pa.list_(pa.float64())
+        layout = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("size", pa.float64()), ("sums", blocks)])
+
+        def added(held: dict, part: int) -> pa.RecordBatch:
+            rows = [{"part": part, "key": k, "size": size, "sums": sums} for k, (size, sums) in held.items()]
+            return pa.RecordBatch.from_pylist(rows, schema=layout)
+
+        def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple[float, np.ndarray]] = {}
+            for batch in batches:
+                sums = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:m]])
+                inner = np.zeros((len(sums), m, m))
+                inner[:, 0, :] = inner[:, :, 0] = sums
+                cross = _matrix_of(batch.column(m), len(upper[0])) if batch.num_rows else np.zeros((0, len(upper[0])))
+                inner[:, upper[0] + 1, upper[1] + 1] = inner[:, upper[1] + 1, upper[0] + 1] = cross
+                places, keys, sizes, weights = size_class_weights(sums[:, 0])
+                for key in np.unique(keys).tolist():
+                    mine = keys == key
+                    at, w = places[mine], weights[mine]
+                    outer = np.einsum("t,ti,tj->ij", w, sums[at], sums[at])
+                    value = np.concatenate([[w.sum()], np.einsum("t,tij->ij", w, inner[at]).ravel(), outer.ravel()])
+                    before = held[key][1] if key in held else 0.0
+                    held[key] = float(sizes[mine][0]), before + value
+            yield added(held, TaskContext.get().partitionId() // MERGED_TASKS)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, dict] = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    mine = held.setdefault(row["part"], {})
+                    before = mine[row["key"]][1] if row["key"] in mine else 0.0
+                    mine[row["key"]] = row["size"], before + np.array(row["sums"])
+            for part, mine in held.items():
+                yield added(mine, part)
+
+        kind = "part int, key long, size double, sums array<double>"
+        rows = self.table.select(*[F.col(_pair(0, i)) for i in range(m)], "products")
+        whole: dict[int, tuple[float, np.ndarray]] = {}
+        # at most a row per class for every MERGED_TASKS tasks
+        for row in rows.mapInArrow(pool, kind).repartition("part").mapInArrow(merge, kind).collect():
+            before = whole[row["key"]][1] if row["key"] in whole else 0.0
+            whole[row["key"]] = row["size"], before + np.array(row["sums"])
+        classes = [whole[k] for k in sorted(whole)]
+        cells = m * m
+        return PooledMoments(
+            self.names, self.shift,
+            SizeClasses(
+                sizes=np.array([size for size, _ in classes]),
+                weights=np.array([v[0] for _, v in classes]),
+                inner=np.array([v[1 : 1 + cells].reshape(m, m) for _, v in classes]),
+                outer=np.array([v[1 + cells :].reshape(m, m) for _, v in classes]),
+            ),
+        )
+
+
+def _batched_site_moments(frame: DataFrame, site: str, names: list[str]) -> BatchedSiteMoments:
+    """Site moments by batches: states of blocks of rows, brought to common means and added per site."""
+    p = len(names)
+    pairs = p * (p + 1) // 2
+    upper = np.triu_indices(p)
+    key = frame.select(F.col(f"`{site}`").alias("site")).schema["site"].dataType.simpleString()
+    columns = frame.select(F.col(f"`{site}`").alias("site"), *[F.col(f"`{n}`").cast("double") for n in names])
+    states = durable(columns.mapInArrow(_site_states(names), f"site {key}, state array<double>"))
+    n = F.element_at("state", 1)
+    means = [F.sum(n * F.element_at("state", i + 1)).alias(f"m{i}") for i in range(1, p + 1)]
+    row = states.agg(F.sum(n).alias("n"), *means).first()
+    shift = {name: (row[f"m{i}"] or 0.0) / (row["n"] or 1.0) for i, name in enumerate(names, start=1)}
+    centre = np.array([shift[name] for name in names])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the states of a site, which come one after the other."""
+        last: tuple | None = None
+
+        def table(sites: list, values: np.ndarray) -> pa.RecordBatch:
+            sums = [pa.array(values[:, i]) for i in range(p + 1)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(sites, kind), *sums, _lists(values[:, p + 1 :])], names=["site", *[_pair(0, i) for i in range(p + 1)], "products"]
+            )
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field(0).type
+            sites, values = batch.column(0).to_pylist(), _matrix_of(batch.column(1), 1 + p + pairs).copy()
+            gap = values[:, 1 : p + 1] - centre
+            values[:, p + 1 :] += values[:, [0]] * gap[:, upper[0]] * gap[:, upper[1]]
+            values[:, 1 : p + 1] = values[:, [0]] * gap
+            if last is not None:
+                sites, values = [last[0], *sites], np.vstack([last[1], values])
+            starts = [0, *[i for i in range(1, len(sites)) if sites[i] != sites[i - 1]]]
+            added = np.add.reduceat(values, starts, axis=0)
+            if len(starts) > 1:
+                yield table([sites[i] for i in starts[:-1]], added[:-1])
+            last = sites[-1], added[-1]
+        if last is not None:
+            yield table([last[0]], last[1][None])
+
+    made = ", ".join(f"{_pair(0, i)} double" for i in range(p + 1))
+    added = states.repartition("site").sortWithinPartitions("site").mapInArrow(add, f"site {key}, {made}, products array<double>")
+    return BatchedSiteMoments(durable(added.withColumnRenamed("site", site)), site, names, shift)
+
+
 def site_moments(frame: DataFrame, site: str, names: Sequence[str]) -> SiteMoments:
     """Moments per site, materialised: fits, scores and chains all read this table.
 
@@ -280,6 +567,8 @@ def site_moments(frame: DataFrame, site: str, names: Sequence[str]) -> SiteMomen
     those, site by site.
     """
     names = list(names)
+    if len(names) > AGGREGATED_COLUMNS:
+        return _batched_site_moments(frame, site, names)
     per_site = durable(frame.groupBy(site).agg(*_one_pass(names)))
     n = F.col("n").cast("double")
     weighted = [F.sum(n * F.col(f"m{i}")).alias(f"m{i}") for i in range(1, len(names) + 1)]
