@@ -21,7 +21,7 @@ def df(spark):
         (F.cos(F.col("id") * 0.3) * 5).alias("z"),
         F.when(F.col("id") % 50 != 3, F.sin(F.col("id") * F.col("id"))).alias("w"),
     )
-    return rows.withColumn("y", F.col("z") * 0.3 - F.col("w") + F.col("x") - 1e3 + F.sin(F.hash("site") % 7))
+    return rows.withColumn("y", F.col("z") * 0.3 - F.col("w") + F.col("x") - 1e3 + F.sin(F.hash("site") % 7) + F.sin(F.xxhash64("x")))
 
 
 def test_states_merge_to_the_whole():
