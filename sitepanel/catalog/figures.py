@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitepanel.catalog.models import FRAME, frame
+from sitepanel.catalog.modelsql import t_quantile_cte
 from sitepanel.catalog.registry import GAPPY_PANEL, SITE_PANEL, gappy_panel, query, rounded, site_panel
 from sitepanel.functions.normal import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_TAIL
 from sitepanel.operators import linear, plotdata, reshape
@@ -161,9 +162,27 @@ def trend_by_site(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(table, "slope", "intercept", "r_squared", "slope_error", "x_mean", "sxx", "sigma", digits=9)
 
 
+@query(f"""WITH RECURSIVE {SITE_PANEL},
+lines AS (SELECT site, {_TREND.format(x='CAST(year AS DOUBLE)', y='stems')} FROM site_panel GROUP BY site),
+exact AS (SELECT site, count(*) AS n, regr_slope(stems, year) AS b, regr_intercept(stems, year) AS a, min(year) AS low,
+    max(year) AS high, regr_avgx(stems, year) AS mid, regr_sxx(stems, year) AS sxx,
+    sqrt(greatest(regr_syy(stems, year) - pow(regr_sxy(stems, year), 2) / regr_sxx(stems, year), 0) / (count(*) - 2)) AS sigma
+  FROM site_panel GROUP BY site HAVING count(*) > 2),
+points AS (SELECT e.*, CAST(k AS INTEGER) AS point, low + k * (high - low) / 19.0 AS x FROM exact e, range(0, 20) t(k)),
+{t_quantile_cte('n - 2', 'exact')},
+errors AS (SELECT *, a + b * x AS fit, sigma * sqrt(1.0 / n + (x - mid) ** 2 / sxx) AS error FROM points)
+SELECT site, point, round(x, 4) AS x, round(fit, 4) AS fit, round(error, 4) AS std_error,
+       round(fit - t * error, 4) AS lower, round(fit + t * error, 4) AS upper
+FROM errors JOIN quantiles ON df = n - 2""")
+def trend_band(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of each site's trend line with confidence limits."""
+    lines = plotdata.trend_line(site_panel(spark, folder), "year", "stems", ["site"])
+    return rounded(plotdata.trend_band(lines, points=20), "x", "fit", "std_error", "lower", "upper", digits=4)
+
+
 @query(f"""WITH {GAPPY_PANEL}
-SELECT site, year, 'ln_stems' AS variable, round(ln(stems + 1), 6) AS value FROM gappy_panel
-UNION ALL SELECT site, year, 'ln_insects', round(ln(insects + 1), 6) FROM gappy_panel""")
+SELECT site, year, 'ln_stems' AS variable, round(ln(stems + 1), 4) AS value FROM gappy_panel
+UNION ALL SELECT site, year, 'ln_insects', round(ln(insects + 1), 4) FROM gappy_panel""")
 def trend_series(spark: SparkSession, folder: str) -> DataFrame:
     """Two log series per site in long form."""
     logged = gappy_panel(spark, folder).select(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitepanel.catalog.modelsql import fixed_part, linear_ctes, mixed_ctes, names_cte, t_tail
+from sitepanel.catalog.modelsql import (
+    f_tail, fixed_part, linear_ctes, mixed_ctes, names_cte, t_quantile_cte, t_tail,
+)
 from sitepanel.catalog.registry import (
     GAPPY_PANEL,
     READINGS,
@@ -103,21 +105,22 @@ def lm_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 _ANOVA_SQL = """SELECT 'response' AS response, CAST(s.step AS INTEGER) AS position, t.term, CAST(1 AS DOUBLE) AS df,
   round(s.v * s.v / d.v, 4) AS sum_sq, round(s.v * s.v / d.v, 4) AS mean_sq,
-  round(s.v * s.v / d.v / (r.v / (n - p)), 4) AS f_value
+  round(s.v * s.v / d.v / (r.v / (n - p)), 4) AS f_value,
+  round({tail}, 5) AS p_value
 FROM swept s JOIN swept d ON d.step = s.step AND d.i = s.step AND d.j = s.step JOIN names t ON t.k = s.step,
      (SELECT v FROM swept WHERE step = {p} AND i = {p} AND j = {p}) r, dims
 WHERE s.step BETWEEN 1 AND {p} - 1 AND s.i = s.step AND s.j = {p}
 UNION ALL
-SELECT 'response', {p}, 'Residuals', n - p, round(v, 4), round(v / (n - p), 4), NULL
+SELECT 'response', {p}, 'Residuals', n - p, round(v, 4), round(v / (n - p), 4), NULL, NULL
 FROM swept, dims WHERE step = {p} AND i = {p} AND j = {p}"""
 
 
 @query(f"""WITH RECURSIVE {FRAME}, {linear_ctes('frame', TERMS, ['response'])}, {names_cte(LABELS)}
-{_ANOVA_SQL.format(p=4)}""")
+{_ANOVA_SQL.format(p=4, tail=t_tail('(s.v / sqrt(d.v * r.v / (n - p)))', '(n - p)'))}""")
 def lm_anova(spark: SparkSession, folder: str) -> DataFrame:
     """Sequential sums of squares in term order."""
     fit = linear.fit_linear(frame(spark, folder), ["response"], TERMS)
-    return rounded(fit.anova().drop("p_value"), "sum_sq", "mean_sq", "f_value", digits=4)
+    return rounded(rounded(fit.anova(), "sum_sq", "mean_sq", "f_value", digits=4), "p_value", digits=5)
 
 
 @query(f"""WITH RECURSIVE {FRAME}, {linear_ctes('frame', TERMS, ['response'])},
@@ -125,12 +128,13 @@ parts AS (SELECT n, 4 AS rank, max(CASE WHEN step = 4 THEN v END) AS rss, max(CA
           FROM swept, dims WHERE i = 4 AND j = 4 GROUP BY n)
 SELECT 'response' AS response, n, rank, round(sqrt(rss / (n - 4)), 6) AS sigma, round(1 - rss / tss, 6) AS r_squared,
        round(1 - rss / tss * (n - 1) / (n - 4), 6) AS adj_r_squared,
-       round((tss - rss) / 3 / (rss / (n - 4)), 4) AS f_value
+       round((tss - rss) / 3 / (rss / (n - 4)), 4) AS f_value,
+       round({f_tail('((tss - rss) / 3 / (rss / (n - 4)))', '3', '(n - 4)')}, 5) AS p_value
 FROM parts""")
 def lm_summary(spark: SparkSession, folder: str) -> DataFrame:
     fit = linear.fit_linear(frame(spark, folder), ["response"], TERMS)
-    table = fit.summary().drop("p_value")
-    return rounded(rounded(table, "sigma", "r_squared", "adj_r_squared"), "f_value", digits=4)
+    table = rounded(rounded(fit.summary(), "sigma", "r_squared", "adj_r_squared"), "f_value", digits=4)
+    return rounded(table, "p_value", digits=5)
 
 
 _INTERACTION = ["insects", "rain", "(insects * rain)"]
@@ -222,15 +226,16 @@ def lmm_variances(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {FRAME}, {_REML}, {names_cte(LABELS)}
 SELECT 'response' AS response, CAST(s.step AS INTEGER) AS position, t.term, CAST(1 AS DOUBLE) AS df,
-       round(s.v * s.v / d.v, 4) AS sum_sq, round(s.v * s.v / d.v / s2, 3) AS f_value
+       round(s.v * s.v / d.v, 4) AS sum_sq, round(s.v * s.v / d.v / s2, 3) AS f_value,
+       round({t_tail('(s.v / sqrt(d.v * s2))', '(n - g - p + 1)')}, 5) AS p_value
 FROM w4 s JOIN best b ON s.theta = b.theta JOIN w4 d ON d.theta = s.theta AND d.step = s.step AND d.i = s.step AND d.j = s.step
 JOIN names t ON t.k = s.step, vars
 WHERE s.step BETWEEN 1 AND 3 AND s.i = s.step AND s.j = 4
-UNION ALL SELECT 'response', 4, 'Residuals', CAST(n - g - p + 1 AS DOUBLE), NULL, NULL FROM vars""")
+UNION ALL SELECT 'response', 4, 'Residuals', CAST(n - g - p + 1 AS DOUBLE), NULL, NULL, NULL FROM vars""")
 def lmm_anova(spark: SparkSession, folder: str) -> DataFrame:
     """Sequential tests of the fixed effects, given the variance ratio."""
-    table = _fit(spark, folder, reml=True).anova().drop("mean_sq", "p_value")
-    return rounded(rounded(table, "sum_sq", digits=4), "f_value", digits=3)
+    table = _fit(spark, folder, reml=True).anova().drop("mean_sq", "df_den")
+    return rounded(rounded(rounded(table, "sum_sq", digits=4), "f_value", digits=3), "p_value", digits=5)
 
 
 @query(f"""WITH RECURSIVE {FRAME}, {_ML}, {names_cte(LABELS)},
@@ -253,7 +258,7 @@ SELECT 'response' AS response, CAST(step AS INTEGER) AS position, term, CAST(1 A
 UNION ALL SELECT 'response', 4, 'Residuals', CAST(n - g - p + 1 AS DOUBLE), NULL, NULL, NULL FROM vars""")
 def lmm_anova_ml(spark: SparkSession, folder: str) -> DataFrame:
     """Sequential tests of a maximum-likelihood fit, with the intercept's line and the rescaled variance."""
-    table = _fit(spark, folder, reml=False).anova(adjust_sigma=True, intercept=True).drop("mean_sq")
+    table = _fit(spark, folder, reml=False).anova(adjust_sigma=True, intercept=True).drop("mean_sq", "df_den")
     return rounded(rounded(rounded(table, "sum_sq", digits=4), "f_value", digits=3), "p_value", digits=5)
 
 
@@ -493,11 +498,69 @@ points AS (SELECT lo + k * (hi - lo) / 49 AS rain, [1.0, s, i, lo + k * (hi - lo
            FROM centre, range(0, 50) t(k)),
 lines AS (SELECT q.rain, sum(-f.v * x[f.i + 1] * x[f.j + 1]) AS shape FROM points q, final f
           WHERE f.i < 5 AND f.j < 5 GROUP BY q.rain),
-fits AS (SELECT q.rain, sum(c.b * x[c.k + 1]) AS fit FROM points q, coef c GROUP BY q.rain)
-SELECT round(f.rain, 6) AS rain, round(fit, 6) AS fit, round(sqrt(shape * s2), 6) AS std_error
-FROM fits f JOIN lines l ON f.rain = l.rain, vars""")
+fits AS (SELECT q.rain, sum(c.b * x[c.k + 1]) AS fit FROM points q, coef c GROUP BY q.rain),
+{t_quantile_cte('n - g - p + 1', 'vars')}
+SELECT round(f.rain, 6) AS rain, round(fit, 6) AS fit, round(sqrt(shape * s2), 6) AS std_error,
+       round(fit - t * sqrt(shape * s2), 6) AS lower, round(fit + t * sqrt(shape * s2), 6) AS upper
+FROM fits f JOIN lines l ON f.rain = l.rain, vars, quantiles""")
 def effect_line(spark: SparkSession, folder: str) -> DataFrame:
     """Prediction along one term at the mean of the others; its interaction moves along."""
     fit, rows = _fit_with_rows(spark, folder, _CROSSED, reml=False)
     low, high = rows.agg(F.min("rain"), F.max("rain")).first()
-    return rounded(rounded(fit.effect_line("rain", low, high), "fit", "std_error"), "rain")
+    return rounded(fit.effect_line("rain", low, high), "rain", "fit", "std_error", "lower", "upper")
+
+
+_SITED = f"""{FRAME},
+sited AS (SELECT f.*, CAST(c_nationkey AS DOUBLE) AS nation FROM frame f JOIN customer ON site = c_custkey)"""
+_SITE_TERMS = ["stems_lag1", "nation", "insects"]
+
+
+def _sited_fit(spark: SparkSession, folder: str) -> mixed.MixedFit:
+    nations = read_parquet(spark, folder, "customer").select(
+        F.col("c_custkey").alias("site"), F.col("c_nationkey").cast("double").alias("nation")
+    )
+    return mixed.fit_mixed(frame(spark, folder).join(nations, ["site"]), "response", _SITE_TERMS, "site", reml=True)
+
+
+_DEN = "CASE WHEN k = 2 THEN g - 1 - 1 ELSE n - g - 2 END"  # one term of the sites, two inside them
+
+
+@query(f"""WITH RECURSIVE {_SITED}, {mixed_ctes('sited', 'site', _SITE_TERMS, 'response', reml=True)},
+{names_cte(['(Intercept)', *_SITE_TERMS])},
+est AS (SELECT t.term, c.b, c.se, {_DEN.replace('k =', 'c.k =')} AS df FROM coef c JOIN names t ON c.k = t.k, vars v)
+SELECT 'response' AS response, term, round(b, 6) AS estimate, round(se, 6) AS std_error, CAST(df AS DOUBLE) AS df,
+       round(b / se, 5) AS t_value, round({t_tail('(b / se)', 'df')}, 6) AS p_value FROM est""")
+def lmm_site_term(spark: SparkSession, folder: str) -> DataFrame:
+    """A term that is constant within every site is tested with the sites' degrees of freedom."""
+    return _shown_mixed(_sited_fit(spark, folder).coefficients())
+
+
+@query(f"""WITH RECURSIVE {_SITED}, {mixed_ctes('sited', 'site', _SITE_TERMS, 'response', reml=True)},
+{names_cte(['(Intercept)', *_SITE_TERMS])},
+lines AS (SELECT s.step AS k, t.term, s.v * s.v / d.v AS ss, s2, CAST({_DEN.replace('k =', 's.step =')} AS DOUBLE) AS df
+  FROM w4 s JOIN best b ON s.theta = b.theta
+  JOIN w4 d ON d.theta = s.theta AND d.step = s.step AND d.i = s.step AND d.j = s.step
+  JOIN names t ON t.k = s.step, vars WHERE s.step BETWEEN 1 AND 3 AND s.i = s.step AND s.j = 4)
+SELECT 'response' AS response, CAST(k AS INTEGER) AS position, term, CAST(1 AS DOUBLE) AS df, df AS df_den, round(ss, 4) AS sum_sq,
+       round(ss / s2, 3) AS f_value, round({t_tail('sqrt(ss / s2)', 'df')}, 5) AS p_value FROM lines
+UNION ALL SELECT 'response', 4, 'Residuals', CAST(n - g - 2 AS DOUBLE), NULL, NULL, NULL, NULL FROM vars""")
+def lmm_site_term_anova(spark: SparkSession, folder: str) -> DataFrame:
+    table = _sited_fit(spark, folder).anova().drop("mean_sq")
+    return rounded(rounded(rounded(table, "sum_sq", digits=4), "f_value", digits=3), "p_value", digits=5)
+
+
+_FIRST = f"""{mixed_ctes('frame', 'site', ['stems_lag1'], 'response', False, 'a_')},
+left_over AS (SELECT f.*, response - ({fixed_part(['stems_lag1'], 'a_')} + u) AS rest
+              FROM frame f JOIN a_effects e ON f.site = e.site),
+{mixed_ctes('left_over', 'site', ['rain'], 'rest', False, 'r_')},
+{mixed_ctes('left_over', 'site', ['ln_grass'], 'rest', False, 'g_')}"""
+
+
+@query(f"""WITH RECURSIVE {FRAME}, {_FIRST}
+{_chain_step(1, 'response', 'a_', ['(Intercept)', 'stems_lag1'], 'frame', ['stems_lag1'])}
+UNION ALL {_chain_step(2, 'first_residual', 'r_', ['(Intercept)', 'rain'], 'left_over', ['rain'])}
+UNION ALL {_chain_step(3, 'first_residual', 'g_', ['(Intercept)', 'ln_grass'], 'left_over', ['ln_grass'])}""")
+def residual_first_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Residuals of the density model on terms outside it."""
+    chain = mixed.residual_first_chain(frame(spark, folder), "response", ["stems_lag1"], "site", ["rain", "ln_grass"])
+    return rounded(chain, "estimate", "std_error", "r2_marginal", "r2_conditional")

@@ -68,6 +68,29 @@ def t_tail(t: str, df: str) -> str:
     return f"greatest(0.0, 1 - {integral} * 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()))"
 
 
+def f_tail(f: str, df1: str, df2: str) -> str:
+    """Upper F tail by Simpson's rule in the angle whose squared tangent is f * df1 / df2."""
+    a = f"atan(sqrt({f} * {df1} / {df2}))"
+    weight = "CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    integral = (
+        f"list_sum(list_transform(range(0, 2001), lambda k: ({weight}) * pow(sin(k * {a} / 2000), {df1} - 1)"
+        f" * pow(cos(k * {a} / 2000), {df2} - 1))) * {a} / 6000"
+    )
+    return (
+        f"greatest(0.0, 1 - {integral} * 2 * exp(lgamma(({df1} + {df2}) / 2.0) - lgamma({df1} / 2.0) - lgamma({df2} / 2.0)))"
+    )
+
+
+def t_quantile_cte(df: str, source: str, level: float = 0.95, label: str = "quantiles") -> str:
+    """``label(df, t)``: two-sided t quantiles of the distinct ``df`` of ``source``, by Newton steps on the tail."""
+    density = f"exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi() * df) * pow(1 + t * t / df, -(df + 1) / 2.0)"
+    return f"""newton_{label} AS (
+  SELECT 0 AS turn, df, CAST(1 AS DOUBLE) AS t FROM (SELECT DISTINCT CAST({df} AS DOUBLE) AS df FROM {source}) WHERE df >= 1
+  UNION ALL
+  SELECT turn + 1, df, t + ({t_tail('t', 'df')} - {1 - level!r}) / (2 * {density}) FROM newton_{label} WHERE turn < 12),
+{label} AS (SELECT df, t FROM newton_{label} WHERE turn = 12)"""
+
+
 def mixed_ctes(
     frame: str, site: str, xs: Sequence[str], y: str, reml: bool, prefix: str = "", subsets: str | None = None
 ) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitepanel.functions.numerics import f_upper, sweep, t_two_sided
+from sitepanel.functions.student import t_two_sided_quantile
 from sitepanel.operators.joins import BROADCAST_ROWS, lookup_join
 from sitepanel.operators.linear import ANOVA, COEFFICIENTS, _number, raw_coefficients
 from sitepanel.operators.moments import (
@@ -40,6 +41,9 @@ FIT = (
     "response string, method string, n double, sites double, rank int, theta double, "
     "var_site double, var_resid double, log_lik double, aicc double"
 )
+MIXED_ANOVA = f"{ANOVA}, df_den double"
+# A term that varies less than this share inside the sites is one of the sites.
+SITE_CONSTANT = 1e-9
 R_SQUARED = "response string, r2_marginal double, r2_conditional double"
 
 
@@ -142,10 +146,28 @@ class MixedFit:
         self._total = classes.total[np.ix_(index, index)]
         self._centred = np.nan_to_num(self.swept.beta[:, 0])
 
+        # what of each term varies inside the sites, from the moments of rows and of site sums
+        places = [self.moments.index(t) for t in self.terms]
+        rows = np.array([classes.total[j, j] for j in places])
+        between = np.array([(classes.outer[:, j, j] / classes.sizes).sum() for j in places])
+        self.of_sites = [
+            bool(r - b <= SITE_CONSTANT * r) and j + 1 in self.swept.kept
+            for j, (r, b) in enumerate(zip(rows, between))
+        ]
+
     @property
     def df_within(self) -> float:
-        """Denominator degrees of freedom of terms that vary inside sites."""
-        return self.n - self.sites - (self.rank - 1)
+        """Denominator degrees of freedom of the intercept and of terms that vary inside sites."""
+        return self.n - self.sites - (self.rank - 1 - sum(self.of_sites))
+
+    @property
+    def df_between(self) -> float:
+        """Denominator degrees of freedom of terms that are constant within every site."""
+        return self.sites - 1.0 - sum(self.of_sites)
+
+    def df_of(self, j: int) -> float:
+        """Denominator degrees of freedom of the coefficient at place ``j``, the intercept first."""
+        return self.df_between if j and self.of_sites[j - 1] else self.df_within
 
     def raw(self) -> tuple[np.ndarray, np.ndarray]:
         shift = self.moments.shift
@@ -165,8 +187,8 @@ class MixedFit:
             se = math.sqrt(cov[j, j] * factor) if math.isfinite(cov[j, j]) else math.nan
             t = beta[j] / se if se else math.nan
             rows.append(
-                (self.response, term, _number(beta[j]), _number(se), self.df_within, _number(t),
-                 t_two_sided(t, self.df_within))
+                (self.response, term, _number(beta[j]), _number(se), self.df_of(j), _number(t),
+                 t_two_sided(t, self.df_of(j)))
             )
         return self.spark.createDataFrame(rows, COEFFICIENTS)
 
@@ -175,7 +197,8 @@ class MixedFit:
 
         ``adjust_sigma`` divides by the residual variance rescaled by n/(n-p), as
         is usual for single maximum-likelihood fits; ``intercept`` adds its line.
-        All terms are tested with the degrees of freedom inside sites.
+        ``df_den`` are the denominator degrees of freedom, those of the sites for
+        terms that are constant within every site.
         """
         factor = self.n / (self.n - self.rank) if adjust_sigma and not self.reml else 1.0
         residual = self.var_resid * factor
@@ -184,17 +207,18 @@ class MixedFit:
             level = self._sum_of_response / self._sum_of_weights + self.moments.shift[self.response]
             ss = float(self._sum_of_weights * level**2)
             f = ss / residual if residual else math.nan
-            rows.append((self.response, 0, "(Intercept)", 1.0, ss, ss, _number(f), f_upper(f, 1.0, self.df_within)))
+            rows.append((self.response, 0, "(Intercept)", 1.0, ss, ss, _number(f), f_upper(f, 1.0, self.df_within), self.df_within))
         for j, term in enumerate(self.terms, start=1):
             ss = float(self.swept.drop[j, 0])
             if not math.isfinite(ss):
                 continue
             f = ss / residual if residual else math.nan
-            rows.append((self.response, j, term, 1.0, ss, ss, _number(f), f_upper(f, 1.0, self.df_within)))
+            df = self.df_of(j)
+            rows.append((self.response, j, term, 1.0, ss, ss, _number(f), f_upper(f, 1.0, df), df))
         rows.append(
-            (self.response, len(self.terms) + 1, "Residuals", self.df_within, None, residual, None, None)
+            (self.response, len(self.terms) + 1, "Residuals", self.df_within, None, residual, None, None, None)
         )
-        return self.spark.createDataFrame(rows, ANOVA)
+        return self.spark.createDataFrame(rows, MIXED_ANOVA)
 
     def variances(self) -> DataFrame:
         rows = [
@@ -327,8 +351,8 @@ class MixedFit:
             (F.col("leverage") > 2.0 * self.rank / self.n).alias("high_leverage"),
         )
 
-    def effect_line(self, term: str, low: float, high: float, points: int = 50) -> DataFrame:
-        """Prediction and standard error along one column, the other columns at their mean.
+    def effect_line(self, term: str, low: float, high: float, points: int = 50, level: float = 0.95) -> DataFrame:
+        """Prediction, standard error and confidence limits along one column, the other columns at their mean.
 
         Interactions that contain the column move with it.
         """
@@ -355,7 +379,11 @@ class MixedFit:
             fit = fit + F.lit(float(beta[i])) * a
             for j, b in enumerate(values):
                 variance = variance + F.lit(float(cov[i, j])) * a * b
-        return grid.select(term, fit.alias("fit"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_error"))
+        line = grid.select(term, fit.alias("fit"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_error"))
+        # the degrees of freedom are one number here: its quantile is computed once, not per point
+        quantile = self.spark.range(1).select(t_two_sided_quantile(level, F.lit(self.df_within))).first()[0]
+        half = F.lit(quantile).cast("double") * F.col("std_error")
+        return line.withColumns({"lower": F.col("fit") - half, "upper": F.col("fit") + half})
 
 
 def aicc_of(log_lik: float, k: int, n: float) -> float:
@@ -442,6 +470,39 @@ CHAIN = (
 )
 
 
+def _chain_rows(steps: Sequence[MixedFit]) -> list[tuple]:
+    rows = []
+    for number, fit in enumerate(steps, start=1):
+        beta, cov = fit.raw()
+        marginal, conditional = fit.r_squared_values()
+        for j, term in enumerate(["(Intercept)", *fit.terms]):
+            rows.append(
+                (number, fit.response, term, _number(beta[j]), _number(math.sqrt(cov[j, j])),
+                 marginal, conditional)
+            )
+    return rows
+
+
+def residual_first_chain(
+    df: DataFrame, response: str, formula: Sequence[str], site: str, others: Sequence[str], reml: bool = False
+) -> DataFrame:
+    """Residuals of a first model, site effect included, regressed on terms outside it.
+
+    Every step is a random-intercept fit on the complete cases of all columns.
+    The residuals' moments follow from the pooled ones, so no residual is
+    computed for a row and the rows are read once.
+    """
+    spark = df.sparkSession
+    terms = expand_terms(formula)
+    columns = list(dict.fromkeys([*terms, *others]))
+    frame = model_frame(df, [response], columns, keep=[site])
+    moments = site_moments(frame, site, [*columns, response]).pooled
+    first = fit_pooled(spark, moments, response, terms, reml)
+    left = first.with_fitted("first_fitted", "first_residual")
+    steps = [first, *[fit_pooled(spark, left, "first_residual", [term], reml) for term in others]]
+    return spark.createDataFrame(_chain_rows(steps), CHAIN)
+
+
 def residual_chain(
     df: DataFrame,
     response: str,
@@ -469,13 +530,4 @@ def residual_chain(
     left = base.with_fitted("density_fitted", "density_residual")
     steps = [full, base]
     steps += [fit_pooled(spark, left, "density_residual", [term], reml) for term in others]
-    rows = []
-    for number, fit in enumerate(steps, start=1):
-        beta, cov = fit.raw()
-        marginal, conditional = fit.r_squared_values()
-        for j, term in enumerate(["(Intercept)", *fit.terms]):
-            rows.append(
-                (number, fit.response, term, _number(beta[j]), _number(math.sqrt(cov[j, j])),
-                 marginal, conditional)
-            )
-    return spark.createDataFrame(rows, CHAIN)
+    return spark.createDataFrame(_chain_rows(steps), CHAIN)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitepanel.functions.normal import probit
 from sitepanel.functions.numerics import pretty_breaks
+from sitepanel.functions.student import t_two_sided_quantile
 from sitepanel.session import durable
 
 DENSITY_POINTS = 512
@@ -203,6 +204,9 @@ def binned_points(df: DataFrame, x: str, y: str, cell_x: float, cell_y: float) -
     )
 
 
+TREND_COLUMNS = ("n", "slope", "intercept", "r_squared", "x_min", "x_max", "slope_error", "x_mean", "sxx", "sigma")
+
+
 def trend_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line of a scatter plot, overall or per group, with its x range.
 
@@ -230,3 +234,23 @@ def trend_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
         .withColumns({"x_mean": F.col("_mean"), "sxx": F.col("_sxx"), "sigma": F.when(F.col("n") > 2, sigma)})
         .drop("_sxx", "_syy", "_sxy", "_mean")
     )
+
+
+def trend_band(lines: DataFrame, points: int = 80, level: float = 0.95) -> DataFrame:
+    """Points of each trend line over its x range, with the confidence limits of the mean.
+
+    ``lines`` comes from ``trend_line``.  The limits have n - 2 degrees of
+    freedom; they are NULL for groups of fewer than three points, and groups
+    without a slope have no points.
+    """
+    keys = [c for c in lines.columns if c not in TREND_COLUMNS]
+    spread = lines.where(F.col("slope").isNotNull()).withColumn("_t", t_two_sided_quantile(level, F.col("n") - 2))
+    step = (F.col("x_max") - F.col("x_min")) / F.lit(points - 1)
+    along = spread.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("x_min") + F.col("_k") * step)
+    gap = F.col("x") - F.col("x_mean")
+    error = F.col("sigma") * F.sqrt(1.0 / F.col("n") + F.try_divide(gap * gap, F.col("sxx")))
+    fit = F.col("intercept") + F.col("slope") * F.col("x")
+    return along.select(
+        *keys, F.col("_k").alias("point"), "x", fit.alias("fit"), error.alias("std_error"),
+        (fit - F.col("_t") * error).alias("lower"), (fit + F.col("_t") * error).alias("upper"),
+    )
