@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitepanel.catalog.models import _chain_step, _linear_coefficients, _shown
 from sitepanel.catalog.modelsql import fixed_part, linear_ctes, mixed_ctes, names_cte, tree_ctes
 from sitepanel.catalog.panels import (
+    cover_growth_ctes,
+    cover_growth_rows,
     growth_ctes,
     growth_rows,
     interaction_ctes,
@@ -16,9 +19,11 @@ from sitepanel.catalog.panels import (
 )
 from sitepanel.catalog.registry import query, rounded
 from sitepanel.functions.calendar import MONTH_NAMES
-from sitepanel.operators import linear, mixed, selection
+from sitepanel.operators import linear, missing, mixed, selection
 from sitepanel.operators.moments import expand_terms, model_frame, site_moments
 from sitepanel.plans import growth, interactions
+from sitepanel.plans.rules import GROWN, RESPONSES
+from sitepanel.session import durable
 
 
 def _complete(frame: str, columns: list[str]) -> str:
@@ -40,10 +45,15 @@ def _subset_rule(terms: list[str]) -> str:
     return f"SELECT k AS subset FROM range(0, {2 ** len(terms)}) t(k) WHERE {' AND '.join(rules) or 'true'}"
 
 
-def _selection_sql(ctes: str, frame: str, response: str, terms: list[str], reml: bool) -> str:
+_WHOLE = "model_rows AS (SELECT * FROM {} WHERE COLUMNS(*) IS NOT NULL)"
+
+
+def _selection_sql(ctes: str, frame: str, response: str, terms: list[str], reml: bool, whole: bool = False) -> str:
+    """``whole`` takes the rows without any missing value instead of those complete in the model's columns."""
     mains = [t for t in terms if ":" not in t]
+    rows = _WHOLE.format(frame) if whole else _complete(frame, [response, *mains])
     fits = mixed_ctes("model_rows", "site", [_sql_term(t) for t in terms], response, reml, subsets=_subset_rule(terms))
-    return f"""WITH RECURSIVE {ctes}, {_complete(frame, [response, *mains])}, {fits},
+    return f"""WITH RECURSIVE {ctes}, {rows}, {fits},
 scored AS (SELECT *, -2 * ll + 2 * (p + 2) + 2.0 * (p + 2) * (p + 3) / (n - p - 3) AS aicc FROM vars),
 ranked AS (SELECT *, aicc - min(aicc) OVER () AS delta, exp(-(aicc - min(aicc) OVER ()) / 2) AS relative FROM scored),
 weighted AS (SELECT *, relative / sum(relative) OVER () AS weight FROM ranked)"""
@@ -80,13 +90,76 @@ def _shown_averages(table: DataFrame) -> DataFrame:
 
 
 _VEGETATION = list(growth.VEGETATION_TERMS)
-_VEGETATION_SQL = _selection_sql(growth_ctes(), "growth_frame", growth.RESPONSE, _VEGETATION, reml=True)
+_VEGETATION_SQL = _selection_sql(growth_ctes(), "growth_frame", growth.RESPONSE, _VEGETATION, reml=True, whole=True)
 
 
 @query(f"{_VEGETATION_SQL} {_RANKING}")
 def vegetation_selection(spark: SparkSession, folder: str) -> DataFrame:
-    """All subsets of the vegetation model of stem growth."""
-    return _shown_ranking(_ranked(growth_rows(spark, folder), growth.RESPONSE, _VEGETATION, reml=True))
+    """All subsets of the vegetation model of stem growth, on the rows without any missing value."""
+    whole = growth_rows(spark, folder).dropna(how="any")
+    return _shown_ranking(_ranked(whole, growth.RESPONSE, _VEGETATION, reml=True))
+
+
+_LEFT_TERMS = list(growth.VEGETATION_LEFT_TERMS)
+_VEGETATION_CHAIN = ",\n".join([
+    mixed_ctes("model_rows", "site", _VEGETATION, growth.RESPONSE, True, "a_"),
+    f"""fitted AS (SELECT f.*, {fixed_part(_VEGETATION, 'a_')} + u AS fitted FROM model_rows f JOIN a_effects e ON f.site = e.site)""",
+    mixed_ctes("fitted", "site", _VEGETATION[:1], "fitted", True, "d_"),
+    f"""left_over AS (SELECT f.*, fitted - ({fixed_part(_VEGETATION[:1], 'd_')} + u) AS rest
+              FROM fitted f JOIN d_effects e ON f.site = e.site)""",
+    *[mixed_ctes("left_over", "site", [t], "rest", True, f"t{k}_") for k, t in enumerate(_LEFT_TERMS)],
+])
+_LEFT_STEPS = "\n".join(
+    f"UNION ALL {_chain_step(3 + k, 'density_residual', f't{k}_', ['(Intercept)', t], 'left_over', [t])}"
+    for k, t in enumerate(_LEFT_TERMS)
+)
+
+
+@query(f"""WITH RECURSIVE {growth_ctes()}, {_WHOLE.format('growth_frame')}, {_VEGETATION_CHAIN}
+{_chain_step(1, growth.RESPONSE, 'a_', ['(Intercept)', *_VEGETATION], 'model_rows', _VEGETATION)}
+UNION ALL {_chain_step(2, 'full_fitted', 'd_', ['(Intercept)', _VEGETATION[0]], 'fitted', _VEGETATION[:1])}
+{_LEFT_STEPS}""")
+def vegetation_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """What density leaves of the vegetation model's fit, on each kind of cover, on the rows without any missing value."""
+    whole = growth_rows(spark, folder).dropna(how="any")
+    chain = mixed.residual_chain(whole, growth.RESPONSE, _VEGETATION, "site", _VEGETATION[0], _LEFT_TERMS, reml=True)
+    return rounded(chain, "estimate", "std_error", "r2_marginal", "r2_conditional")
+
+
+_PATTERN_COLUMNS = sorted(
+    ["site", "year", *[f"{p}{m}{q}" for m in ("stems", "grass", "insects") for p, q in (("", ""), ("ln_", "_lag1"), ("growth_ln_", ""))],
+     "water_year_pr", "coldest", "rain_lag1", "coldest_lag1", "county"]
+)
+_MISSING_SQL = "list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _PATTERN_COLUMNS) + "], lambda c: c IS NOT NULL)"
+
+
+@query(f"""WITH {growth_ctes()}, marked AS (SELECT {_MISSING_SQL} AS m FROM growth_frame)
+SELECT array_to_string(m, ',') AS missing, CAST(len(m) AS INTEGER) AS n_missing, count(*) AS rows FROM marked GROUP BY m""")
+def missing_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Which columns of the growth panel are missing together, and in how many rows."""
+    table = missing.missing_patterns(growth_rows(spark, folder), _PATTERN_COLUMNS)
+    return table.withColumn("missing", F.array_join("missing", ","))
+
+
+_CHOICES = {
+    "survey": ["site", "year", "stems"], "density": [growth.RESPONSE, *growth.DENSITY_TERMS], "climate": ["water_year_pr", "coldest"],
+    "whole": _PATTERN_COLUMNS,
+}
+_KEPT_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS choice, count(*) FILTER ({" AND ".join(f"{c} IS NOT NULL" for c in columns)}) AS kept,
+  count(*) FILTER (NOT ({" AND ".join(f"{c} IS NOT NULL" for c in columns)})) AS dropped,
+  array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN count({c}) < count(*) THEN '{c}' END" for c in columns)}],
+    lambda c: c IS NOT NULL)), ',') AS at_fault,
+  count(*) FILTER (NOT ({" AND ".join(f"{c} IS NOT NULL" for c in columns)})) > 0 AS fails FROM growth_frame"""
+    for name, columns in _CHOICES.items()
+)
+
+
+@query(f"WITH {growth_ctes()} {_KEPT_SQL}")
+def complete_case_choices(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that each model's columns would keep of the growth panel, and what a strict fit would report."""
+    used = sorted({c for columns in _CHOICES.values() for c in columns})
+    return missing.rows_kept(missing.missing_patterns(growth_rows(spark, folder), used), _CHOICES)
 
 
 _FULL = list(growth.FULL_TERMS)
@@ -124,7 +197,7 @@ def growth_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SEASON_TERMS = ["spring_pr", "summer_pr", "autumn_pr", "winter_pr"]
-_COVER = ["target_weed", "other_weed", "forbs", "grass", "bare_ground"]
+_COVER = list(RESPONSES)
 _MONTH_TERMS = [f"{m}_max" for m in MONTH_NAMES]
 
 
@@ -153,6 +226,67 @@ def month_cover_models(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(linear.fit_linear(season_rows(spark, folder), _COVER, _MONTH_TERMS).coefficients())
 
 
+_CHANGES = [f"{c}_change" for c in GROWN]
+
+
+def _many_mixed_sql(ctes: str, frame: str, terms: list[str], responses: list[str]) -> str:
+    """Coefficients of one random-intercept model per response."""
+    fits = ",\n".join(mixed_ctes(frame, "site", terms, y, False, f"y{k}_") for k, y in enumerate(responses))
+    tables = " UNION ALL ".join(
+        f"""SELECT '{y}' AS response, term, round(b, 5) AS estimate, round(se, 5) AS std_error, CAST(n - g - p + 1 AS DOUBLE) AS df,
+  round(b / se, 3) AS t_value, round(theta, 4) AS theta, round(ll, 3) AS log_lik
+FROM y{k}_coef JOIN names USING (k), y{k}_vars"""
+        for k, y in enumerate(responses)
+    )
+    return f"WITH RECURSIVE {ctes}, {fits}, {names_cte(['(Intercept)', *terms])} {tables}"
+
+
+def _shown_many(fits: mixed.MixedFits) -> DataFrame:
+    table = fits.coefficients().drop("p_value").join(fits.summary().select("response", "theta", "log_lik"), "response")
+    table = rounded(rounded(table, "estimate", "std_error", digits=5), "t_value", "log_lik", digits=3)
+    return rounded(table, "theta", digits=4)
+
+
+@query(_many_mixed_sql(cover_growth_ctes(), "grown", _SEASON_TERMS, _CHANGES))
+def cover_growth_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Growth of four cover classes on season rain, with a random intercept per site, from one pass."""
+    rows = cover_growth_rows(spark, folder)
+    return _shown_many(mixed.fit_mixed_many(rows, _CHANGES, _SEASON_TERMS, "site", na="fail"))
+
+
+_LOG_CHANGES, _LOG_SEASONS = [f"ln_{c}" for c in _CHANGES], [f"ln_{t}" for t in _SEASON_TERMS]
+
+
+@query(_many_mixed_sql(
+    f"{cover_growth_ctes()}, {_complete('grown', [*_LOG_CHANGES, *_LOG_SEASONS])}", "model_rows", _LOG_SEASONS, _LOG_CHANGES
+))
+def cover_growth_log_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same on shifted logs; changes below the shift are missing."""
+    rows = cover_growth_rows(spark, folder)
+    return _shown_many(mixed.fit_mixed_many(rows, _LOG_CHANGES, _LOG_SEASONS, "site"))
+
+
+@query(f"""WITH RECURSIVE {cover_growth_ctes()},
+{mixed_ctes('grown', 'site', _SEASON_TERMS, 'target_weed_change', reml=False)}
+SELECT f.site, f.year, round({fixed_part(_SEASON_TERMS)} + u, 4) AS fitted,
+       round(target_weed_change - ({fixed_part(_SEASON_TERMS)} + u), 4) AS residual
+FROM grown f JOIN effects e ON f.site = e.site""")
+def cover_growth_residuals(spark: SparkSession, folder: str) -> DataFrame:
+    """Fitted values and residuals of the target weed's growth: the rows behind its diagnostic plots."""
+    rows = durable(cover_growth_rows(spark, folder).select("site", "year", *_CHANGES, *_SEASON_TERMS))
+    fit = mixed.fit_mixed_many(rows, _CHANGES, _SEASON_TERMS, "site")["target_weed_change"]
+    return rounded(fit.score(rows).select("site", "year", "fitted", "residual"), "fitted", "residual", digits=4)
+
+
+@query(_many_mixed_sql(
+    f"{season_ctes()}, {_complete('season_frame', [*_MONTH_TERMS, *_COVER])}", "model_rows", _MONTH_TERMS[:4], _COVER
+))
+def month_cover_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Six cover classes on the maxima of the first four months, with a random intercept per site."""
+    rows = season_rows(spark, folder).dropna(how="any", subset=_MONTH_TERMS)
+    return _shown_many(mixed.fit_mixed_many(rows, _COVER, _MONTH_TERMS[:4], "site"))
+
+
 _SHORT = expand_terms(interactions.SHORT_TERMS)
 _SHORT_SQL = _selection_sql(interaction_ctes(), "interaction_frame", interactions.RESPONSE, _SHORT, reml=False)
 

@@ -24,7 +24,7 @@ from sitepanel.functions import scalars
 from sitepanel.operators import panel, reshape
 from sitepanel.plans.growth import growth_panel as growth_plan
 from sitepanel.plans.interactions import interaction_frame as interaction_plan
-from sitepanel.plans.rules import PanelRules
+from sitepanel.plans.rules import GROWN, PanelRules
 from sitepanel.plans.seasons import season_cover_frame as season_plan
 from sitepanel.plans.seasons import with_cover_growth
 from sitepanel.sources.tables import read_parquet
@@ -271,34 +271,43 @@ def season_cover_frame(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(season_rows(spark, folder), "total_cover")
 
 
-@query(f"""WITH {READINGS}, {SEASONS}, {SURVEYS}, {_COLLAPSED},
+_CHANGED = ", ".join(f"({c} - lag({c}) OVER w) / (lag({c}) OVER w + 1) * 100 AS {c}_change" for c in GROWN)
+_SEASON_RAIN = [f"{s}_pr" for s in ("spring", "summer", "autumn", "winter")]
+_LOGGED = [*[f"{c}_change" for c in GROWN], *_SEASON_RAIN]
+
+
+def cover_growth_ctes() -> str:
+    """SQL of the cover growth rows, with the shifted logs, as ``grown``."""
+    logs = ", ".join(f"CASE WHEN {c} + 92 > 0 THEN ln({c} + 92) END AS ln_{c}" for c in _LOGGED)
+    return f"""{READINGS}, {SEASONS}, {SURVEYS}, {_COLLAPSED},
 maxima AS (SELECT site, year, {_MAXIMA_SQL} FROM readings GROUP BY site, year
            HAVING count(CASE WHEN month = 1 THEN 1 END) > 0),
 joined AS (SELECT c.*, s.winter_pr, s.spring_pr, s.summer_pr, s.autumn_pr, {", ".join(f"{n}_max" for n in _MONTHS.values())}
            FROM collapsed c JOIN (SELECT * FROM seasons WHERE {_ALL_SEASONS}) s ON c.site = s.site AND c.year = s.year
            LEFT JOIN maxima m ON c.site = m.site AND c.year = m.year
            WHERE COLUMNS(c.*) IS NOT NULL),
-changed AS (SELECT *, (target_weed - lag(target_weed) OVER w) / (lag(target_weed) OVER w + 1) * 100 AS target_weed_change,
-                   (grass - lag(grass) OVER w) / (lag(grass) OVER w + 1) * 100 AS grass_change
-            FROM joined WINDOW w AS (PARTITION BY site ORDER BY year))
-SELECT site, year, round(target_weed_change, 5) AS target_weed_change, round(grass_change, 5) AS grass_change,
-       round(CASE WHEN target_weed_change + 92 > 0 THEN ln(target_weed_change + 92) END, 5) AS ln_target_weed_change,
-       round(CASE WHEN grass_change + 92 > 0 THEN ln(grass_change + 92) END, 5) AS ln_grass_change,
-       round(ln(spring_pr + 92), 6) AS ln_spring_pr, round(ln(winter_pr + 92), 6) AS ln_winter_pr
-FROM changed WHERE COLUMNS(*) IS NOT NULL""")
-def cover_growth_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Percent change of cover with the shifted logs its models use."""
+changed AS (SELECT *, {_CHANGED} FROM joined WINDOW w AS (PARTITION BY site ORDER BY year)),
+grown AS (SELECT *, {logs} FROM changed WHERE COLUMNS(*) IS NOT NULL)"""
+
+
+def cover_growth_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = reshape.collapse(surveys(spark, folder), ["site", "year"], MEASURES, "min")
     listed = rows.groupBy("site").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     frame = season_plan(
         readings(spark, folder), rows.select("site", "year", *MEASURES), listed, rules=PanelRules(min_span=0)
     )
-    grown = with_cover_growth(frame, ["target_weed", "grass"])
-    picked = grown.select(
-        "site", "year", "target_weed_change", "grass_change", "ln_target_weed_change", "ln_grass_change",
-        "ln_spring_pr", "ln_winter_pr",
-    )
-    changes = ["target_weed_change", "grass_change", "ln_target_weed_change", "ln_grass_change"]
+    return with_cover_growth(frame, GROWN)
+
+
+@query(f"""WITH {cover_growth_ctes()}
+SELECT site, year, {", ".join(f"round({c}_change, 5) AS {c}_change, round(ln_{c}_change, 5) AS ln_{c}_change" for c in GROWN)},
+       round(ln_spring_pr, 6) AS ln_spring_pr, round(ln_winter_pr, 6) AS ln_winter_pr
+FROM grown""")
+def cover_growth_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Percent change of each cover class with the shifted logs its models use."""
+    changes = [f"{c}_change" for c in GROWN]
+    changes += [f"ln_{c}" for c in changes]
+    picked = cover_growth_rows(spark, folder).select("site", "year", *changes, "ln_spring_pr", "ln_winter_pr")
     return rounded(rounded(picked, *changes, digits=5), "ln_spring_pr", "ln_winter_pr")
 
 
@@ -308,9 +317,10 @@ _INTERACTION_EXCLUDED = ["3", "7"]
 def interaction_ctes(digits: int | None = None) -> str:
     """SQL of the monthly interaction rows as ``interaction_frame``."""
     mean_pr = "CASE WHEN count(pr) = count(*) THEN sum(pr) / count(*) / 10 END"
-    mean_srad = "avg(srad)"
+    means = {f"mean_{v}": f"avg({v})" for v in ("srad", "swe", "soil")}
     if digits is not None:
-        mean_pr, mean_srad = f"round({mean_pr}, 9)", f"round({mean_srad}, 9)"
+        mean_pr, means = f"round({mean_pr}, 9)", {name: f"round({mean}, 9)" for name, mean in means.items()}
+    means = ", ".join(f"{mean} AS {name}" for name, mean in means.items())
     return f"""{READINGS}, {WATER}, {WINTERS}, {SURVEYS}, {_COLLAPSED},
 joined AS (SELECT c.*, a.water_year_pr / 10 AS water_year_pr, w.coldest FROM collapsed c
            LEFT JOIN water a ON c.site = a.site AND c.year = a.year
@@ -318,11 +328,11 @@ joined AS (SELECT c.*, a.water_year_pr / 10 AS water_year_pr, w.coldest FROM col
 kept AS (SELECT * FROM joined WHERE site IN (SELECT site FROM collapsed GROUP BY site HAVING count(*) >= 5)),
 lagged AS (SELECT *, {_growth_columns(2, digits)} FROM kept WINDOW w AS (PARTITION BY site ORDER BY year)),
 released AS (SELECT o_custkey AS site, CAST(min(year(o_orderdate)) AS INTEGER) AS release_year FROM orders GROUP BY 1),
-monthly AS (SELECT site, year, month, max(tmax) AS tmax, min(tmin) AS tmin, {mean_pr} AS mean_pr, {mean_srad} AS mean_srad
+monthly AS (SELECT site, year, month, max(tmax) AS tmax, min(tmin) AS tmin, {mean_pr} AS mean_pr, {means}
             FROM readings GROUP BY site, year, month),
 fanned AS (
   SELECT l.*, s.s_name AS site_name, s.s_nationkey AS county, r.release_year, m.month, m.tmax, m.tmin, m.mean_pr,
-         m.mean_srad, CAST(l.year - r.release_year AS DOUBLE) AS years_after_release
+         m.mean_srad, m.mean_swe, m.mean_soil, CAST(l.year - r.release_year AS DOUBLE) AS years_after_release
   FROM lagged l JOIN supplier s ON l.site = s.s_suppkey JOIN released r ON l.site = r.site
   JOIN monthly m ON l.site = m.site AND l.year = m.year
   WHERE l.site NOT IN (3, 7)),
@@ -339,6 +349,7 @@ def interaction_rows(spark: SparkSession, folder: str) -> DataFrame:
         releases,
         MEASURES,
         PanelRules(lag_mode="observed", rain_scale=10.0, excluded_sites=_INTERACTION_EXCLUDED),
+        means=("srad", "swe", "soil"),
     )
 
 
@@ -346,4 +357,4 @@ def interaction_rows(spark: SparkSession, folder: str) -> DataFrame:
 def interaction_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly rows of well-monitored sites with lags, metadata and years since release."""
     frame = interaction_rows(spark, folder)
-    return rounded(rounded(frame, *_log_columns(frame)), "mean_pr", "mean_srad", digits=9)
+    return rounded(rounded(frame, *_log_columns(frame)), "mean_pr", "mean_srad", "mean_swe", "mean_soil", digits=9)

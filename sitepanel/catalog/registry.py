@@ -109,6 +109,7 @@ def surveys(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_tax") * 100 + F.col("l_quantity") / 10).alias("forbs"),
         (F.col("l_extendedprice") / 2000 + F.col("l_discount") * 50).alias("grass"),
         (F.col("l_linenumber") + F.col("l_extendedprice") / 50000).alias("bare_ground"),
+        (F.col("l_discount") * 200 + F.col("l_linenumber") / 2).alias("moss"),
         (F.col("l_extendedprice") / 1000).alias("stems"),
         (F.col("l_quantity") + F.col("l_linenumber")).alias("insects"),
     )
@@ -118,6 +119,7 @@ SURVEYS = """surveys AS (
   SELECT l_suppkey AS site, CAST(year(l_shipdate) AS INTEGER) AS year, l_quantity AS target_weed,
          l_discount * 100 + l_extendedprice / 10000 AS other_weed, l_tax * 100 + l_quantity / 10 AS forbs,
          l_extendedprice / 2000 + l_discount * 50 AS grass, l_linenumber + l_extendedprice / 50000 AS bare_ground,
+         l_discount * 200 + l_linenumber / 2 AS moss,
          l_extendedprice / 1000 AS stems,
          l_quantity + l_linenumber AS insects
   FROM lineitem)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,3 +114,35 @@ def pretty_breaks(low: float, high: float, cells: int) -> list[float]:
     first = math.floor(low / unit + 1e-7)
     last = math.ceil(high / unit - 1e-7)
     return [k * unit for k in range(first, last + 1)]
+
+
+def falling_roots(
+    slope: Callable[[np.ndarray, np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, rounds: int = 80
+) -> np.ndarray:
+    """Where each of many functions falls through zero between its ``low`` and ``high``, all in one go (Illinois steps).
+
+    ``slope(which, at)`` gives the values of the functions ``which`` at ``at``;
+    a function that doesn't fall in its interval gives NaN.
+    """
+    low, high = low.astype(float).copy(), high.astype(float).copy()
+    every = np.arange(len(low))
+    up, down = slope(every, low), slope(every, high)
+    falls = (up > 0) & (down <= 0)
+    live = np.flatnonzero(falls)
+    side = np.zeros(len(low))
+    for turn in range(rounds):
+        live = live[high[live] - low[live] > 1e-14 * high[live]]
+        if not len(live):
+            break
+        x, y, f, g = low[live], high[live], up[live], down[live]
+        point = y - g * (y - x) / (g - f) if turn % 4 < 3 else np.where(x > 0, np.sqrt(x * y), y / 2)
+        point = np.clip(point, x + 1e-15 * y, y - 1e-15 * y)
+        value = slope(live, point)
+        above = value > 0
+        low[live], up[live] = np.where(above, point, x), np.where(above, value, f)
+        high[live], down[live] = np.where(above, y, point), np.where(above, g, value)
+        # an end that stays twice counts half
+        down[live] = np.where(above & (side[live] == 1), down[live] / 2, down[live])
+        up[live] = np.where(~above & (side[live] == -1), up[live] / 2, up[live])
+        side[live] = np.where(above, 1, -1)
+    return np.where(falls, 0.5 * (low + high), np.nan)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitepanel.functions.numerics import f_upper, sweep, t_two_sided
+from sitepanel.functions.numerics import f_upper, falling_roots, sweep, t_two_sided
 from sitepanel.functions.student import t_two_sided_quantile
 from sitepanel.operators.joins import BROADCAST_ROWS, lookup_join
 from sitepanel.operators.linear import ANOVA, COEFFICIENTS, _number, raw_coefficients
@@ -180,6 +180,9 @@ class MixedFit:
 
     def coefficients(self, adjust_sigma: bool = False) -> DataFrame:
         """Fixed effects; ``adjust_sigma`` rescales maximum-likelihood errors by n/(n-p)."""
+        return self.spark.createDataFrame(self.coefficient_rows(adjust_sigma), COEFFICIENTS)
+
+    def coefficient_rows(self, adjust_sigma: bool = False) -> list[tuple]:
         beta, cov = self.raw()
         factor = self.n / (self.n - self.rank) if adjust_sigma and not self.reml else 1.0
         rows = []
@@ -190,7 +193,7 @@ class MixedFit:
                 (self.response, term, _number(beta[j]), _number(se), self.df_of(j), _number(t),
                  t_two_sided(t, self.df_of(j)))
             )
-        return self.spark.createDataFrame(rows, COEFFICIENTS)
+        return rows
 
     def anova(self, adjust_sigma: bool = False, intercept: bool = False) -> DataFrame:
         """Sequential tests in term order, given the estimated variance ratio.
@@ -200,6 +203,9 @@ class MixedFit:
         ``df_den`` are the denominator degrees of freedom, those of the sites for
         terms that are constant within every site.
         """
+        return self.spark.createDataFrame(self.anova_rows(adjust_sigma, intercept), MIXED_ANOVA)
+
+    def anova_rows(self, adjust_sigma: bool = False, intercept: bool = False) -> list[tuple]:
         factor = self.n / (self.n - self.rank) if adjust_sigma and not self.reml else 1.0
         residual = self.var_resid * factor
         rows = []
@@ -218,7 +224,7 @@ class MixedFit:
         rows.append(
             (self.response, len(self.terms) + 1, "Residuals", self.df_within, None, residual, None, None, None)
         )
-        return self.spark.createDataFrame(rows, MIXED_ANOVA)
+        return rows
 
     def variances(self) -> DataFrame:
         rows = [
@@ -228,13 +234,15 @@ class MixedFit:
         return self.spark.createDataFrame(rows, VARIANCES)
 
     def summary(self) -> DataFrame:
+        return self.spark.createDataFrame([self.summary_row()], FIT)
+
+    def summary_row(self) -> tuple:
         k = self.rank + 2
         aicc = aicc_of(self.log_lik, k, self.n)
-        row = (
+        return (
             self.response, "REML" if self.reml else "ML", self.n, self.sites, self.rank, self.theta,
             self.var_site, self.var_resid, _number(self.log_lik), _number(aicc),
         )
-        return self.spark.createDataFrame([row], FIT)
 
     def r_squared_values(self) -> tuple[float, float]:
         fixed = float(self._centred[1:] @ self._total[1:-1, 1:-1] @ self._centred[1:])
@@ -452,6 +460,106 @@ def fit_mixed(
     return fit_on_moments(moments, response, terms, reml, theta)
 
 
+def best_thetas(classes: SizeClasses, index: Sequence[int], targets: Sequence[int], reml: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Variance ratio and log-likelihood of each response in ``targets`` on the same terms, all in one search.
+
+    The terms are eliminated once for a set of ratios; the responses are then a
+    vector.  ``index`` lists the constant and the terms.
+    """
+    index, targets = list(index), list(targets)
+    p, n = len(index), classes.total[0, 0]
+    d = n - p if reml else n
+    total = classes.total[np.ix_(targets, targets)].diagonal()
+
+    def at(thetas: np.ndarray, which: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods and slopes; of all responses at every ratio, or of response ``which[k]`` at the k-th."""
+        columns = [*index, *targets]
+        g = pooled_grams(classes, thetas)[np.ix_(range(len(thetas)), columns, columns)]
+        weight = -1.0 / (1.0 + classes.sizes[None, :] * thetas[:, None]) ** 2
+        dg = np.tensordot(weight, classes.outer, axes=1)[np.ix_(range(len(thetas)), columns, columns)]
+        a, cross = g[:, :p, :p], g[:, :p, p:]
+        own = np.diagonal(g[:, p:, p:], axis1=1, axis2=2)
+        d_own = np.diagonal(dg[:, p:, p:], axis1=1, axis2=2)
+        d_cross = dg[:, :p, p:]
+        if which is not None:
+            rows = np.arange(len(thetas))
+            cross, d_cross = cross[rows, :, which][..., None], d_cross[rows, :, which][..., None]
+            own, d_own = own[rows, which][:, None], d_own[rows, which][:, None]
+        beta = np.linalg.solve(a, cross)
+        rss = own - np.einsum("tiq,tiq->tq", beta, cross)
+        d_rss = d_own - 2 * np.einsum("tiq,tiq->tq", beta, d_cross) + np.einsum("tiq,tij,tjq->tq", beta, dg[:, :p, :p], beta)
+        log_sites = (classes.weights * np.log1p(classes.sizes * thetas[:, None])).sum(axis=1)[:, None]
+        d_sites = (classes.weights * classes.sizes / (1.0 + classes.sizes * thetas[:, None])).sum(axis=1)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log_lik = -0.5 * (d * np.log(2 * math.pi * rss / d) + log_sites + d)
+            slope = -0.5 * (d * d_rss / rss + d_sites)
+        if reml:
+            log_lik = log_lik - 0.5 * np.linalg.slogdet(a)[1][:, None]
+            slope = slope - 0.5 * np.trace(np.linalg.solve(a, dg[:, :p, :p]), axis1=1, axis2=2)[:, None]
+        return log_lik, slope
+
+    exact = np.array([is_exact(classes, [*index, t]) for t in targets])
+    log_lik, slope = at(THETA_GRID, None)
+    log_lik = np.where(exact[None, :] | ~np.isfinite(log_lik), -math.inf, log_lik)
+    start = np.argmax(log_lik, axis=0)
+    rising = slope[start, np.arange(len(targets))] > 0
+    last = len(THETA_GRID) - 1
+    low = np.where(rising, THETA_GRID[start], THETA_GRID[np.maximum(start - 1, 0)])
+    high = np.where(rising, THETA_GRID[np.minimum(start + 1, last)], THETA_GRID[start])
+    for q in np.flatnonzero(rising & (start == last) & ~exact):
+        while high[q] < WIDEST and at(high[[q]], np.array([q]))[1][0, 0] > 0:
+            low[q], high[q] = high[q], high[q] * 100.0
+    live = np.flatnonzero(~exact)
+    theta = np.where(exact, 0.0, THETA_GRID[start])
+    if len(live):
+        root = falling_roots(lambda which, points: at(points, live[which])[1][:, 0], low[live], high[live])
+        theta[live] = np.where(np.isnan(root), theta[live], root)
+    best = at(theta, np.arange(len(targets)))[0][:, 0]
+    return theta, np.where(exact | ~(total > 0), math.nan, best)
+
+
+@dataclass
+class MixedFits:
+    """Random-intercept models of several responses on the same terms."""
+
+    fits: list[MixedFit]
+
+    def __getitem__(self, response: str) -> MixedFit:
+        return next(f for f in self.fits if f.response == response)
+
+    def _table(self, rows: list[tuple], schema: str) -> DataFrame:
+        return self.fits[0].spark.createDataFrame(rows, schema)
+
+    def coefficients(self, adjust_sigma: bool = False) -> DataFrame:
+        return self._table([row for f in self.fits for row in f.coefficient_rows(adjust_sigma)], COEFFICIENTS)
+
+    def anova(self, adjust_sigma: bool = False, intercept: bool = False) -> DataFrame:
+        return self._table([row for f in self.fits for row in f.anova_rows(adjust_sigma, intercept)], MIXED_ANOVA)
+
+    def summary(self) -> DataFrame:
+        return self._table([f.summary_row() for f in self.fits], FIT)
+
+    def r_squared(self) -> DataFrame:
+        return self._table([(f.response, *map(_number, f.r_squared_values())) for f in self.fits], R_SQUARED)
+
+
+def fit_mixed_many(
+    df: DataFrame, responses: Sequence[str], formula: Sequence[str], site: str, reml: bool = False, na: str = "omit"
+) -> MixedFits:
+    """Fit every response on the same terms with a random intercept per site, from one pass over the complete cases."""
+    terms = expand_terms(formula)
+    frame = model_frame(df, responses, terms, keep=[site], na=na)
+    table = site_moments(frame, site, [*terms, *responses])
+    pooled, spark = table.pooled, df.sparkSession
+    kept = independent_terms(pooled, terms)
+    thetas, log_liks = best_thetas(
+        pooled.classes, [0, *[pooled.index(t) for t in kept]], [pooled.index(r) for r in responses], reml
+    )
+    return MixedFits(
+        [MixedFit(spark, pooled, r, kept, reml, float(t), float(v), table) for r, t, v in zip(responses, thetas, log_liks)]
+    )
+
+
 def likelihood_grid(
     moments: SiteMoments, response: str, terms: Sequence[str], thetas: Sequence[float], reml: bool = False
 ) -> DataFrame:

@@ -56,6 +56,11 @@ def expand_terms(formula: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(main + products))
 
 
+def factors(formula: Sequence[str]) -> list[str]:
+    """The columns that the terms of a formula are made of."""
+    return list(dict.fromkeys(name for term in expand_terms(formula) for name in term.split(":")))
+
+
 def term_column(term: str) -> Column:
     """Value of a term: a column, or the product of the columns of an interaction."""
     value = None

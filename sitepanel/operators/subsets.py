@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from sitepanel.functions.numerics import falling_roots
 from sitepanel.operators.mixed import EXACT, THETA_GRID, WIDEST, aicc_of
 from sitepanel.operators.moments import PooledMoments
 
 LEAVES = 256  # subsets that are fitted together
-ROUNDS = 80
 # A bound that cuts is looked at again between the points of the grid; the slack covers what lies between those.
 FINE, SLACK = 17, 0.01
 
@@ -252,7 +252,7 @@ class SubsetTree:
         return slope
 
     def _best_thetas(self, masks: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Roots of the slope around the best grid points, all subsets together (Illinois steps)."""
+        """Roots of the slope around the best grid points, all subsets together."""
         grid, last = self.thetas, len(self.thetas) - 1
         slope = self._slope(masks, grid[starts])
         rising = slope > 0
@@ -261,30 +261,8 @@ class SubsetTree:
         for place in np.flatnonzero(rising & (starts == last)):
             while high[place] < WIDEST and self._slope(masks[[place]], high[[place]])[0] > 0:
                 low[place], high[place] = high[place], high[place] * 100.0
-        live = np.flatnonzero(high > low)
-        up, down = np.zeros(len(masks)), np.zeros(len(masks))
-        if len(live):
-            up[live], down[live] = self._slope(masks[live], low[live]), self._slope(masks[live], high[live])
-            falls = (up[live] > 0) & (down[live] <= 0)
-            low[live[~falls]] = high[live[~falls]] = grid[starts[live[~falls]]]
-            live = live[falls]
-        side = np.zeros(len(masks))
-        for turn in range(ROUNDS):
-            live = live[high[live] - low[live] > 1e-14 * high[live]]
-            if not len(live):
-                break
-            x, y, f, g = low[live], high[live], up[live], down[live]
-            point = y - g * (y - x) / (g - f) if turn % 4 < 3 else np.where(x > 0, np.sqrt(x * y), y / 2)
-            point = np.clip(point, x + 1e-15 * y, y - 1e-15 * y)
-            value = self._slope(masks[live], point)
-            above = value > 0
-            low[live], up[live] = np.where(above, point, x), np.where(above, value, f)
-            high[live], down[live] = np.where(above, y, point), np.where(above, g, value)
-            # an end that stays twice counts half
-            down[live] = np.where(above & (side[live] == 1), down[live] / 2, down[live])
-            up[live] = np.where(~above & (side[live] == -1), up[live] / 2, up[live])
-            side[live] = np.where(above, 1, -1)
-        return 0.5 * (low + high)
+        root = falling_roots(lambda which, at: self._slope(masks[which], at), low, high)
+        return np.where(np.isnan(root), grid[starts], root)
 
     def fits(self, leaves: Sequence[Node]) -> list[tuple]:
         """(subset, rank, theta, log_lik, criterion, estimates, std_errors) of each leaf."""

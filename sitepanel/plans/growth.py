@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitepanel.operators import climate, mixed, moments, panel, reshape, selection
+from sitepanel.operators import climate, missing, mixed, moments, panel, reshape, selection
 from sitepanel.plans.rules import PanelRules
 from sitepanel.session import durable
 
@@ -82,32 +82,43 @@ DENSITY_TERMS = ("ln_stems_lag1", "ln_insects_lag1", "rain_lag1")
 VEGETATION_TERMS = (
     "ln_stems_lag1", "ln_other_weed_lag1", "ln_grass_lag1", "ln_forbs_lag1", "ln_bare_ground_lag1",
 )
+# What the density term leaves of the vegetation model's fit is regressed on each of these.
+VEGETATION_LEFT_TERMS = ("ln_grass_lag1", "ln_forbs_lag1", "ln_grass")
 FULL_TERMS = (
     "ln_stems_lag1", "ln_insects_lag1", "ln_insects", "coldest", "water_year_pr", "rain_lag1",
 )
 AVERAGED_WITHIN = 7.0
+# Models that are fitted on the rows without any missing value in the whole frame.
+WHOLE_FRAME = ("vegetation",)
 
 
 def growth_models(
     frame: DataFrame, catalogue: Mapping[str, Sequence[str]] | None = None, delta: float = AVERAGED_WITHIN
 ) -> dict[str, DataFrame]:
-    """The growth analysis: residual chain, then fit, selection and averaging per model.
+    """The growth analysis: residual chains, then fit, selection and averaging per model.
 
-    The frame is computed once; each model reduces its own complete cases to site
-    moments and everything else comes from those.
+    The frame is computed once; each model reduces its own complete cases, or
+    those of the whole frame, to site moments and everything else comes from those.
     """
     catalogue = catalogue or {"vegetation": VEGETATION_TERMS, "full": FULL_TERMS}
-    used = {t for formula in catalogue.values() for t in moments.expand_terms(formula)}
-    columns = {c for t in used for c in t.split(":")} | {*DENSITY_TERMS, RESPONSE}
-    frame = durable(frame.select("site", *sorted(columns)))
+    frame = durable(frame)
     results = {
         "chain": mixed.residual_chain(
             frame, RESPONSE, DENSITY_TERMS, "site", DENSITY_TERMS[0], DENSITY_TERMS[1:], reml=True
-        )
+        ),
+        "residual_first": mixed.residual_first_chain(frame, RESPONSE, DENSITY_TERMS[:1], "site", DENSITY_TERMS[1:]),
+        "complete_cases": missing.rows_kept(
+            missing.missing_patterns(frame), {name: moments.factors(f) for name, f in catalogue.items()} | {"whole": frame.columns}
+        ),
     }
+    if "vegetation" in catalogue:
+        results["vegetation_chain"] = mixed.residual_chain(
+            frame.dropna(how="any"), RESPONSE, VEGETATION_TERMS, "site", VEGETATION_TERMS[0], VEGETATION_LEFT_TERMS, reml=True
+        )
     for name, formula in catalogue.items():
         terms = moments.expand_terms(formula)
-        complete = moments.model_frame(frame, [RESPONSE], terms, keep=["site"])
+        rows = frame.dropna(how="any") if name in WHOLE_FRAME else frame
+        complete = moments.model_frame(rows, [RESPONSE], terms, keep=["site"])
         table = moments.site_moments(complete, "site", [*terms, RESPONSE])
         fit = mixed.fit_on_moments(table, RESPONSE, terms, reml=True)
         chosen = selection.model_selection(table, RESPONSE, terms, reml=True)

@@ -36,5 +36,6 @@ class PanelRules:
 
 # Measures of a survey.
 COVER = ("target_weed", "other_weed", "forbs", "grass", "bare_ground")
-COVER_WITH_GROUND_LAYER = (*COVER, "litter", "moss")
+RESPONSES = (*COVER, "moss")  # modelled one by one; the total has the five classes above
+GROWN = ("target_weed", "other_weed", "forbs", "grass")
 COUNTS = ("stems", "insects")

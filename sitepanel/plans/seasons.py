@@ -65,6 +65,26 @@ def with_cover_growth(frame: DataFrame, cover: Sequence[str], rain: str = "pr")
     return changed.withColumns(logs)
 
 
+def cover_growth_models(grown: DataFrame, cover: Sequence[str], rain: str = "pr") -> dict[str, DataFrame]:
+    """Mixed models of the growth of every cover class on season rain, plain and as shifted logs.
+
+    ``grown`` comes from ``with_cover_growth``; each form reads it once for all classes.
+    """
+    seasons = [f"{s}_{rain}" for s in ("spring", "summer", "autumn", "winter")]
+    changes = [f"{c}_change" for c in cover]
+    grown = durable(grown.select("site", *changes, *seasons, *[f"ln_{c}" for c in [*changes, *seasons]]))
+    plain = mixed.fit_mixed_many(grown, changes, seasons, "site", na="fail")
+    logged = mixed.fit_mixed_many(grown, [f"ln_{c}" for c in changes], [f"ln_{s}" for s in seasons], "site")
+    return {
+        "growth_fits": plain.summary(),
+        "growth_coefficients": plain.coefficients(),
+        "growth_anova": plain.anova(),
+        "log_growth_fits": logged.summary(),
+        "log_growth_coefficients": logged.coefficients(),
+        "log_growth_anova": logged.anova(),
+    }
+
+
 def season_models(
     frame: DataFrame, responses: Sequence[str], rain: str = "pr"
 ) -> dict[str, DataFrame]:
