@@ -66,11 +66,15 @@ _RANKING = """SELECT CAST(subset AS BIGINT) AS subset, CAST(p AS INTEGER) AS ran
 def _averages(terms: list[str], delta: float) -> str:
     return f""", {names_cte(['(Intercept)', *terms])},
 chosen AS (SELECT subset, relative / sum(relative) OVER () AS w FROM weighted WHERE delta < {delta}),
-cells AS (SELECT c.w, t.k, t.term, e.b FROM chosen c CROSS JOIN names t
-          LEFT JOIN coef e ON e.subset = c.subset AND e.k = t.k)
-SELECT term, count(b) AS models, round(sum(CASE WHEN b IS NOT NULL THEN w END), 5) AS importance,
-       round(sum(w * b), 5) AS full_average
-FROM cells GROUP BY k, term HAVING count(b) > 0"""
+cells AS (SELECT c.w, t.k, t.term, e.b, e.se FROM chosen c CROSS JOIN names t
+          LEFT JOIN coef e ON e.subset = c.subset AND e.k = t.k),
+means AS (SELECT k, term, count(b) AS models, sum(CASE WHEN b IS NOT NULL THEN w END) AS importance, sum(w * b) AS full_average
+          FROM cells GROUP BY k, term HAVING count(b) > 0)
+SELECT m.term, m.models, round(m.importance, 5) AS importance, round(full_average, 5) AS full_average,
+       round(sqrt(sum(w * (coalesce(se, 0) ** 2 + (coalesce(b, 0) - full_average) ** 2))), 5) AS full_error,
+       round(sqrt(sum(CASE WHEN b IS NOT NULL THEN w * (se ** 2 + (b - full_average / importance) ** 2) END) / importance), 5)
+         AS conditional_error
+FROM means m JOIN cells c ON c.k = m.k GROUP BY m.term, m.models, importance, full_average"""
 
 
 def _ranked(frame: DataFrame, response: str, formula, reml: bool) -> DataFrame:
@@ -86,7 +90,8 @@ def _shown_ranking(table: DataFrame) -> DataFrame:
 
 
 def _shown_averages(table: DataFrame) -> DataFrame:
-    return rounded(table.select("term", "models", "importance", "full_average"), "importance", "full_average", digits=5)
+    shown = ["importance", "full_average", "full_error", "conditional_error"]
+    return rounded(table.select("term", "models", *shown), *shown, digits=5)
 
 
 _VEGETATION = list(growth.VEGETATION_TERMS)

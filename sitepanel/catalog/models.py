@@ -452,25 +452,29 @@ def influence(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(table, "residual", "leverage", "cook", digits=5)
 
 
-@query(f"""WITH RECURSIVE {FRAME}, {_ML}, {_INFLUENCE}
-SELECT site, year, round(h, 6) AS leverage FROM hats, vars WHERE h > 2.0 * p / n""")
-def high_leverage(spark: SparkSession, folder: str) -> DataFrame:
-    fit, rows = _fit_with_rows(spark, folder, TERMS, reml=False)
-    flagged = fit.influence(rows).where("high_leverage")
-    return rounded(flagged.select("site", "year", "leverage"), "leverage")
-
-
-@query(f"""WITH RECURSIVE {FRAME}, {linear_ctes('frame', TERMS, ['response'])},
+_FIXED_HATS = f"""WITH RECURSIVE {FRAME}, {linear_ctes('frame', TERMS, ['response'])},
 wide AS (SELECT site, year, [1.0, stems_lag1, insects, rain] AS x FROM frame),
 hats AS (SELECT w.site, w.year, sum(-f.v * x[i + 1] * x[j + 1]) AS h
-         FROM wide w, swept f WHERE f.step = 4 AND f.i < 4 AND f.j < 4 GROUP BY w.site, w.year)
-SELECT site, year, round(h, 6) AS leverage, h > 8.0 / n AS high_leverage FROM hats, dims""")
-def fixed_leverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Leverage without a site effect: some rows lie above 2p/n, most below."""
+         FROM wide w, swept f WHERE f.step = 4 AND f.i < 4 AND f.j < 4 GROUP BY w.site, w.year)"""
+
+
+def _fixed_influence(spark: SparkSession, folder: str) -> DataFrame:
     rows = frame(spark, folder)
     fit = mixed.fit_mixed(rows, "response", TERMS, "site", theta=0.0)
-    complete = model_frame(rows, ["response"], TERMS, keep=["site", "year"])
-    return rounded(fit.influence(complete).select("site", "year", "leverage", "high_leverage"), "leverage")
+    return fit.influence(model_frame(rows, ["response"], TERMS, keep=["site", "year"]))
+
+
+@query(f"{_FIXED_HATS} SELECT site, year, round(h, 6) AS leverage, h > 8.0 / n AS high_leverage FROM hats, dims")
+def fixed_leverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Leverage without a site effect: some rows lie above 2p/n, most below."""
+    return rounded(_fixed_influence(spark, folder).select("site", "year", "leverage", "high_leverage"), "leverage")
+
+
+@query(f"{_FIXED_HATS} SELECT site, year, round(h, 6) AS leverage FROM hats, dims WHERE h > 8.0 / n")
+def high_leverage(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows above 2p/n alone."""
+    flagged = _fixed_influence(spark, folder).where("high_leverage")
+    return rounded(flagged.select("site", "year", "leverage"), "leverage")
 
 
 _CROSSED = ["stems_lag1", "insects*rain"]
