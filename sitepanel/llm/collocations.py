@@ -37,7 +37,7 @@ from sitepanel.llm.wordhash import mix
 
 UNDETERMINED = "und"
 # A trie holds at most this many phrases and half as many words, but for those of the texts just entered.
-ENTRIES = 1 << 19
+ENTRIES = 1 << 20
 # Entries of one first word from which it gets a container of its own.
 BURST = 1 << 12
 BITS = 21  # of a word id; three fit a long
