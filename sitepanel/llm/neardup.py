@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ BANDS, WIDTH = 32, 4
 FLOOR = 0.60
 BLOCK = 256
 STRAY_ROUNDS = 3
+# Pairs whose texts are read together, and bytes of sets that a task keeps for later pairs.
+PAIRS_AT_ONCE, SET_BYTES = 256, 1 << 25
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -123,20 +126,36 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """The pairs ``a b`` whose full sets are alike, formed anew from the whole ``texts`` (id, text)."""
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("s")), texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            sets: dict[int, np.ndarray] = {}
-            for ids, column in (("a", "s"), ("b", "t")):
-                fresh = x[~x[ids].isin(sets.keys())].drop_duplicates(ids)
-                for start, piece in in_pieces(list(fresh[column])):
-                    sets.update(zip(fresh[ids].iloc[start : start + len(piece)], shingle_sets(piece, words)))
-            alike = []
-            for a, b in zip(x["a"], x["b"]):
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                alike.append(100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) > 0)
-            yield x.loc[np.array(alike, dtype=bool), ["a", "b"]]
-
-    return pairs.join(one, "a").join(two, "b").mapInPandas(compare, "a long, b long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        size = 0
+
+        def held(column: pa.Array, ids: np.ndarray, places: np.ndarray) -> None:
+            """Forms the sets of texts that have none yet."""
+            nonlocal size
+            fresh = {int(ids[p]): p for p in places if int(ids[p]) not in sets}
+            for start, piece in in_pieces([column[p].as_py() for p in fresh.values()]):
+                made = dict(zip(list(fresh)[start : start + len(piece)], shingle_sets(piece, words)))
+                size += sum(x.nbytes for x in made.values())
+                sets.update(made)
+
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            alike = np.zeros(len(a), dtype=bool)
+            for start in range(0, len(a), PAIRS_AT_ONCE):
+                places = np.arange(start, min(start + PAIRS_AT_ONCE, len(a)))
+                held(batch.column(2), a, places)
+                held(batch.column(3), b, places)
+                for p in places:
+                    x, y = sets[int(a[p])], sets[int(b[p])]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    alike[p] = 100 * both >= percent * (len(x) + len(y) - both) > 0
+                if size > SET_BYTES:
+                    sets, size = {}, 0
+            yield batch.select([0, 1]).filter(pa.array(alike))
+
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t")
+    return joined.mapInArrow(compare, "a long, b long")
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
