@@ -63,3 +63,10 @@ def test_odd_rows(spark):
     none = fit_language_model(docs.filter(F.lit(False)))
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
     assert identify(docs.filter(F.lit(False)), model).collect() == []
+
+
+def test_number_signs_are_no_letters():
+    from sitepanel.llm.langid import LETTER
+
+    assert not any(LETTER.search(t) for t in ("½ ² ①", "Ⅷ", "12_3", "٣", "!"))
+    assert all(LETTER.search(t) for t in ("a", "É", "ß", "日", "ʰ"))
