@@ -38,12 +38,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component; rows without words or doc_id are in no component and stay."""
     marks = near_duplicates(docs.select("doc_id", "text")).filter("kept and component_id is not null and n_shingles > 0")
-    kept = marks.select(F.col("doc_id").alias("_kept")).distinct()
-    empty = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left").filter(empty | F.col("_kept").isNotNull())
+    kept = marks.select(F.col("doc_id").alias("kept")).distinct()
+    # the caller's columns travel as one, so no name of theirs can meet one of these
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    doc_id, text = F.col("row.doc_id"), F.col("row.text")
+    empty = doc_id.isNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = packed.join(kept, doc_id == F.col("kept"), "left").filter(empty | F.col("kept").isNotNull())
     # rows that share a kept doc_id: the first by text
-    place = F.row_number().over(W.partitionBy("doc_id", F.when(empty, F.monotonically_increasing_id())).orderBy(F.xxhash64("text"), "text"))
-    return rows.withColumn("_place", place).filter("_place = 1").select(*docs.columns)
+    place = F.row_number().over(W.partitionBy(doc_id, F.when(empty, F.monotonically_increasing_id())).orderBy(F.xxhash64(text), text))
+    return rows.withColumn("place", place).filter("place = 1").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
