@@ -96,3 +96,12 @@ def test_run_is_the_composition(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     assert rows.agg(F.sum("n_tokens")).first()[0] > 1000
+
+
+def test_near_duplicate_stage_keeps_columns_of_any_name(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, words, "a", 77, 5), (2, words, "b", 78, 6), (2, words, "b", 79, 7), (3, "other words are here now", "c", 80, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, place int, kept int")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[3]]
