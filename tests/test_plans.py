@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitepanel.plans import growth, interactions, seasons
-from sitepanel.plans.rules import PanelRules
+from sitepanel.plans.rules import GROWN, PanelRules
 
 MEASURES = ["target_weed", "other_weed", "forbs", "grass", "bare_ground", "stems", "insects"]
 YEARS = range(2005, 2014)
@@ -79,13 +79,26 @@ def test_unknown_lag_mode(weather, surveys, sites):
 
 def test_growth_models(panel):
     results = growth.growth_models(panel, {"small": ["ln_stems_lag1", "ln_grass_lag1*rain_lag1"]})
-    assert set(results) == {"chain", "small_coefficients", "small_anova", "small_selection", "small_average"}
+    assert {r.choice for r in results["complete_cases"].collect()} == {"small", "whole"}
+    assert {r["step"] for r in results["residual_first"].collect()} == {1, 2, 3}
+    assert set(results) == {"chain", "residual_first", "complete_cases", "small_coefficients", "small_anova", "small_selection", "small_average"}
     # the product needs both its factors, so 10 of the 16 subsets are allowed
     assert results["small_selection"].count() == 10
     assert {r["step"] for r in results["chain"].collect()} == {1, 2, 3, 4}
     assert results["small_average"].where("term = '(Intercept)'").first()["importance"] == pytest.approx(1.0)
 
 
+def test_cover_growth_models(spark):
+    rows = [(f"s{k % 9}", k // 9, *[5.0 + (k * (j + 3)) % 11 for j in range(4)], *[1.0 + (k * 5) % m for m in (13, 17, 19, 23)]) for k in range(108)]
+    columns = ["site", "year", "target_weed", "other_weed", "forbs", "grass", "spring_pr", "summer_pr", "autumn_pr", "winter_pr"]
+    grown = seasons.with_cover_growth(spark.createDataFrame(rows, columns), GROWN)
+    results = seasons.cover_growth_models(grown, GROWN)
+    assert {name: table.count() for name, table in results.items()} == {
+        "growth_fits": 4, "growth_coefficients": 20, "growth_anova": 20,
+        "log_growth_fits": 4, "log_growth_coefficients": 20, "log_growth_anova": 20,
+    }
+
+
 def test_season_frame_and_models(spark, weather, surveys, sites):
     frame = seasons.season_cover_frame(weather, surveys, sites)
     row = frame.where("site = 'b' and year = 2010").first()
