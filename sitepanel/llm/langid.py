@@ -191,11 +191,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIMENSIONS numbers
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
             yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang_pred", "score"])
 
+    # a deterministic function would run again, in workers of its own, for a filter on its result
+    predict = named.asNondeterministic()
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.withColumn("_prediction", predict(F.col(text).cast("string")))
     return out.select(*kept, "_prediction.lang_pred", "_prediction.score")
