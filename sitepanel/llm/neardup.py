@@ -47,8 +47,7 @@ BANDS, WIDTH = 32, 4
 FLOOR = 0.60
 BLOCK = 256
 STRAY_ROUNDS = 3
-# Pairs whose texts are read together, and bytes of sets that a task keeps for later pairs.
-PAIRS_AT_ONCE, SET_BYTES = 256, 1 << 25
+SLICE = 256  # partners that follow one copy of an anchor's text, about
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -122,40 +121,49 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return durable(texts.join(ids, "id").dropDuplicates(["id"]))
 
 
+def dealt_out(pairs: DataFrame) -> DataFrame:
+    """``anchor slice id`` for each of the pairs ``a b``: the end with more partners, which come in slices, and the other.
+
+    An anchor with many partners has a slice for about every ``SLICE`` of them, so none is one task's alone.
+    """
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    partners = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    counted = pairs.join(partners.toDF("a", "n"), "a").join(partners.toDF("b", "m"), "b")
+    more = F.col("n") >= F.col("m")
+    slices = F.ceil(F.greatest("n", "m") / SLICE)
+    ends = counted.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("anchor"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("id"), slices.alias("_slices"))
+    return ends.select("anchor", F.pmod(F.xxhash64("id"), "_slices").alias("slice"), "id")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a b`` whose full sets are alike, formed anew from the whole ``texts`` (id, text)."""
-    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("s")), texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
+    """The pairs ``a b`` whose full sets are alike, formed anew from the whole ``texts`` (id, text).
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        size = 0
-
-        def held(column: pa.Array, ids: np.ndarray, places: np.ndarray) -> None:
-            """Forms the sets of texts that have none yet."""
-            nonlocal size
-            fresh = {int(ids[p]): p for p in places if int(ids[p]) not in sets}
-            for start, piece in in_pieces([column[p].as_py() for p in fresh.values()]):
-                made = dict(zip(list(fresh)[start : start + len(piece)], shingle_sets(piece, words)))
-                size += sum(x.nbytes for x in made.values())
-                sets.update(made)
+    Rows are sorted so that an anchor's text is followed by those of a slice of
+    its partners: a task holds one anchor's set and a batch of texts, and an
+    anchor's text travels once a slice and not once a pair.
+    """
+    dealt = durable(dealt_out(pairs))
+    leads = dealt.select("anchor", "slice").distinct().join(texts.toDF("anchor", "text"), "anchor")
+    leads = leads.select("anchor", "slice", F.lit(None).cast("long").alias("id"), "text")
+    rows = leads.union(dealt.join(texts, "id").select("anchor", "slice", "id", "text"))
+    rows = rows.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice", F.col("id").asc_nulls_first())
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            alike = np.zeros(len(a), dtype=bool)
-            for start in range(0, len(a), PAIRS_AT_ONCE):
-                places = np.arange(start, min(start + PAIRS_AT_ONCE, len(a)))
-                held(batch.column(2), a, places)
-                held(batch.column(3), b, places)
-                for p in places:
-                    x, y = sets[int(a[p])], sets[int(b[p])]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    alike[p] = 100 * both >= percent * (len(x) + len(y) - both) > 0
-                if size > SET_BYTES:
-                    sets, size = {}, 0
+            lead = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            alike = np.zeros(len(lead), dtype=bool)
+            for start, piece in in_pieces(text.as_py() for text in batch.column(2)):
+                for place, x in enumerate(shingle_sets(piece, words), start):
+                    if lead[place]:
+                        own = x
+                    else:
+                        both = len(np.intersect1d(x, own, assume_unique=True))
+                        alike[place] = 100 * both >= percent * (len(x) + len(own) - both) > 0
             yield batch.select([0, 1]).filter(pa.array(alike))
 
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t")
-    return joined.mapInArrow(compare, "a long, b long")
+    found = rows.select("anchor", "id", "text").mapInArrow(compare, "anchor long, id long")
+    return found.select(F.least("anchor", "id").alias("a"), F.greatest("anchor", "id").alias("b"))
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
