@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import sitepanel
+from sitepanel.session import scratch_path
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local-mode session gets a temporary folder and any
-    other session an error: one machine's disk is of no use to the others.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="sitepanel-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+# Functions travel with their tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sitepanel)
 
 
 def durable(df: DataFrame, **options: str) -> DataFrame:
@@ -32,7 +20,7 @@ def durable(df: DataFrame, **options: str) -> DataFrame:
     when the results that were built on it are no longer read.  ``options`` are the writer's.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "llm")
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
