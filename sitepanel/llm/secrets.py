@@ -33,6 +33,7 @@ from sitepanel.llm.registry import query
 from sitepanel.llm.store import documents, durable
 
 LEAST = 12
+BLOCK = 256  # words whose lengths are summed up once
 SHARE = 2e-6  # of the words of a language, from which on a word is in the dictionary
 SALTS = 16  # places that a part of candidates is dealt to, however common it is
 FINDINGS = 20_000  # most labelled findings to train on
@@ -74,12 +75,23 @@ def candidates(docs: DataFrame) -> DataFrame:
         return (word.rlike("[=:]") & (named(word) | (word.rlike(r"^[^A-Za-z0-9]*[=:]") & named(last)))) | (last.rlike("[=:]$") & named(near))
 
     places = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda k: shaped(F.get("_words", k)) | (F.col("_named") & credential(k)))
-    rows = rows.select("doc_id", "tie", "_words", F.explode(places).alias("place"))
-    at = lambda k: F.coalesce(F.get("_words", F.col("place") + k), F.lit(""))
-    before = F.aggregate(F.slice("_words", F.lit(1), F.col("place")), F.lit(0).cast("long"), lambda n, w: n + F.length(w) + 1)
-    rows = rows.select(
-        "doc_id", "tie", "place", before.alias("_before"), at(0).alias("word"), at(-1).alias("before"), at(-2).alias("before2"), at(1).alias("after")
-    )
+    # lengths of blocks of words: what is before a word is then a short sum, not one over all words
+    length = lambda words, first, n: F.aggregate(F.slice(words, first + 1, n), F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 1)
+    number = F.floor(F.size("_words") / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), number), lambda b: length(F.col("_words"), b * BLOCK, F.lit(BLOCK)))
+
+    def about(sums: Column, k: Column) -> Column:
+        """The word at place ``k`` with its neighbours; rows don't carry the other words on."""
+        whole = F.floor(k / BLOCK).cast("int")
+        before = F.aggregate(F.slice(sums, F.lit(1), whole), F.lit(0).cast("long"), lambda a, n: a + n)
+        before = before + length(F.col("_words"), whole * BLOCK, k % BLOCK)
+        at = {"word": 0, "before": -1, "before2": -2, "after": 1}
+        words = [F.coalesce(F.get("_words", k + d), F.lit("")).alias(name) for name, d in at.items()]
+        return F.struct(k.alias("place"), before.alias("_before"), *words)
+
+    # the array of one binds the sums, so that they are formed once a text
+    found = F.flatten(F.transform(F.array(blocks), lambda sums: F.transform(places, lambda k: about(sums, k))))
+    rows = rows.select("doc_id", "tie", F.explode(found).alias("_found")).select("doc_id", "tie", "_found.*")
     # between the runs are the gaps, one more than there are runs
     rows = rows.withColumn("_runs", F.regexp_extract_all("word", F.lit(PIECE), F.lit(0))).withColumn("_gaps", F.split("word", PIECE, -1))
     first = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<k:int,at:bigint>>)").alias("out"))
@@ -218,28 +230,30 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = REDACTED) -> DataFr
 
     A value of ``LEAST`` characters and more is replaced wherever else the text holds it, too.
     """
-    wanted = findings.filter("secret").groupBy(F.col("doc_id").alias("_of"), F.col("tie").alias("_tie"))
-    wanted = wanted.agg(
-        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_places"),
-        F.sort_array(F.collect_set(F.when(F.length("value") >= LEAST, F.struct(-F.length("value"), "value")))).alias("_secrets"),  # longest first
+    wanted = findings.filter("secret").groupBy(F.col("doc_id").alias("of"), "tie").agg(
+        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("places"),
+        F.sort_array(F.collect_set(F.when(F.length("value") >= LEAST, F.struct(-F.length("value"), "value")))).alias("secrets"),  # longest first
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tie"))
-    rows = docs.join(wanted, same, "left").withColumn("_whole", F.col("text").cast("string"))
+    # the caller's columns travel as one, so no name of theirs can meet one of these
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text, hit = F.col("row.text").cast("string"), F.col("places").isNotNull()
+    rows = packed.join(wanted, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64(text) == F.col("tie")), "left")
     # the text up to each place and the mark, then what is left
     begun = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    cut = lambda first, n: F.substring(F.col("_whole"), (first + 1).cast("int"), n.cast("int"))
+    cut = lambda first, n: F.substring(text, (first + 1).cast("int"), n.cast("int"))
     clean = F.aggregate(
-        "_places",
+        "places",
         begun,
         lambda a, s: F.struct((s["start"] + s["length"]).cast("long").alias("at"), F.concat(a["out"], cut(a["at"], s["start"] - a["at"]), F.lit(mark)).alias("out")),
-        lambda a: F.concat(a["out"], cut(a["at"], F.length("_whole"))),
+        lambda a: F.concat(a["out"], cut(a["at"], F.length(text))),
     )
-    clean = F.aggregate("_secrets", clean, lambda t, s: F.replace(t, s["value"], F.lit(mark)))
-    rows = rows.withColumn("text", F.when(F.col("_places").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate("secrets", clean, lambda t, s: F.replace(t, s["value"], F.lit(mark)))
+    rows = rows.withColumn("clean", F.when(hit, clean))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col("_places").isNotNull(), length).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    return rows.select(*[(F.when(hit, new[c]).otherwise(own[c]) if c in new else own[c]).alias(c) for c in docs.columns])
 
 
 @query("op4_secrets")

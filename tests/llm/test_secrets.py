@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,28 @@ def test_dictionary_goes_by_share_and_language(spark):
     rows = [(1, "word " * 900 + "seldom", "en")] + [(2, "wort selten", "de")]
     two = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.entry for r in dictionary(two, 0.01).collect()} == {"word", "wort", "selten"}
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(k, f"{prose(k)} token = {HEX[:-3]}{k:03d} end", f"p{k}", k, f"w{k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _places string, _of int, row string")
+    found = spark.createDataFrame([(1, 0, 3)], "doc_id long, start long, length int")
+    found = found.join(docs.select("doc_id", F.xxhash64("text").alias("tie")), "doc_id")
+    found = found.withColumn("value", F.lit("some")).withColumn("secret", F.lit(True))
+    out = redact(docs, found, "*")
+    assert out.columns == docs.columns
+    got = sorted(tuple(r) for r in out.collect())
+    assert got[0] == rows[0] and got[2] == rows[2]
+    assert got[1] == (1, "*" + rows[1][1][3:], *rows[1][2:])
+
+
+def test_many_candidates_of_one_text(spark):
+    """Places in a text of 16,000 candidates, in time that doesn't grow with their square."""
+    words = [f"k{i:05d}a{i * 7919 % 100003:06d}x" if i % 3 else f"word{'s' * (i % 5)}" for i in range(24000)]
+    text = " ".join(words)
+    began = time.time()
+    got = candidates(frame(spark, [(1, text)])).select("start", "value").collect()
+    took = time.time() - began
+    assert len(got) == sum(1 for w in words if w[0] == "k")
+    assert all(text[r.start : r.start + len(r.value)] == r.value for r in got)
+    assert took < 10
