@@ -118,6 +118,19 @@ def draw_count(row: tuple) -> int:
     return passes * blocks + -(-(rest + block - last) // block)
 
 
+def packed(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The columns ``own`` and the others as one, ``_others``, so that no name of theirs can meet a helper's; and how to take them out."""
+    others = [c for c in docs.columns if c not in own]
+    together = F.struct(F.lit(True).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
+    return docs.select(*own, together.alias("_others")), {c: F.col("_others").getField(f"c{k}").alias(c) for k, c in enumerate(others)}
+
+
+def free_name(name: str, columns: Sequence[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
 def plan_mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -133,8 +146,9 @@ def plan_mix(
     first word, counted from 0.  ``rank`` and ``start`` are the document's place.
     """
     spark = docs.sparkSession
+    slim, others = packed(docs, "doc_id", "source", "text")
     placed = (
-        docs.withColumn("size", word_count(F.col("text")))
+        slim.withColumn("size", word_count(F.col("text")))
         .withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
         .withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
     )
@@ -148,7 +162,6 @@ def plan_mix(
     offsets = offsets.join(ranks, offsets["_name"].eqNullSafe(ranks["_name"]))
     offsets = offsets.select(F.col("_rank").alias("_of"), F.col("_bucket").alias("_key"), "_offset")
     inside = W.partitionBy("_rank", "_bucket").orderBy("_hash").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.drop("rank", "start", "spans", "source_size", "target")
     placed = placed.join(ranks, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     placed = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(offsets, (F.col("_rank") == F.col("_of")) & (F.col("_bucket") == F.col("_key")))
@@ -157,7 +170,7 @@ def plan_mix(
     )
     joined = joined.join(about, F.col("_rank") == F.col("rank"))
     joined = joined.withColumn("start", F.col("_offset") + F.col("_inside")).withColumn("spans", _spans())
-    kept = [c for c in docs.columns if c not in ("rank", "start", "spans", "size", "source_size", "target")]
+    kept = [others.get(c, F.col(c)) for c in docs.columns if c not in ("rank", "start", "spans", "size", "source_size", "target")]
     return joined.select(*kept, "rank", "start", "size", "source_size", "target", "spans"), rows
 
 
@@ -223,15 +236,20 @@ def shard_count(rows: Sequence[tuple], shard_words: int = SHARD_WORDS) -> int:
 
 
 def dealt(plan: DataFrame, rows: Sequence[tuple], shards: int, seed: int = 11) -> DataFrame:
-    """One row per span, with its shard: the plan's columns but ``spans``, then the span's, ``shard``."""
+    """One row per span, with its shard: the plan's columns but ``spans``, then the span's, ``shard``.
+
+    Columns of the plan that are named like one of a span's or ``shard`` are replaced.
+    """
     if not rows:
         rows = [(None, 0, 0, 0.0, 0, 1, 1, 0, [1], [0], [0])]
     leaves = split_shards(plan.sparkSession, [draw_count(r) for r in rows], shards, seed)
+    plan = plan.drop("pass", "draw", "first", "words", "shard")
+    span, of_rank, of_draw = (free_name(c, plan.columns) for c in ("_span", "_rank", "_draw"))
     of = leaves.select(
-        F.col("rank").alias("_rank"), "shard", F.explode(F.expr("sequence(first, first + draws - 1)")).alias("_draw")
+        F.col("rank").alias(of_rank), "shard", F.explode(F.expr("sequence(first, first + draws - 1)")).alias(of_draw)
     )
-    taken = plan.select("*", F.explode("spans").alias("_span")).select("*", "_span.*").drop("spans", "_span")
-    return taken.join(of, (F.col("rank") == F.col("_rank")) & (F.col("draw") == F.col("_draw"))).drop("_rank", "_draw")
+    taken = plan.select("*", F.explode("spans").alias(span)).select("*", f"{span}.*").drop("spans", span)
+    return taken.join(of, (F.col("rank") == F.col(of_rank)) & (F.col("draw") == F.col(of_draw))).drop(of_rank, of_draw)
 
 
 def taken_text(text: Column, spans: Column) -> Column:
@@ -263,7 +281,8 @@ def mixed_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int =
     several shards share is there for each.  ``n_chars``, if there, is the
     length of the new text.
     """
-    plan, sources = plan_mix(docs, seed=seed)
+    slim, others = packed(docs, "doc_id", "source", "text")
+    plan, sources = plan_mix(slim, seed=seed)
     plan = durable(plan)
     pieces = dealt(plan.select("rank", "start", "spans"), sources, shard_count(sources, shard_words), seed)
     pieces = pieces.groupBy(F.col("rank").alias("_rank"), F.col("start").alias("_start"), F.col("pass").alias("_pass"), F.col("shard").alias("_shard"))
@@ -274,10 +293,11 @@ def mixed_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int =
     rows = rows.withColumn(
         "text", F.when(words == F.col("size"), F.col("text")).otherwise(taken_text(F.col("text"), F.col("_spans")))
     )
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    if "n_chars" in others:
+        others["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     order = F.xxhash64(F.lit(seed), "_rank", "_start", "_pass")
-    return rows.repartition("_shard").sortWithinPartitions("_shard", order).select(*docs.columns)
+    rows = rows.repartition("_shard").sortWithinPartitions("_shard", order)
+    return rows.select(*[others.get(c, F.col(c)) for c in docs.columns])
 
 
 @query("op1_mix")

@@ -126,3 +126,18 @@ def test_pipeline_form_is_dealt_to_shards(spark):
     assert max(sum(r.doc_id == k for r in mixed) for k in range(0, 400, 50)) > 2
     seen = [r.doc_id for r in mixed if r.at == mixed[0].at]
     assert seen != sorted(seen)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = sample(spark)
+    names = ["_hash", "_rank", "_words", "_others", "_shard", "rank", "words", "_spans", "c0"]
+    more = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in names})
+    plain, mixed = mixed_documents(docs), mixed_documents(more)
+    assert mixed.columns == more.columns
+    rows = mixed.collect()
+    assert all(r[c] == (None if r.doc_id is None else f"{c}-{r.doc_id}") for r in rows for c in names)
+    key = lambda r: (str(r.doc_id), r.text)
+    assert sorted(map(key, rows)) == sorted(map(key, plain.collect()))
+    plan, sources = plan_mix(more)
+    assert {"_hash", "_rank", "_words", "_others"} <= set(plan.columns)
+    assert shard_texts(plan, sources, 3).select("_rank", "_hash").count() > 0
