@@ -109,6 +109,19 @@ def scan_parquet_nan(spark: SparkSession, folder: str) -> DataFrame:
     return back.groupBy(F.col("l_returnflag").alias("flag")).agg(F.max("x").alias("most"), F.count("x").alias("known"))
 
 
+@query("""SELECT l_returnflag AS flag, year(l_shipdate) AS year, min(l_quantity) AS least, count(*) AS n
+       FROM lineitem WHERE l_discount > 0 AND l_quantity >= 30 AND year(l_shipdate) > 1994 GROUP BY ALL""")
+def scan_parquet_range(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges on stored numbers, tested in the scan although the column holds NaN."""
+    gaps = F.when(F.col("l_discount") > 0, F.col("l_quantity")).otherwise(F.lit(float("nan")))
+    path = scratch_path(spark, "ranges")
+    tables.write_panel(
+        tables.read_parquet(spark, folder, "lineitem").select("l_returnflag", F.year("l_shipdate").alias("year"), gaps.alias("x")), path
+    )
+    back = tables.read_panel(spark, path, where=[("x", ">=", 30.0), ("year", ">", 1994)])
+    return back.groupBy(F.col("l_returnflag").alias("flag"), F.col("year").cast("long").alias("year")).agg(F.min("x").alias("least"), F.count("x").alias("n"))
+
+
 _REPLICATES = """replicates AS (
   SELECT l_orderkey AS survey,
          max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS q1,

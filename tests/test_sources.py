@@ -54,3 +54,21 @@ def test_durable_frames_live_in_the_configured_folder(spark):
     assert all(folder in name for name in kept.inputFiles())
     assert sorted(kept.collect()) == sorted(kept.collect())
     assert kept.schema.simpleString() == df.schema.simpleString()
+
+
+def test_comparisons_reach_the_scan_and_leave_nan_out(spark, rows, tmp_path, capsys):
+    path = str(tmp_path / "gaps")
+    values = [(1, 1.0), (2, 5.0), (3, float("nan")), (4, None), (5, 9.0)]
+    spark.createDataFrame(values, "id int, x double").write.parquet(path)
+    kept = {}
+    for sign in ("=", "!=", "<", "<=", ">", ">="):
+        scan = tables.read_panel(spark, path, where=[("x", sign, 5.0)])
+        kept[sign] = [r[0] for r in rows(scan, "id")]
+        after = tables.read_panel(spark, path).where(f"x {sign} 5.0")
+        assert rows(scan) == rows(after)
+    assert kept[">="] == [2, 5] and kept["!="] == [1, 5] and kept["<"] == [1]
+    assert tables.read_panel(spark, path, where=[("x", "<=", float("nan"))]).count() == 0
+    tables.read_panel(spark, path, where=[("x", ">=", 5.0), ("id", "<", 9)]).explain()
+    plan = capsys.readouterr().out
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(x,5.0)" in pushed and "LessThan(id,9)" in pushed
