@@ -57,6 +57,23 @@ def test_split_join_with_hot_and_missing_keys(spark, rows, monkeypatch, how, bou
     assert rows(joins.lookup_join(fact, lookup, ["k"], how, bound), *want.columns) == rows(want)
 
 
+def test_hot_keys_by_sketch_in_any_type(spark, rows):
+    fact = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int").alias("k"))
+    hot = joins.hot_hashes(fact, F.xxhash64("k"))
+    assert hot == [fact.where("k = 7").select(F.xxhash64("k")).first()[0]]
+    lookup = spark.range(0, 30_000, 7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for bound in (100, 0):
+        assert rows(joins.lookup_join(fact, lookup, ["k"], "inner", bound)) == rows(fact.join(lookup, ["k"]))
+
+
+def test_split_join_reads_the_rows_twice_after_the_sketch(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    spark.range(5000).select((F.col("id") % 3 * F.col("id")).alias("k"), "id").write.parquet(path)
+    lookup = spark.range(200).select(F.col("id").alias("k"))
+    joined = joins.lookup_join(spark.read.parquet(path), lookup, ["k"], "inner", 10)
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+
+
 def test_split_join_refuses_other_kinds(spark):
     df = spark.createDataFrame([(1,)], "k int")
     with pytest.raises(ValueError):
