@@ -5,8 +5,8 @@ hashed to ``DIMENSIONS`` columns, weighted by damped term frequency times
 inverse document frequency and scaled to length one.  Document frequencies
 cover all rows that may be learned from.  The regression is trained on a
 bounded sample of them (``SAMPLE`` rows, equally many of each language, chosen
-by a hash of doc_id) with the follow-the-regularised-leader rule and an
-elastic-net penalty; a temperature fitted on a fifth of the sample, which the
+by a hash of doc_id; of more than ``SAMPLE`` languages the most frequent ones)
+with the follow-the-regularised-leader rule and an elastic-net penalty; a temperature fitted on a fifth of the sample, which the
 regression didn't see, turns its margins into probabilities.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
@@ -32,6 +32,7 @@ from sitepanel.llm.store import documents
 BITS = 15
 DIMENSIONS = 1 << BITS
 SAMPLE = 2400
+SLACK = 64
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
 UNDETERMINED = "und"
@@ -146,14 +147,24 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[np.ndarr
 
 
 def fit_language_model(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """A model from the columns ``doc_id text lang``; rows without text or lang teach nothing."""
+    """A model from the columns ``doc_id text lang``; rows without text or lang teach nothing.
+
+    No task ranks more than about ``2 * sample + SLACK`` hashes of a language,
+    however many rows it has.
+    """
     labelled = labelled.filter("lang is not null and text is not null")
     hashed = labelled.withColumn("_hash", F.xxhash64("doc_id"))
-    languages = [r.lang for r in labelled.select("lang").distinct().orderBy("lang").limit(sample).collect()]
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    languages = sorted(r.lang for r in counted)
     if not languages:
         return LanguageModel([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0), 1.0)
+    each = max(1, sample // len(languages))
+    # hashes are spread evenly, so about twice as many as are wanted lie below this share of their range
+    bounds = [(r.lang, min(1.0, (2 * each + SLACK) / r.n)) for r in counted]
+    few = labelled.sparkSession.createDataFrame(bounds, "lang string, _share double")  # at most ``sample`` rows
+    thin = hashed.select("lang", "_hash").join(F.broadcast(few), "lang").filter("_hash / 1.8446744073709552e19 + 0.5D <= _share")
     first = F.row_number().over(W.partitionBy("lang").orderBy("_hash"))
-    chosen = hashed.select("lang", "_hash").withColumn("_place", first).filter(F.col("_place") <= max(1, sample // len(languages)))
+    chosen = thin.select("lang", "_hash").distinct().withColumn("_place", first).filter(F.col("_place") <= each)
     bound = chosen.groupBy("lang").agg(F.max("_hash").alias("_most"))
     marked = hashed.join(F.broadcast(bound.limit(sample)), "lang").filter("_hash <= _most").dropDuplicates(["doc_id"])
 

@@ -70,3 +70,14 @@ def test_number_signs_are_no_letters():
 
     assert not any(LETTER.search(t) for t in ("½ ² ①", "Ⅷ", "12_3", "٣", "!"))
     assert all(LETTER.search(t) for t in ("a", "É", "ß", "日", "ʰ"))
+
+
+def test_more_languages_than_the_sample_and_a_hot_id(spark):
+    rows = [(k * 10 + j, f"word{j} text", f"l{j}") for j in range(5) for k in range(40 if j in (0, 2, 4) else 3)]
+    rows += [(0, "word0 text", "l0")] * 500  # one doc_id holds most rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit_language_model(docs, sample=3).languages == ["l0", "l2", "l4"]
+    model = fit_language_model(docs, sample=60)
+    assert model.languages == ["l0", "l1", "l2", "l3", "l4"]
+    got = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
+    assert got[10] == "l0" and got[12] == "l2" and got[14] == "l4"
