@@ -10,7 +10,8 @@ terms, is shuffled.
 ``within_radius`` finds all fingerprints within a Hamming radius of given ones:
 the bits are cut into blocks, and for each choice of blocks that could have
 stayed untouched a table is keyed by those blocks; fingerprints that agree with
-a query on a key are compared in full.
+a query on a key are compared in full.  ``near_counts`` says how many rows lie
+there, without a row for each: a pair is counted in the first table it agrees in.
 
 Defined results: a null text is empty; a text without words has one term, the
 empty sequence, so all of these are alike; fewer than three words are one term;
@@ -33,7 +34,9 @@ from sitepanel.llm.store import documents, durable
 WORDS = 3
 BITS = 128
 LANES = "4294967297"  # the lowest bit of either half of a long
-EXCERPT_ROWS = 4096
+RANGE_ROWS = 1 << 20  # thin rows in a range
+NEAR_RADIUS, NEAR_BLOCKS = 3, 5  # ten tables of 50 bits and more
+QUERY_EVERY = 20
 
 
 def terms(text: Column) -> Column:
@@ -85,41 +88,88 @@ def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.greatest(turned, F.lit(0.0)).cast("double")
 
 
+def block_parts(high: str, low: str, first: int, stop: int) -> list[Column]:
+    """The bits from ``first`` to ``stop`` of a fingerprint, in one part for each half they touch."""
+    parts = []
+    for name, offset in ((low, 0), (high, 64)):
+        a, b = max(first, offset) - offset, min(stop, offset + 64) - offset
+        if a < b:
+            mask = (1 << (b - a)) - 1 if b - a < 64 else -1
+            parts.append(F.shiftrightunsigned(name, a).bitwiseAND(F.lit(mask)))
+    return parts
+
+
+def block_bounds(radius: int, blocks: int) -> list[tuple[int, int]]:
+    if not 0 <= radius < blocks <= BITS:
+        raise ValueError("more blocks than the radius are needed")
+    return [(k * BITS // blocks, (k + 1) * BITS // blocks) for k in range(blocks)]
+
+
+def table_keys(high: str, low: str, radius: int, blocks: int) -> Column:
+    """An array with one struct for each table: ``chosen`` blocks and ``upto`` their last one, as bit sets, and the ``key``."""
+    bounds = block_bounds(radius, blocks)
+    keys = []
+    for chosen in combinations(range(blocks), blocks - radius):
+        mask = sum(1 << k for k in chosen)
+        bits = [part for k in chosen for part in block_parts(high, low, *bounds[k])]
+        keys.append(F.struct(F.lit(mask).alias("chosen"), F.lit((2 << chosen[-1]) - 1).alias("upto"), F.xxhash64(F.lit(mask), *bits).alias("key")))
+    return F.array(*keys)
+
+
+def agreeing_blocks(high: str, low: str, radius: int, blocks: int) -> Column:
+    """The blocks without a set bit, as a bit set; ``high`` and ``low`` are the differing bits."""
+    total = F.lit(0)
+    for k, bound in enumerate(block_bounds(radius, blocks)):
+        same = F.lit(True)
+        for part in block_parts(high, low, *bound):
+            same = same & (part == 0)
+        total = total + F.when(same, F.lit(1 << k)).otherwise(F.lit(0))
+    return total
+
+
+def near_pairs(distinct: DataFrame, asked: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``asked`` (q_high, q_low) with all rows of ``distinct`` (high, low, ...) within ``radius`` bits, each pair once.
+
+    With ``blocks`` blocks and at most ``radius`` differing bits, ``blocks -
+    radius`` blocks at least are equal; each choice of so many is a table.  A
+    pair may agree in several: the one of its first equal blocks yields it.
+    """
+    tables = F.explode(table_keys("high", "low", radius, blocks))
+    rows = distinct.select("*", tables.alias("_t")).select(*distinct.columns, "_t.chosen", "_t.key")
+    wanted = asked.select("q_high", "q_low", F.explode(table_keys("q_high", "q_low", radius, blocks)).alias("_t"))
+    wanted = wanted.select("q_high", "q_low", "_t.*")
+    met = rows.join(wanted, ["chosen", "key"])
+    apart = distance((F.col("high"), F.col("low")), (F.col("q_high"), F.col("q_low")))
+    met = met.withColumn("distance", apart).filter(F.col("distance") <= radius)
+    met = met.withColumn("_x", F.col("high").bitwiseXOR(F.col("q_high"))).withColumn("_y", F.col("low").bitwiseXOR(F.col("q_low")))
+    met = met.filter(agreeing_blocks("_x", "_y", radius, blocks).bitwiseAND(F.col("upto")) == F.col("chosen"))
+    return met.drop("chosen", "upto", "key", "_x", "_y")
+
+
 def within_radius(fingerprinted: DataFrame, queries: DataFrame, radius: int = 6, blocks: int = 9) -> DataFrame:
     """``query_id id distance``: all rows (id, high, low) within ``radius`` bits of a query's fingerprint.
 
-    With ``blocks`` blocks and at most ``radius`` differing bits, ``blocks -
-    radius`` blocks at least are equal; each choice of so many is a table.  Rows
-    of equal fingerprints are searched as one and listed at the end.
+    Rows of equal fingerprints are searched as one and listed at the end.
     """
-    if not 0 <= radius < blocks <= BITS:
-        raise ValueError("more blocks than the radius are needed")
-    bounds = [(k * BITS // blocks, (k + 1) * BITS // blocks) for k in range(blocks)]
-
-    def block(first: int, stop: int) -> Column:
-        parts = []
-        for name, offset in (("low", 0), ("high", 64)):
-            a, b = max(first, offset) - offset, min(stop, offset + 64) - offset
-            if a < b:
-                mask = (1 << (b - a)) - 1 if b - a < 64 else -1
-                parts.append(F.shiftrightunsigned(name, a).bitwiseAND(F.lit(mask)))
-        return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
-
-    tables = F.array(*[
-        F.xxhash64(F.lit(t), *[block(*bounds[k]) for k in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))
-    ])
     distinct = durable(fingerprinted.select("high", "low").distinct())
-    asked = durable(queries.select("high", "low").distinct())
-    rows = distinct.select("high", "low", F.explode(tables).alias("_key"))
-    wanted = asked.select("high", "low", F.explode(tables).alias("_key")).withColumnsRenamed({"high": "q_high", "low": "q_low"})
-    apart = distance((F.col("high"), F.col("low")), (F.col("q_high"), F.col("q_low")))
-    near = rows.join(wanted, "_key").withColumn("distance", apart).filter(F.col("distance") <= radius)
-    near = near.select("q_high", "q_low", "high", "low", "distance").distinct()
+    asked = durable(queries.select(F.col("high").alias("q_high"), F.col("low").alias("q_low")).distinct())
+    near = near_pairs(distinct, asked, radius, blocks)
     named = queries.select(F.col("id").alias("query_id"), F.col("high").alias("q_high"), F.col("low").alias("q_low"))
     near = near.join(named, ["q_high", "q_low"]).join(fingerprinted.select("id", "high", "low"), ["high", "low"])
     return near.select("query_id", "id", "distance")
 
 
+def near_counts(fingerprinted: DataFrame, queries: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS) -> DataFrame:
+    """``high low n_near``: for each fingerprint of ``queries`` the rows of ``fingerprinted`` within ``radius`` bits.
+
+    Rows of equal fingerprints are counted first, so copies are one row of the search.
+    """
+    distinct = durable(fingerprinted.groupBy("high", "low").agg(F.count(F.lit(1)).alias("rows")))
+    asked = queries.select(F.col("high").alias("q_high"), F.col("low").alias("q_low")).distinct()
+    near = near_pairs(distinct, asked, radius, blocks).groupBy("q_high", "q_low").agg(F.sum("rows").alias("n_near"))
+    return near.withColumnsRenamed({"q_high": "high", "q_low": "low"})
+
+
 def following(keys: DataFrame, partitions: int) -> DataFrame:
     """``keys`` (doc_id, tie, half) with the next row's key by descending doc_id; the last row's is the first's.
 
@@ -145,13 +195,18 @@ def number(doc_id: str) -> Column:
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next``."""
+    """Per document: ``doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next n_near``.
+
+    ``n_near`` is asked for documents whose doc_id is divisible by
+    ``QUERY_EVERY`` and null for others: how many other documents have a
+    fingerprint within ``NEAR_RADIUS`` bits.
+    """
     # plain keys without nulls: one dealing out of the texts serves both joins
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("tie", F.xxhash64("text", F.col("doc_id").isNull()))
     thin = docs.select("doc_id", "tie", F.expr("char_length(text) div 2").cast("long").alias("half")).distinct()
     thin = durable(thin)
-    spread = max(8, -(-thin.count() // EXCERPT_ROWS))
+    spread = max(8, -(-thin.count() // RANGE_ROWS))
     chain = following(thin, spread)
     chain = durable(chain.select("doc_id", number("doc_id").alias("k_id"), F.col("tie").alias("k_tie"), "half", number("next_id").alias("next_id"), "next_tie"))
     own = docs.select(number("doc_id").alias("k_id"), F.col("tie").alias("k_tie"), "text")
@@ -176,7 +231,9 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
         )
     )
     after = wide.select(F.col("k_id").alias("next_id"), F.col("k_tie").alias("next_tie"), F.col("high").alias("n_high"), F.col("low").alias("n_low"))
-    linked = wide.join(chain, ["k_id", "k_tie"]).join(after, ["next_id", "next_tie"])
+    asked = wide.filter(F.col("k_id") % QUERY_EVERY == 0).select("k_id", "k_tie", "high", "low")
+    found = asked.join(near_counts(wide, asked), ["high", "low"]).select("k_id", "k_tie", (F.col("n_near") - 1).alias("n_near"))
+    linked = wide.join(chain, ["k_id", "k_tie"]).join(found, ["k_id", "k_tie"], "left").join(after, ["next_id", "next_tie"])
     mine = (F.col("high"), F.col("low"))
     return linked.select(
         "doc_id",
@@ -186,6 +243,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
         as_text(F.col("e_high"), F.col("e_low")).alias("edited_fingerprint"),
         likeness(mine, (F.col("e_high"), F.col("e_low"))).alias("near_edited"),
         likeness(mine, (F.col("n_high"), F.col("n_low"))).alias("near_next"),
+        "n_near",
     )
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitepanel.llm import simhash
-from sitepanel.llm.simhash import fingerprints, op2_simhash, with_neighbours, within_radius
+from sitepanel.llm.simhash import fingerprints, near_counts, op2_simhash, with_neighbours, within_radius
 
 
 def check(rows, got):
@@ -22,14 +22,16 @@ def check(rows, got):
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert r.near_edited == pytest.approx(like(r.fingerprint, r.edited_fingerprint))
         assert r.near_next == pytest.approx(like(r.fingerprint, of[after_id].fingerprint))
+        near = sum(apart(r.fingerprint, x.fingerprint) <= simhash.NEAR_RADIUS for x in got) - 1
+        assert r.n_near == (near if i % 20 == 0 else None)
 
 
 def test_whole_table(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "EXCERPT_ROWS", 16)
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 16)
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = op2_simhash(spark, folder)
-    assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"]
     got = got.collect()
     check(rows, got)
     same = {}
@@ -40,7 +42,7 @@ def test_whole_table(spark, monkeypatch):
 
 
 def test_odd_rows(spark):
-    rows = [(5, "É ü 🙂 x"), (9, None), (7, ""), (1, "one"), (3, "a b c d e f g " * 9000), (2, "a b c d e f g " * 9000)]
+    rows = [(5, "É ü 🙂 x"), (20, "one"), (40, None), (9, None), (7, ""), (1, "one"), (3, "a b c d e f g " * 9000), (2, "a b c d e f g " * 9000)]
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows] + [(1, "one", "s")], "doc_id long, text string, fingerprint string")
     got = with_neighbours(docs).collect()
     check(rows, got)
@@ -48,8 +50,8 @@ def test_odd_rows(spark):
     assert of[3] == of[2] and of[9] == of[7]
     assert with_neighbours(docs.filter("false")).collect() == []
     alone = with_neighbours(docs.filter("doc_id = 3")).collect()
-    check([rows[4]], alone)
-    assert len(with_neighbours(docs.unionByName(spark.createDataFrame([(None, "n", "s")], docs.schema))).collect()) == 7
+    check([rows[6]], alone)
+    assert len(with_neighbours(docs.unionByName(spark.createDataFrame([(None, "n", "s")], docs.schema))).collect()) == 9
 
 
 def test_votes_against_counting(spark):
@@ -76,6 +78,14 @@ def test_radius_search_against_brute_force(spark):
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         rows.append((k, signed(value >> 64), signed(value & (2**64 - 1)), value))
     frame = spark.createDataFrame([r[:3] for r in rows], "id long, high long, low long")
-    got = {tuple(r) for r in within_radius(frame, frame.filter("id % 20 = 0"), 6).collect()}
+    got = within_radius(frame, frame.filter("id % 20 = 0"), 6).collect()
+    assert len(got) == len(set(got))  # each pair from one table only
+    got = {tuple(r) for r in got}
     want = {(a[0], b[0], bin(a[3] ^ b[3]).count("1")) for a in rows if a[0] % 20 == 0 for b in rows if bin(a[3] ^ b[3]).count("1") <= 6}
     assert got == want
+    for radius, blocks in ((3, 5), (6, 9), (0, 1), (5, 6)):
+        counts = {(r.high, r.low): r.n_near for r in near_counts(frame.union(frame), frame, radius, blocks).collect()}
+        assert counts == {a[1:3]: 2 * sum(bin(a[3] ^ b[3]).count("1") <= radius for b in rows) for a in rows}
+    nothing = frame.filter("false")
+    assert near_counts(frame, nothing).collect() == near_counts(nothing, frame).collect() == []
+    assert within_radius(nothing, nothing).collect() == []
