@@ -209,9 +209,10 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     # every task keeps only its first rows of a class
     some = [known.filter(F.col("toxic") == k).orderBy("_hash", "doc_id").limit(n) for k, n in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE))]
     chosen = some[0].unionByName(some[1])
-    # at most the two samples' rows
+    # about the two samples' rows; of many texts of one doc_id the same ones in every run
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic", "_hash")), "doc_id")
-    rows = texts.filter("text is not null").limit(2 * (TOXIC_SAMPLE + ORDINARY_SAMPLE)).collect()
+    texts = texts.filter("text is not null").orderBy("_hash", "doc_id", F.xxhash64("text"))
+    rows = texts.limit(2 * (TOXIC_SAMPLE + ORDINARY_SAMPLE)).collect()
     rows.sort(key=lambda r: (r["_hash"], r["doc_id"], r["text"]))
     return fit_toxicity(
         [r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64), (totals.get(0, 0), totals.get(1, 0))

@@ -75,3 +75,17 @@ def test_sample_is_no_window(spark, monkeypatch):
     texts, toxic, totals = seen[0]
     assert {int(t.split()[0][4:]) for t in texts} == want and sum(toxic) == 7 and totals == (150, 50)
     assert "Window" not in plans[0] and "GlobalLimit" in plans[0]
+
+
+def test_many_texts_of_one_id_give_the_same_sample(spark, monkeypatch):
+    from sitepanel.llm import toxicity
+
+    docs = spark.createDataFrame([(k % 3, f"word{k} again") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "TOXIC_SAMPLE", 7)
+    monkeypatch.setattr(toxicity, "ORDINARY_SAMPLE", 9)
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda texts, toxic, totals: seen.append((texts, toxic.tolist(), totals)))
+    for rows in (docs, docs.orderBy(F.desc("text")), docs.repartition(7)):
+        fit_toxicity_model(rows, labels)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == 32
