@@ -188,4 +188,4 @@ def trend_series(spark: SparkSession, folder: str) -> DataFrame:
     logged = gappy_panel(spark, folder).select(
         "site", "year", F.log1p("stems").alias("ln_stems"), F.log1p("insects").alias("ln_insects")
     )
-    return rounded(reshape.melt(logged, ["site", "year"], ["ln_stems", "ln_insects"]), "value")
+    return rounded(reshape.melt(logged, ["site", "year"], ["ln_stems", "ln_insects"]), "value", digits=4)
