@@ -176,7 +176,9 @@ SELECT site, point, round(x, 4) AS x, round(fit, 4) AS fit, round(error, 4) AS s
 FROM errors JOIN quantiles ON df = n - 2""")
 def trend_band(spark: SparkSession, folder: str) -> DataFrame:
     """Points of each site's trend line with confidence limits."""
-    lines = plotdata.trend_line(site_panel(spark, folder), "year", "stems", ["site"])
+    # a site's few years in order: its sums, and so a fit on a rounding limit, don't depend on how the rows come
+    panel = site_panel(spark, folder).repartition("site").sortWithinPartitions("site", "year")
+    lines = plotdata.trend_line(panel, "year", "stems", ["site"])
     return rounded(plotdata.trend_band(lines, points=20), "x", "fit", "std_error", "lower", "upper", digits=4)
 
 

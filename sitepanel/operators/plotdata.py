@@ -245,8 +245,9 @@ def trend_band(lines: DataFrame, points: int = 80, level: float = 0.95) -> DataF
     """
     keys = [c for c in lines.columns if c not in TREND_COLUMNS]
     spread = lines.where(F.col("slope").isNotNull()).withColumn("_t", t_two_sided_quantile(level, F.col("n") - 2))
-    step = (F.col("x_max") - F.col("x_min")) / F.lit(points - 1)
-    along = spread.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("x_min") + F.col("_k") * step)
+    # multiplied first: a range of whole years ends at its last year
+    x = F.col("x_min") + F.col("_k") * (F.col("x_max") - F.col("x_min")) / F.lit(points - 1)
+    along = spread.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
     gap = F.col("x") - F.col("x_mean")
     error = F.col("sigma") * F.sqrt(1.0 / F.col("n") + F.try_divide(gap * gap, F.col("sxx")))
     fit = F.col("intercept") + F.col("slope") * F.col("x")
