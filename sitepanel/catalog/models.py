@@ -470,10 +470,12 @@ def fixed_leverage(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_fixed_influence(spark, folder).select("site", "year", "leverage", "high_leverage"), "leverage")
 
 
-@query(f"{_FIXED_HATS} SELECT site, year, round(h, 6) AS leverage FROM hats, dims WHERE h > 8.0 / n")
+@query(f"""WITH RECURSIVE {FRAME}, {_ML}, {_INFLUENCE}
+SELECT site, year, round(h, 6) AS leverage FROM hats, vars WHERE h > 2.0 * p / n""")
 def high_leverage(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows above 2p/n alone."""
-    flagged = _fixed_influence(spark, folder).where("high_leverage")
+    """The rows above 2p/n of the mixed model, site effect included."""
+    fit, rows = _fit_with_rows(spark, folder, TERMS, reml=False)
+    flagged = fit.influence(rows).where("high_leverage")
     return rounded(flagged.select("site", "year", "leverage"), "leverage")
 
 
