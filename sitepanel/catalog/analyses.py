@@ -95,12 +95,19 @@ def _shown_averages(table: DataFrame) -> DataFrame:
 
 
 _VEGETATION = list(growth.VEGETATION_TERMS)
-_VEGETATION_SQL = _selection_sql(growth_ctes(), "growth_frame", growth.RESPONSE, _VEGETATION, reml=True, whole=True)
+_VEGETATION_SQL = _selection_sql(growth_ctes(), "growth_frame", growth.RESPONSE, _VEGETATION, reml=True)
+_VEGETATION_WHOLE_SQL = _selection_sql(growth_ctes(), "growth_frame", growth.RESPONSE, _VEGETATION, reml=True, whole=True)
 
 
 @query(f"{_VEGETATION_SQL} {_RANKING}")
 def vegetation_selection(spark: SparkSession, folder: str) -> DataFrame:
-    """All subsets of the vegetation model of stem growth, on the rows without any missing value."""
+    """All subsets of the vegetation model of stem growth."""
+    return _shown_ranking(_ranked(growth_rows(spark, folder), growth.RESPONSE, _VEGETATION, reml=True))
+
+
+@query(f"{_VEGETATION_WHOLE_SQL} {_RANKING}")
+def vegetation_whole_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The same on the rows without any missing value."""
     whole = growth_rows(spark, folder).dropna(how="any")
     return _shown_ranking(_ranked(whole, growth.RESPONSE, _VEGETATION, reml=True))
 
