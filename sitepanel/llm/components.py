@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitepanel.llm.store import durable
 
 MOST_ROUNDS = 60
+FILES, FILE_LINKS = 8, 10_000  # a round is written as so many files, and one more for so many links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,13 +27,14 @@ def components(links: DataFrame) -> DataFrame:
     loops = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct()
     edges = ends.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = durable(edges)
-    before = None
+    size, before = edges.count(), None
     for _ in range(MOST_ROUNDS):
-        edges = durable(_small_star(_large_star(edges)))
+        # a round about keeps the number of links; few of them make few files, whatever the shuffle's partitions
+        edges = durable(_small_star(_large_star(edges)).coalesce(FILES + size // FILE_LINKS))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        size, before = now[0], now
     else:
         raise RuntimeError("the components didn't settle")
     return loops.join(edges.select(F.col("u").alias("id"), F.col("v").alias("_v")), "id", "left").select(

@@ -29,7 +29,7 @@ def powers(size: int) -> np.ndarray:
     return mix(np.arange(size, dtype=np.uint64) * GOLDEN + np.uint64(77)) | np.uint64(1)
 
 
-def in_pieces(texts: Iterable[str | None], most_bytes: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def in_pieces(texts: Iterable[str | None], most_bytes: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts as bytes, each of about ``most_bytes`` or a single longer text, with the first one's place."""
     piece, first, size = [], 0, 0
     for place, text in enumerate(texts):

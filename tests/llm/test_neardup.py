@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from sitepanel.llm import components as components_module
 from sitepanel.llm.components import components
 from sitepanel.llm.neardup import near_duplicates, op5_neardup
 from sitepanel.llm.setsketch import band_keys, likeliest_jaccard, merge, sketches
@@ -89,6 +91,33 @@ def test_shingles_do_not_depend_on_the_pieces():
     assert whole[5][0] in whole[0]
 
 
+def test_a_round_of_few_links_makes_few_files(spark, monkeypatch):
+    parts, write = [], components_module.durable
+    monkeypatch.setattr(components_module, "durable", lambda df: parts.append(df.rdd.getNumPartitions()) or write(df))
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.range(200).selectExpr("id as a", "id + 1 as b")
+        assert {r.component for r in components(links).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(parts) > 2 and max(parts[1:]) <= 8
+
+
+def test_a_piece_takes_little_memory():
+    texts = [f"words of the text {k} and more of them than the others hold " * 40 for k in range(2000)]
+    tracemalloc.start()
+    try:
+        for _, piece in in_pieces(texts):
+            shingle_sets(piece, 5)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_query_against_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
