@@ -18,7 +18,9 @@ def components(links: DataFrame) -> DataFrame:
     small stars: each node passes its neighbours on to the smallest of them,
     which halves distances while every node keeps few links.  Each round's
     links are written to the shared folder, so a lost executor costs one round.
-    Minima are formed on the map side; nothing is gathered by node.
+    Minima are formed on the map side; nothing is gathered by node, and no
+    join is broadcast: each one would pass through the driver and leave it a
+    thread and buffers, for every round.
 
     Defined results: self-links make a component of one; repeated and reversed
     links count once; no links give no rows; a null end is left out.
@@ -37,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         size, before = now[0], now
     else:
         raise RuntimeError("the components didn't settle")
-    return loops.join(edges.select(F.col("u").alias("id"), F.col("v").alias("_v")), "id", "left").select(
+    return loops.join(edges.select(F.col("u").alias("id"), F.col("v").alias("_v")).hint("merge"), "id", "left").select(
         "id", F.coalesce("_v", "id").alias("component")
     )
 
@@ -46,13 +48,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours go to the smallest neighbour, or to the node itself if that is smaller."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
-    moved = both.filter("v > u").join(least, F.col("u") == F.col("_u"))
+    moved = both.filter("v > u").join(least.hint("merge"), F.col("u") == F.col("_u"))
     return moved.select(F.col("v").alias("u"), F.least("u", "_m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours, and the node itself, go to the smallest of them."""
     least = edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
-    moved = edges.join(least, F.col("u") == F.col("_u"))
+    moved = edges.join(least.hint("merge"), F.col("u") == F.col("_u"))
     own = least.select(F.col("_u").alias("u"), F.col("_m").alias("v"))
     return moved.filter("v != _m").select(F.col("v").alias("u"), F.col("_m").alias("v")).union(own).distinct()

@@ -16,7 +16,7 @@ comes first by code point; rows are kept as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,12 +88,24 @@ def unit_vector(columns: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.
     return values / max(float(np.sqrt(values @ values)), 1e-12)
 
 
+class Vectors:
+    """Columns and unit vector of each row (columns, counts), formed anew on every pass: the driver holds the packed rows alone."""
+
+    def __init__(self, rows: Sequence, idf: np.ndarray):
+        self.rows, self.idf = rows, idf
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for r in self.rows:
+            columns = np.frombuffer(r["columns"], "<u2").astype(np.int64)
+            yield columns, unit_vector(columns, np.frombuffer(r["counts"], "<u4").astype(np.float64), self.idf)
+
+
 def softmax(margins: np.ndarray) -> np.ndarray:
     e = np.exp(margins - margins.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int = EPOCHS):
+def train_ftrl(rows: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int = EPOCHS):
     """Weights and bias after ``epochs`` passes; the last column of the state is the bias."""
     z = np.zeros((classes, DIMENSIONS + 1))
     n = np.zeros((classes, DIMENSIONS + 1))
@@ -185,13 +197,12 @@ def fit_language_model(labelled: DataFrame, sample: int = SAMPLE) -> LanguageMod
     picked.sort(key=lambda r: (r["_hash"], r["lang"], r["columns"]))
     texts, n = document_frequencies(labelled)
     idf = np.log((1.0 + n) / (1.0 + texts)) + 1.0
-    raw = [(np.frombuffer(r["columns"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4")) for r in picked]
-    rows = [(c, unit_vector(c, k.astype(np.float64), idf)) for c, k in raw]
     known = {x: k for k, x in enumerate(languages)}
     labels = np.array([known[r["lang"]] for r in picked])
-    check = np.arange(len(rows)) % 5 == 4
-    weights, bias = train_ftrl([r for r, c in zip(rows, check) if not c], labels[~check], len(languages))
-    margins = np.array([weights[:, c] @ v + bias for (c, v), k in zip(rows, check) if k]).reshape(-1, len(languages))
+    check = np.arange(len(picked)) % 5 == 4
+    weights, bias = train_ftrl(Vectors([r for r, c in zip(picked, check) if not c], idf), labels[~check], len(languages))
+    tested = Vectors([r for r, c in zip(picked, check) if c], idf)
+    margins = np.array([weights[:, c] @ v + bias for c, v in tested]).reshape(-1, len(languages))
     return LanguageModel(
         languages, idf, np.ascontiguousarray(weights, dtype=np.float32), bias, fit_temperature(margins, labels[check])
     )

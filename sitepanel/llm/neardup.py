@@ -16,6 +16,9 @@ size, and only pairs that join two components and look alike are verified.  So
 a group of many copies costs about a comparison a member, and no link between
 different components is lost.
 
+All tables here grow with the documents, so their joins are merges: a broadcast
+would pass through the driver, however small it is.
+
 Bands: with 32 bands of 4 registers a pair of similarity 0.75 shares no band
 with probability 5e-6; the estimate's floor lies 4 standard errors below 0.75.
 
@@ -84,7 +87,7 @@ def bucket_members(classes: DataFrame) -> DataFrame:
 
     members = classes.select("id", "sketch").mapInPandas(cut, "key long, id long")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return members.join(sizes, "key")
+    return members.join(sizes.hint("merge"), "key")
 
 
 def registers(column: pd.Series) -> np.ndarray:
@@ -100,7 +103,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a b`` whose sizes fit and whose likeliest similarity reaches the floor."""
     one = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     two = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("t"))
-    joined = pairs.join(one, "a").join(two, "b").filter(size_fits(F.col("n"), F.col("m"), percent))
+    joined = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter(size_fits(F.col("n"), F.col("m"), percent))
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -118,7 +121,7 @@ def floor(percent: int) -> float:
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``id text`` of the classes ``ids``: all texts are dealt out once, the needed ones written."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    return durable(texts.join(ids, "id").dropDuplicates(["id"]))
+    return durable(texts.join(ids.hint("merge"), "id").dropDuplicates(["id"]))
 
 
 def dealt_out(pairs: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def dealt_out(pairs: DataFrame) -> DataFrame:
     """
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     partners = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    counted = pairs.join(partners.toDF("a", "n"), "a").join(partners.toDF("b", "m"), "b")
+    counted = pairs.join(partners.toDF("a", "n").hint("merge"), "a").join(partners.toDF("b", "m").hint("merge"), "b")
     more = F.col("n") >= F.col("m")
     slices = F.ceil(F.greatest("n", "m") / SLICE)
     ends = counted.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("anchor"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("id"), slices.alias("_slices"))
@@ -143,9 +146,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     anchor's text travels once a slice and not once a pair.
     """
     dealt = durable(dealt_out(pairs))
-    leads = dealt.select("anchor", "slice").distinct().join(texts.toDF("anchor", "text"), "anchor")
+    leads = dealt.select("anchor", "slice").distinct().join(texts.toDF("anchor", "text").hint("merge"), "anchor")
     leads = leads.select("anchor", "slice", F.lit(None).cast("long").alias("id"), "text")
-    rows = leads.union(dealt.join(texts, "id").select("anchor", "slice", "id", "text"))
+    rows = leads.union(dealt.join(texts.hint("merge"), "id").select("anchor", "slice", "id", "text"))
     rows = rows.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice", F.col("id").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +172,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def hub_pairs(members: DataFrame) -> DataFrame:
     """``a b``: every member of a bucket with the bucket's hub, each pair once."""
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    hubs = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", -F.col("id"), "id")).alias("_hub"))
-    pairs = members.join(hubs.select("key", F.col("_hub.id").alias("hub")), "key").filter("id != hub")
+    hubs = members.join(degree.hint("merge"), "id").groupBy("key").agg(F.max(F.struct("degree", -F.col("id"), "id")).alias("_hub"))
+    pairs = members.join(hubs.select("key", F.col("_hub.id").alias("hub")).hint("merge"), "key").filter("id != hub")
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -194,7 +197,7 @@ def mixed_buckets(named: DataFrame) -> DataFrame:
     kinds = named.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("component").alias("_low"), F.max("component").alias("_high")
     )
-    return named.drop("size").join(kinds.filter("_low != _high").select("key", "size"), "key")
+    return named.drop("size").join(kinds.filter("_low != _high").select("key", "size").hint("merge"), "key")
 
 
 def pairs_between(
@@ -207,20 +210,20 @@ def pairs_between(
     it had in common with others like it is then theirs alone, so this is done
     ``STRAY_ROUNDS`` times.
     """
-    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = members.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # the hub has been compared with all: a bucket of two holds nothing new
     rows = durable(mixed_buckets(named.filter("size > 2")))
-    about = classes.select("id", "n_shingles", "sketch").join(rows.select("id").distinct(), "id")
+    about = classes.select("id", "n_shingles", "sketch").join(rows.select("id").distinct().hint("merge"), "id")
     for _ in range(STRAY_ROUNDS):
-        lone = lone_shingles(texts.join(about.select("id"), "id"), words)
-        counted = about.drop("lone").join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        lone = lone_shingles(texts.join(about.select("id").hint("merge"), "id"), words)
+        counted = about.drop("lone").join(lone.hint("merge"), "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
         about = counted.filter(F.expr(f"100 * (n_shingles - lone) >= {percent} * n_shingles"))
-        rows = durable(mixed_buckets(rows.join(about.select("id"), "id")))
-        about = durable(about.join(rows.select("id").distinct(), "id"))
+        rows = durable(mixed_buckets(rows.join(about.select("id").hint("merge"), "id")))
+        about = durable(about.join(rows.select("id").distinct().hint("merge"), "id"))
     rows = rows.withColumn("_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_other"))
-    rows = rows.join(about, "id")
+    rows = rows.join(about.hint("merge"), "id")
     rows = rows.select(
         "key", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "_block", "id", "component", "n_shingles", "lone", "sketch"
     )
@@ -256,7 +259,7 @@ def pairs_between(
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     found = rows.groupBy("key", "i", "j").applyInPandas(look, "a long, b long").distinct()
-    return found.join(tried, ["a", "b"], "left_anti")
+    return found.join(tried.hint("merge"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -265,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "first", "second"]
     least = durable(usable.groupBy(*same).agg(F.min("doc_id").alias("id")))
-    mine = usable.withColumnRenamed("doc_id", "id").join(least, [*same, "id"])
+    mine = usable.withColumnRenamed("doc_id", "id").join(least.hint("merge"), [*same, "id"])
     classes = durable(mine.select("id", "n_shingles", "sketch").dropDuplicates(["id", "n_shingles", "sketch"]))
     members = durable(bucket_members(classes))
     tried = durable(hub_pairs(members))
@@ -274,13 +277,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     labels = durable(components(links))
     more = durable(pairs_between(members, classes, labels, tried, texts, words, percent))
     more = durable(verified(more, texts, words, percent))
-    named = more.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-    named = named.join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    named = more.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")).hint("merge"), "a", "left")
+    named = named.join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")).hint("merge"), "b", "left")
     over = durable(components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
     over = over.select(F.col("id").alias("_of"), F.col("component").alias("_over"))
-    named = least.join(labels, "id", "left").withColumn("_of", F.coalesce("component", "id")).join(over, "_of", "left")
+    named = least.join(labels.hint("merge"), "id", "left").withColumn("_of", F.coalesce("component", "id")).join(over.hint("merge"), "_of", "left")
     named = durable(named.select(*same, F.coalesce("_over", "_of").alias("component_id")))
-    found = signed.select("doc_id", *same).join(named, same, "left")
+    found = signed.select("doc_id", *same).join(named.hint("merge"), same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

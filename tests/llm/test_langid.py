@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitepanel.llm.langid import (
-    DIMENSIONS, fit_language_model, fit_temperature, gram_counts, identify, op9_language, softmax, train_ftrl,
+    DIMENSIONS, Vectors, fit_language_model, fit_temperature, gram_counts, identify, op9_language, softmax, train_ftrl, unit_vector,
 )
 
 
@@ -81,3 +81,21 @@ def test_more_languages_than_the_sample_and_a_hot_id(spark):
     assert model.languages == ["l0", "l1", "l2", "l3", "l4"]
     got = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
     assert got[10] == "l0" and got[12] == "l2" and got[14] == "l4"
+
+
+def test_rows_to_train_on_stay_packed():
+    """A pass over the sample leaves nothing of it unpacked behind; every pass gives the same vectors."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    idf = rng.random(DIMENSIONS) + 1.0
+    plain = [(np.sort(rng.choice(DIMENSIONS, 2000, replace=False)), rng.integers(1, 90, 2000)) for _ in range(300)]
+    packed = [{"columns": c.astype("<u2").tobytes(), "counts": k.astype("<u4").tobytes()} for c, k in plain]
+    rows = Vectors(packed, idf)
+    tracemalloc.start()
+    for _ in range(2):
+        for (columns, values), (c, k) in zip(rows, plain):
+            assert (columns == c).all() and (values == unit_vector(c, k.astype(np.float64), idf)).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(len(r["columns"]) + len(r["counts"]) for r in packed) / 4

@@ -123,3 +123,29 @@ def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op5_neardup(spark, folder).collect()}
     assert got == brute(rows)
+
+
+def test_nothing_is_broadcast_and_no_marker_is_written(spark, monkeypatch):
+    """Every join is a merge, so none passes through the driver; the driver makes no file of its own for a written table."""
+    from pathlib import Path
+
+    from sitepanel.llm import neardup as neardup_module
+    from sitepanel.llm import store
+
+    joins, files = [], []
+
+    def watched(df, **options):
+        joins.extend(line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+        out = store.durable(df, **options)
+        files.extend(p.name for f in out.inputFiles()[:1] for p in Path(f.removeprefix("file:")).parent.iterdir())
+        return out
+
+    monkeypatch.setattr(neardup_module, "durable", watched)
+    monkeypatch.setattr(components_module, "durable", watched)
+    base = " ".join(f"word{k}" for k in range(40))
+    rows = [(i, f"{base} tail{i % 3} end") for i in range(12)] + [(20, "something else that is long enough to count"), (21, "")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    joins.extend(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+    assert {r.component_id for r in got.filter("doc_id < 12").collect()} == {0}
+    assert joins and not [x for x in joins if "Broadcast" in x]
+    assert files and not [x for x in files if "SUCCESS" in x]
