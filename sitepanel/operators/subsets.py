@@ -26,8 +26,12 @@ from sitepanel.operators.mixed import EXACT, THETA_GRID, WIDEST, aicc_of
 from sitepanel.operators.moments import PooledMoments
 
 LEAVES = 256  # subsets that are fitted together
-# A bound that cuts is looked at again between the points of the grid; the slack covers what lies between those.
-FINE, SLACK = 17, 0.01
+SLACK = 0.01  # of a bound that cuts, for rounding
+# Between the points of the grid a bound holds for whole ranges of ratios, which are halved until all of them
+# cut or one can't. A search that asks for more ranges or halvings than these doesn't cut.
+MOST_RANGES, HALVINGS = 4096, 40
+# Ends of the ranges beyond the grid.
+FAR_THETAS = 10.0 ** np.array([8.0, 10.0, 12.0, 14.0])
 
 
 def step(a: np.ndarray, j: int) -> np.ndarray:
@@ -159,51 +163,82 @@ class SubsetTree:
         takes = [True, False] if node.subset & self.needs[j] == self.needs[j] else [False]
         return [c for c in (self._child(node, take) for take in takes) if not self.hopeless(c)]
 
-    def _least(self, node_log_det, most: np.ndarray, thetas: np.ndarray, taken: int, free: list[int]) -> float:
-        """A criterion that no subset of the branch goes below, at the given ratios."""
+    def _least(self, node_log_det, most: np.ndarray, taken: int, free: list[int]) -> np.ndarray:
+        """By variance ratio, a criterion less the sites' logarithms that no subset of the branch goes below.
+
+        Residual sums of squares and determinants fall as the ratio grows, so it holds for all smaller ratios too.
+        """
         places = [j + 1 for j in free]
         r = np.arange(len(free) + 1)
-        inverse = -most[np.ix_(range(len(thetas)), places, places)]
+        inverse = -most[np.ix_(range(len(most)), places, places)]
         spread = np.diagonal(inverse, axis1=1, axis2=2)
-        scores = most[:, places, -1] ** 2 / spread if free else np.zeros((len(thetas), 0))
-        if len(free) > 1:
-            root = np.sqrt(spread)
-            widest = np.linalg.eigvalsh(inverse / (root[:, :, None] * root[:, None, :]))[:, -1]
-        else:
-            widest = np.ones(len(thetas))
-        # with r terms taken in, at best those with the smallest scores are dropped
-        lost = np.cumsum(np.sort(scores, axis=1), axis=1)
-        lost = np.concatenate([np.zeros((len(thetas), 1)), lost], axis=1)[:, ::-1] / widest[:, None]
-        rss = most[:, -1, -1][:, None] + lost
-        log_det = node_log_det[:, None]
-        if self.reml:
-            own = np.sort(-np.log(spread) + 2 * np.log(self.scale[places]), axis=1) if free else scores
-            log_det = log_det + np.concatenate([np.zeros((len(thetas), 1)), np.cumsum(own, axis=1)], axis=1)
-        ranks = 1 + taken + r
-        value = self.log_lik(rss, log_det, self.log_sites(thetas)[:, None], ranks[None, :])
-        with np.errstate(invalid="ignore"):
-            least = -2.0 * value + self.penalties(ranks)[None, :]
-        return float(np.nanmin(least)) if np.isfinite(least).any() else math.inf
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = most[:, places, -1] ** 2 / spread if free else np.zeros((len(most), 0))
+            if len(free) > 1:
+                root = np.sqrt(spread)
+                alike = inverse / (root[:, :, None] * root[:, None, :])
+                sound = np.isfinite(alike).all(axis=(1, 2))
+                widest = np.full(len(most), math.nan)
+                widest[sound] = np.linalg.eigvalsh(alike[sound])[:, -1]
+            else:
+                widest = np.ones(len(most))
+            # with r terms taken in, at best those with the smallest scores are dropped
+            lost = np.cumsum(np.sort(scores, axis=1), axis=1)
+            lost = np.concatenate([np.zeros((len(most), 1)), lost], axis=1)[:, ::-1] / widest[:, None]
+            rss = most[:, -1, -1][:, None] + lost
+            log_det = node_log_det[:, None]
+            if self.reml:
+                own = np.sort(-np.log(spread) + 2 * np.log(self.scale[places]), axis=1) if free else scores
+                log_det = log_det + np.concatenate([np.zeros((len(most), 1)), np.cumsum(own, axis=1)], axis=1)
+            ranks = 1 + taken + r
+            penalties = self.penalties(ranks)[None, :]
+            least = -2.0 * self.log_lik(rss, log_det, 0.0, ranks[None, :]) + penalties
+        # what can't be told is no bound
+        least = np.where(np.isinf(penalties), math.inf, np.where(np.isnan(least), -math.inf, least))
+        return least.min(axis=1)
+
+    def _least_of(self, subset: int, depth: int, thetas: np.ndarray) -> np.ndarray:
+        """``_least`` of the branch at other ratios than the grid's."""
+        a = self.grams(thetas)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log_det = np.log(a[:, 0, 0]) + 2 * math.log(self.scale[0])
+            a = step(a, 0)
+            for j in range(self.q):
+                if subset >> j & 1:
+                    log_det = log_det + np.log(a[:, j + 1, j + 1]) + 2 * math.log(self.scale[j + 1])
+                    a = step(a, j + 1)
+            return self._least(log_det, self._all_open(a, subset, depth), subset.bit_count(), self.open(subset, depth))
 
     def hopeless(self, node: Node) -> bool:
-        """Whether no subset of the branch can come within the limit."""
+        """Whether no subset of the branch can come within the limit, at any variance ratio."""
         if self.within is None or not math.isfinite(self.best):
             return False
-        limit = self.best + self.within
-        free, taken = self.open(node.subset, node.depth), node.subset.bit_count()
-        if not self._least(node.log_det, node.most, self.thetas, taken, free) > limit:
+        limit = self.best + self.within + SLACK
+        subset, depth = node.subset, node.depth
+        least = self._least(node.log_det, node.most, subset.bit_count(), self.open(subset, depth))
+        sites = self.log_sites(self.thetas)
+        if not (least + sites > limit).all():
             return False
         if self.fixed is not None:
             return True
-        at = np.log10(self.thetas[1:])
-        fine = np.concatenate([[0.0], 10.0 ** np.interp(np.arange((len(at) - 1) * FINE + 1) / FINE, np.arange(len(at)), at)])
-        a = step(self.grams(fine), 0)
-        log_det = np.log(self.grams(fine)[:, 0, 0]) + 2 * math.log(self.scale[0])
-        for j in range(self.q):
-            if node.subset >> j & 1:
-                log_det = log_det + np.log(a[:, j + 1, j + 1]) + 2 * math.log(self.scale[j + 1])
-                a = step(a, j + 1)
-        return self._least(log_det, self._all_open(a, node.subset, node.depth), fine, taken, free) > limit + SLACK
+        # The sites' logarithms grow with the ratio, the rest falls: the first at a range's lower end and
+        # the second at its upper end bound the whole range.
+        low, high = np.append(self.thetas, FAR_THETAS[:-1]), np.append(self.thetas[1:], FAR_THETAS)
+        above, below = np.append(least[1:], self._least_of(subset, depth, FAR_THETAS)), np.append(sites, self.log_sites(FAR_THETAS[:-1]))
+        for _ in range(HALVINGS):
+            left = ~(above + below > limit)
+            if not left.any():
+                return True
+            if left.sum() > MOST_RANGES:
+                return False
+            low, high, above, below = low[left], high[left], above[left], below[left]
+            middle = np.where(low > 0, np.sqrt(low * high), 0.5 * high)
+            least, sites = self._least_of(subset, depth, middle), self.log_sites(middle)
+            if not (least + sites > limit).all():
+                return False
+            low, high = np.append(low, middle), np.append(middle, high)
+            above, below = np.append(least, above), np.append(below, sites)
+        return False
 
     def branches(self, wanted: int) -> list[tuple[int, int]]:
         """At least ``wanted`` branches (subset, depth) that together hold every subset still possible, or all of them."""
