@@ -1,12 +1,13 @@
 """Exact top-k search by inner product with vector-approximation files.
 
 Every component of a vector is cut to a cell of an even grid.  A query's inner
-product with a cell's lower corner, plus or minus a slack of the query alone,
-bounds its product with any vector in the cell.  Blocks of queries scan blocks
-of cells; the k-th best lower bound of a query rules out all cells whose upper
-bound is below it.  Exact vectors of the others are read in the order of their
-bounds: first a few, whose k-th result rules out most of the rest, then those
-that could still be better.
+product with a cell's lower corner, plus a slack of the query alone, bounds its
+product with any vector in the cell.  Blocks of queries scan groups of blocks of
+cells, block after block; exact vectors are only compared where the bound isn't
+below the k-th best product that the query has met so far.  A group of blocks and
+a chunk of queries meet in one task, so a query travels once to each group and a
+vector once to each chunk; both are bounded by memory.  Each group's few best of
+a query are merged.
 
 Equal vectors are one entry with their k + 1 smallest ids, queries with equal
 vectors are one query; a group of copies therefore costs as much as one vector.
@@ -33,7 +34,11 @@ from sitepanel.llm.store import durable
 
 CELLS = 256  # per dimension: a byte
 VECTORS, QUERIES = 4096, 256  # per block
-FIRST_READS = 3  # times k + 1
+GROUPS, MOST_BLOCKS = 32, 64  # of vectors: about so many groups, but no more blocks in one
+CHUNK = 512  # blocks of queries
+SMALL = (1 << 15) - 1  # components that two bytes hold
+WHOLE = 2.0**53  # sums of whole numbers below are exact
+PAIRS_AT_ONCE = 1 << 20  # components
 LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 
 
@@ -43,26 +48,38 @@ def usable(embedding: Column) -> Column:
 
 
 def scaled(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """``id vector dims`` of the rows that take part; vectors as packed whole numbers, little-endian 64-bit floats, which hold every one."""
+    """``id vector dims`` of the rows that take part; vectors as packed whole numbers, of 16 bits where all are small, else 64-bit floats, which hold every one."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.filter(usable(F.col("e")) & F.col("id").isNotNull())
 
     @F.pandas_udf("binary")
     def pack(vectors: pd.Series) -> pd.Series:
         whole = lambda v: np.floor(float(scale) * np.asarray(v, dtype="<f8")) + 0.0  # no negative zero
-        return pd.Series([whole(v).tobytes() for v in vectors], dtype=object)
+        return pd.Series([packed(whole(v)) for v in vectors], dtype=object)
 
     rows = rows.filter(F.forall("e", lambda x: F.abs(F.lit(float(scale)) * x) < float("inf")))
     return rows.select("id", pack(F.col("e")).alias("vector"), F.size("e").alias("dims"))
 
 
+def packed(whole: np.ndarray) -> bytes:
+    return whole.astype("<i2" if np.abs(whole).max(initial=0.0) <= SMALL else "<f8").tobytes()
+
+
+def from_packed(body: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(body, dtype="<i2" if len(body) == 2 * rows * dims else "<f8").reshape(rows, dims)
+
+
 def unpacked(column: pd.Series, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<f8").reshape(len(column), dims)
+    out = np.empty((len(column), dims))
+    small = np.array([len(v) == 2 * dims for v in column], dtype=bool)
+    for width, some in ((2, small), (8, ~small)):
+        out[some] = np.frombuffer(b"".join(column[some]), dtype="<i2" if width == 2 else "<f8").reshape(-1, dims) if dims else 0.0
+    return out
 
 
 def entries(vectors: DataFrame, copies: int) -> DataFrame:
     """``entry vector dims ids``: distinct vectors, by their smallest id, with ``copies`` ids at most."""
-    place = F.row_number().over(W.partitionBy("vector").orderBy("id"))
+    place = F.row_number().over(W.partitionBy("vector", "dims").orderBy("id"))
     few = vectors.withColumn("_place", place).filter(F.col("_place") <= copies)
     return few.groupBy("vector", "dims").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
         F.element_at("ids", 1).alias("entry"), "vector", "dims", "ids"
@@ -87,69 +104,150 @@ def grid(found: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (np.array(a, dtype=np.float64), np.array(w, dtype=np.float64)) for d, (a, w) in out.items()}
 
 
-def blocks(found: DataFrame, rows: int, count: int, grids: dict, cells: bool) -> DataFrame:
-    """``block dims ids body``: about ``rows`` entries together, as cells or as they are."""
-    number = max(1, -(-count // rows))
+def blocks(found: DataFrame, number: int, grids: dict | None) -> DataFrame:
+    """``block dims ids cells body``: the entries in ``number`` blocks; cells only with ``grids``."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         dims = int(part["dims"].iloc[0])
         part = part.sort_values("entry")
         v = unpacked(part["vector"], dims)
-        if cells:
+        cells = b""
+        if grids is not None:
             low, width = grids.get(dims, (0, 1))
-            v = np.clip((v - low) // width, 0, CELLS - 1).astype(np.uint8)
+            cells = np.clip((v - low) // width, 0, CELLS - 1).astype(np.uint8).tobytes()
         ids = part["entry"].to_numpy(dtype="<i8").tobytes()
-        return pd.DataFrame({"block": [int(part["_block"].iloc[0])], "dims": [dims], "ids": [ids], "body": [v.tobytes()]})
-
-    numbered = found.withColumn("_block", F.pmod(F.xxhash64("entry"), F.lit(number)).cast("int"))
-    packed = numbered.groupBy("_block", "dims").applyInPandas(pack, "block int, dims int, ids binary, body binary")
-    return packed
-
-
-def scan(pairs: DataFrame, grids: dict, keep: int, thresholds: bool) -> DataFrame:
-    """Lower bounds of each query's best cells in a block, or the cells above its threshold.
-
-    ``q entry bound``; an upper bound where thresholds are given, else a lower one.
-    """
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                dims = int(row.dims)
-                q = np.frombuffer(row.q_body, dtype="<f8").reshape(-1, dims) if dims else np.zeros((len(row.q_ids) // 8, 0))
-                low, width = grids[dims] if dims else (np.zeros(0), np.zeros(0))
-                cells = np.frombuffer(row.body, dtype=np.uint8).reshape(len(row.ids) // 8, dims)
-                q_ids, ids = np.frombuffer(row.q_ids, dtype="<i8"), np.frombuffer(row.ids, dtype="<i8")
-                corner = q @ (low + cells.astype(np.float64) * width).T
-                rounding = 1e-9 * (np.abs(q) @ np.abs(np.maximum(np.abs(low), np.abs(low + CELLS * width)))) + 1.0
-                if thresholds:
-                    upper = corner + (np.maximum(q, 0) @ (width - 1.0) + rounding)[:, None]
-                    least = np.frombuffer(row.least, dtype="<f8")
-                    i, j = np.nonzero(upper >= least[:, None])
-                    yield pd.DataFrame({"q": q_ids[i], "entry": ids[j], "bound": upper[i, j]})
-                else:
-                    lower = corner + (np.minimum(q, 0) @ (width - 1.0) - rounding)[:, None]
-                    n = min(keep, lower.shape[1])
-                    best = np.argpartition(-lower, n - 1, axis=1)[:, :n]
-                    yield pd.DataFrame(
-                        {"q": np.repeat(q_ids, n), "entry": ids[best].ravel(), "bound": np.take_along_axis(lower, best, 1).ravel()}
-                    )
-
-    return pairs.mapInPandas(look, "q long, entry long, bound double")
-
-
-def exact(candidates: DataFrame, found: DataFrame) -> DataFrame:
-    """``q entry score``: inner products of whole vectors."""
-    left = found.select(F.col("entry").alias("q"), F.col("vector").alias("_a"))
-    right = found.select("entry", F.col("vector").alias("_b"))
-
-    @F.pandas_udf("score long, beyond string")
-    def product(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        of = lambda x: np.frombuffer(x, dtype="<f8")
-        return pd.DataFrame([within_long(dot(of(x), of(y))) for x, y in zip(a, b)], columns=["score", "beyond"])
-
-    joined = candidates.select("q", "entry").join(left, "q").join(right, "entry")
-    return joined.select("q", "entry", product("_a", "_b").alias("_found")).select("q", "entry", "_found.score", "_found.beyond")
+        return pd.DataFrame({"block": [int(part["block"].iloc[0])], "dims": [dims], "ids": [ids], "cells": [cells], "body": [packed(v)]})
+
+    numbered = found.select("entry", "vector", "dims", F.pmod(F.xxhash64("entry"), F.lit(number)).alias("block"))
+    return numbered.groupBy("block", "dims").applyInPandas(pack, "block long, dims int, ids binary, cells binary, body binary")
+
+
+class Leaders:
+    """The ``keep`` best entries of each query of a block so far, by score, then by smallest id."""
+
+    def __init__(self, q: np.ndarray, most: float, low: np.ndarray, width: np.ndarray, keep: int):
+        self.q, self.keep, self.width = q, keep, width
+        dims = q.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            # products of whole numbers that a double can't tell apart go by Python's integers
+            self.sure = float(np.abs(q).max(initial=0.0)) * most * dims < WHOLE
+            reach = np.abs(q) @ (np.abs(low) + CELLS * width)
+            narrow = float(reach.max(initial=0.0)) < 1e37
+            self.side = (q * width).astype(np.float32 if narrow else np.float64)
+            rounding = reach * ((dims + 8) * (1.2e-7 if narrow else 1e-14) + 1e-9) + 1.0
+            # a cell's upper bound, less its place in the grid
+            self.over = q @ low + np.maximum(q, 0) @ (width - 1.0) + rounding
+        self.least = np.full(len(q), -np.inf)
+        self.at, self.score, self.entry = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+        self.exact: list[list[tuple[int, int]]] = [[] for _ in q]
+
+    def scan(self, ids: np.ndarray, cells: np.ndarray, v: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            corner = self.side @ cells.astype(self.side.dtype).T
+            if not self.sure:
+                self._scan_exactly(ids, corner, v)
+                return
+            if np.isinf(self.least).any() and len(ids) >= self.keep:
+                # a first few by their bounds
+                few = np.argpartition(-corner, self.keep - 1, axis=1)[:, : self.keep]
+                i = np.repeat(np.arange(len(self.q)), self.keep)
+                first = self._products(i, few.ravel(), v).reshape(-1, self.keep)
+                self.least = np.maximum(self.least, first.min(axis=1))
+            # what can't be told is looked at
+            cut = np.nextafter((self.least - self.over).astype(corner.dtype), corner.dtype.type(-np.inf))
+            i, j = np.nonzero(~(corner < cut[:, None]))
+        if not len(i):
+            return
+        if len(i) * 8 > corner.size:
+            score = (self.q @ v.T.astype(np.float64))[i, j]
+        else:
+            score = self._products(i, j, v)
+        at = np.concatenate([self.at, i])
+        score, entry = np.concatenate([self.score, score]), np.concatenate([self.entry, ids[j]])
+        fine = score >= self.least[at]
+        at, score, entry = at[fine], score[fine], entry[fine]
+        order = np.lexsort((entry, -score, at))
+        at, score, entry = at[order], score[order], entry[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        some = place < self.keep
+        self.at, self.score, self.entry = at[some], score[some], entry[some]
+        last = place == self.keep - 1
+        self.least[at[last]] = score[last]
+
+    def _products(self, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out, lot = np.empty(len(i)), max(1, PAIRS_AT_ONCE // max(1, v.shape[1]))
+        for a in range(0, len(i), lot):
+            out[a : a + lot] = np.einsum("pd,pd->p", self.q[i[a : a + lot]], v[j[a : a + lot]].astype(np.float64))
+        return out
+
+    def _scan_exactly(self, ids: np.ndarray, corner: np.ndarray, v: np.ndarray) -> None:
+        for k, held in enumerate(self.exact):
+            upper = corner[k].astype(np.float64) + self.over[k]
+            # the best bounds first, a few at a time, each lot with what the lot before found
+            order = np.argsort(-np.where(np.isnan(upper), np.inf, upper), kind="stable")
+            for a in range(0, len(order), 4 * self.keep):
+                some = order[a : a + 4 * self.keep]
+                some = some[~(upper[some] < self.least[k])]
+                if not len(some):
+                    break
+                held += [(-dot(self.q[k], v[j].astype(np.float64)), int(ids[j])) for j in some]
+                held.sort()
+                del held[self.keep :]
+                if len(held) == self.keep:
+                    try:
+                        self.least[k] = np.nextafter(float(-held[-1][0]), -np.inf)
+                    except OverflowError:
+                        self.least[k] = -np.inf if held[-1][0] > 0 else np.finfo(float).max
+
+    def rows(self, q_ids: np.ndarray) -> pd.DataFrame:
+        """``q entry score beyond`` of what is held."""
+        if self.sure:
+            return pd.DataFrame({"q": q_ids[self.at], "entry": self.entry, "score": self.score.astype(np.int64), "beyond": "m"})
+        found = [(int(q), entry, *within_long(-score)) for q, held in zip(q_ids, self.exact) for score, entry in held]
+        return pd.DataFrame(found, columns=["q", "entry", "score", "beyond"])
+
+
+def scan(v_blocks: DataFrame, q_blocks: DataFrame, v_number: int, q_number: int, grids: dict, keep: int) -> DataFrame:
+    """``q entry score beyond``: the ``keep`` best entries of each query, from so many blocks of vectors and of queries."""
+    share = min(MOST_BLOCKS, max(1, -(-v_number // GROUPS)))  # blocks of a group
+    n_groups, n_chunks = -(-v_number // share), -(-q_number // CHUNK)
+
+    def look(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        lots = []
+        if len(held) and len(asked):
+            dims = int(held["dims"].iloc[0])
+            low, width = grids[dims] if dims else (np.zeros(0), np.zeros(0))
+            file = []
+            for ids, cells, body in zip(held["ids"], held["cells"], held["body"]):
+                n = len(ids) // 8
+                file.append((np.frombuffer(ids, dtype="<i8"), np.frombuffer(cells, dtype=np.uint8).reshape(n, dims), from_packed(body, n, dims)))
+            most = max(float(np.abs(v.astype(np.float64)).max(initial=0.0)) for _, _, v in file)
+            for block, ids, body in zip(asked["block"], asked["ids"], asked["body"]):
+                q = from_packed(body, len(ids) // 8, dims).astype(np.float64)
+                leaders = Leaders(q, most, low, width, keep)
+                for lot in file:
+                    leaders.scan(*lot)
+                best = leaders.rows(np.frombuffer(ids, dtype="<i8"))
+                numbers = [best[c].to_numpy(dtype="<i8").tobytes() for c in ("q", "entry", "score")]
+                lots.append((dims, int(block), *numbers, ",".join(best["beyond"]) if (best["beyond"] != "m").any() else None))
+        return pd.DataFrame(lots, columns=["dims", "block", "q", "entry", "score", "beyond"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        several = []
+        for q, entry, score, beyond in zip(rows["q"], rows["entry"], rows["score"], rows["beyond"]):
+            of = {n: np.frombuffer(x, dtype="<i8") for n, x in (("q", q), ("entry", entry), ("score", score))}
+            several.append(pd.DataFrame({**of, "beyond": beyond.split(",") if beyond else "m"}))
+        every = pd.concat(several).sort_values(["q", "score", "beyond", "entry"], ascending=[True, False, False, True])
+        return every.groupby("q").head(keep)
+
+    keys = ["dims", "group", "chunk"]
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = v_blocks.select("*", F.expr(f"block div {share}").alias("group"), each(n_chunks).alias("chunk"))
+    right = q_blocks.select("block", "dims", "ids", "body", F.expr(f"block div {CHUNK}").alias("chunk"), each(n_groups).alias("group"))
+    count = max(2, 2 * n_groups * n_chunks)
+    both = left.repartition(count, *keys).groupBy(*keys).cogroup(right.repartition(count, *keys).groupBy(*keys))
+    some = both.applyInPandas(look, "dims int, block long, q binary, entry binary, score binary, beyond string")
+    return some.groupBy("dims", "block").applyInPandas(merge, "q long, entry long, score long, beyond string")
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> int:
@@ -174,56 +272,21 @@ def within_long(n: int) -> tuple[int, str]:
 
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """``query_id rank vec_id score``: for each row of ``queries`` (both: vec_id, embedding) its k best others."""
-    vectors = durable(scaled(embeddings, scale))
-    wanted = scaled(queries, scale)
     keep = k + 1
-    found = durable(entries(vectors, keep))
-    asked = durable(wanted.join(found.select("vector", F.col("entry").alias("q")), "vector", "left"))
-    lone = asked.filter("q is null").groupBy("vector", "dims").agg(F.min("id").alias("_id"))
+    found = durable(entries(scaled(embeddings, scale), keep))
+    wanted = scaled(queries, scale).join(found.select("vector", "dims", F.col("entry").alias("q")), ["vector", "dims"], "left")
     # a query that is no candidate itself is an entry of its own, under an id no candidate has
-    extra = lone.select((-F.col("_id") - F.lit(1 << 62)).alias("entry"), "vector", "dims", F.expr("cast(array() as array<bigint>)").alias("ids"))
-    known = durable(found.unionByName(extra))
-    asked = durable(wanted.join(known.select("vector", F.col("entry").alias("q")), "vector").select(F.col("id").alias("query_id"), "q"))
+    own = -F.min("id").over(W.partitionBy("vector", "dims")) - F.lit(1 << 62)
+    wanted = durable(wanted.select("id", "vector", "dims", F.coalesce("q", own).alias("q")))
+    asked = wanted.select(F.col("id").alias("query_id"), "q")
     grids = grid(found)
-    q_entries = known.join(asked.select(F.col("q").alias("entry")).distinct(), "entry")
-    n_vectors, n_queries = found.count(), q_entries.count()
-    v_blocks = durable(blocks(found, VECTORS, n_vectors, grids, True))
-    q_blocks = durable(blocks(q_entries, QUERIES, n_queries, grids, False))
-    v_blocks = v_blocks.filter(F.col("dims").isin([*grids, 0]))
-    spread = q_blocks.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
-    # each block of queries is sent to every block of vectors; a join on the block's number, not of rows
-    count = max(1, -(-n_vectors // VECTORS))
-    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
-    pairs = spread.join(v_blocks, ["block", "dims"]).repartition(max(2, count), "block", "q_block")
-    lower = scan(pairs, grids, keep, False)
-    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("bound")))
-    kth = lower.withColumn("_place", place).filter(F.col("_place") == keep).select("q", F.col("bound").alias("least"))
-    kth = durable(kth)
-
-    def give(part: pd.DataFrame) -> pd.DataFrame:
-        ids = np.frombuffer(part["ids"].iloc[0], dtype="<i8")
-        of = dict(zip(part["q"], part["least"]))
-        least = np.array([of.get(int(i), -np.inf) for i in ids], dtype="<f8")
-        return pd.DataFrame({"q_block": [int(part["q_block"].iloc[0])], "dims": [int(part["dims"].iloc[0])], "least": [least.tobytes()]})
-
-    numbered = q_entries.select(F.col("entry").alias("q"), "dims", F.pmod(F.xxhash64("entry"), F.lit(max(1, -(-n_queries // QUERIES)))).cast("int").alias("q_block"))
-    limits = numbered.join(kth, "q", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    limits = limits.join(q_blocks.select("dims", F.col("block").alias("q_block"), "ids"), ["q_block", "dims"])
-    limits = limits.groupBy("q_block", "dims").applyInPandas(give, "q_block int, dims int, least binary")
-    again = spread.join(limits, ["q_block", "dims"]).join(v_blocks, ["block", "dims"]).repartition(max(2, count), "block", "q_block")
-    candidates = durable(scan(again, grids, keep, True))
-    order = F.row_number().over(W.partitionBy("q").orderBy(F.desc("bound"), "entry"))
-    placed = candidates.withColumn("_place", order)
-    first = durable(exact(placed.filter(F.col("_place") <= FIRST_READS * keep), known))
-    by_score = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.desc("beyond")))
-    certain = first.withColumn("_place", by_score).filter(F.col("_place") == keep).select(
-        "q", F.when(F.col("beyond") >= "m", F.col("score").cast("double")).otherwise(float("-inf")).alias("_sure")
-    )
-    rest = placed.filter(F.col("_place") > FIRST_READS * keep).join(certain, "q").filter("bound >= _sure")
-    scores = first.unionByName(exact(rest, known)).join(known.select("entry", "ids"), "entry")
+    q_entries = wanted.select(F.col("q").alias("entry"), "vector", "dims").dropDuplicates(["entry"]).filter(F.col("dims").isin([*grids, 0]))
+    v_number, q_number = max(1, -(-found.count() // VECTORS)), max(1, -(-q_entries.count() // QUERIES))
+    best = scan(blocks(found, v_number, grids), blocks(q_entries, q_number, None), v_number, q_number, grids, keep)
+    scores = durable(best).join(found.select("entry", "ids"), "entry")
     each = scores.select("q", "score", "beyond", F.explode("ids").alias("vec_id"))
-    best = W.partitionBy("q").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
-    few = each.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= keep)
+    order = W.partitionBy("q").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    few = each.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= keep)
     answer = asked.distinct().join(few, "q").filter("vec_id != query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return answer.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
